@@ -5,8 +5,10 @@ from __future__ import annotations
 from quarrymill.llm.mixing import op9_block_mixing
 from quarrymill.llm.near_dedup import op5_minhash_near_dedup
 from quarrymill.llm.sharding import op4_hash_tree_sharding
+from quarrymill.llm.substring_dedup import op2_rlz_substring_dedup
 
 QUERIES = {
+    "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op9_block_mixing": op9_block_mixing,
