@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarrymill.llm.mixing import op9_block_mixing
 from quarrymill.llm.near_dedup import op5_minhash_near_dedup
 from quarrymill.llm.quality import op6_additive_quality
+from quarrymill.llm.scoring import op7_log_bilinear_scoring
 from quarrymill.llm.sharding import op4_hash_tree_sharding
 from quarrymill.llm.substring_dedup import op2_rlz_substring_dedup
 from quarrymill.llm.toxicity import op10_subword_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_additive_quality": op6_additive_quality,
+    "op7_log_bilinear_scoring": op7_log_bilinear_scoring,
     "op9_block_mixing": op9_block_mixing,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
