@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+from quarrymill.llm.decontamination import op1_template_decontamination
 from quarrymill.llm.mixing import op9_block_mixing
 from quarrymill.llm.near_dedup import op5_minhash_near_dedup
 from quarrymill.llm.quality import op6_additive_quality
 from quarrymill.llm.scoring import op7_log_bilinear_scoring
 from quarrymill.llm.sharding import op4_hash_tree_sharding
 from quarrymill.llm.substring_dedup import op2_rlz_substring_dedup
+from quarrymill.llm.token_counts import op3_section_token_counts
+from quarrymill.llm.topk import op8_dual_tree_topk
 from quarrymill.llm.toxicity import op10_subword_toxicity
 
 QUERIES = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
+    "op3_section_token_counts": op3_section_token_counts,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_additive_quality": op6_additive_quality,
     "op7_log_bilinear_scoring": op7_log_bilinear_scoring,
+    "op8_dual_tree_topk": op8_dual_tree_topk,
     "op9_block_mixing": op9_block_mixing,
     "op10_subword_toxicity": op10_subword_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact top-k is plain SQL; the other operators hash, draw or learn, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op8_dual_tree_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+}
