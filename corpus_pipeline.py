@@ -24,10 +24,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Shingles of five words and a similarity of 0.8 make a link, as no contract says otherwise.
     """
     groups = near_dedup.near_duplicates(docs, 5, 80)
-    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    one = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    named = one.where("doc_id is not null").dropDuplicates(["doc_id"])  # rows that repeat a doc_id are one document
-    return named.unionByName(one.where("doc_id is null"))
+    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").cast("string").alias("_key")).distinct()
+    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), alone))
+    # Rows that repeat a doc_id are one document; the join has dealt them by the same key already.
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
