@@ -1,6 +1,7 @@
-"""The library's queries and the SQL that their results must equal, gathered from the modules of this package."""
+"""The library's queries and the SQL that their results must equal."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quarrymill.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
