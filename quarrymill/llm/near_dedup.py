@@ -16,7 +16,7 @@ from quarrymill.llm.words import mixed, pieces, prefix, between, signed, words
 #: Words of a shingle, and the similarity in hundredths from which two documents are linked.
 SHINGLE, SIMILARITY = 3, 85
 #: Signature coordinates, and how many of them a pair must share. At similarity 0.85 a pair shares 15 or more of 32
-#: coordinates but for one pair in ten million; the confirmation on full sets then makes every link exact.
+#: coordinates but for one pair in twelve million; links are then confirmed exactly.
 COORDINATES, MATCHES = 32, 15
 
 _MULTIPLIERS = mixed(np.arange(COORDINATES, dtype=np.uint64), 5) | np.uint64(1)
@@ -90,6 +90,38 @@ def confirmer(n: int, similarity: int):
     return confirm
 
 
+def spelling(n: int):
+    """A function for mapInArrow: (node, component, text) with the text's full shingle set."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                sets = shingle_sets(batch.column("text"), n)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(bounds, signed(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))
+                arrays = [batch.column("node"), batch.column("component"), pa.array(sizes), lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "component", "n_shingles", "shingles"])
+
+    return spell
+
+
+def rarest(posted: DataFrame, token: str, keys: list[str], slack) -> DataFrame:
+    """Of ``posted`` (keys, token): the tokens that others have too and that are in the node's prefix.
+
+    Tokens are ordered by how many nodes have them. Those of one node come first and match nothing, so of a node that
+    has m shared tokens the prefix holds the rarest m - ``slack``. Adds the prefix as ``places``, each of its tokens
+    as ``token``, ``far`` (the less, the more common the node's tokens are) and ``left``: how many shared tokens the
+    node has from this one on.
+    """
+    common = written(posted.groupBy(token).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-places")
+    met = posted.join(common, token).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rows", token))).alias("met"))
+    far = -F.aggregate("met", F.lit(0).cast("long"), lambda a, x: a + x["rows"])
+    head = F.slice("met", 1, F.greatest(F.size("met") - slack, F.lit(0)).cast("int"))
+    met = met.select(*keys, far.alias("far"), F.size("met").alias("_met"), F.transform(head, lambda x: x[token]).alias("places"))
+    return met.select("*", F.posexplode("places").alias("_at", token)).withColumn("left", F.col("_met") - F.col("_at")).drop("_met", "_at")
+
+
 def shared(a: str, b: str):
     """How many coordinates two signatures have in common."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
@@ -113,14 +145,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     1. Documents with the same shingle set are one node, named by the least doc_id; copies go no further.
-    2. Every node is posted under its coordinate-value pairs. A pair of nodes at the wanted similarity shares
-       ``MATCHES`` of the coordinates, so among the rarest ``COORDINATES - MATCHES + 1`` of each it shares one: only
-       that prefix is kept, which leaves the long posting lists (common passages) out. The remaining coordinates
-       aren't merged but skipped to: candidates are counted on the two signatures.
-    3. The first round pairs every posting with its list's least node: one candidate a posting. Confirmed links make
-       components. The second round takes, from lists that still hold several components, the pairs across
-       components that share enough coordinates. Pairs inside a component can't change the result. Together the
-       rounds lose no link between components, and no list is spelled out as pairs before it is shrunk.
+    2. Every node is posted under its ``COORDINATES`` coordinate-value pairs. A pair of nodes at the wanted
+       similarity shares ``MATCHES`` of them, so among the rarest ``COORDINATES - MATCHES + 1`` of each it
+       shares one: only that prefix is kept, which leaves the long posting lists (common passages) out. The other
+       coordinates aren't merged but skipped to: a candidate's collisions are counted on the two signatures.
+    3. The first round pairs every posting with one node of its list, that whose postings are the most common: of
+       altered copies, the least altered. Confirmed links make components, and lists with one component are done:
+       pairs inside a component can't change the result.
+    4. The second round takes the nodes of lists that still hold several components. Two sets of the wanted similarity
+       have a shingle in common among the rarest of each, so only that prefix of every full set is posted, and pairs
+       across components are taken from its lists, each under the first shingle that they share, and only if the two
+       have enough shared shingles left from there on. A much altered copy has its own shingles first and pairs with
+       nothing. No list is spelled out as pairs before it is shrunk.
 
     Links are confirmed on the full sets of both texts. doc_id is taken as a key: rows with one doc_id are one
     document. A null doc_id links nothing: its row has component_id null and kept false. Null and blank texts have no
@@ -135,38 +171,41 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     nodes = written(nodes.select("node", "n_shingles", "signature").dropDuplicates(["node"]), "near-nodes")
 
     places = F.transform("signature", lambda x, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    posted = nodes.select("node", "n_shingles", F.explode(places).alias("place"))
-    common = written(posted.groupBy("place").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-places")
-    met = posted.join(common, "place").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("rows", "place"))).alias("met"))
-    prefix_of = F.slice("met", 1, F.greatest(F.size("met") - F.lit(MATCHES - 1), F.lit(0)))
-    lists = written(met.select("node", "n_shingles", F.explode(prefix_of).alias("p")).select("node", "n_shingles", "p.place"), "near-lists")
-
-    pivots = written(lists.groupBy("place").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "near-pivots")
-    stars = lists.join(pivots, "place").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    stars = written(stars, "near-stars")
+    posted = nodes.select("node", F.explode(places).alias("place"))
+    lists = written(rarest(posted, "place", ["node"], F.lit(MATCHES - 1)), "near-lists")
+    pivots = lists.groupBy("place").agg(F.min(F.struct("far", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("rows"))
+    pivots = written(pivots.where("rows > 1").select("place", "a"), "near-pivots")
+    stars = lists.select("place", "node").join(pivots, "place").where("a <> node")
+    stars = written(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-stars")
     wanted = lists.select("node").distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
     texts = written(texts, "near-candidates")
     links = linked(stars, nodes, texts, n, similarity)
     labels = components(links)
 
-    # The second round: lists with several components.
-    own = lists.join(labels, "node", "left").select("place", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    # The second round: nodes of lists with several components.
+    own = lists.select("place", "node").join(labels, "node", "left").select("place", "node", F.coalesce("component", "node").alias("component"))
     own = written(own, "near-own")
-    mixed_lists = own.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_lists = own.join(written(mixed_lists.select("place"), "near-open"), "place")
-    open_lists = open_lists.join(nodes.select("node", "signature"), "node")
-    open_lists = written(open_lists, "near-open-lists")
-    left, right = (open_lists.select("place", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n_shingles", "component", "signature")]) for x in "ab")
+    several = own.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    still = own.join(written(several.select("place"), "near-open"), "place").select("node", "component").distinct()
+    sets = texts.join(still, "node").select("node", "component", "text")
+    sets = written(sets.mapInArrow(spelling(n), "node long, component long, n_shingles long, shingles array<long>"), "near-sets")
+    least = F.floor((F.col("n_shingles") * similarity + 99) / 100) - 1
+    posted = sets.select("node", "component", "n_shingles", F.explode("shingles").alias("place"))
+    tails = written(rarest(posted, "place", ["node", "component", "n_shingles"], least), "near-tails")
+    several = tails.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    tails = written(tails.join(written(several.select("place"), "near-open"), "place"), "near-tails-open")
+    left, right = (tails.select("place", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n_shingles", "component", "left", "places")]) for x in "ab")
     apart = left.join(
         right,
         (left.place == right.place)
         & (F.col("node_a") < F.col("node_b"))
         & (F.col("component_a") != F.col("component_b"))
         & (100 * F.least("n_shingles_a", "n_shingles_b") >= similarity * F.greatest("n_shingles_a", "n_shingles_b"))
-        & (shared("signature_a", "signature_b") >= MATCHES),
+        & ((100 + similarity) * F.least("left_a", "left_b") >= similarity * (F.col("n_shingles_a") + F.col("n_shingles_b")))
+        & (F.element_at(F.array_intersect("places_a", "places_b"), 1) == left.place),
     )
-    apart = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    apart = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     apart = written(apart.join(stars, ["a", "b"], "left_anti"), "near-apart")
     more = linked(apart, nodes, texts, n, similarity)
     dropped(texts)
