@@ -108,6 +108,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     )
     plan = written(plan, "mix-plan")
     taken = slots(plan, shard_counts(plan, shards, seed), seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("_times"))
+    taken = written(taken, "mix-blocks")  # its size is then known: a plan's guess for exploded rows is far too low
     place = plan.select("sid", F.col("source").alias("_source"), "source_size", "target")
     rows = sized.join(place, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = numbered(rows, ["sid"], [F.col("_h"), F.col("doc_id")], "size")
