@@ -34,12 +34,12 @@ class Catalog:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
-    def add(self, name: str, **values: object) -> str:
+    def add(self, table: str, /, **values: object) -> str:
         stamp, key = datetime.now(UTC).isoformat(), uuid.uuid4().hex
         values = {"id": key, "created_at": stamp, "at": stamp} | values
-        names = [f.split()[0] for f in SCHEMAS[name].split(", ")]
-        row = self.spark.createDataFrame([tuple(values.get(n) for n in names)], SCHEMAS[name])
-        row.write.mode("append").parquet(f"{self.path}/{name}")
+        names = [f.split()[0] for f in SCHEMAS[table].split(", ")]
+        row = self.spark.createDataFrame([tuple(values.get(n) for n in names)], SCHEMAS[table])
+        row.write.mode("append").parquet(f"{self.path}/{table}")
         return key
 
     def save(self, name: str, kind: str, df: DataFrame, report: dict, source: str = "") -> str:
