@@ -136,3 +136,14 @@ def compare_quality(before: DataFrame, after: DataFrame, columns: list[str]) ->
     b = validate(after, columns).select(*[F.col(s).alias(f"after_{s}") for s in scores])
     both = a.crossJoin(F.broadcast(b))  # one row each
     return both.select("*", *[(F.col(f"after_{s}") - F.col(f"before_{s}")).alias(f"delta_{s}") for s in scores])
+
+
+def quick_validate(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: duplicates, records without any value, and sensitive values, the names not looked at."""
+    one = validate(df, columns)
+    return one.select("duplicates", F.col("empty_records").alias("invalid"), (F.col("findings") - len(sensitive(columns))).alias("sensitive"))
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """The figures of a report that a list of data sets shows."""
+    return readiness(report).select("records", "overall", "status", "duplicates", "findings", "ready")

@@ -467,6 +467,22 @@ def compare_quality(t):
     return quality.compare_quality(d, dedup.deduplicate(d, RECORD, "doc_id"), RECORD)
 
 
+@query(f"WITH r AS ({_scores()}) SELECT duplicates, empty_records AS invalid, findings AS sensitive FROM r")
+def quick_validate(t):
+    return quality.quick_validate(t("documents"), RECORD)
+
+
+@query(f"WITH r AS ({_scores('source')}) SELECT records, overall, status, duplicates, findings, (overall >= 70 AND findings = 0) AS ready FROM r")
+def quality_summary(t):
+    return quality.summary(quality.validate(t("documents"), RECORD, ["source"]))
+
+
+@query()
+def dataset_checksum(t):
+    d = t("documents")
+    return d.sparkSession.createDataFrame([(sinks.checksum(d, RECORD),)], "checksum string")
+
+
 @query()
 def lcg_split(t):
     return training.lcg_split(t("labels").select("doc_id"), "doc_id")

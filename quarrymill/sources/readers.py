@@ -180,3 +180,20 @@ def read(spark: SparkSession, source: Source, fetcher=None) -> DataFrame:
     else:
         rows = whole.where("false").select(*keys, F.lit(0).alias("id"), "text")
     return rows
+
+
+def looks_like_csv(text: str) -> bool:
+    """Whether the first five filled lines, two at least, have the same number of commas, and some."""
+    lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()][:5]
+    counts = {x.count(",") for x in lines}
+    return len(lines) > 1 and len(counts) == 1 and counts != {0}
+
+
+def supported_formats() -> dict[str, str]:
+    return dict(TYPES)
+
+
+def sanitized(options: dict) -> dict:
+    """A source's description without secrets, long values cut."""
+    secret = ("password", "secret", "token", "apikey", "api_key")
+    return {k: v[:4000] if isinstance(v, str) else v for k, v in options.items() if not any(s in k.lower() for s in secret)}

@@ -81,3 +81,39 @@ def ordered_checksum(df: DataFrame, columns: list[str], order: str) -> str:
         first = False
     digest.update(b"]")
     return digest.hexdigest()
+
+
+def write_training(records: DataFrame, path: str, name: str = "training", split: str = "split") -> dict:
+    """One directory of JSON lines a split and a manifest of rows by split; one pass over the records."""
+    columns = [c for c in records.columns if c != split and not c.startswith("_")]
+    base = file_name(name)
+    records.select(record_json(columns).alias("value"), split).write.mode("overwrite").partitionBy(split).text(f"{path}/{base}")
+    rows = {r[split]: r["n"] for r in records.groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {"name": base, "path": f"{path}/{base}", "columns": columns, "splits": rows, "records": sum(rows.values()), "createdAt": datetime.now(UTC).isoformat()}
+    records.sparkSession.createDataFrame([(json.dumps(out),)], "value string").write.mode("overwrite").text(f"{path}/{base}_manifest")
+    return out
+
+
+def card(manifest: dict, statistics: dict | None = None) -> dict:
+    """What a reader of the training data needs first."""
+    return {"name": manifest["name"], "records": manifest["records"], "splits": manifest["splits"], "fields": manifest["columns"], "statistics": statistics or {}}
+
+
+def _folder(spark, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def inspect_export(spark, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files of an export."""
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        raise ExportError("EXPORT_NOT_FOUND", path=path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def delete_export(spark, path: str) -> bool:
+    """Remove an export; false if there was none."""
+    folder, fs = _folder(spark, path)
+    return bool(fs.exists(folder) and fs.delete(folder, True))

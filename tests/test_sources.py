@@ -94,3 +94,19 @@ def test_stream(spark, tmp_path):
     rows = stream.cleaned(stream.read_stream(spark, f"file://{tmp_path}/in", "at timestamp, text string"), ["text"])
     stream.run(stream.first_within(rows, ["text"], "at"), f"file://{tmp_path}/out", f"file://{tmp_path}/c").awaitTermination()
     assert [r["text"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["a b"]
+
+
+def test_training_files_and_export_upkeep(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "train"), (2, "b", "train"), (3, "c", "test")], "_row int, text string, split string")
+    done = sinks.write_training(df, f"file://{tmp_path}", "my set")
+    assert done["splits"] == {"train": 2, "test": 1} and sinks.card(done)["records"] == 3
+    assert spark.read.json(f"file://{tmp_path}/my_set/split=train").count() == 2
+    assert sinks.inspect_export(spark, f"file://{tmp_path}/my_set").count() >= 2
+    assert sinks.delete_export(spark, f"file://{tmp_path}/my_set") and not sinks.delete_export(spark, f"file://{tmp_path}/my_set")
+    with pytest.raises(ExportError):
+        sinks.inspect_export(spark, f"file://{tmp_path}/my_set")
+
+
+def test_sniffing():
+    assert readers.looks_like_csv("a,b\n1,2\n") and not readers.looks_like_csv("a,b\n1\n") and not readers.looks_like_csv("a\nb")
+    assert readers.sanitized({"url": "x", "apiKey": "y", "Token": "z"}) == {"url": "x"}
