@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +16,25 @@ from quarrymill.llm.words import mixed, pieces, prefix, between, signed, words
 
 #: Words of a shingle, and the similarity in hundredths from which two documents are linked.
 SHINGLE, SIMILARITY = 3, 85
-#: Signature coordinates, and how many of them a pair must share. At similarity 0.85 a pair shares 15 or more of 32
-#: coordinates but for one pair in twelve million; links are then confirmed exactly.
-COORDINATES, MATCHES = 32, 15
+#: Signature coordinates, and how likely a pair at the similarity may be to share fewer of them than are asked for.
+COORDINATES, MISSED = 32, 1e-7
 
 _MULTIPLIERS = mixed(np.arange(COORDINATES, dtype=np.uint64), 5) | np.uint64(1)
 _OFFSETS = mixed(np.arange(COORDINATES, dtype=np.uint64), 7)
 
 
+def matches(similarity: int, missed: float = MISSED) -> int:
+    """How many coordinates a pair must share: the most that a pair at the similarity falls short of that rarely.
+
+    Coordinates agree independently, each with the similarity as its chance: 15 of 32 at 0.85, 12 at 0.8.
+    """
+    p, below, least = similarity / 100, 0.0, 0
+    while least < COORDINATES and below + comb(COORDINATES, least) * p**least * (1 - p) ** (COORDINATES - least) <= missed:
+        below += comb(COORDINATES, least) * p**least * (1 - p) ** (COORDINATES - least)
+        least += 1
+    return max(least, 1)
+
+
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every ``n``-word shingle; a text of 1 to ``n`` - 1 words is one shingle."""
     sums, counts = prefix(hashes), np.diff(first)
@@ -131,7 +143,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similar
     """Of candidate pairs (a, b), the written table of those that share enough coordinates and whose sets confirm it."""
     left, right = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"_{x}"), F.col("n_shingles").alias(f"_n{x}")) for x in "ab")
     pairs = pairs.join(left, "a").where("true").join(right, "b")
-    size = (100 * F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb")) & (shared("_a", "_b") >= MATCHES)
+    size = (100 * F.least("_na", "_nb") >= similarity * F.greatest("_na", "_nb")) & (shared("_a", "_b") >= matches(similarity))
     pairs = written(pairs.where(size).select("a", "b"), "near-pairs")
     second = written(pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"), "near-texts")
     both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -146,8 +158,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
 
     1. Documents with the same shingle set are one node, named by the least doc_id; copies go no further.
     2. Every node is posted under its ``COORDINATES`` coordinate-value pairs. A pair of nodes at the wanted
-       similarity shares ``MATCHES`` of them, so among the rarest ``COORDINATES - MATCHES + 1`` of each it
-       shares one: only that prefix is kept, which leaves the long posting lists (common passages) out. The other
+       similarity shares m = ``matches(similarity)`` of them (one in ten million doesn't), so among the rarest
+       ``COORDINATES`` - m + 1 of each it shares one: only that prefix is kept, which leaves the long posting lists (common passages) out. The other
        coordinates aren't merged but skipped to: a candidate's collisions are counted on the two signatures.
     3. The first round pairs every posting with one node of its list, that whose postings are the most common: of
        altered copies, the least altered. Confirmed links make components, and lists with one component are done:
@@ -172,7 +184,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
 
     places = F.transform("signature", lambda x, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     posted = nodes.select("node", F.explode(places).alias("place"))
-    lists = written(rarest(posted, "place", ["node"], F.lit(MATCHES - 1)), "near-lists")
+    lists = written(rarest(posted, "place", ["node"], F.lit(matches(similarity) - 1)), "near-lists")
     pivots = lists.groupBy("place").agg(F.min(F.struct("far", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("rows"))
     pivots = written(pivots.where("rows > 1").select("place", "a"), "near-pivots")
     stars = lists.select("place", "node").join(pivots, "place").where("a <> node")

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.labelled import fold, training_rows
-from quarrymill.llm.words import _LOWER, buffers, mixed, pieces
+from quarrymill.llm.words import _BYTE, _BYTES, _LOWER, between, buffers, mixed, pieces, prefix
 
 #: Byte lengths of the n-grams, buckets of the embedding table, and dimensions of an embedding.
 GRAMS, BUCKETS_LOG, DIMENSIONS = (3, 4, 5), 18, 4
 #: Words of a segment and between the starts of segments. A text is as toxic as its most toxic segment.
 SEGMENT, STRIDE = 32, 16
 #: Rows of the bounded training sample by class, and full-batch steps before and after segments are picked.
-SAMPLE = {1: 1200, 0: 1800}
+SAMPLE = {1: 1000, 0: 1500}
 STEPS = (20, 40)
 #: Step size of the embeddings, damping of rare n-grams, and weight of all but the top segment of texts that are not toxic.
 RATE, FLOOR, OTHERS = 0.5, 3e-5, 0.1
@@ -99,20 +99,45 @@ class _Adam:
 
 
 class _Sums:
-    """Sums of rows by index, prepared once: rows in index order, then runs."""
-
-    def __init__(self, index: np.ndarray, n: int):
-        self.order = np.argsort(index, kind="stable")
-        self.keys, self.starts = np.unique(index[self.order], return_index=True)
+    """Sums of rows by index, prepared once: for each key the run of rows that it sums, in key order."""
+
+    def __init__(self, index: np.ndarray, of: np.ndarray, n: int):
+        order = np.argsort(index, kind="stable")
+        self.of = of[order].astype(np.int32)
+        sizes = np.bincount(index, minlength=n)
+        self.keys = np.flatnonzero(sizes)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes[self.keys])])
         self.n = n
 
-    def __call__(self, rows: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-        """The sums of ``rows`` or of ``rows[of]``."""
+    def __call__(self, rows: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+        """The sums of ``rows[of]`` by key, about ``most`` gathered rows at a time."""
         out = np.zeros((self.n, rows.shape[1]), np.float32)
-        out[self.keys] = np.add.reduceat(rows[self.order if of is None else of], self.starts, axis=0)
+        at = 0
+        while at < len(self.keys):
+            end = max(at + 1, int(np.searchsorted(self.bounds, self.bounds[at] + most, side="right")) - 1)
+            low, high = self.bounds[at], self.bounds[end]
+            out[self.keys[at:end]] = np.add.reduceat(rows[self.of[low:high]], self.bounds[at:end] - low, axis=0)
+            at = end
         return out
 
 
+def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Every word as its place among the distinct words, those, and each text's first word; a few texts at a time."""
+    hashes, kinds, spelt, first = [], [], [], [np.zeros(1, np.int64)]
+    for batch in pieces(pa.record_batch({"text": texts}), most=1 << 19):
+        t = padded(batch.column("text"))
+        own = between(prefix(_BYTE[t.data], _BYTES), t.start, t.end, powers=_BYTES)
+        kind, at = np.unique(own, return_index=True)
+        hashes.append(own)
+        kinds.append(kind)
+        spelt += [t.data[a:b].tobytes() for a, b in zip(t.start[at], t.end[at], strict=True)]
+        first.append(t.first[1:] + first[-1][-1])
+    if not hashes:
+        return np.zeros(0, np.int64), [], first[0]
+    kind, at = np.unique(np.concatenate(kinds), return_index=True)
+    return np.searchsorted(kind, np.concatenate(hashes)), [spelt[i] for i in at], np.concatenate(first)
+
+
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 3, steps: tuple[int, int] = STEPS) -> Model:
     """Embeddings and softmax trained together on whole texts.
 
@@ -122,36 +147,34 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 3, steps: tuple[int,
     labels = np.asarray(labels, np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BUCKETS_LOG, np.float32), 20.0 if labels.size and labels[0] else -20.0)
-    text = padded(texts)
-    raw = text.data.tobytes()
-    known: dict[bytes, int] = {}
-    token = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(text.start.tolist(), text.end.tolist(), strict=True)], np.int64)
-    vocabulary = np.frombuffer(b" " + b" ".join(known) + b" ", np.uint8)
+    token, vocabulary, first = _vocabulary(texts)
+    n_words = len(vocabulary)
+    vocabulary = np.frombuffer(b" " + b" ".join(vocabulary) + b" ", np.uint8)
     gaps = np.flatnonzero(vocabulary == 32)
     owner, bucket = [], []
     for n in GRAMS:
-        at, many = spans(gaps[:-1] + 1, gaps[1:], n)
-        which = np.repeat(np.arange(len(known)), many)
+        low, many = spans(gaps[:-1] + 1, gaps[1:], n)
+        which = np.repeat(np.arange(n_words, dtype=np.int32), many)
         owner.append(which)
-        bucket.append(grams(vocabulary, n)[at[which] + np.arange(len(which)) - (np.cumsum(many) - many)[which]])
+        bucket.append(grams(vocabulary, n)[low[which] + np.arange(len(which)) - (np.cumsum(many) - many)[which]].astype(np.int32))
     owner_of, bucket_of = np.concatenate(owner), np.concatenate(bucket)
-    each = (1.0 / np.bincount(owner_of, minlength=len(known))).astype(np.float32)
-    seg_text, low, end = segments(text.first, SEGMENT)
+    each = (1.0 / np.bincount(owner_of, minlength=n_words)).astype(np.float32)
+    by_word, by_bucket = _Sums(owner_of, bucket_of, n_words), _Sums(bucket_of, owner_of, 1 << BUCKETS_LOG)
+    del owner, bucket, owner_of, bucket_of
+    seg_text, low, end = segments(first, SEGMENT)
     size = end - low
     seg_of = np.repeat(np.arange(len(low)), size)
     word_of = token[low[seg_of] + np.arange(len(seg_of)) - (np.cumsum(size) - size)[seg_of]]
-    by_word, by_bucket = _Sums(owner_of, len(known)), _Sums(bucket_of, 1 << BUCKETS_LOG)
-    by_segment, by_token = _Sums(seg_of, len(low)), _Sums(word_of, len(known))
-    bucket_by_word, word_by_bucket = bucket_of[by_word.order], owner_of[by_bucket.order]
-    word_by_segment, segment_by_token = word_of[by_segment.order], seg_of[by_token.order]
+    by_segment, by_token = _Sums(seg_of, word_of, len(low)), _Sums(word_of, seg_of, n_words)
+    del seg_of, word_of, token
     rng = np.random.default_rng(seed)
     embeddings = _Adam(rng.normal(0, 0.1, (1 << BUCKETS_LOG, DIMENSIONS)).astype(np.float32), RATE, FLOOR)
     weights = _Adam(rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), 0.1)
     bias = _Adam(np.zeros(2, np.float32), 0.1)
     target = labels[seg_text]
     for step in range(sum(steps)):
-        words = by_word(embeddings.value, bucket_by_word) * each[:, None]
-        bags = by_segment(words, word_by_segment) / size[:, None]
+        words = by_word(embeddings.value) * each[:, None]
+        bags = by_segment(words) / size[:, None]
         logits = bags @ weights.value + bias.value
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
@@ -165,10 +188,10 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 3, steps: tuple[int,
         error[np.arange(len(low)), target] -= 1
         error *= (share / share.sum())[:, None]
         back = ((error @ weights.value.T) / size[:, None]).astype(np.float32)
-        per_word = by_token(back, segment_by_token) * each[:, None]
+        per_word = by_token(back) * each[:, None]
         weights.step((bags.T @ error).astype(np.float32))
         bias.step(error.sum(0).astype(np.float32))
-        embeddings.step(by_bucket(per_word, word_by_bucket))
+        embeddings.step(by_bucket(per_word))
     difference = weights.value[:, 1] - weights.value[:, 0]
     return Model((embeddings.value @ difference).astype(np.float32), float(bias.value[1] - bias.value[0]))
 
