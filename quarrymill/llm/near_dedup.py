@@ -18,6 +18,8 @@ from quarrymill.llm.words import mixed, pieces, prefix, between, signed, words
 SHINGLE, SIMILARITY = 3, 85
 #: Signature coordinates, and how likely a pair at the similarity may be to share fewer of them than are asked for.
 COORDINATES, MISSED = 32, 1e-7
+#: Places of the prefix before a posting that go with it. Pairs that share one of them were found there already.
+EARLIER = 32
 
 _MULTIPLIERS = mixed(np.arange(COORDINATES, dtype=np.uint64), 5) | np.uint64(1)
 _OFFSETS = mixed(np.arange(COORDINATES, dtype=np.uint64), 7)
@@ -118,20 +120,23 @@ def spelling(n: int):
     return spell
 
 
-def rarest(posted: DataFrame, token: str, keys: list[str], slack) -> DataFrame:
-    """Of ``posted`` (keys, token): the tokens that others have too and that are in the node's prefix.
+def rarest(posted: DataFrame, slack, nodes: DataFrame | None = None) -> DataFrame:
+    """Of ``posted`` (node, place): the places that others have too and that are in the node's prefix.
 
-    Tokens are ordered by how many nodes have them. Those of one node come first and match nothing, so of a node that
-    has m shared tokens the prefix holds the rarest m - ``slack``. Adds the prefix as ``places``, each of its tokens
-    as ``token``, ``far`` (the less, the more common the node's tokens are) and ``left``: how many shared tokens the
-    node has from this one on.
+    Places are ordered by how many nodes have them. Those of one node come first and match nothing, so of a node that
+    has m shared places the prefix holds the rarest m - ``slack``. Adds what ``nodes`` (node, ...) holds, ``far`` (the
+    less, the more common the node's places are), ``at`` (its place in the prefix) and ``left``: how many shared
+    places the node has from this one on.
     """
-    common = written(posted.groupBy(token).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-places")
-    met = posted.join(common, token).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rows", token))).alias("met"))
+    common = written(posted.groupBy("place").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-places")
+    met = posted.join(common, "place").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rows", "place"))).alias("met"))
+    met = met if nodes is None else met.join(nodes, "node")
+    kept = [c for c in met.columns if c != "met"]
     far = -F.aggregate("met", F.lit(0).cast("long"), lambda a, x: a + x["rows"])
     head = F.slice("met", 1, F.greatest(F.size("met") - slack, F.lit(0)).cast("int"))
-    met = met.select(*keys, far.alias("far"), F.size("met").alias("_met"), F.transform(head, lambda x: x[token]).alias("places"))
-    return met.select("*", F.posexplode("places").alias("_at", token)).withColumn("left", F.col("_met") - F.col("_at")).drop("_met", "_at")
+    met = met.select(*kept, far.alias("far"), F.size("met").alias("_met"), F.transform(head, lambda x: x["place"]).alias("_places"))
+    met = met.select(*kept, "far", "_met", F.posexplode("_places").alias("at", "place"))
+    return met.withColumn("left", F.col("_met") - F.col("at")).drop("_met")
 
 
 def shared(a: str, b: str):
@@ -159,16 +164,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     1. Documents with the same shingle set are one node, named by the least doc_id; copies go no further.
     2. Every node is posted under its ``COORDINATES`` coordinate-value pairs. A pair of nodes at the wanted
        similarity shares m = ``matches(similarity)`` of them (one in ten million doesn't), so among the rarest
-       ``COORDINATES`` - m + 1 of each it shares one: only that prefix is kept, which leaves the long posting lists (common passages) out. The other
-       coordinates aren't merged but skipped to: a candidate's collisions are counted on the two signatures.
+       ``COORDINATES`` - m + 1 of each it shares one: only that prefix is kept, which leaves the long posting lists
+       (common passages) out. The other coordinates aren't merged but skipped to: a candidate's collisions are
+       counted on the two signatures.
     3. The first round pairs every posting with one node of its list, that whose postings are the most common: of
        altered copies, the least altered. Confirmed links make components, and lists with one component are done:
        pairs inside a component can't change the result.
     4. The second round takes the nodes of lists that still hold several components. Two sets of the wanted similarity
        have a shingle in common among the rarest of each, so only that prefix of every full set is posted, and pairs
-       across components are taken from its lists, each under the first shingle that they share, and only if the two
-       have enough shared shingles left from there on. A much altered copy has its own shingles first and pairs with
-       nothing. No list is spelled out as pairs before it is shrunk.
+       across components are taken from its lists, only if the two have enough shared shingles left from there on.
+       A posting carries the ``EARLIER`` places before it and skips pairs that share one of those, so a pair comes
+       up once for each run of shared shingles, not for each of them; it is confirmed once. A much altered copy has
+       its own shingles first and pairs with nothing. No list is spelled out as pairs before it is shrunk.
 
     Links are confirmed on the full sets of both texts. doc_id is taken as a key: rows with one doc_id are one
     document. A null doc_id links nothing: its row has component_id null and kept false. Null and blank texts have no
@@ -184,7 +191,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
 
     places = F.transform("signature", lambda x, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     posted = nodes.select("node", F.explode(places).alias("place"))
-    lists = written(rarest(posted, "place", ["node"], F.lit(matches(similarity) - 1)), "near-lists")
+    lists = written(rarest(posted, F.lit(matches(similarity) - 1)).drop("at", "left"), "near-lists")
     pivots = lists.groupBy("place").agg(F.min(F.struct("far", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("rows"))
     pivots = written(pivots.where("rows > 1").select("place", "a"), "near-pivots")
     stars = lists.select("place", "node").join(pivots, "place").where("a <> node")
@@ -203,11 +210,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     sets = texts.join(still, "node").select("node", "component", "text")
     sets = written(sets.mapInArrow(spelling(n), "node long, component long, n_shingles long, shingles array<long>"), "near-sets")
     least = F.floor((F.col("n_shingles") * similarity + 99) / 100) - 1
-    posted = sets.select("node", "component", "n_shingles", F.explode("shingles").alias("place"))
-    tails = written(rarest(posted, "place", ["node", "component", "n_shingles"], least), "near-tails")
+    posted = sets.select("node", F.explode("shingles").alias("place"))
+    tails = written(rarest(posted, least, sets.select("node", "component", "n_shingles")).drop("far"), "near-tails")
     several = tails.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    tails = written(tails.join(written(several.select("place"), "near-open"), "place"), "near-tails-open")
-    left, right = (tails.select("place", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n_shingles", "component", "left", "places")]) for x in "ab")
+    tails = tails.join(written(several.select("place"), "near-open"), "place")
+    tails = tails.groupBy("node", "component", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "left", "place"))).alias("met"))
+    tails = tails.select("node", "component", "n_shingles", F.transform("met", lambda x: x["place"]).alias("_places"), F.posexplode("met").alias("_at", "_met"))
+    before = F.slice("_places", F.greatest(F.col("_at") - EARLIER, F.lit(0)) + 1, F.least(F.col("_at"), F.lit(EARLIER)))
+    tails = tails.select("node", "component", "n_shingles", "_met.place", "_met.left", before.alias("earlier"))
+    tails = written(tails, "near-tails-open")
+    left, right = (tails.select("place", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n_shingles", "component", "left", "earlier")]) for x in "ab")
     apart = left.join(
         right,
         (left.place == right.place)
@@ -215,9 +227,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
         & (F.col("component_a") != F.col("component_b"))
         & (100 * F.least("n_shingles_a", "n_shingles_b") >= similarity * F.greatest("n_shingles_a", "n_shingles_b"))
         & ((100 + similarity) * F.least("left_a", "left_b") >= similarity * (F.col("n_shingles_a") + F.col("n_shingles_b")))
-        & (F.element_at(F.array_intersect("places_a", "places_b"), 1) == left.place),
+        & ~F.arrays_overlap("earlier_a", "earlier_b"),
     )
-    apart = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    apart = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     apart = written(apart.join(stars, ["a", "b"], "left_anti"), "near-apart")
     more = linked(apart, nodes, texts, n, similarity)
     dropped(texts)
