@@ -94,7 +94,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     Each source's documents, in hash order, are one stream of words cut into blocks of ``block``. ``shard_counts``
     draws how many blocks of each source go to each output shard, ``slots`` maps them through the source's
     permutations, and the streams' blocks are joined by index. Returns doc_id, source, size, source_size, target,
-    taken. Documents without words (null or blank text) have size 0 and give nothing; a null source is a source, the
+    key, taken; ``key`` is a hash of doc_id and text, by which rows are told apart. Documents without words (null or blank text) have size 0 and give nothing; a null source is a source, the
     last; rows that repeat are documents of their own. No block is taken more than three times, as no target is
     above three times its source's size. An empty table gives an empty result.
     """
@@ -117,16 +117,22 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     end = F.least((F.col("block") + 1) * block, F.col("_start") + F.col("size"))
     words_taken = (end - F.greatest(F.col("block") * block, F.col("_start"))) * F.coalesce(F.col("_times"), F.lit(0))
     keys = ["sid", "_part", "_row", "doc_id", "source", "size", "source_size", "target"]
-    return parts.groupBy(*keys).agg(F.coalesce(F.sum(words_taken), F.lit(0)).cast("long").alias("taken")).select(*keys[3:], "taken")
+    taken = F.coalesce(F.sum(words_taken), F.lit(0)).cast("long").alias("taken")
+    return parts.groupBy(*keys).agg(F.max("_h").alias("key"), taken).select(*keys[3:], "key", "taken")
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each appears ``round(taken / size)`` times, 0 to 3; those without words stay once."""
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int"))
-    most = mixed(docs, **options).select(F.col("doc_id").alias("_id"), copies.alias("_copies"))
-    most = most.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    rows = docs.join(most, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("_copies") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def repeated(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The mix as documents: each appears ``taken / size`` times on average, 0 to 3; those without words stay once.
+
+    ``floor(taken / size + u)`` with ``u`` a uniform hash of the document rounds without bias, so that the words given
+    out meet the targets of the sources whatever the lengths of their documents. Rows that repeat share their mean.
+    """
+    mix = mixed(docs, seed=seed, **options).groupBy("key", F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    u = F.pmod(F.xxhash64("key", "_source", F.lit(seed), F.lit("copies")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size") + u).cast("int"))
+    mix = mix.select("key", "_source", copies.alias("_copies")).where(F.col("_copies") > 0)
+    rows = docs.join(mix, (F.xxhash64("doc_id", "text") == F.col("key")) & F.col("source").eqNullSafe(F.col("_source")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,23 @@ def test_mixing(spark):
     assert set(mixing.repeated(df).columns) == set(df.columns)
 
 
+def test_mixed_documents_meet_the_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, f"n{i} " + " ".join(["w"] * rng.randrange(600, 1000)), "abcdef"[i % 6]) for i in range(1800)]
+    rows += [(i, f"other{i} " + " ".join(["w"] * 700), "f") for i in range(300)] + [(None, f"null{i} x", None) for i in range(9)]
+    rows += [(2000, None, "a"), (2001, " ", "b")]
+    df = documents(spark, rows)
+    copies = mixing.repeated(df, block=16).collect()
+    got, size = [(r["source"], len(SPLIT.findall(r["text"] or "")), r["doc_id"]) for r in copies], {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(SPLIT.findall(t or ""))
+    want = filled(size)
+    for s in "abcdef":
+        assert abs(sum(n for x, n, _ in got if x == s) / want[s] - 1) < 0.12, s
+    assert [sum(i == j for _, _, i in got) for j in (2000, 2001)] == [1, 1]
+    assert max(Counter(r["text"] for r in copies if r["doc_id"] is not None).values()) <= 3
+
+
 def test_permutations_and_numbers(spark):
     df = spark.range(97).select("id", F.lit(97).cast("long").alias("n"))
     for seed in (3, -8):
