@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -117,14 +118,45 @@ def windower(known: np.ndarray | None, size: int, literals: int):
     return cut
 
 
+def evidence(met: list[dict]) -> tuple[list[int], bool]:
+    """Item windows of one alignment that count, and whether some slot's value differs.
+
+    Every value of the item reads as the document's value that most windows give it, itself if others have no more.
+    Windows with the item's own values count, and altered ones that agree with the reading. If two of the item's values
+    read as one, those that some window keeps read as themselves; if two still do, there is no reading and none count.
+    """
+    support = Counter(pair for m in met for pair in zip(m["item_slots"], m["slots"], strict=True))
+    reading = dict(pair for pair, _ in sorted(support.items(), key=lambda x: (x[1], x[0][0] == x[0][1], x[0])))  # the last stays
+    if len(set(reading.values())) < len(reading):
+        reading = {a: a if (a, a) in support else b for a, b in reading.items()}
+    if len(set(reading.values())) < len(reading):
+        return [], False
+    agrees = lambda m: all(reading[a] == b for a, b in zip(m["item_slots"], m["slots"], strict=True))
+    places = [m["item_place"] for m in met if m["item_slots"] == m["slots"] or agrees(m)]
+    return places, any(m["item_slots"] != m["slots"] for m in met)
+
+
+LINES = "key long, id long, item_id long, item_windows int, places array<int>, other boolean"
+
+
+def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: alignments with the windows that met to those with windows that count."""
+    for batch in batches:
+        found = [evidence(met.as_py()) for met in batch.column("met")]
+        names = [f.split()[0] for f in LINES.split(", ")]
+        columns = [batch.column(c) for c in names[:-2]] + [pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([o for _, o in found], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([bool(p) for p, _ in found], pa.bool_()))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, share: float = SHARE, sent: int = SENT) -> DataFrame:
     """(key, doc_id, item_id, n_windows, share, reparameterised): the benchmark items (item_id, text) in each document.
 
-    Windows of ``size`` canonical tokens are joined by hash. Along one alignment of document and item, every value
-    that fills a slot of the item must have one value in the document, and two values may not share one: an item with
-    other numbers or names passes, a chance meeting of templates doesn't. An item counts as leaked if consistent
-    alignments hold ``share`` of its windows. ``reparameterised`` says that some slot's value differs. ``key`` is a
-    hash of doc_id and text, by which rows are told apart.
+    Windows of ``size`` canonical tokens are joined by hash. Along one alignment of document and item, windows with
+    the item's own values count, and altered ones that agree with the reading of most windows, in which two values may
+    not share one (``evidence``): an item with other numbers or names is found, also where one place differs from the
+    rest, a chance meeting of templates isn't. An item counts as leaked if the windows of its alignments that count
+    are ``share`` of all it has. ``reparameterised`` says that some slot's value differs. ``key`` is a hash of doc_id
+    and text, by which rows are told apart.
 
     If the benchmark has at most ``sent`` different windows (which is counted), tasks get their hashes and only
     windows with those are shuffled; else all are. An item in very many documents makes a skewed join, which adaptive
@@ -144,11 +176,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: i
         "window",
     ).withColumn("shift", F.col("place") - F.col("item_place"))
     alignment = ["key", "id", "item_id", "shift"]
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    lines = met.groupBy(*alignment).agg(F.collect_set("item_place").alias("places"), F.max("item_windows").alias("item_windows"), pairs.alias("pairs"))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (values("item_slots") == F.size("pairs")) & (values("slots") == F.size("pairs"))
-    lines = lines.where(consistent).withColumn("other", F.exists("pairs", lambda p: p["item_slots"] != p["slots"]))
+    lines = met.groupBy(*alignment).agg(F.max("item_windows").alias("item_windows"), F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("met"))
+    lines = lines.mapInArrow(judged, LINES)
     whole = lines.groupBy("key", "id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("other").alias("reparameterised")
     )

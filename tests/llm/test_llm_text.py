@@ -160,6 +160,17 @@ def test_decontamination(spark):
     assert decontamination.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_one_inconsistent_slot_keeps_the_alignment(spark):
+    item = "The shop sold 120 apples in the morning before noon and then Anna packed 60 more boxes for the road while the clerk still wrote that 120 apples were sold"
+    one, clash = item.replace("that 120", "that 75"), item.replace("that 120", "that 60")
+    other = item.replace("120", "33").replace("60", "44").replace("that 33", "that 55")
+    shared = item.replace("120", "5").replace("60", "5")
+    docs = [(1, f"zz {one} zz"), (2, f"zz {clash} zz"), (3, f"zz {other} zz"), (4, f"zz {shared} zz"), (5, item)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["reparameterised"], r["share"] < 1) for r in decontamination.leaks(table(spark, docs), bench).collect()}
+    assert got == {1: (True, True), 2: (True, True), 3: (True, True), 5: (False, False)}
+
+
 def test_templates():
     t = decontamination.template(pa.array(["Bob saw Anna buy 3.5 kg, or 12% of it. The end", "km 5"]))
     kinds = [{decontamination.NUMBER: "N", decontamination.UNIT: "U", decontamination.NAME: "A"}.get(x, ".") for x in t.token]
