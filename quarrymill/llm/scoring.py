@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,15 @@ from quarrymill.llm.words import mixed, pieces, words
 #: Symbols of the model: frequent words of their own, the end of a text, and classes for all other words.
 OWN, CLASSES = 127, 128
 SYMBOLS = OWN + 1 + CLASSES
-#: Words before the predicted one, dimensions of a vector, documents of the bounded training sample.
-CONTEXT, DIMENSIONS, SAMPLE = 3, 24, 1500
+#: Words before the predicted one, dimensions of a vector.
+CONTEXT, DIMENSIONS = 3, 24
 EPOCHS, BATCH, NOISE, RATE = 4, 2048, 64, 0.1
-#: Steps at least: small samples are gone through more often.
+#: Steps at least: small corpora are gone through more often. A training task has as many in a round.
 STEPS = 600
+#: Times that the tasks' parameters are brought together, each after an equal share of the passes.
+ROUNDS = 2
+#: Parameters are summed as whole numbers of this part of one, so that no order of summing changes them.
+GRAIN = 2.0**-40
 #: Words whose counts every task holds, at most; the counts of all others are joined.
 FREQUENT = 1 << 18
 #: The end of a text, as a word's hash and beginning.
@@ -68,6 +73,7 @@ class Counts(NamedTuple):
     own: np.ndarray  # words that are symbols, sorted
     class_of: np.ndarray  # by the first two bytes
     class_total: np.ndarray  # counts plus kinds plus one of each class
+    symbol_total: np.ndarray | None = None  # counts of each symbol
 
 
 def summed(counts: DataFrame, frequent: int = FREQUENT) -> Counts:
@@ -89,8 +95,10 @@ def summed(counts: DataFrame, frequent: int = FREQUENT) -> Counts:
     word, number = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(word)
     word, number = word[order], number[order]
-    ranked = counts.where(F.col("word") != int(END_HASH.view(np.int64))).orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()
-    own = np.sort(np.array([r["word"] for r in ranked], np.int64).view(np.uint64))
+    ranked = counts.where(F.col("word") != int(END_HASH.view(np.int64))).orderBy(F.desc("n"), "word").limit(OWN).select("word", "n").collect()
+    own = np.array([r["word"] for r in ranked], np.int64).view(np.uint64)
+    by_word = np.argsort(own)
+    own, own_n = own[by_word], np.array([r["n"] for r in ranked], np.float64)[by_word]
     others = counts.where(~F.col("word").isin([int(x) for x in own.view(np.int64)]) & (F.col("word") != int(END_HASH.view(np.int64))))
     heads = others.groupBy("head").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow().sort_by([("n", "descending"), ("head", "ascending")])
     at = heads.column("head").to_numpy()
@@ -98,7 +106,11 @@ def summed(counts: DataFrame, frequent: int = FREQUENT) -> Counts:
     class_of[at[: CLASSES * 3 // 4]] = np.arange(len(at[: CLASSES * 3 // 4]))
     share = heads.column("n").to_numpy() + heads.column("v").to_numpy()
     class_total = np.bincount(class_of[at], share, CLASSES) + 1.0
-    return Counts(n, v, least, word, number, own, class_of, class_total)
+    symbol_total = np.zeros(SYMBOLS)
+    symbol_total[: len(own)] = own_n
+    symbol_total[OWN + 1 :] = np.bincount(class_of[at], heads.column("n").to_numpy(), CLASSES)
+    symbol_total[OWN] = n - symbol_total.sum()
+    return Counts(n, v, least, word, number, own, class_of, class_total, symbol_total)
 
 
 def symbols(t: Tokens, counts: Counts) -> np.ndarray:
@@ -126,43 +138,126 @@ class Model(NamedTuple):
     bias: np.ndarray
 
 
-def train(symbol: np.ndarray, context: np.ndarray, seed: int = 5) -> Model:
-    """Noise-contrastive estimation: tells each token from ``NOISE`` draws of the unigram, by gradient steps of Adagrad."""
+def smoothed(symbol_total: np.ndarray) -> np.ndarray:
+    """The noise distribution: add-one shares of the symbols' counts."""
+    return (symbol_total + 1.0) / (symbol_total + 1.0).sum()
+
+
+def shapes() -> list[tuple[int, ...]]:
+    return [(SYMBOLS + 1, DIMENSIONS), (CONTEXT, DIMENSIONS, DIMENSIONS), (SYMBOLS, DIMENSIONS), (SYMBOLS,)]
+
+
+def started(unigram: np.ndarray, seed: int = 5) -> list[np.ndarray]:
+    """Parameters before training (vectors, position matrices, targets, biases), then Adagrad's sums for each."""
     rng = np.random.default_rng(seed)
     d = DIMENSIONS
-    unigram = np.bincount(symbol, minlength=SYMBOLS) + 1.0
-    unigram /= unigram.sum()
-    vectors = rng.normal(0, 0.1, (SYMBOLS + 1, d)).astype(np.float32)
-    mats = np.stack([np.eye(d) * 0.5 + rng.normal(0, 0.01, (d, d)) for _ in range(CONTEXT)]).astype(np.float32)
-    targets = rng.normal(0, 0.1, (SYMBOLS, d)).astype(np.float32)
-    bias = np.log(unigram).astype(np.float32)
-    params = [vectors, mats, targets, bias]
-    held = [np.full_like(x, 1e-2) for x in params]
+    vectors = rng.normal(0, 0.1, (SYMBOLS + 1, d))
+    mats = np.stack([np.eye(d) * 0.5 + rng.normal(0, 0.01, (d, d)) for _ in range(CONTEXT)])
+    params = [vectors, mats, rng.normal(0, 0.1, (SYMBOLS, d)), np.log(unigram)]
+    return [x.astype(np.float32) for x in params] + [np.full(x, 1e-2, np.float32) for x in shapes()]
+
+
+def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by ``at``."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        kinds, first = np.unique(at[order], return_index=True)
+        out[kinds] = np.add.reduceat(rows[order], first)
+    return out
+
+
+def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, unigram: np.ndarray, passes: int, rng: np.random.Generator) -> None:
+    """Noise-contrastive estimation: tells each token from ``NOISE`` draws of the unigram, by gradient steps of Adagrad."""
+    params, held = state[:4], state[4:]
+    symbol, context = symbol.astype(np.int16), context.astype(np.int16)  # which sort much faster
+    vectors, mats, targets, bias = params
     shift = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(len(symbol), BATCH)))):
+    ends = np.cumsum(unigram)
+    for _ in range(passes):
         order = rng.permutation(len(symbol))
         for start in range(0, len(order), BATCH):
             at = order[start : start + BATCH]
             w, c = symbol[at], context[:, at]
-            noise = rng.choice(SYMBOLS, NOISE, p=unigram)
-            r = vectors[c]  # position, token, dimension
-            q = np.einsum("jnd,jde->ne", r, mats)
+            noise = np.minimum(np.searchsorted(ends, rng.random(NOISE), side="right"), SYMBOLS - 1)
+            q = sum((vectors @ mats[j])[c[j]] for j in range(CONTEXT))
             good = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", q, targets[w]) + bias[w] - shift[w])))
-            bad = 1 / (1 + np.exp(-(q @ targets[noise].T + bias[noise] - shift[noise])))
-            up, down = ((1 - good) / len(at)).astype(np.float32), (-bad / len(at)).astype(np.float32)
-            grads = [np.zeros_like(x) for x in params]
+            down = q @ -targets[noise].T  # becomes the negated probabilities of noise, in place
+            down += shift[noise] - bias[noise]
+            np.exp(down, out=down)
+            down += 1
+            np.divide(np.float32(-1 / len(at)), down, out=down)
+            up = (1 - good) / np.float32(len(at))
             dq = up[:, None] * targets[w] + down @ targets[noise]
-            np.add.at(grads[2], w, up[:, None] * q)
-            np.add.at(grads[2], noise, down.T @ q)
-            np.add.at(grads[3], w, up)
-            np.add.at(grads[3], noise, down.sum(0))
-            for j in range(CONTEXT):
-                grads[1][j] = r[j].T @ dq
-                np.add.at(grads[0], c[j], dq @ mats[j].T)
+            by_word, by_bias = added(w, up[:, None] * q, SYMBOLS), np.bincount(w, up, SYMBOLS).astype(np.float32)
+            np.add.at(by_word, noise, down.T @ q)
+            np.add.at(by_bias, noise, down.sum(0))
+            by_context = [added(c[j], dq, SYMBOLS + 1) for j in range(CONTEXT)]
+            grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word, by_bias]
             for x, g, h in zip(params, grads, held, strict=True):
                 h += g * g
                 x += RATE * g / np.sqrt(h)
-    return Model(np.einsum("sd,jde->jse", vectors, mats).astype(np.float32), targets, bias)
+
+
+def made(state: list[np.ndarray]) -> Model:
+    return Model(np.einsum("sd,jde->jse", state[0], state[1]).astype(np.float32), state[2], state[3])
+
+
+def passes_of(total: int) -> int:
+    """How often all of ``total`` tokens are gone through."""
+    return max(EPOCHS, -(-STEPS * BATCH // max(total, BATCH)))
+
+
+def train(symbol: np.ndarray, context: np.ndarray, seed: int = 5) -> Model:
+    """A model of tokens that are here already."""
+    unigram = smoothed(np.bincount(symbol, minlength=SYMBOLS))
+    state = started(unigram, seed)
+    learned(state, symbol, context, unigram, passes_of(len(symbol)), np.random.default_rng(seed))
+    return made(state)
+
+
+def learner(state: list[np.ndarray], counts: Counts, passes: int, number: int):
+    """A function for mapInArrow: text to (place, value), the task's parameters in proportion to its tokens.
+
+    A task goes through its texts piece by piece, from the parameters that all tasks start the round with.
+    """
+    unigram = smoothed(counts.symbol_total)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = [x.copy() for x in state], 0
+        context = TaskContext.get()
+        rng = np.random.default_rng([number, context.partitionId() if context else 0])
+        for whole in batches:
+            for batch in pieces(whole):
+                t = tokens(batch.column("text"))
+                symbol = symbols(t, counts)
+                learned(own, symbol, contexts(symbol, t), unigram, passes, rng)
+                n += len(symbol)
+        if n:
+            value = np.concatenate([x.ravel() for x in own]).astype(np.float64) * (n / counts.total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(np.round(value / GRAIN).astype(np.int64))], ["place", "value"])
+
+    return learn
+
+
+def trained(texts: DataFrame, counts: Counts) -> Model:
+    """A model of all of ``texts`` (text), in ``ROUNDS`` rounds of at least ``EPOCHS / ROUNDS`` passes over all of them.
+
+    In each round every task learns from its share of the texts, and the means of the tasks' parameters, weighted by
+    tokens and summed on Spark, start the next. The driver gets some 28,000 numbers a round, whatever the corpus. There
+    are no more tasks than have ``STEPS`` steps each; a corpus of fewer is learned by one task, in more passes.
+    """
+    state = started(smoothed(counts.symbol_total))
+    small = counts._replace(words=np.zeros(0, np.uint64), numbers=np.zeros(0, np.int64))
+    texts = texts.coalesce(max(1, counts.total // (STEPS * BATCH)))
+    for number in range(ROUNDS if counts.total else 0):
+        passes = -(-passes_of(counts.total) // ROUNDS)
+        sums = texts.mapInArrow(learner(state, small, passes, number), "place int, value long").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        flat = np.zeros(sum(x.size for x in state))
+        flat[sums.column("place").to_numpy()] = sums.column("value").to_numpy() * GRAIN
+        bounds = np.cumsum([x.size for x in state])[:-1]
+        state = [x.reshape(old.shape).astype(np.float32) for x, old in zip(np.split(flat, bounds), state, strict=True)]
+    return made(state)
 
 
 def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) -> np.ndarray:
@@ -228,11 +323,11 @@ def scorer(model: Model, counts: Counts):
     return score
 
 
-def scored(docs: DataFrame, modulus: int = 7, held_out: int = 2, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
-    Counts are of all tokens of all documents outside the held-out fold. The network is trained on at most ``sample``
-    of those documents. It predicts a frequent word, the end, or a class of words by their beginning; a word of a class
+    Counts are of all tokens of all documents outside the held-out fold, and the network learns from all of them
+    (``trained``). It predicts a frequent word, the end, or a class of words by their beginning; a word of a class
     has its add-one share of the class's training tokens, one share being for all unseen words. So the probabilities
     of all words, seen or not, add up to one. Words' counts that don't fit the bounded table are joined by word, from
     counts that were summed before they were shuffled.
@@ -245,11 +340,7 @@ def scored(docs: DataFrame, modulus: int = 7, held_out: int = 2, sample: int = S
     counts = training.select("text").mapInArrow(counter, "word long, head int, n long").groupBy("word").agg(F.min("head").alias("head"), F.sum("n").alias("n"))
     counts = written(counts, "word-counts")
     known = summed(counts)
-    ids = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    picked = training.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    t = tokens(picked.column("text").combine_chunks() if len(picked) else pa.array([], pa.string()))
-    symbol = symbols(t, known)
-    model = train(symbol, contexts(symbol, t))
+    model = trained(training.select("text"), known)
     parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(scorer(model, known), SCORES)
     rare = counts.where(F.col("n") < known.least).select(F.col("word").alias("_word"), F.col("n").alias("_n"))
     joined = parts.join(rare, parts["word"] == rare["_word"], "left")

@@ -105,6 +105,33 @@ def test_language_model(spark):
     assert scoring.scored(documents(spark, []).limit(0)).count() == 0
 
 
+def test_language_model_learns_from_all_documents(spark):
+    rows = [(i, "red blue " * 4 if i % 2 else "green house " * 4, "s") for i in range(600)]
+    training = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(600))
+    learned, real = spark.sparkContext.accumulator(0), scoring.learner
+
+    def counting(state, counts, passes, number):
+        def run(batches):
+            def count():
+                for x in batches:
+                    learned.add(len(x))
+                    yield x
+
+            return real(state, counts, passes, number)(count())
+
+        return run
+
+    scoring.learner = counting
+    try:
+        got = [r for r in scoring.scored(documents(spark, rows * 4)).collect() if r["held_out"]]
+    finally:
+        scoring.learner = real
+    assert learned.value == 4 * training * scoring.ROUNDS > 1500 * scoring.ROUNDS
+    assert all(r["score"] > r["base_score"] for r in got)
+    counts = scoring.summed(spark.createDataFrame([(int(scoring.END_HASH.view(np.int64)), 0, 5), (7, 24930, 9), (8, 24931, 4)], "word long, head int, n long"))
+    assert counts.symbol_total.sum() == 18 and counts.symbol_total[scoring.OWN] == 5 and counts.symbol_total[:2].tolist() == [9, 4]
+
+
 def test_rarer_words_are_joined():
     counts = scoring.Counts(10, 5, 3, np.array([], np.uint64), np.array([], np.int64), np.array([], np.uint64), np.zeros(65536, np.int64), np.ones(scoring.CLASSES))
     t = scoring.tokens(pa.array(["a b a", None]))
