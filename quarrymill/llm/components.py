@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("_near"))
-        least = labels.join(near, labels.node == near.a, "left").select(
+        near = both.join(labels.select("node", "component"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
+        least = labels.select("node", "component").join(near, labels.node == near.a, "left").select(
             "node", F.least("component", "_near").alias("component"), F.col("component").alias("_was")
         )
         least = written(least, "labels-near")
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         changed = jumped.where("component <> _was").limit(1).count()
         dropped(labels)
         dropped(least)
-        labels = jumped.drop("_was")
+        labels = jumped
         if not changed:
             dropped(both)
-            return labels
+            return labels.select("node", "component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.components import components
 from quarrymill.llm.scratch import dropped, written
-from quarrymill.llm.words import mixed, pieces, prefix, between, signed, words
+from quarrymill.llm.words import between, codes, mixed, pieces, prefix, signed, words
 
 #: Words of a shingle, and the similarity in hundredths from which two documents are linked.
 SHINGLE, SIMILARITY = 3, 85
@@ -54,11 +55,35 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def shingle_codes(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The set of shingles of each text, sorted; two shingles of the same call are equal if and only if their words are.
+
+    Words become their codes, and runs of codes whole numbers as long as those fit 63 bits; else the runs so far are
+    numbered anew.
+    """
+    w = words(texts, lower=True)
+    code, kinds = codes(w)
+    base, counts = len(kinds) + 1, np.diff(w.first)
+    many = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    text = np.repeat(np.arange(len(counts)), many)
+    at = w.first[:-1][text] + np.arange(len(text)) - (np.cumsum(many) - many)[text]
+    end, run, most = w.first[1:][text], np.zeros(len(text), np.int64), 1
+    for k in range(n):
+        if most * base >= 1 << 63:
+            kept, run = np.unique(run, return_inverse=True)
+            most = len(kept)
+        here = np.minimum(at + k, max(len(code) - 1, 0))
+        run = run * base + (np.where(at + k < end, code[here] + 1, 0) if len(code) else 0)  # 0 where a short text has ended
+        most *= base
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [np.unique(run[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
 
 def signer(n: int):
-    """A function for mapInArrow: the size, two checksums and the MinHash signature of each text's shingle set."""
+    """A function for mapInArrow: the size, a digest (two numbers) and the MinHash signature of each text's shingle set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -68,18 +93,17 @@ def signer(n: int):
                 values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                sums = np.zeros((2, len(sets)), np.uint64)
+                digest = b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets)
+                halves = np.frombuffer(digest, "<i8").reshape(-1, 2)
                 least = np.zeros((len(sets), COORDINATES), np.uint32)
                 if len(full):
-                    for i in range(2):
-                        sums[i, full] = np.add.reduceat(mixed(values, 21 + i), starts)
                     for k in range(COORDINATES):
                         drawn = ((values * _MULTIPLIERS[k] + _OFFSETS[k]) >> np.uint64(32)).astype(np.uint32)
                         least[full, k] = np.minimum.reduceat(drawn, starts)
                 flat = pa.array(least.view(np.int32).ravel())
                 signatures = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes), signed(sums[0]), signed(sums[1]), signatures],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), signatures],
                     ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
@@ -87,18 +111,23 @@ def signer(n: int):
 
 
 def confirmer(n: int, similarity: int):
-    """A function for mapInArrow: of pairs (a, b, text_a, text_b), those whose full shingle sets are similar enough."""
+    """A function for mapInArrow: of pairs (a, b, text_a, text_b), those whose full shingle sets are similar enough.
+
+    Sets are compared by the words of their shingles. Rows with one ``a`` follow each other, so that its text is taken
+    once a batch.
+    """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for whole in batches:
             for batch in pieces(whole, "text_b"):
-                ids, sets, keep = batch.column("a").to_pylist(), shingle_sets(batch.column("text_b"), n), []
-                for i, (a, other) in enumerate(zip(ids, sets, strict=True)):
-                    if held[0] != a:
-                        held = (a, shingle_sets(batch.column("text_a").slice(i, 1), n)[0])
-                    both = len(np.intersect1d(held[1], other, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= similarity * (len(held[1]) + len(other) - both))
+                ids = batch.column("a").to_numpy()
+                heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                firsts = batch.column("text_a").take(pa.array(heads))
+                sets = shingle_codes(pa.concat_arrays([firsts.cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())]), n)
+                of, keep = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(ids)])), []
+                for i, other in zip(of.tolist(), sets[len(heads) :], strict=True):
+                    both = len(np.intersect1d(sets[i], other, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= similarity * (len(sets[i]) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm

@@ -1,10 +1,12 @@
 """Removal of repeated passages: relative Lempel-Ziv parsing against an index of anchored phrases.
 
 Every text is cut into overlapping phrases at anchors that its own words choose, so two texts that share a passage cut
-it into the same phrases. The distinct phrases of all texts are the reference, dealt into blocks by the hash of their
-anchor. A text is parsed by looking its phrases up: one that occurs again continues a factor (a copy), one that
-occurs once ends it. At such a factor boundary the phrase's windows are looked up one by one, so that a copy is known
-to the word. No text is compared with another, and no group is spelled out as pairs.
+it into the same phrases. The distinct phrases of all texts are the reference, each with its first occurrence, dealt into
+blocks by the hash of their anchor. A text is parsed by looking its phrases up: phrases that follow each other in one
+reference text make a factor (a copy with a source), one that occurs once ends it. At such a factor boundary the
+phrase's windows are looked up one by one, so that a copy is known to the word. Phrases and windows are equal if
+their words are: they are compared by 128-bit BLAKE2b digests of the words, never by the hashes that pick anchors. No
+text is compared with another, and no group is spelled out as pairs.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.llm.rows import row_keys
 from quarrymill.llm.scratch import dropped, written
-from quarrymill.llm.words import between, pieces, prefix, signed, words
+from quarrymill.llm.words import Words, between, digests, pieces, prefix, signed, words
 
 #: Words of the shortest factor that counts as a duplicate, and words of an anchor.
 WINDOW, ANCHOR = 35, 8
@@ -32,7 +35,6 @@ class Phrases(NamedTuple):
     low: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
 
 
 def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
@@ -47,91 +49,132 @@ def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def phrases(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[Phrases, np.ndarray]:
-    """Phrases of texts whose word hashes are ``hashes``, and the running sums from which windows are hashed.
+def phrases(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> Phrases:
+    """Phrases of the texts of ``w``.
 
     The anchor of a window is its ``anchor``-word run of least hash, the first of several. Neighbouring windows of one
     anchor make a phrase: all their words. Which anchor a window has depends on its own words only.
     """
-    sums = prefix(hashes)
     empty = np.zeros(0, np.int64)
-    none = Phrases(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
-    if len(hashes) < window:
-        return none, sums
-    starts = np.arange(len(hashes) - anchor + 1)
-    runs = between(sums, starts, starts + anchor, 3)
+    none = Phrases(empty, empty, empty, empty.astype(np.uint64))
+    if len(w.hash) < window:
+        return none
+    starts = np.arange(len(w.hash) - anchor + 1)
+    runs = between(prefix(w.hash), starts, starts + anchor, 3)
     owner = leftmost_least(runs, window - anchor + 1)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    whole = np.flatnonzero(doc[: len(owner)] == doc[window - 1 : window - 1 + len(owner)])
+    whole = np.flatnonzero(w.doc[: len(owner)] == w.doc[window - 1 : window - 1 + len(owner)])
     if not len(whole):
-        return none, sums
+        return none
     owner = owner[whole]
     heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     low, many = whole[heads], np.diff(np.r_[heads, len(owner)])
-    at = owner[heads].astype(np.int64)
-    content = between(sums, low, low + many - 1 + window, 5) ^ (at - low).astype(np.uint64)
-    return Phrases(doc[low], low, many, runs[at], content), sums
+    return Phrases(w.doc[low], low, many, runs[owner[heads]])
+
+
+def halves(found: pa.Array) -> np.ndarray:
+    """Digests of 16 bytes as two whole numbers each."""
+    return np.frombuffer(b"".join(found.to_pylist()), "<i8").reshape(-1, 2) if len(found) else np.zeros((0, 2), np.int64)
+
+
+PHRASES = "anchor long, content_a long, content_b long, key_a long, key_b long, low int, windows int"
+SPELLED = "anchor long, content_a long, content_b long, place int, window_a long, window_b long"
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
 
 
 def indexer(window: int, anchor: int):
-    """A function for mapInArrow: (key, text) to the phrases of every text."""
+    """A function for mapInArrow: (key_a, key_b, text) to the phrases of every text."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 w = words(batch.column("text"))
-                found, _ = phrases(w.hash, w.first, window, anchor)
-                keys = batch.column("key").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [signed(found.anchor), signed(found.content), pa.array(keys[found.doc]), pa.array((found.low - w.first[:-1][found.doc]).astype(np.int32)), pa.array(found.windows.astype(np.int32))],
-                    ["anchor", "content", "key", "low", "windows"],
-                )
+                found = phrases(w, window, anchor)
+                content = halves(digests(w, found.low, found.low + found.windows - 1 + window))
+                keys = [batch.column(k).to_numpy(zero_copy_only=False)[found.doc] for k in ("key_a", "key_b")]
+                low, many = (found.low - w.first[:-1][found.doc]).astype(np.int32), found.windows.astype(np.int32)
+                yield _batch([signed(found.anchor), content[:, 0], content[:, 1], *keys, low, many], PHRASES)
 
     return index
 
 
 def speller(window: int, anchor: int):
-    """A function for mapInArrow: (text, wanted) to the hashes of all windows of the wanted phrases of each text."""
+    """A function for mapInArrow: (text, wanted) to the digests of all windows of each text's wanted phrases.
+
+    ``wanted`` holds first words of phrases within the text.
+    """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 w = words(batch.column("text"))
-                found, sums = phrases(w.hash, w.first, window, anchor)
-                wanted = batch.column("wanted")
-                asked = wanted.flatten().field("content").to_numpy(zero_copy_only=False).view(np.uint64)
-                of = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy(zero_copy_only=False)))
-                pair = np.dtype([("doc", np.int64), ("content", np.uint64)])
-                have, want = np.empty(len(found.doc), pair), np.empty(len(of), pair)
-                have["doc"], have["content"], want["doc"], want["content"] = found.doc, found.content, of, asked
-                uniq, at = np.unique(have, return_index=True)
-                at = at[np.isin(uniq, want)]
-                many = found.windows[at]
-                which = np.repeat(at, many)
+                found, asked = phrases(w, window, anchor), batch.column("wanted")
+                of = np.repeat(np.arange(len(batch)), np.diff(asked.offsets.to_numpy(zero_copy_only=False)))
+                at = np.flatnonzero(np.isin(found.low, w.first[:-1][of] + asked.flatten().to_numpy(zero_copy_only=False)))
+                low, many = found.low[at], found.windows[at]
+                content = halves(digests(w, low, low + many - 1 + window))
+                which = np.repeat(np.arange(len(at)), many)
                 offset = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                start = found.low[which] + offset
-                hashes = between(sums, start, start + window, 9)
-                yield pa.RecordBatch.from_arrays(
-                    [signed(found.anchor[which]), signed(found.content[which]), pa.array(offset.astype(np.int32)), signed(hashes)],
-                    ["anchor", "content", "place", "window"],
-                )
+                start = low[which] + offset
+                own = halves(digests(w, start, start + window))
+                yield _batch([signed(found.anchor[at][which]), content[which, 0], content[which, 1], offset.astype(np.int32), own[:, 0], own[:, 1]], SPELLED)
 
     return spell
 
 
-def factors(n: int, low: np.ndarray, windows: np.ndarray, mask: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors of a text of ``n`` words: the longest runs of words that repeated windows cover, as [start, end).
+class Factor(NamedTuple):
+    """Words [start, end) of a text that are repeated; ``source`` and ``place`` say where, for copies of whole phrases."""
+
+    start: int
+    end: int
+    source: int | None = None
+    place: int | None = None
+
+
+def factors(low: list[int], windows: list[int], mask: list[int], source: list[int], place: list[int], window: int = WINDOW) -> list[Factor]:
+    """The greedy parse of a text over its phrases in order: a copied phrase is added to the factor that it continues.
 
-    Bit i of ``mask`` tells whether window ``low`` + i is repeated.
+    ``mask`` -1 marks a phrase that is copied whole, from word ``place`` of ``source``; else bit i tells whether window
+    ``low`` + i is repeated, which was looked up as the phrase stands at a factor boundary. Factors don't overlap.
     """
-    edge = np.zeros(n + 1, np.int64)
-    for i in range(int(windows.max()) if len(windows) else 0):
-        starts = low[(windows > i) & (mask >> i & 1 == 1)] + i
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + window, -1)
-    covered = np.r_[False, np.cumsum(edge[:-1]) > 0, False]
-    bounds = np.flatnonzero(covered[1:] != covered[:-1])
-    return list(zip(bounds[::2].tolist(), bounds[1::2].tolist(), strict=True))
+    out: list[Factor] = []
+    for at, many, bits, src, to in sorted(zip(low, windows, mask, source, place, strict=True)):
+        if bits == -1:
+            last = out[-1] if out else None
+            if last and last.source == src and last.place is not None and last.place - last.start == to - at and at <= last.end:
+                out[-1] = last._replace(end=at + many - 1 + window)
+            else:
+                out.append(Factor(at, at + many - 1 + window, src, to))
+        else:
+            for i in range(many):
+                if bits >> i & 1:
+                    last = out[-1] if out else None
+                    if last and last.place is None and at + i == last.end - window + 1:
+                        out[-1] = last._replace(end=at + i + window)
+                    else:
+                        out.append(Factor(at + i, at + i + window))
+    apart: list[Factor] = []
+    for f in sorted(out, key=lambda f: f.start):
+        over = max(apart[-1].end - f.start, 0) if apart else 0  # words that the factor before holds already
+        if f.start + over < f.end:
+            apart.append(f._replace(start=f.start + over, place=None if f.place is None else f.place + over))
+    return apart
+
+
+def spans(found: list[Factor]) -> list[tuple[int, int]]:
+    """The words that factors hold, as [start, end)."""
+    out: list[tuple[int, int]] = []
+    for f in found:
+        if out and f.start == out[-1][1]:
+            out[-1] = (out[-1][0], f.end)
+        else:
+            out.append((f.start, f.end))
+    return out
+
+
+FACTOR = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64()), ("place", pa.int32())])
 
 
 def remover(window: int):
@@ -143,63 +186,72 @@ def remover(window: int):
                 rows = []
                 for text, found in zip(batch.column("text").to_pylist(), batch.column("found"), strict=True):
                     own = (text or "").encode().split()  # bytes split at the same six bytes as words
-                    spans: list[tuple[int, int]] = []
+                    copied: list[Factor] = []
                     if found.is_valid:
-                        low, many, mask = (found.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("low", "windows", "mask"))
-                        spans = factors(len(own), low, many, mask, window)
+                        copied = factors(*(found.values.field(f).to_pylist() for f in ("low", "windows", "mask", "source", "place")), window)
                     kept, at = [], 0
-                    for a, b in spans:
+                    for a, b in spans(copied):
                         kept += own[at:a]
                         at = b
                     kept += own[at:]
                     joined = b" ".join(kept)
-                    rows.append((len(own), len(own) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode(), [{"start": a, "end": b} for a, b in spans]))
-                n, gone, sha, left, spans = zip(*rows, strict=True)
-                arrays = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(left), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+                    rows.append((len(own), len(own) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode(), [f._asdict() for f in copied]))
+                n, gone, sha, left, parsed = zip(*rows, strict=True)
+                arrays = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(left), pa.array(parsed, pa.list_(FACTOR))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"])
 
     return remove
 
 
-REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,end:int>>"
+REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:int,end:int,source:long,place:int>>"
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """What is left of every row of ``docs`` (doc_id, text) without the words of repeated ``window``-word windows.
 
-    Returns doc_id, n_words, n_removed, kept_sha256, kept_text and the removed factors as word bounds. A window counts
-    as repeated if its words also start anywhere else, in the same text too. Rows are told apart by doc_id and text: a
-    row that is there twice repeats itself whole. Null and empty texts have no words; texts shorter than a window
-    lose none. An empty table gives an empty result.
+    Returns doc_id, n_words, n_removed, kept_sha256, kept_text and the factors of the parse, as word bounds with the
+    doc_id and word that a whole phrase is copied from (null for single windows). A window counts as repeated if its
+    words also start anywhere else, in the same text too. A row that is there twice repeats itself whole. Other
+    columns, whatever their names, aren't looked at. Null and empty texts have no words; texts shorter than a window
+    lose none; a text of any length is worked on whole, at some 60 bytes of memory a byte. An empty table gives an
+    empty result.
 
-    Equality is judged on an anchor hash and a window or phrase hash of 64 bits each, 128 together. Phrases of unshared
-    anchors, the bulk, are dropped after one count. Joins on anchors that are in very many texts are split by adaptive
+    Rows are told apart by doc_id and a hash of the text; those without a doc_id by two. Phrases of unshared anchors,
+    the bulk, are dropped after one count. Joins on anchors that are in very many texts are split by adaptive
     execution, as both their sides start at written tables; counts are summed before they are shuffled.
     """
     if not 0 <= window - anchor <= 62:
         raise ValueError("a window has 0 to 62 words more than an anchor")
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    index = written(docs.select("key", "text").mapInArrow(indexer(window, anchor), "anchor long, content long, key long, low int, windows int"), "phrases")
+    a, b = row_keys(docs)
+    docs = docs.select("doc_id", "text", a.alias("key_a"), b.alias("key_b"))
+    index = written(docs.select("key_a", "key_b", "text").mapInArrow(indexer(window, anchor), PHRASES), "phrases")
     anchors = written(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("anchor"), "anchors")
     shared = written(index.join(anchors, "anchor"), "phrases-shared")
     dropped(index)
+    dropped(anchors)
 
-    reference = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("key"))
+    phrase = ["anchor", "content_a", "content_b"]
+    reference = shared.groupBy(*phrase).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("key_a", "key_b", "low")).alias("home"))
     reference = written(reference, "reference")
     several = written(reference.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "anchors-open")
-    wanted = reference.join(several, "anchor").groupBy("key").agg(F.collect_list(F.struct("content")).alias("wanted"))
-    spelled = docs.join(wanted, "key").select("text", "wanted")
-    spelled = written(spelled.mapInArrow(speller(window, anchor), "anchor long, content long, place int, window long"), "windows")
-    again = written(spelled.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", "window"), "windows-again")
-    masks = spelled.join(again, ["anchor", "window"]).groupBy("anchor", "content")
-    masks = masks.agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    wanted = reference.join(several, "anchor").select("home.key_a", "home.key_b", "home.low")
+    wanted = wanted.groupBy("key_a", "key_b").agg(F.collect_list("low").alias("wanted"))
+    spelled = docs.join(wanted, ["key_a", "key_b"]).select("text", "wanted")
+    spelled = written(spelled.mapInArrow(speller(window, anchor), SPELLED), "windows")
+    dropped(several)
+    own = ["anchor", "window_a", "window_b"]
+    each = spelled.select(*phrase, "place", "window_a", "window_b")
+    again = each.groupBy(*own).agg(F.min(F.struct("content_a", "content_b")).alias("low"), F.max(F.struct("content_a", "content_b")).alias("high")).where("low <> high")
+    again = written(again.select(*own), "windows-again")
+    masks = each.join(again, own).groupBy(*phrase).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
 
     copied = F.when(F.col("rows") > 1, F.lit(-1).cast("long")).otherwise(F.col("mask"))
-    known = reference.select("anchor", "content", "rows").join(masks, ["anchor", "content"], "left")
-    known = written(known.select("anchor", "content", copied.alias("mask")).where("mask is not null"), "reference-known")
-    dropped(spelled)
-    found = shared.join(known, ["anchor", "content"]).groupBy("key").agg(F.collect_list(F.struct("low", "windows", "mask")).alias("found"))
-    return docs.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(remover(window), REMOVED)
+    known = reference.join(masks, phrase, "left").select(*phrase, copied.alias("mask"), F.col("home.key_a").alias("source"), F.col("home.low").alias("place"))
+    known = written(known.where("mask is not null"), "reference-known")
+    for table in (reference, spelled, again):
+        dropped(table)
+    found = shared.join(known, phrase).groupBy("key_a", "key_b").agg(F.collect_set(F.struct("low", "windows", "mask", "source", "place")).alias("found"))
+    return docs.join(found, ["key_a", "key_b"], "left").select("doc_id", "text", "found").mapInArrow(remover(window), REMOVED)
 
 
 def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.labelled import fold, training_rows
-from quarrymill.llm.words import _BYTE, _BYTES, _LOWER, between, buffers, mixed, pieces, prefix
+from quarrymill.llm.words import _LOWER, Words, buffers, codes, pieces
 
 #: Byte lengths of the n-grams, buckets of the embedding table, and dimensions of an embedding.
 GRAMS, BUCKETS_LOG, DIMENSIONS = (3, 4, 5), 18, 4
@@ -19,6 +19,8 @@ GRAMS, BUCKETS_LOG, DIMENSIONS = (3, 4, 5), 18, 4
 SEGMENT, STRIDE = 32, 16
 #: Rows of the bounded training sample by class, and full-batch steps before and after segments are picked.
 SAMPLE = {1: 1000, 0: 1500}
+#: Bytes of the longest text that is trained on.
+LONGEST = 200_000
 STEPS = (20, 40)
 #: Step size of the embeddings, damping of rare n-grams, and weight of all but the top segment of texts that are not toxic.
 RATE, FLOOR, OTHERS = 0.5, 3e-5, 0.1
@@ -34,24 +36,14 @@ class Text(NamedTuple):
 
 
 def padded(texts: pa.Array) -> Text:
-    """Bytes with A to Z folded and every gap a space, one before and after every text.
-
-    A word with the same bytes as the one before it isn't listed again, so stuttering texts make no bags of one word.
-    """
+    """Bytes with A to Z folded and every gap a space, one before and after every text."""
     data, bounds = buffers(texts)
     data = np.insert(_LOWER[data], bounds, 32)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     data[gap] = 32
     edge = np.diff(gap.astype(np.int8))
     start, end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
-    doc = bounds + np.arange(len(bounds))
-    if len(start):  # a word that repeats the one before counts once
-        size = end - start
-        sums = np.concatenate([[0], np.cumsum(mixed(data + np.uint64(0)))])
-        same = np.r_[False, (size[1:] == size[:-1]) & (np.diff(sums[end] - sums[start]) == 0)]
-        same[np.searchsorted(start, doc[:-1])[np.searchsorted(start, doc[:-1]) < len(start)]] = False
-        start, end = start[~same], end[~same]
-    return Text(data, start, end, np.searchsorted(start, doc))
+    return Text(data, start, end, np.searchsorted(start, bounds + np.arange(len(bounds))))
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -77,6 +69,10 @@ def segments(first: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.nd
     return text, low, np.minimum(low + SEGMENT, first[1:][text])
 
 
+#: Scores are summed in whole numbers of this part of one, so that no order of summing and no other text changes them.
+GRAIN = 2.0**-32
+
+
 class Model(NamedTuple):
     """What is left of a trained model for scoring: each bucket's embedding times the softmax's class difference."""
 
@@ -122,20 +118,10 @@ class _Sums:
 
 
 def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Every word as its place among the distinct words, those, and each text's first word; a few texts at a time."""
-    hashes, kinds, spelt, first = [], [], [], [np.zeros(1, np.int64)]
-    for batch in pieces(pa.record_batch({"text": texts}), most=1 << 19):
-        t = padded(batch.column("text"))
-        own = between(prefix(_BYTE[t.data], _BYTES), t.start, t.end, powers=_BYTES)
-        kind, at = np.unique(own, return_index=True)
-        hashes.append(own)
-        kinds.append(kind)
-        spelt += [t.data[a:b].tobytes() for a, b in zip(t.start[at], t.end[at], strict=True)]
-        first.append(t.first[1:] + first[-1][-1])
-    if not hashes:
-        return np.zeros(0, np.int64), [], first[0]
-    kind, at = np.unique(np.concatenate(kinds), return_index=True)
-    return np.searchsorted(kind, np.concatenate(hashes)), [spelt[i] for i in at], np.concatenate(first)
+    """Every word as its place among the distinct words, those, and each text's first word."""
+    t = padded(texts)
+    code, kinds = codes(Words(t.data, t.start, t.end, t.start, t.start, t.first))
+    return code, kinds.to_pylist(), t.first
 
 
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 3, steps: tuple[int, int] = STEPS) -> Model:
@@ -197,31 +183,35 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 3, steps: tuple[int,
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
-    """The probability of toxicity of each text: of its most toxic segment. Texts without words have that of no words."""
-    text = padded(texts)
-    value, many_all = np.zeros(len(text.start)), np.zeros(len(text.start))
+    """The probability of toxicity of each text: of its most toxic segment. Texts without words have that of no words.
+
+    A text's score depends on its own bytes only, not on the texts around it: all running sums are of whole numbers.
+    """
+    text, table = padded(texts), np.round(model.table / GRAIN).astype(np.int64)
+    value, many_all = np.zeros(len(text.start), np.int64), np.zeros(len(text.start), np.int64)
     for n in GRAMS:
-        sums = np.zeros(max(len(text.data) - n + 1, 0) + 1)
-        np.cumsum(model.table[grams(text.data, n)], out=sums[1:])
+        sums = np.zeros(max(len(text.data) - n + 1, 0) + 1, np.int64)
+        np.cumsum(table[grams(text.data, n)], out=sums[1:])
         at, many = spans(text.start, text.end, n)
         at = np.minimum(at, len(sums) - 1)
         value += sums[np.minimum(at + many, len(sums) - 1)] - sums[at]
         many_all += many
-    sums = np.zeros(len(value) + 1)
-    np.cumsum(value / np.maximum(many_all, 1), out=sums[1:])
+    sums = np.zeros(len(value) + 1, np.int64)
+    np.cumsum(np.round(value / np.maximum(many_all, 1)).astype(np.int64), out=sums[1:])
     of, low, end = segments(text.first)
     best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, of, (sums[end] - sums[low]) / (end - low))
+    np.maximum.at(best, of, (sums[end] - sums[low]) / (end - low) * GRAIN)
     return 1 / (1 + np.exp(-np.clip(np.where(np.isfinite(best), best, 0) + model.bias, -60, 60)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, modulus: int = 5, held_out: int = 0) -> Model:
-    """A model from at most ``sample[c]`` labelled documents of each class outside the held-out fold.
+    """A model from at most ``sample[c]`` labelled documents of each class outside the held-out fold, of at most
+    ``LONGEST`` bytes each.
 
     Fewer or one class only: the model then says that class for all; without labels it says not toxic.
     """
-    rows = training_rows(docs, labels, "toxic", modulus, held_out, sample, ["doc_id", "text"])
-    table = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = training_rows(docs, labels, "toxic", modulus, held_out, sample, LONGEST)
+    table = rows.toArrow().sort_by("doc_id")
     return train(table.column("text").combine_chunks(), table.column("_label").to_numpy())
 
 
@@ -240,9 +230,9 @@ def scorer(model: Model):
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score and predicted (1 from ``threshold`` on) of every row of ``docs`` (doc_id, text).
 
-    Only the text is looked at. Null and blank texts get the score of a text without words, the model's bias. Rows
-    that repeat are scored alike. An empty table gives an empty result. The model has a fixed size whatever it was
-    trained on.
+    Only the text is looked at, whole, whatever its length (at some 80 bytes of memory a byte) and whatever columns
+    there are. Null and blank texts get the score of a text without words, the model's bias. Equal texts have equal
+    scores. An empty table gives an empty result. The model has a fixed size whatever it was trained on.
     """
     rows = docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

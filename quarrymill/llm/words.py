@@ -1,11 +1,13 @@
-"""Words of Arrow string columns as numpy arrays: bounds and 64-bit hashes, for whole batches at a time.
+"""Words of Arrow string columns as numpy arrays: bounds, exact codes and hashes, for whole batches at a time.
 
 A word is a run of bytes other than space and 0x09 to 0x0D. UTF-8 never has those bytes inside a character, so bytes
-give the same words as characters do.
+give the same words as characters do. Hashes find what may be equal; what is equal is judged on the bytes themselves,
+within a batch by ``codes``, across batches by ``digests``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
 CHUNK_BYTES = 2_000_000
+#: Bytes of the longest word that is hashed without BLAKE2b.
+SHORT = 32
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,9 +34,6 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(256, dtype=np.uint64), 11)
-
-
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64, as far as they have been asked for."""
 
@@ -47,19 +48,22 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(0xD1342543DE82EF95), _Powers(0xAF251AF3B0F025B5)
+_WORDS = _Powers(0xAF251AF3B0F025B5)
 
 
-def prefix(values: np.ndarray, powers: _Powers = _WORDS) -> np.ndarray:
+def prefix(values: np.ndarray) -> np.ndarray:
     """Running sums from which ``between`` takes the hash of any run of ``values``."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers.to(len(values))[0], out=out[1:])
+    np.cumsum(values * _WORDS.to(len(values))[0], out=out[1:])
     return out
 
 
-def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, powers: _Powers = _WORDS) -> np.ndarray:
-    """Hashes of the runs [start, end), wherever they stand; equal runs have equal hashes."""
-    down = powers.to(len(sums))[1]
+def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the runs [start, end), wherever they stand; equal runs have equal hashes.
+
+    Others may share one, so these find candidates; equality is judged on ``digests`` or on ``codes``.
+    """
+    down = _WORDS.to(len(sums))[1]
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD, seed)
 
 
@@ -74,6 +78,50 @@ class Words(NamedTuple):
     first: np.ndarray  # one more than there are texts
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes: up to ``SHORT`` bytes in mixed lanes of eight, of longer ones BLAKE2b."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+    out, at = mixed(size.astype(np.uint64), 3), np.arange(len(start))
+    for j in range(SHORT // 8):
+        at = at[size[at] > 8 * j]
+        over = np.maximum(8 * (j + 1) - size[at], 0).astype(np.uint64) * np.uint64(8)
+        lane = lanes[start[at] + 8 * j] << over  # drops the bytes after the span
+        out[at] = mixed(out[at] ^ lane, j)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def packed(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words without gaps, and their bounds."""
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.start] = 1
+    inside[w.end] -= 1
+    return w.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)], np.concatenate([[0], np.cumsum(w.end - w.start)])
+
+
+def codes(w: Words) -> tuple[np.ndarray, pa.Array]:
+    """A code for each word and the bytes of each code: two words have one code if and only if their bytes are equal."""
+    if not len(w.start):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    data, bounds = packed(w)
+    found = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def digests(w: Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """BLAKE2b digests of 16 bytes of the runs of words [start, end), joined by one space: equality of the words."""
+    at = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+    joined, word = np.full(at[-1], 32, np.uint8), np.ones(at[-1], bool)
+    word[at[1:] - 1] = False
+    joined[word] = packed(w)[0]
+    view, new = memoryview(joined.tobytes()), hashlib.blake2b
+    low, high = at[start].tolist(), (at[end] - 1).tolist()
+    return pa.array([new(view[a:b], digest_size=16).digest() for a, b in zip(low, high, strict=True)], pa.binary())
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and the bounds of its texts; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -96,10 +144,9 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     before[cuts] = False
     after[cuts - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    hashes = between(prefix(_BYTE[data], _BYTES), start, end, powers=_BYTES)
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    return Words(data, start, end, doc, hashes, first)
+    return Words(data, start, end, doc, span_hashes(data, start, end), first)
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
