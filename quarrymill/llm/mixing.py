@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.numbering import numbered
-from quarrymill.llm.scratch import written
+from quarrymill.llm.rows import fresh, row_keys
+from quarrymill.llm.scratch import dropped, written
 
 #: Words of a block, output shards, and slots that one row stands for before they are spelled out.
 BLOCK, SHARDS, CHUNK = 64, 64, 4096
 #: Weights of the sources in code point order, repeating; a source gives each word this many times at most.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Strides of the index permutations: primes, so that one of the two has no factor in common with any block count.
-STRIDES = (33_554_393, 33_554_383)
+#: Rounds of the index permutations.
+ROUNDS = 12
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -41,11 +42,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("sid", "source", "source_size", "weight", target.alias("target"))
 
 
-def permuted(index, count, seed):
-    """A pseudorandom permutation of 0 to ``count`` - 1, chosen by ``seed``, at ``index``: a stride and a shift."""
-    a, b = (F.lit(x).cast("long") for x in STRIDES)
-    stride = F.when((F.pmod(seed, F.lit(2)) == 0) & (count % a != 0) | (count % b == 0), a).otherwise(b)
-    return F.pmod((stride % count) * index + F.pmod(F.shiftright(seed, 1), count), count)
+def permuted(df: DataFrame, index: Column, count: str, seed: Column, name: str, rounds: int = ROUNDS) -> DataFrame:
+    """Add ``name``: a pseudorandom permutation of 0 to ``count`` - 1, chosen by ``seed``, at ``index``.
+
+    A swap-or-not shuffle: each round pairs every number with its mirror about a drawn point and, by a hash of the
+    greater of the two, swaps them or not. That is a permutation for every count, and no round needs more than 64 bits.
+    """
+    rows = df.withColumn(name, index).withColumn("_seed", seed)
+    for i in range(rounds):
+        rows = rows.withColumn("_mirror", F.pmod(F.pmod(F.xxhash64("_seed", F.lit(i)), F.col(count)) - F.col(name), F.col(count)))
+        swap = F.xxhash64("_seed", F.lit(i), F.greatest(name, "_mirror")).bitwiseAND(F.lit(1)) == 1
+        rows = rows.withColumn(name, F.when(swap, F.col("_mirror")).otherwise(F.col(name)))
+    return rows.drop("_seed", "_mirror")
 
 
 def spelled(df: DataFrame, count: str, name: str, chunk: int = CHUNK) -> DataFrame:
@@ -84,8 +92,8 @@ def slots(plan: DataFrame, counts: DataFrame, seed: int = 17, chunk: int = CHUNK
     rows = rows.withColumn("slot", F.explode(F.sequence(first, F.least(first + chunk, F.col("n")) - 1)))
     t = F.col("_before") + F.col("slot")
     epoch = F.floor(t / F.col("blocks")).cast("long")
-    block = permuted(t % F.col("blocks"), F.col("blocks"), F.xxhash64(F.col("sid"), epoch, F.lit(seed)))
-    return rows.select("sid", "shard", "slot", block.alias("block"))
+    rows = permuted(rows, t % F.col("blocks"), "blocks", F.xxhash64(F.col("sid"), epoch, F.lit(seed)), "block")
+    return rows.select("sid", "shard", "slot", "block")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 17, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -94,12 +102,15 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     Each source's documents, in hash order, are one stream of words cut into blocks of ``block``. ``shard_counts``
     draws how many blocks of each source go to each output shard, ``slots`` maps them through the source's
     permutations, and the streams' blocks are joined by index. Returns doc_id, source, size, source_size, target,
-    key, taken; ``key`` is a hash of doc_id and text, by which rows are told apart. Documents without words (null or blank text) have size 0 and give nothing; a null source is a source, the
-    last; rows that repeat are documents of their own. No block is taken more than three times, as no target is
-    above three times its source's size. An empty table gives an empty result.
+    key_a, key_b, taken; the keys tell rows apart (``row_keys``). Documents without words (null or blank text) have size
+    0 and give nothing; a null source is a source, the last; rows that repeat are documents of their own. No block is
+    taken more than three times, as no target is above three times its source's size. Texts of any length are counted
+    whole; other columns, whatever their names, aren't looked at. An empty table gives an empty result. Sources are
+    ordered and levelled in one task, one row each: meant for up to some millions of them.
     """
-    words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", "text").alias("_h")), "mix-sizes")
+    words = F.coalesce(F.regexp_count(docs["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    a, b = row_keys(docs)
+    sized = written(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words.alias("size"), a.alias("key_a"), b.alias("key_b")), "mix-sizes")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     wanted = F.round(F.col("target") * blocks / F.col("source_size"))
@@ -111,14 +122,14 @@ def mixed(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int =
     taken = written(taken, "mix-blocks")  # its size is then known: a plan's guess for exploded rows is far too low
     place = plan.select("sid", F.col("source").alias("_source"), "source_size", "target")
     rows = sized.join(place, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = numbered(rows, ["sid"], [F.col("_h"), F.col("doc_id")], "size")
+    rows = numbered(rows, ["sid"], ["key_b", "key_a"], "size")
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)))
     parts = rows.withColumn("block", F.explode_outer(spans)).join(taken, ["sid", "block"], "left")
     end = F.least((F.col("block") + 1) * block, F.col("_start") + F.col("size"))
     words_taken = (end - F.greatest(F.col("block") * block, F.col("_start"))) * F.coalesce(F.col("_times"), F.lit(0))
-    keys = ["sid", "_part", "_row", "doc_id", "source", "size", "source_size", "target"]
+    keys = ["sid", "_part", "_row", "_copy", "doc_id", "source", "size", "source_size", "target", "key_a", "key_b"]
     taken = F.coalesce(F.sum(words_taken), F.lit(0)).cast("long").alias("taken")
-    return parts.groupBy(*keys).agg(F.max("_h").alias("key"), taken).select(*keys[3:], "key", "taken")
+    return parts.groupBy(*keys).agg(taken).select(*keys[4:], "taken")
 
 
 def repeated(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
@@ -126,13 +137,16 @@ def repeated(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
     ``floor(taken / size + u)`` with ``u`` a uniform hash of the document rounds without bias, so that the words given
     out meet the targets of the sources whatever the lengths of their documents. Rows that repeat share their mean.
+    All columns of ``docs`` stay, whatever their names.
     """
-    mix = mixed(docs, seed=seed, **options).groupBy("key", F.col("source").alias("_source")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    u = F.pmod(F.xxhash64("key", "_source", F.lit(seed), F.lit("copies")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size") + u).cast("int"))
-    mix = mix.select("key", "_source", copies.alias("_copies")).where(F.col("_copies") > 0)
-    rows = docs.join(mix, (F.xxhash64("doc_id", "text") == F.col("key")) & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    keys, (a, b, source, copies, copy) = ["key_a", "key_b", "source"], fresh(docs, "key_a", "key_b", "of", "copies", "copy")
+    mix = mixed(docs, seed=seed, **options).groupBy(*keys).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    u = F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit("copies")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    many = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size") + u).cast("int"))
+    mix = mix.select(F.col("key_a").alias(a), F.col("key_b").alias(b), F.col("source").alias(source), many.alias(copies)).where(F.col(copies) > 0)
+    own_a, own_b = row_keys(docs)
+    rows = docs.join(mix, (own_a == F.col(a)) & (own_b == F.col(b)) & docs["source"].eqNullSafe(F.col(source)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])
 
 
 def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm.components import components
+from quarrymill.llm.rows import row_keys
 from quarrymill.llm.scratch import dropped, written
 from quarrymill.llm.words import between, codes, mixed, pieces, prefix, signed, words
 
@@ -79,7 +80,7 @@ def shingle_codes(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(run[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
+SIGNATURES = "doc_id long, key_a long, key_b long, n_shingles long, set_a long, set_b long, signature array<int>"
 
 
 def signer(n: int):
@@ -102,10 +103,8 @@ def signer(n: int):
                         least[full, k] = np.minimum.reduceat(drawn, starts)
                 flat = pa.array(least.view(np.int32).ravel())
                 signatures = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), signatures],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
-                )
+                keys = [batch.column(c) for c in ("doc_id", "key_a", "key_b")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(sizes), pa.array(halves[:, 0]), pa.array(halves[:, 1]), signatures], [f.split()[0] for f in SIGNATURES.split(", ")])
 
     return sign
 
@@ -188,9 +187,9 @@ def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similar
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, key_a and key_b for every row of ``docs`` (doc_id, text).
 
-    1. Documents with the same shingle set are one node, named by the least doc_id; copies go no further.
+    1. Documents with the same shingle set are one node; copies go no further.
     2. Every node is posted under its ``COORDINATES`` coordinate-value pairs. A pair of nodes at the wanted
        similarity shares m = ``matches(similarity)`` of them (one in ten million doesn't), so among the rarest
        ``COORDINATES`` - m + 1 of each it shares one: only that prefix is kept, which leaves the long posting lists
@@ -206,17 +205,22 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
        up once for each run of shared shingles, not for each of them; it is confirmed once. A much altered copy has
        its own shingles first and pairs with nothing. No list is spelled out as pairs before it is shrunk.
 
-    Links are confirmed on the full sets of both texts. doc_id is taken as a key: rows with one doc_id are one
-    document. A null doc_id links nothing: its row has component_id null and kept false. Null and blank texts have no
-    shingles, link nothing and are their own component. An empty table gives an empty result.
+    Links are confirmed on the full sets of both texts, by the words of their shingles; two sets are the same if their
+    128-bit digests are. ``component_id`` is the least doc_id of the component, null if none of its rows has one.
+    ``kept`` marks one document of each: of least doc_id, a row without one only if there is no other. Rows are told
+    apart by ``key_a`` and ``key_b`` (``row_keys``): several texts under one doc_id are several documents, rows equal in
+    both are marked alike. Null and blank texts have no shingles, link nothing, are their own component and kept. Other
+    columns, whatever their names, aren't looked at. A text of any length is worked on whole, at some 80 bytes of memory
+    a byte. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    a, b = row_keys(docs)
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), a.alias("key_a"), b.alias("key_b"), docs["text"].alias("text"))
     signs = written(docs.mapInArrow(signer(n), SIGNATURES), "near-signatures")
-    full = signs.where("n_shingles > 0 and doc_id is not null")
-    named = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    named = written(named, "near-classes")
-    nodes = named.join(full, (named.node == full.doc_id) & (named.set_a == full.set_a) & (named.set_b == full.set_b))
-    nodes = written(nodes.select("node", "n_shingles", "signature").dropDuplicates(["node"]), "near-nodes")
+    full = signs.where("n_shingles > 0")
+    home = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "key_b")).alias("home")
+    named = full.groupBy("set_a", "set_b").agg(home, F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    named = written(named.withColumn("node", F.monotonically_increasing_id()), "near-classes")  # numbers that are kept, as they are written
+    nodes = named.select("node", "n_shingles", "signature")
 
     places = F.transform("signature", lambda x, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     posted = nodes.select("node", F.explode(places).alias("place"))
@@ -225,8 +229,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     pivots = written(pivots.where("rows > 1").select("place", "a"), "near-pivots")
     stars = lists.select("place", "node").join(pivots, "place").where("a <> node")
     stars = written(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-stars")
-    wanted = lists.select("node").distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text")
+    wanted = lists.select("node").distinct().join(named, "node").select("node", "home.key_a", "home.key_b")
+    texts = docs.join(wanted, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"]).select("node", "text")
     texts = written(texts, "near-candidates")
     links = linked(stars, nodes, texts, n, similarity)
     labels = components(links)
@@ -242,8 +246,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     posted = sets.select("node", F.explode("shingles").alias("place"))
     tails = written(rarest(posted, least, sets.select("node", "component", "n_shingles")).drop("far"), "near-tails")
     several = tails.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    tails = tails.join(written(several.select("place"), "near-open"), "place")
-    tails = tails.groupBy("node", "component", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "left", "place"))).alias("met"))
+    open_tails = tails.join(written(several.select("place"), "near-open"), "place")
+    tails = open_tails.groupBy("node", "component", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("at", "left", "place"))).alias("met"))
     tails = tails.select("node", "component", "n_shingles", F.transform("met", lambda x: x["place"]).alias("_places"), F.posexplode("met").alias("_at", "_met"))
     before = F.slice("_places", F.greatest(F.col("_at") - EARLIER, F.lit(0)) + 1, F.least(F.col("_at"), F.lit(EARLIER)))
     tails = tails.select("node", "component", "n_shingles", "_met.place", "_met.left", before.alias("earlier"))
@@ -264,13 +268,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     dropped(texts)
     labels = components(links.union(more))
 
-    place_of = written(named.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id")), "near-result")
-    rows = signs.join(place_of, ["set_a", "set_b"], "left")
-    alone = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    rows = rows.select("doc_id", "n_shingles", alone.alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    for table in (lists, own, sets, tails, apart):
+        dropped(table)
+
+    least = named.select("node", "home").join(labels, "node").groupBy("component").agg(F.min("home").alias("_home"))
+    least = labels.join(least, "component").select("node", "_home")
+    place_of = named.join(least, "node", "left").select("set_a", "set_b", F.coalesce("_home", "home").alias("home"))
+    rows = signs.join(written(place_of, "near-result"), ["set_a", "set_b"], "left")
+    alone = F.col("n_shingles") == 0
+    kept = alone | (F.col("home.key_a") == F.col("key_a")) & (F.col("home.key_b") == F.col("key_b"))
+    return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("home.doc_id")).alias("component_id"), kept.alias("kept"), "key_a", "key_b")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents by 3-word shingles at 0.85."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.labelled import fold, training_rows
 from quarrymill.llm.near_dedup import shingle_hashes
-from quarrymill.llm.words import pieces, words
+from quarrymill.llm.words import _LOWER, between, pieces, prefix, span_hashes, words
 
 #: Rows of the bounded training sample by class.
 SAMPLE = {1: 10_000, 0: 10_000}
+#: Bytes of the longest text that is trained on.
+LONGEST = 1_000_000
 #: Bins of a feature, cycles over all features and over all pairs, leaves of a tree, step, and pairs that are fitted.
 BINS, CYCLES, PAIR_CYCLES, LEAVES, RATE, PAIRS = 32, 150, 60, 3, 0.1, 8
 
@@ -28,7 +30,7 @@ FEATURES = (
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros((7, 256), np.float32)
+    out = np.zeros((7, 256), np.int8)
     out[0, 65:91] = 1
     out[1, [*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
     out[2, 48:58] = 1
@@ -51,25 +53,30 @@ def _distinct(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """One row of ``FEATURES`` a text, from whole texts; a text without words has zeros."""
+    """One row of ``FEATURES`` a text, from whole texts; a text without words has zeros.
+
+    Sums are of whole numbers and hashes of a text's own bytes, so a row doesn't depend on the texts around it.
+    """
     n, w = len(texts), words(texts)
     counts = np.diff(w.first)
     many = np.maximum(counts, 1)
     size = (w.end - w.start).astype(np.float64)
-    sums = np.zeros((len(_CLASS), len(w.data) + 1))
-    for k, row in enumerate(_CLASS):
-        np.cumsum(row[w.data], out=sums[k, 1:])
-    in_word = sums[:, w.end] - sums[:, w.start]
-    upper, letters, digits, punctuation, symbols, exclamations, high = (np.bincount(w.doc, x, n) for x in in_word)
+    totals, with_symbol = [], None
+    for k, row in enumerate(_CLASS):  # one class at a time, in 4 bytes a byte
+        sums = np.zeros(len(w.data) + 1, np.int32 if len(w.data) < 2**31 else np.int64)
+        np.cumsum(row[w.data], out=sums[1:])
+        in_word = sums[w.end] - sums[w.start]
+        totals.append(np.bincount(w.doc, in_word, n))
+        with_symbol = in_word > 0 if k == 4 else with_symbol
+    upper, letters, digits, punctuation, symbols, exclamations, high = totals
     total = np.maximum(np.bincount(w.doc, size, n), 1)
-    symbol_words = np.bincount(w.doc, in_word[4] > 0, n) / many
-    folded = words(texts, lower=True).hash
+    symbol_words = np.bincount(w.doc, with_symbol, n) / many
+    folded = span_hashes(_LOWER[w.data], w.start, w.end)
     shingles, of = shingle_hashes(folded, w.first, 3)
     repeats = np.r_[False, (folded[1:] == folded[:-1]) & (w.doc[1:] == w.doc[:-1])] if len(folded) else np.zeros(0, bool)
-    breaks = np.concatenate([[0], np.cumsum(w.data == 10)])
-    line = breaks[w.start] + w.doc  # also a new line where a new text begins
+    line = np.cumsum(w.data == 10, dtype=np.int32 if len(w.data) < 2**31 else np.int64)[w.start] + w.doc  # a new text begins a new line
     heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
-    own = np.add.reduceat(folded * np.uint64(0x9E3779B97F4A7C15), heads) if len(heads) else np.zeros(0, np.uint64)
+    own = between(prefix(folded), heads, np.r_[heads[1:], len(line)]) if len(heads) else np.zeros(0, np.uint64)
     lines = np.maximum(np.bincount(w.doc[heads], minlength=n), 1)
     longest = np.zeros(n)
     np.maximum.at(longest, w.doc, size)
@@ -198,12 +205,13 @@ def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, modulus: int = 4, held_out: int = 2) -> Model:
-    """A model from the features of at most ``sample[c]`` labelled documents of each class outside the held-out fold.
+    """A model from the features of at most ``sample[c]`` labelled documents of each class outside the held-out fold, of
+    at most ``LONGEST`` bytes each.
 
     Features are taken where the documents are; the driver gets 16 numbers a sampled row. With one class only the
     model says that class for all, without labels it says 1.
     """
-    rows = training_rows(docs, labels, "quality", modulus, held_out, sample, ["doc_id", "text"])
+    rows = training_rows(docs, labels, "quality", modulus, held_out, sample, LONGEST)
     table = rows.mapInArrow(extractor, "doc_id long, _label int, x array<double>").toArrow().sort_by("doc_id")
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     return train(x, table.column("_label").to_numpy())
@@ -224,8 +232,9 @@ def scorer(model: Model):
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted (1 from ``threshold`` on) of every row of ``docs`` (doc_id, text).
 
-    Only the text is looked at. Null and blank texts have all features 0. Rows that repeat are scored alike. An empty
-    table gives an empty result. The model has a fixed size whatever it was trained on.
+    Only the text is looked at, whole, whatever its length (at some 40 bytes of memory a byte) and whatever columns
+    there are. Null and blank texts have all features 0. Equal texts have equal scores. An empty table gives an empty
+    result. The model has a fixed size whatever it was trained on.
     """
     rows = docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

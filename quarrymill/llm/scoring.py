@@ -31,7 +31,8 @@ GRAIN = 2.0**-40
 FREQUENT = 1 << 18
 #: The end of a text, as a word's hash and beginning.
 END_HASH, END_HEAD = np.uint64(0xE4D0FD0C5A17B3F1), 0
-TOKENS = 16_384
+#: Tokens of a product.
+TOKENS = 8192
 
 
 class Tokens(NamedTuple):
@@ -261,19 +262,25 @@ def trained(texts: DataFrame, counts: Counts) -> Model:
 
 
 def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log of each token's normalised probability, by products of token batches with all target vectors."""
+    """Natural log of each token's normalised probability, by products of token batches with all target vectors.
+
+    Batches have one size, the last one is filled up, so a token's product doesn't depend on how many others there are.
+    """
     out = np.zeros(len(symbol))
     for a in range(0, len(symbol), TOKENS):
-        c = context[:, a : a + TOKENS]
+        c, own = context[:, a : a + TOKENS], symbol[a : a + TOKENS]
+        missing = TOKENS - len(own)
+        if missing:
+            c, own = np.pad(c, ((0, 0), (0, missing))), np.pad(own, (0, missing))
         q = model.tables[0][c[0]]
         for j in range(1, CONTEXT):
             q = q + model.tables[j][c[j]]
         logits = q @ model.targets.T + model.bias
-        picked = logits[np.arange(len(logits)), symbol[a : a + TOKENS]].astype(np.float64)
+        picked = logits[np.arange(len(logits)), own].astype(np.float64)
         top = logits.max(1, keepdims=True)
         logits -= top
         np.exp(logits, out=logits)
-        out[a : a + TOKENS] = picked - top[:, 0] - np.log(logits.sum(1, dtype=np.float32))
+        out[a : a + TOKENS] = (picked - top[:, 0] - np.log(logits.sum(1, dtype=np.float32)))[: TOKENS - missing]
     return out
 
 

@@ -81,21 +81,22 @@ def sharded(docs: DataFrame, leaves: list[Leaf], key: str = "doc_id", text: str
     """Place every row of ``docs`` by its key alone and number the rows of each shard from 0 without gaps.
 
     Adds ``size`` (UTF-8 bytes of the text plus 8), ``text_crc32`` (0 for a null or empty text), ``region``,
-    ``rack``, ``shard``, ``slot`` and ``grown_shard`` (the shard once ``grown(leaves)`` holds). Only the key, the two
-    figures and the places are shuffled. Rows with equal keys meet in one shard; rows that are equal in key and text
-    take their slots in either order. An empty table gives an empty result.
+    ``rack``, ``shard``, ``slot`` and ``grown_shard`` (the shard once ``grown(leaves)`` holds). Texts are read once and
+    only the key, the two figures and the places are shuffled. A null key is one key like any other. Rows with equal
+    keys meet in one shard, but in no one task; rows that are equal in key and text take their slots in either order.
+    Other columns, whatever their names, aren't looked at. An empty table gives an empty result.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(
-        F.col(key),
+        docs[key].alias("_key"),
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).cast("long").alias("text_crc32"),
     )
-    rows = placed(rows, F.col(key), leaves, ("region", "rack", "shard"))
-    rows = placed(rows, F.col(key), grown(leaves), ("_grown_region", "_grown_rack", "grown_shard"))
+    rows = placed(rows, F.col("_key"), leaves, ("region", "rack", "shard"))
+    rows = placed(rows, F.col("_key"), grown(leaves), ("_grown_region", "_grown_rack", "grown_shard"))
     rows = rows.drop("_grown_region", "_grown_rack")
-    rows = numbered(rows, ["shard"], [F.col(key), F.col("text_crc32"), F.col("size")])
-    return rows.select(key, "size", "text_crc32", "region", "rack", "shard", F.col("_start").alias("slot"), "grown_shard")
+    rows = numbered(rows, ["shard"], ["_key", "text_crc32", "size"])
+    return rows.select(F.col("_key").alias(key), "size", "text_crc32", "region", "rack", "shard", F.col("_start").alias("slot"), "grown_shard")
 
 
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

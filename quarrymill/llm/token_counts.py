@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: A public byte-level vocabulary, as ranks. A parameter: the file is read once on the driver and sent to the tasks.
+#: The vocabulary that the registered query takes: a public byte-level one, as ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this kind of vocabulary splits texts before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Which section gets a token that reaches over a boundary: that of its first or last byte, or that with most of its
 #: bytes (the first of several).
 RULES = ("first", "last", "most")
+#: Sections of a batch that is passed on, about.
+SECTIONS = 16_384
 
 
 @lru_cache(maxsize=2)
@@ -55,10 +57,11 @@ def counter(ranks: bytes, fields: list[str], rule: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, length = _encoding(ranks)
         for batch in batches:
-            columns = [batch.column(f).cast(pa.string()).to_pylist() for f in fields]
             held: list[tuple[list, ...]] = []
-            for i, doc_id in enumerate(batch.column("doc_id").cast(pa.int64()).to_pylist()):
-                texts = [column[i] or "" for column in columns]
+            waiting = 0
+            for i in range(len(batch)):
+                doc_id = batch.column("doc_id")[i].cast(pa.int64()).as_py()
+                texts = [batch.column(f)[i].as_py() or "" for f in fields]
                 whole = "\n".join(texts)
                 data = np.frombuffer(whole.encode(), np.uint8)
                 breaks = np.flatnonzero(data == 10) + 1
@@ -73,9 +76,10 @@ def counter(ranks: bytes, fields: list[str], rule: str):
                 section = np.arange(len(field)) - heads[field]
                 base = chars[heads][field]
                 held.append(([doc_id] * len(field), field, section, chars[:-1] - base, chars[1:] - base, n))
-                if len(held) >= 2000:
+                waiting += len(field)
+                if waiting >= SECTIONS:
                     yield _batch(held, fields)
-                    held = []
+                    held, waiting = [], 0
             if held:
                 yield _batch(held, fields)
 
@@ -93,7 +97,7 @@ def _batch(held: list[tuple], fields: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in COUNTS.split(", ")])
 
 
-def section_tokens(docs: DataFrame, fields: list[str], vocabulary: str = VOCABULARY, rule: str = "first") -> DataFrame:
+def section_tokens(docs: DataFrame, fields: list[str], vocabulary: str, rule: str = "first") -> DataFrame:
     """Tokens of every line of every field of ``docs`` (doc_id and ``fields``).
 
     A document is its fields joined by line breaks and encoded once, as a model would see it. Its lines, each with its
@@ -102,9 +106,13 @@ def section_tokens(docs: DataFrame, fields: list[str], vocabulary: str = VOCABUL
     number of tokens. Offsets are characters within the field; the line break that joins two fields belongs to the
     first.
 
-    A null or empty field is one section without text. Rows that repeat are counted each. An empty table gives an
-    empty result. Nothing is shuffled.
+    ``vocabulary`` is a file of ranks that the driver reads once and sends to the tasks. A null or empty field is one
+    section without text. Texts of any length are encoded whole, one document at a time. Rows that repeat are counted
+    each; columns that aren't in ``fields``, whatever their names, aren't looked at. An empty table gives an empty
+    result. Nothing is shuffled.
     """
+    if not Path(vocabulary).is_file():
+        raise FileNotFoundError(f"no vocabulary at {vocabulary}: give the path of a file of ranks")
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     return docs.select("doc_id", *fields).mapInArrow(counter(Path(vocabulary).read_bytes(), fields, rule), COUNTS)
@@ -112,4 +120,4 @@ def section_tokens(docs: DataFrame, fields: list[str], vocabulary: str = VOCABUL
 
 def op3_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of all documents, with their source and language as fields before the text."""
-    return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["source", "lang", "text"])
+    return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["source", "lang", "text"], VOCABULARY)

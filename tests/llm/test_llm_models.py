@@ -269,9 +269,14 @@ def test_mixed_documents_meet_the_targets(spark):
 def test_permutations_and_numbers(spark):
     df = spark.range(97).select("id", F.lit(97).cast("long").alias("n"))
     for seed in (3, -8):
-        assert sorted(r[0] for r in df.select(mixing.permuted(F.col("id"), F.col("n"), F.lit(seed).cast("long"))).collect()) == list(range(97))
-    rows = spark.createDataFrame([(i, "a" if i % 3 else None, i % 4) for i in range(100)], "k long, g string, s long")
-    got = numbering.numbered(rows, ["g"], [F.col("k")], "s", parts=4).collect()
+        rows = mixing.permuted(df, F.col("id"), "n", F.lit(seed).cast("long"), "p").orderBy("id").collect()
+        assert sorted(r["p"] for r in rows) == list(range(97))
+        assert len({(b["p"] - a["p"]) % 97 for a, b in zip(rows[:-1], rows[1:], strict=True)}) > 20  # no fixed stride
+    big = spark.createDataFrame([(i, 2**60) for i in range(50)], "id long, n long")
+    assert len({r["p"] for r in mixing.permuted(big, F.col("id"), "n", F.lit(1).cast("long"), "p").collect()}) == 50
+    rows = spark.createDataFrame([(i, "a" if i % 3 else None, i % 4) for i in range(100)] + [(7, "a", 3)] * 50, "k long, g string, s long")
+    got = numbering.numbered(rows, ["g"], ["k"], "s", parts=4, chunk=8).collect()
+    assert len(got) == 150
     for g in ("a", None):
         own = sorted((r["_start"], r["s"]) for r in got if r["g"] == g)
         at = 0

@@ -209,4 +209,4 @@ def test_boundary_rules():
     assert token_counts.attributed(start, end, bounds, "last").tolist() == [0, 1, 1]
     assert token_counts.attributed(start, end, bounds, "most").tolist() == [0, 1, 1]
     with pytest.raises(ValueError):
-        token_counts.section_tokens(None, [], rule="other")
+        token_counts.section_tokens(None, [], "", rule="other")
