@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import decontamination, mixing, near_dedup, sharding, toxicity
+from quarrymill.llm.rows import fresh, row_keys
 from quarrymill.llm.scratch import written
 
 #: SQL can't express learned and hashed stages; the pipeline is tested against brute-force versions.
@@ -19,23 +20,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of least doc_id; rows without a doc_id stay.
+    """One document of each group of near duplicates, that of least doc_id; rows equal in doc_id and text are one.
 
-    Shingles of five words and a similarity of 0.8 make a link, as no contract says otherwise.
+    Shingles of five words and a similarity of 0.8 make a link, as no contract says otherwise. Several texts under one
+    doc_id are several documents, texts without words stay, and all columns do, whatever their names.
     """
+    a, b = fresh(docs, "key_a", "key_b")
     groups = near_dedup.near_duplicates(docs, 5, 80)
-    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").cast("string").alias("_key")).distinct()
-    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), alone))
-    # Rows that repeat a doc_id are one document; the join has dealt them by the same key already.
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
+    stays = groups.where("kept").select(F.col("key_a").alias(a), F.col("key_b").alias(b)).distinct()
+    own_a, own_b = row_keys(docs)
+    return docs.withColumns({a: own_a, b: own_b}).join(stays, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    a, b = fresh(docs, "key_a", "key_b")
     found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    keys = written(found.select(F.col("key").alias("_leak")).distinct(), "leaks")
-    return docs.join(keys, F.xxhash64("doc_id", "text") == F.col("_leak"), "left_anti")
+    keys = written(found.select(F.col("key_a").alias(a), F.col("key_b").alias(b)).distinct(), "leaks")
+    own_a, own_b = row_keys(docs)
+    return docs.join(keys, (own_a == F.col(a)) & (own_b == F.col(b)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
