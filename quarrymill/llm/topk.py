@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product: dual-tree search with cover trees over blocks of queries and of vectors."""
+"""Exact top-k search by inner product: dual-tree search with cover trees over cells of queries and of vectors."""
 
 from __future__ import annotations
 
@@ -10,44 +10,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.scratch import written
+from quarrymill.llm.scratch import dropped, written
 
-#: Scores a query gets, rows of a block of vectors and of queries, points of a leaf, children of a node.
-BEST, BLOCK, QUERIES, LEAF, CHILDREN = 5, 8192, 4096, 128, 8
-#: Vectors of the bounded sample from which every query's first worst score comes.
-SAMPLE = 512
+#: Scores a query gets, centres of a tree at most, and bytes of a block of vectors or queries, about.
+BEST, CENTRES, BLOCK_BYTES = 5, 256, 1 << 19
+#: Vectors of the bounded sample, of which some are the middles of cells and all give queries their first worst scores.
+SAMPLE = 8192
+#: Vectors a cell, about; cells at most; and lengths of vectors that are dealt to cells (others are searched whole).
+CELL, CELLS, LENGTHS = 1024, 1024, 4
 
 
 class Node(NamedTuple):
-    """A node of a cover tree: its centre, the radius that covers its points, and its points or children."""
+    """A node of a cover tree: its centre (a point of its own), the radius that covers points ``low`` to ``high``."""
 
     centre: np.ndarray
     norm: float
     radius: float
-    points: np.ndarray
+    low: int
+    high: int
     children: tuple[Node, ...]
 
 
-def cover_tree(x: np.ndarray, points: np.ndarray | None = None) -> Node:
-    """Centres far from each other first, each point with its nearest; halves the covering radius where it can."""
-    points = np.arange(len(x)) if points is None else points
-    own = x[points]
-    centre = own.mean(0)
-    distance = np.sqrt(((own - centre) ** 2).sum(1))
-    radius = float(distance.max(initial=0.0))
-    node = Node(centre, float(np.sqrt(centre @ centre)), radius, points, ())
-    if len(points) <= LEAF or radius == 0:
-        return node
-    at, nearest, gap = int(distance.argmax()), np.zeros(len(points), np.int64), np.full(len(points), np.inf)
-    for k in range(CHILDREN):
-        to = ((own - own[at]) ** 2).sum(1)
-        closer = to < gap
-        nearest[closer], gap[closer] = k, to[closer]
+class Tree(NamedTuple):
+    """A cover tree in arrays: ``order`` puts points so that every node's are neighbours; nodes come parents first.
+
+    ``level`` l of a node says that its centre joined the net of level l: centres of that net lie 2**l or more apart,
+    every point lies within 2**l of one of them, and the net of the level above is part of it.
+    """
+
+    order: np.ndarray
+    centre: np.ndarray  # places in ``order``
+    level: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    radius: np.ndarray
+    parent: np.ndarray
+
+
+def farthest_first(x: np.ndarray, most: int) -> tuple[list[int], list[float], np.ndarray]:
+    """Centres, each the point farthest from those before; how far it was; and each point's nearest centre."""
+    first = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    centres, gaps, nearest = [first], [np.inf], np.zeros(len(x), np.int64)
+    gap = ((x - x[first]) ** 2).sum(1)
+    while len(centres) < most and gap.max() > 0:
         at = int(gap.argmax())
-        if gap[at] <= (radius / 2) ** 2 and k:
-            break
-    children = tuple(cover_tree(x, points[nearest == k]) for k in range(int(nearest.max()) + 1) if (nearest == k).any())
-    return node._replace(children=children) if len(children) > 1 else node
+        gaps.append(float(np.sqrt(gap[at])))
+        to = ((x - x[at]) ** 2).sum(1)
+        nearest[to < gap] = len(centres)
+        gap = np.minimum(gap, to)
+        centres.append(at)
+    return centres, gaps, nearest
+
+
+def cover_tree(x: np.ndarray, most: int = CENTRES) -> Tree:
+    """The tree of the nets that farthest-first centres make: those that were 2**l or more away are the net of level l."""
+    centres, gaps, nearest = farthest_first(x, most)
+    level = np.array([10_000, *[int(np.floor(np.log2(g))) for g in gaps[1:]]])
+    children: dict[int, list[tuple[int, list[int]]]] = {c: [] for c in range(len(centres))}  # by centre: (level, new ones)
+    for own in sorted(set(level[1:].tolist()), reverse=True):
+        new = np.flatnonzero(level == own)
+        above = x[centres[: new[0]]]
+        to = ((x[np.array(centres)[new]][:, None, :] - above[None]) ** 2).sum(2) if len(new) * len(above) * x.shape[1] < 1 << 24 else np.stack([((x[centres[k]] - above) ** 2).sum(1) for k in new])
+        for k, parent in zip(new.tolist(), to.argmin(1).tolist(), strict=True):
+            if not children[parent] or children[parent][-1][0] != own:
+                children[parent].append((own, []))
+            children[parent][-1][1].append(k)
+    by_centre = np.argsort(nearest, kind="stable")
+    cuts = np.searchsorted(nearest[by_centre], np.arange(len(centres) + 1))
+    order: list[np.ndarray] = []
+    nodes: list[list[float]] = []  # centre, level, low, high, parent
+    filled = 0
+
+    def grow(c: int, step: int, parent: int, own: int) -> None:
+        """The subtree of centre ``c`` from its children of number ``step`` on."""
+        nonlocal filled
+        me = len(nodes)
+        nodes.append([c, own, filled, 0, parent])
+        if step < len(children[c]):
+            lower, new = children[c][step]
+            grow(c, step + 1, me, lower)
+            for k in new:
+                grow(k, 0, me, lower)
+        else:
+            points = by_centre[cuts[c] : cuts[c + 1]]
+            order.append(points)
+            filled += len(points)
+        nodes[me][3] = filled
+
+    grow(0, 0, -1, int(level[0]))
+    whole = np.concatenate(order)
+    place = np.empty(len(whole), np.int64)
+    place[whole] = np.arange(len(whole))
+    c, own, low, high, parent = (np.array(v, np.int64) for v in zip(*nodes, strict=True))
+    middle = np.array(centres)[c]
+    radius = np.array([np.sqrt(((x[whole[a:b]] - x[m]) ** 2).sum(1).max(initial=0.0)) for m, a, b in zip(middle, low, high, strict=True)])
+    return Tree(whole, place[middle], own, low, high, radius, parent)
 
 
 def bound(a: Node, b: Node) -> float:
@@ -61,24 +118,25 @@ class Search:
 
     def __init__(self, queries: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
         # Products of whole numbers are exact in doubles below 2**53; larger ones are taken in integers.
-        exact = len(queries) == 0 or len(vectors) == 0 or float(np.abs(queries).max()) * float(np.abs(vectors).max()) * queries.shape[1] < 2**53
+        exact = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1] < 2**53
         kind = np.float64 if exact else np.int64
         self.q, self.x, self.ids, self.k = queries.astype(kind), vectors.astype(kind), ids, k
-        self.floor = floor
+        self.floor, self.met = floor, 0
         self.scores = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
 
-    def worst(self, points: np.ndarray) -> np.ndarray:
-        return np.maximum(self.scores[points, -1], self.floor[points])
+    def worst(self, a: Node) -> int:
+        return int(np.maximum(self.scores[a.low : a.high, -1], self.floor[a.low : a.high]).min())
 
-    def meet(self, a: np.ndarray, b: np.ndarray) -> None:
-        scores = (self.q[a] @ self.x[b].T).astype(np.int64)
-        rows = np.flatnonzero(scores.max(1) >= self.worst(a))
+    def meet(self, a: Node, b: Node) -> None:
+        scores = (self.q[a.low : a.high] @ self.x[b.low : b.high].T).astype(np.int64)
+        self.met += scores.size
+        rows = np.flatnonzero(scores.max(1) >= np.maximum(self.scores[a.low : a.high, -1], self.floor[a.low : a.high]))
         if len(rows):
-            at = a[rows]
+            at = a.low + rows
             every = np.concatenate([self.scores[at], scores[rows]], 1)
-            ids = np.concatenate([self.found[at], np.broadcast_to(self.ids[b], (len(rows), len(b)))], 1)
-            order = np.lexsort((ids, -every.astype(np.float64) if np.abs(every[:, self.k :]).max() < 2**53 else ~every), axis=1)[:, : self.k]
+            ids = np.concatenate([self.found[at], np.broadcast_to(self.ids[b.low : b.high], (len(rows), b.high - b.low))], 1)
+            order = np.lexsort((ids, ~every), axis=1)[:, : self.k]
             self.scores[at], self.found[at] = np.take_along_axis(every, order, 1), np.take_along_axis(ids, order, 1)
 
     def descend(self, a: Node, b: Node) -> None:
@@ -86,91 +144,249 @@ class Search:
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
-            if bound(a, b) < self.worst(a.points).min():
+            if bound(a, b) < self.worst(a):
                 continue
             if not a.children and not b.children:
-                self.meet(a.points, b.points)
+                self.meet(a, b)
             elif b.children and (not a.children or b.radius >= a.radius):
                 stack += sorted(((a, c) for c in b.children), key=lambda p: bound(*p))
             else:
                 stack += sorted(((c, b) for c in a.children), key=lambda p: bound(*p))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """A column of lists of ``size`` whole numbers."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), size)
+
+
+TREES = "size int, cell int, sub int, ids array<long>, floor array<long>, kind string, data binary, centre array<int>, low array<int>, high array<int>, radius array<double>, parent array<int>"
+
+
+def plant(block: pa.Table) -> pa.Table:
+    """For applyInArrow: a block of (id, size, whole, cell, sub, floor) to one row with its tree, points in tree order."""
+    size = block.column("size")[0].as_py()
+    x = matrix(block.column("whole"), size)
+    tree = cover_tree(x.astype(np.float64))
+    reach = int(np.abs(x).max(initial=0))
+    kind = "<i2" if reach < 1 << 15 else "<i4" if reach < 1 << 31 else "<i8"
+    list_of = lambda v, t: pa.array([v.tolist()], pa.list_(t))
+    columns = [
+        *(block.column(c).slice(0, 1).combine_chunks() for c in ("size", "cell", "sub")), list_of(block.column("id").to_numpy()[tree.order], pa.int64()),
+        list_of(block.column("floor").to_numpy()[tree.order], pa.int64()), pa.array([kind]), pa.array([x[tree.order].astype(kind).tobytes()], pa.binary()),
+        list_of(tree.centre, pa.int32()), list_of(tree.low, pa.int32()), list_of(tree.high, pa.int32()), list_of(tree.radius, pa.float64()), list_of(tree.parent, pa.int32()),
+    ]
+    return pa.table(columns, names=[f.split()[0] for f in TREES.split(", ")])
+
+
+def grown(row: dict) -> tuple[np.ndarray, Node]:
+    """Points and root of a planted tree."""
+    x = np.frombuffer(row["data"], row["kind"]).astype(np.int64).reshape(len(row["ids"]), row["size"])
+    children: list[list[Node]] = [[] for _ in row["centre"]]
+    root = None
+    for i in range(len(row["centre"]) - 1, -1, -1):  # children come after their parents
+        centre = x[row["centre"][i]].astype(np.float64)
+        root = Node(centre, float(np.sqrt(centre @ centre)), row["radius"][i], row["low"][i], row["high"][i], tuple(children[i][::-1]))
+        if row["parent"][i] >= 0:
+            children[row["parent"][i]].append(root)
+    return x, root
+
+
+FOUND = "query long, vec_id long, score long, compared long"
 
 
 def searcher(k: int):
-    """A function for cogrouped applyInArrow: a block of queries and a block of vectors to the best of each query."""
+    """A function for cogrouped applyInArrow: a block of queries and one of vectors to the best of each query."""
 
     def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        if not len(queries) or not len(vectors):
-            return pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        q, x = matrix(queries.column("whole")), matrix(vectors.column("whole"))
-        run = Search(q, queries.column("floor").to_numpy(), x, vectors.column("vec_id").to_numpy(), k)
-        run.descend(cover_tree(q.astype(np.float64)), cover_tree(x.astype(np.float64)))
-        query = np.repeat(queries.column("query").to_numpy(), k)
-        good = run.found.ravel() != np.iinfo(np.int64).max
-        return pa.table({"query": query[good], "vec_id": run.found.ravel()[good], "score": run.scores.ravel()[good]})
+        query, vec_id, score, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for q_row in queries.to_pylist():
+            q, q_root = grown(q_row)
+            for x_row in vectors.to_pylist():
+                x, x_root = grown(x_row)
+                run = Search(q, np.array(q_row["floor"], np.int64), x, np.array(x_row["ids"], np.int64), k)
+                run.descend(q_root, x_root)
+                good = run.found.ravel() != np.iinfo(np.int64).max
+                query.append(np.repeat(np.array(q_row["ids"], np.int64), k)[good])
+                vec_id.append(run.found.ravel()[good])
+                score.append(run.scores.ravel()[good])
+                met += run.met
+        query, vec_id, score = (pa.array(np.concatenate(v)) for v in (query, vec_id, score))
+        compared = pa.array([met if i == 0 else 0 for i in range(len(query))], pa.int64())
+        return pa.table([query, vec_id, score, compared], names=[f.split()[0] for f in FOUND.split(", ")])
 
     return search
 
 
-def floored(sample: np.ndarray, k: int):
-    """A function for mapInArrow: adds each query's kth best score over ``sample``, a lower bound of its final one."""
+def placer(middles: dict[int, np.ndarray]):
+    """A function for mapInArrow: adds the cell of the nearest middle (-1 for lengths without) and the distance to it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            cell, reach = np.full(len(batch), -1, np.int32), np.zeros(len(batch))
+            for n, own in middles.items():
+                rows = np.flatnonzero(size == n)
+                if len(rows):
+                    x = matrix(batch.column("whole").take(pa.array(rows)), n).astype(np.float64)
+                    cell[rows] = ((own**2).sum(1) - 2 * (x @ own.T)).argmin(1)
+                    reach[rows] = np.sqrt(((x - own[cell[rows]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(reach)], [*batch.schema.names, "cell", "reach"])
+
+    return place
+
+
+def floored(samples: dict[int, np.ndarray], k: int):
+    """A function for mapInArrow: each query's kth best score over the sample, a lower bound of its final one."""
 
     def floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.full(len(batch), np.iinfo(np.int64).min, np.int64)
-            q = batch.column("whole")
-            size = np.diff(q.offsets.to_numpy())
-            same = size == sample.shape[1]
-            if len(sample) >= k and same.all() and len(batch):
-                scores = matrix(q) @ sample.T
-                out = np.partition(scores, -k, axis=1)[:, -k]
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("size"), q, pa.array(out)], ["query", "size", "whole", "floor"])
+            out, size = np.full(len(batch), np.iinfo(np.int64).min, np.int64), batch.column("size").to_numpy()
+            for n, own in samples.items():
+                rows = np.flatnonzero(size == n) if len(own) >= k else []
+                for at in range(0, len(rows), 1024):
+                    some = rows[at : at + 1024]
+                    out[some] = np.partition(matrix(batch.column("whole").take(pa.array(some)), n) @ own.T, -k, axis=1)[:, -k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "floor"])
 
     return floor
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, block: int = BLOCK, group: int = QUERIES, sample: int = SAMPLE) -> DataFrame:
+def nearby(k: int):
+    """A function for cogrouped applyInArrow: queries of a cell and a block near it to the queries' kth best scores in it."""
+
+    def near(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out, size = np.full(len(queries), np.iinfo(np.int64).min, np.int64), queries.column("size")[0].as_py() if len(queries) else 0
+        for row in vectors.to_pylist():
+            x, _ = grown(row)
+            for at in range(0, len(queries) if len(x) >= k else 0, 1024):
+                q = matrix(queries.column("whole").slice(at, 1024), size)
+                out[at : at + 1024] = np.maximum(out[at : at + 1024], np.partition(q @ x.T, -k, axis=1)[:, -k])
+        return pa.table([queries.column("id"), pa.array(out)], names=["id", "near"])
+
+    return near
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Add ``sub``: which block of its cell a row is in; blocks have about ``BLOCK_BYTES``, at 2 bytes a component."""
+    most = F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (2 * F.greatest(F.col("size"), F.lit(1)))))
+    sizes = rows.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / F.first(most)).alias("_subs"))
+    return rows.join(sizes, ["size", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("_subs")).cast("int")).drop("_subs")
+
+
+def planted(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "size", "whole", "cell", "sub", "floor").groupBy("size", "cell", "sub").applyInArrow(plant, TREES)
+
+
+def cell_pairs(middles: dict[int, np.ndarray], queries: list, vectors: list) -> tuple[pa.Table, int]:
+    """(size, q_cell, v_cell) of the pairs of cells that can hold a result, and how many pairs there are.
+
+    ``queries`` are rows (size, cell, reach, floor) of the query cells, the floor their worst one, ``vectors`` rows
+    (size, cell, reach). No product over two cells is greater than that of their middles plus what the reaches allow.
+    """
+    out, every = [], 0
+    for n, own in middles.items():
+        q, v = [r for r in queries if r["size"] == n], [r for r in vectors if r["size"] == n]
+        if not q or not v:
+            continue
+        norm = np.sqrt((own**2).sum(1))
+        qc, vc = np.array([r["cell"] for r in q]), np.array([r["cell"] for r in v])
+        rq, rv = np.array([r["reach"] for r in q])[:, None], np.array([r["reach"] for r in v])[None]
+        most = own[qc] @ own[vc].T + norm[qc][:, None] * rv + norm[vc][None] * rq + rq * rv
+        a, b = np.nonzero(most + 1e-9 * (1 + np.abs(most)) >= np.array([float(r["floor"]) for r in q])[:, None])
+        out.append((np.full(len(a), n), qc[a], vc[b]))
+        every += most.size
+    columns = [np.concatenate(x) if x else np.zeros(0) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+    return pa.table([pa.array(c.astype(np.int32)) for c in columns], names=["size", "q_cell", "v_cell"]), every
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int = SAMPLE, cell: int = CELL, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` greatest inner products of each of ``queries`` with ``vectors``.
 
     Both have (vec_id, embedding). A component x counts as floor(256 * x), so scores are whole numbers and exact; ties
-    go to the smaller vec_id; a query's own vec_id takes no part. Null vectors and vectors with null or non-finite
-    components take no part; vectors of another length than the query's have no score with it. Rows that repeat a
-    vec_id are one. Fewer than k candidates give all. Empty tables give an empty result.
-
-    Of equal vectors only the k + 1 smallest ids can be in a result, and equal queries have the same k + 1 best, so
-    each distinct vector is kept with k + 1 ids and searched for once, which is exact. Blocks of queries meet blocks
-    of vectors, dealt by hash and bounded in size; in each pair a cover tree over the queries and one over the vectors
-    are descended together. A bounded sample gives each query a first worst score, so that blocks prune from the start.
+    go to the smaller vec_id; a query's own vec_id takes no part. Null vectors, rows without a vec_id and vectors with
+    null or non-finite components take no part; vectors of another length than the query's have no score with it; those
+    without components score 0 with each other. Rows that repeat a vec_id are one, with the least of its vectors. Fewer
+    than k candidates give all. Other columns, whatever their names, aren't looked at. Empty tables give an empty result.
+
+    Of equal vectors only the k + 1 smallest ids can be in a result, and equal queries have the same k + 1 best, so each
+    distinct vector is kept with k + 1 ids and searched for once, which is exact. Then:
+
+    1. A bounded sample (``sample`` vectors) gives middles. Every vector and query is dealt to the cell of its nearest
+       middle, cells are split into blocks of bounded size, and each block's cover tree is planted once.
+    2. The sample, then a block of the most promising cell, give each query a worst score to start with.
+    3. Cells that by their covering radii can't reach the worst score of any query of a query cell aren't sent to it:
+       only cell figures, at most ``CELLS`` for each of ``LENGTHS`` lengths, meet on the driver.
+    4. The trees of the other pairs of blocks are descended together.
+
+    ``report``, if given, gets the numbers of pairs of cells and of those that were left.
     """
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    good = lambda df: df.where(F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("whole"))
+
+    def good(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+        rows = rows.where(F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull())
+        return rows.groupBy("vec_id").agg(F.min(whole).alias("whole"))
+
     rank = Window.partitionBy("whole").orderBy("vec_id")
-    kept = good(vectors).dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k + 1).drop("_n")
-    kept = written(kept.withColumn("size", F.size("whole")), "vectors")
-    asked = written(good(queries).dropDuplicates(["vec_id"]), "queries")
-    distinct = asked.groupBy("whole").agg(F.min("vec_id").alias("query")).select("query", F.size("whole").alias("size"), "whole")
-    blocks, groups = max(1, -(-kept.count() // block)), max(1, -(-asked.count() // group))
-    first = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    sizes = np.diff(first.column("whole").combine_chunks().offsets.to_numpy()) if len(first) else np.zeros(0)
-    few = matrix(first.column("whole")) if len(first) and (sizes == sizes[0]).all() else np.zeros((0, 1), np.int64)
-    distinct = written(distinct.mapInArrow(floored(few, k + 1), "query long, size int, whole array<long>, floor long"), "queries-floored")
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = distinct.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")).withColumn("_v", every(blocks))
-    right = kept.withColumn("_v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("_q", every(groups))
-    keys = ["size", "_q", "_v"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(searcher(k + 1), "query long, vec_id long, score long")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    pairs = pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
+    kept = good(vectors).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k + 1)
+    kept = written(kept.select(F.col("vec_id").alias("id"), F.size("whole").alias("size"), "whole"), "vectors")
+    asked = written(good(queries), "queries")
+    first = kept.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    found_sizes, counts = np.unique(first.column("size").to_numpy(), return_counts=True)
+    samples = {}
+    for n in found_sizes[np.argsort(-counts)][:LENGTHS].tolist():
+        samples[n] = matrix(first.filter(pa.array(first.column("size").to_numpy() == n)).column("whole"), n)
+    cells = min(CELLS, max(1, kept.count() // cell))
+    middles = {n: x[:cells].astype(np.float64) for n, x in samples.items()}
+
+    shape = "id long, size int, whole array<long>, cell int, reach double"
+    dealt = written(kept.mapInArrow(placer(middles), shape), "vectors-dealt")
+    dropped(kept)
+    trees = written(planted(blocks(dealt).withColumn("floor", F.lit(0).cast("long"))), "vector-trees")
+    v_cells = dealt.groupBy("size", "cell").agg(F.max("reach").alias("reach"))
+    v_rows = v_cells.where("cell >= 0").collect()
+    dropped(dealt)
+
+    distinct = asked.groupBy("whole").agg(F.min("vec_id").alias("id")).select("id", F.size("whole").alias("size"), "whole")
+    distinct = distinct.mapInArrow(placer(middles), shape).mapInArrow(floored(samples, k + 1), f"{shape}, floor long")
+    distinct = written(blocks(distinct.where("true")), "queries-floored")
+    near = []  # the cell with the greatest product of middles for each cell of queries
+    for n, own in middles.items():
+        have = np.array(sorted(r["cell"] for r in v_rows if r["size"] == n), np.int64)
+        near += [(n, int(c), int(have[b])) for c, b in enumerate((own @ own[have].T).argmax(1))] if len(have) else []
+    spark = vectors.sparkSession
+    best_cell = spark.createDataFrame(near, "size int, cell int, v_cell int")
+    left = distinct.join(F.broadcast(best_cell), ["size", "cell"])  # at most CELLS * LENGTHS rows
+    right = trees.where("sub = 0").withColumnRenamed("cell", "v_cell").join(F.broadcast(best_cell), ["size", "v_cell"])
+    right = right.join(distinct.select("size", F.col("cell"), F.col("sub").alias("q_sub")).distinct(), ["size", "cell"])
+    left = left.withColumnRenamed("sub", "q_sub")
+    keys = ["size", "cell", "q_sub"]
+    closer = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearby(k + 1), "id long, near long")
+    floors = distinct.join(closer, "id", "left").withColumn("floor", F.greatest("floor", F.coalesce("near", "floor"))).drop("near")
+    floors = written(floors, "queries-near")
+    q_trees = written(planted(floors), "query-trees")
+    q_rows = floors.where("cell >= 0").groupBy("size", "cell").agg(F.max("reach").alias("reach"), F.min("floor").alias("floor")).collect()
+
+    left_pairs, every = cell_pairs(middles, q_rows, v_rows)
+    if report is not None:
+        report |= {"cell_pairs": every, "left": len(left_pairs)}
+    pairs = spark.createDataFrame(left_pairs.to_pandas(), "size int, q_cell int, v_cell int")
+    others = q_trees.where("cell = -1").select("size", F.col("cell").alias("q_cell"), F.col("cell").alias("v_cell")).distinct()
+    pairs = pairs.union(others)
+    q_blocks, v_blocks = (t.select("size", F.col("cell").alias(f"{x}_cell"), F.col("sub").alias(f"{x}_sub")) for t, x in ((q_trees, "q"), (trees, "v")))
+    pairs = written(pairs.join(q_blocks, ["size", "q_cell"]).join(v_blocks, ["size", "v_cell"]), "block-pairs")
+    keys = ["size", "q_cell", "q_sub", "v_cell", "v_sub"]
+    q_side = q_trees.withColumnsRenamed({"cell": "q_cell", "sub": "q_sub"}).join(pairs, ["size", "q_cell", "q_sub"])
+    v_side = trees.withColumnsRenamed({"cell": "v_cell", "sub": "v_sub"}).join(pairs, ["size", "v_cell", "v_sub"])
+    named = lambda side: side.select(*keys, *[f.split()[0] for f in TREES.split(", ") if f.split()[0] not in ("size", "cell", "sub")])
+    met = named(q_side).groupBy(*keys).cogroup(named(v_side).groupBy(*keys)).applyInArrow(searcher(k + 1), FOUND)
 
-    named = distinct.select("query", "whole").join(asked, "whole").select("query", F.col("vec_id").alias("query_id"))
-    found = named.join(pairs, "query").where(F.col("query_id") != F.col("vec_id"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("query", "vec_id", "score")
+    ids = distinct.select(F.col("id").alias("query"), "whole").join(asked, "whole").select("query", F.col("vec_id").alias("query_id"))
+    found = ids.join(met, "query").where(F.col("query_id") != F.col("vec_id"))
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -143,40 +143,57 @@ def test_rarer_words_are_joined():
     assert math.isclose(sum(every), 1, rel_tol=1e-4)
 
 
-@pytest.mark.parametrize("copies", [1, 40])
-def test_topk(spark, copies):
+def best_by_brute_force(x, ids, k=5):
+    q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    s = q @ q.T
+    return {i: [(int(ids[j]), int(s[i, j])) for j in np.lexsort((ids, -s[i])) if j != i][:k] for i in range(len(x))}
+
+
+@pytest.mark.parametrize("copies,cell,clusters", [(1, 1024, 0), (40, 16, 0), (1, 24, 6)])
+def test_topk(spark, monkeypatch, copies, cell, clusters):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1)  # blocks of 64 vectors
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.3, (300, 8)).astype(np.float32)
+    if clusters:
+        x = (x / 10 + rng.normal(0, 1, (clusters, 8))[np.arange(300) % clusters]).astype(np.float32)
     x[:copies] = x[0]
     rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(500, None), (550, [1.0, None] + [0.0] * 6), (600, [float("nan")] + [0.0] * 7), (50, [float(v) for v in x[50]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got: dict = {}
-    for r in topk.nearest(df, df.where("vec_id % 50 = 0"), block=64, group=4).orderBy("query_id", "rank").collect():
+    rows += [(700, []), (701, []), (750, [1.0, 2.0]), (751, [2.0, 1.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, id int")
+    got, report = {}, {}
+    for r in topk.nearest(df, df.where("vec_id % 50 = 0"), cell=cell, sample=300, report=report).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    for i in range(0, 300, 50):
-        s = q @ q[i]
-        order = [int(j) for j in np.lexsort((np.arange(300), -s)) if j != i][:5]
-        assert got[i] == [(j, int(s[j])) for j in order]
-    assert sorted(got) == list(range(0, 300, 50))
+    want = best_by_brute_force(x, np.arange(300))
+    assert got == {i: want[i] for i in range(0, 300, 50)} | {700: [(701, 0)], 750: [(751, 4 * 65536)]}
+    assert not clusters or report["left"] < report["cell_pairs"]
     few = df.where("vec_id in (0, 299)")
     assert topk.nearest(few, few).count() == 2 and topk.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_cover_tree_bounds():
+def test_cover_tree_invariants():
     x = np.random.default_rng(0).normal(size=(600, 5))
-    tree = topk.cover_tree(x)
-
-    def check(node):
-        assert (np.sqrt(((x[node.points] - node.centre) ** 2).sum(1)) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.points for c in node.children]).tolist()) == sorted(node.points.tolist())
-        for c in node.children:
-            check(c)
-
-    check(tree)
-    a, b = tree.children[0], tree.children[-1]
-    assert (x[a.points] @ x[b.points].T).max() <= topk.bound(a, b)
+    x[5] = x[6]
+    tree = topk.cover_tree(x, 64)
+    assert sorted(tree.order.tolist()) == list(range(600)) and tree.parent[0] == -1
+    own = x[tree.order]
+    for i in range(len(tree.low)):
+        reach = np.sqrt(((own[tree.low[i] : tree.high[i]] - own[tree.centre[i]]) ** 2).sum(1))
+        assert reach.max() <= tree.radius[i] + 1e-9 and tree.low[i] <= tree.centre[i] < tree.high[i]
+        children = np.flatnonzero(tree.parent == i)
+        assert not len(children) or sum(tree.high[c] - tree.low[c] for c in children) == tree.high[i] - tree.low[i]
+        assert not len(children) or tree.centre[i] in tree.centre[children]  # a centre stays one in all levels below
+    for level in sorted(set(tree.level[1:].tolist())):
+        net = sorted(set(tree.centre[tree.level >= level].tolist()))
+        gaps = np.sqrt(((own[net][:, None] - own[net][None]) ** 2).sum(2))
+        assert (gaps[~np.eye(len(net), dtype=bool)] >= 2.0**level - 1e-9).all()  # separation
+        if level > tree.level[1:].min():
+            assert np.sqrt(((own[:, None] - own[net][None]) ** 2).sum(2)).min(1).max() <= 2.0**level  # covering
+    block = pa.table({"id": np.arange(600), "size": pa.array([5] * 600, pa.int32()), "whole": (x * 100).astype(int).tolist(), "cell": pa.array([0] * 600, pa.int32()), "sub": pa.array([0] * 600, pa.int32()), "floor": np.zeros(600, np.int64)})
+    row = topk.plant(block).to_pylist()[0]
+    points, root = topk.grown(row)
+    assert (points == (x * 100).astype(int)[row["ids"]]).all()
+    a, b = root.children[0], root.children[-1]
+    assert (points[a.low : a.high] @ points[b.low : b.high].T).max() <= topk.bound(a, b)
 
 
 def test_sharding(spark):
