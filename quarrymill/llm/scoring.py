@@ -20,9 +20,9 @@ OWN, CLASSES = 127, 128
 SYMBOLS = OWN + 1 + CLASSES
 #: Words before the predicted one, dimensions of a vector.
 CONTEXT, DIMENSIONS = 3, 24
-EPOCHS, BATCH, NOISE, RATE = 4, 2048, 64, 0.1
+EPOCHS, BATCH, NOISE, RATE = 4, 4096, 64, 0.1
 #: Steps at least: small corpora are gone through more often. A training task has as many in a round.
-STEPS = 600
+STEPS = 300
 #: Times that the tasks' parameters are brought together, each after an equal share of the passes.
 ROUNDS = 2
 #: Parameters are summed as whole numbers of this part of one, so that no order of summing changes them.
@@ -32,7 +32,7 @@ FREQUENT = 1 << 18
 #: The end of a text, as a word's hash and beginning.
 END_HASH, END_HEAD = np.uint64(0xE4D0FD0C5A17B3F1), 0
 #: Tokens of a product.
-TOKENS = 8192
+TOKENS = 1024
 
 
 class Tokens(NamedTuple):
@@ -160,40 +160,43 @@ def started(unigram: np.ndarray, seed: int = 5) -> list[np.ndarray]:
 
 def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``rows`` by ``at``."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(at):
-        order = np.argsort(at, kind="stable")
-        kinds, first = np.unique(at[order], return_index=True)
-        out[kinds] = np.add.reduceat(rows[order], first)
-    return out
+    out, width = np.zeros(n * rows.shape[1], np.float32), rows.shape[1]
+    np.add.at(out, np.arange(n * width).reshape(n, width)[at].ravel(), rows.ravel())
+    return out.reshape(n, width)
 
 
 def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, unigram: np.ndarray, passes: int, rng: np.random.Generator) -> None:
     """Noise-contrastive estimation: tells each token from ``NOISE`` draws of the unigram, by gradient steps of Adagrad."""
     params, held = state[:4], state[4:]
-    symbol, context = symbol.astype(np.int16), context.astype(np.int16)  # which sort much faster
     vectors, mats, targets, bias = params
     shift = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
-    ends = np.cumsum(unigram)
+    ends, tokens = np.cumsum(unigram), np.concatenate([context, symbol[None]]).T.astype(np.int16)
+    one = np.float32(1)
     for _ in range(passes):
-        order = rng.permutation(len(symbol))
+        order = rng.permutation(len(tokens))
         for start in range(0, len(order), BATCH):
-            at = order[start : start + BATCH]
-            w, c = symbol[at], context[:, at]
+            own = tokens[order[start : start + BATCH]].T
+            c, w, many = own[:CONTEXT], own[CONTEXT], np.float32(own.shape[1])
             noise = np.minimum(np.searchsorted(ends, rng.random(NOISE), side="right"), SYMBOLS - 1)
-            q = sum((vectors @ mats[j])[c[j]] for j in range(CONTEXT))
-            good = 1 / (1 + np.exp(-(np.einsum("nd,nd->n", q, targets[w]) + bias[w] - shift[w])))
+            q = (vectors @ mats[0])[c[0]]
+            for j in range(1, CONTEXT):
+                q += (vectors @ mats[j])[c[j]]
+            own_targets = targets[w]
+            good = one / (one + np.exp((shift - bias)[w] - np.einsum("nd,nd->n", q, own_targets)))
             down = q @ -targets[noise].T  # becomes the negated probabilities of noise, in place
             down += shift[noise] - bias[noise]
             np.exp(down, out=down)
-            down += 1
-            np.divide(np.float32(-1 / len(at)), down, out=down)
-            up = (1 - good) / np.float32(len(at))
-            dq = up[:, None] * targets[w] + down @ targets[noise]
-            by_word, by_bias = added(w, up[:, None] * q, SYMBOLS), np.bincount(w, up, SYMBOLS).astype(np.float32)
-            np.add.at(by_word, noise, down.T @ q)
+            down += one
+            np.divide(-one / many, down, out=down)
+            up = (one - good) / many
+            own_targets *= up[:, None]
+            own_targets += down @ targets[noise]  # the gradient of q
+            by_context = [added(c[j], own_targets, SYMBOLS + 1) for j in range(CONTEXT)]
+            by_noise, by_bias = down.T @ q, np.bincount(w, up, SYMBOLS).astype(np.float32)
+            q *= up[:, None]
+            by_word = added(w, q, SYMBOLS)
+            np.add.at(by_word, noise, by_noise)
             np.add.at(by_bias, noise, down.sum(0))
-            by_context = [added(c[j], dq, SYMBOLS + 1) for j in range(CONTEXT)]
             grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word, by_bias]
             for x, g, h in zip(params, grads, held, strict=True):
                 h += g * g
@@ -267,20 +270,23 @@ def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) ->
     Batches have one size, the last one is filled up, so a token's product doesn't depend on how many others there are.
     """
     out = np.zeros(len(symbol))
+    one = np.zeros((CONTEXT, SYMBOLS + 1, 1), np.float32)
+    one[0] = 1  # so that the bias is part of the product
+    tables, targets = np.concatenate([model.tables, one], 2), np.concatenate([model.targets, model.bias[:, None]], 1).T.copy()
+    rows, logits = np.arange(TOKENS), np.empty((TOKENS, SYMBOLS), np.float32)
     for a in range(0, len(symbol), TOKENS):
         c, own = context[:, a : a + TOKENS], symbol[a : a + TOKENS]
         missing = TOKENS - len(own)
         if missing:
             c, own = np.pad(c, ((0, 0), (0, missing))), np.pad(own, (0, missing))
-        q = model.tables[0][c[0]]
+        q = tables[0][c[0]]
         for j in range(1, CONTEXT):
-            q = q + model.tables[j][c[j]]
-        logits = q @ model.targets.T + model.bias
-        picked = logits[np.arange(len(logits)), own].astype(np.float64)
-        top = logits.max(1, keepdims=True)
-        logits -= top
+            q += tables[j][c[j]]
+        np.matmul(q, targets, out=logits)
+        picked, top = logits[rows, own].astype(np.float64), logits.max(1)
+        logits -= top[:, None]
         np.exp(logits, out=logits)
-        out[a : a + TOKENS] = (picked - top[:, 0] - np.log(logits.sum(1, dtype=np.float32)))[: TOKENS - missing]
+        out[a : a + TOKENS] = (picked - top - np.log(logits.sum(1)))[: TOKENS - missing]
     return out
 
 
