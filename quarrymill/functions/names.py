@@ -5,7 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from quarrymill.functions.text import MAX_NAME
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quarrymill.functions.text import MAX_NAME, trimmed
+
+# Fixed value: characters that file names don't have.
+UNSAFE = r'[<>:"/\\|?*\x00-\x1f]'
 
 # Field names that count as sensitive.
 SENSITIVE_NAMES = (
@@ -55,5 +61,12 @@ def sensitive(names: list[str]) -> list[str]:
 
 
 def file_name(name: str | None, default: str = "dataset", most: int = 120) -> str:
-    text = re.sub(r'[<>:"/\\|?*\x00-\x1f]+|\s+', "_", (name or "").strip())[:most]
+    """A name for a file: each character that file systems refuse and each run of white space becomes ``_``."""
+    text = re.sub(r"\s+", "_", re.sub(UNSAFE, "_", (name or "").strip()))[:most]
     return text or default
+
+
+def file_name_of(c: Column, default: str = "dataset", most: int = 120) -> Column:
+    """``file_name`` of a column."""
+    safe = F.regexp_replace(F.regexp_replace(trimmed(F.coalesce(c, F.lit(""))), UNSAFE, "_"), r"\s+", "_")
+    return F.coalesce(F.nullif(F.substring(safe, 1, most), F.lit("")), F.lit(default))

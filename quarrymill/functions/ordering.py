@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dense_number(df: DataFrame, bucket: Column, order: list[Column], name: str, within: list[str] | None = None) -> DataFrame:
@@ -30,6 +31,37 @@ def by_digest(seed: int | str, key: str) -> tuple[Column, Column]:
     return F.substring(digest, 1, 3), digest
 
 
-def by_range(key: str, width: int = 100_000) -> tuple[Column, Column]:
-    """The order of a whole-number key: (bucket, key)."""
-    return F.floor(F.col(key) / width), F.col(key)
+#: Quantiles that ranges of keys are laid between, and rows that a range has, about.
+QUANTILES, RANGE_ROWS = 64, 100_000
+
+
+def by_range(df: DataFrame, key: str) -> tuple[Column, Column]:
+    """The order of ``key`` in ``df``: (bucket, key).
+
+    Buckets of numbers lie between quantiles of the column (one row on the driver) and are halved evenly within them, so
+    that sparse and clustered keys spread alike; those of strings go by their first two bytes, of structs by their first
+    field. Nulls are one bucket, the first.
+    """
+    kind, of = df.schema[key].dataType, F.col(key)
+    while isinstance(kind, T.StructType):
+        name, kind = kind[0].name, kind[0].dataType
+        of = of[name]
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.substring(of.cast("binary"), 1, 2), F.col(key)
+    at = of.cast("double")
+    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
+    row = df.agg(F.count(of).alias("n"), F.percentile_approx(at, shares, 1000).alias("q")).first()
+    bounds = sorted(set(row["q"] or []))
+    if row["n"] <= RANGE_ROWS or len(bounds) < 2:
+        return F.when(of.isNotNull(), F.lit(0.0)), F.col(key)
+    parts = max(1, -(-row["n"] // (RANGE_ROWS * (len(bounds) - 1))))
+
+    def within(low: int, high: int) -> Column:
+        """The number of the bucket, where the key lies between bounds ``low`` and ``high``."""
+        if high - low == 1:
+            width = (bounds[high] - bounds[low]) / parts
+            return low * parts + F.least(F.greatest(F.floor((at - bounds[low]) / width), F.lit(0)), F.lit(parts - 1))
+        middle = (low + high) // 2
+        return F.when(at < bounds[middle], within(low, middle)).otherwise(within(middle, high))
+
+    return F.when(of.isNotNull(), within(0, len(bounds) - 1).cast("double")), F.col(key)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The white space of the record rules, tokens that count as empty, and boolean words.
-SPACE = r"[\s   -     　﻿]"
+SPACE_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 EMPTY_TOKENS = ("", "null", "undefined", "n/a", "na", "none", "nil", "-")
 TRUE_WORDS = ("true", "yes", "1", "on")
 FALSE_WORDS = ("false", "no", "0", "off")
 
-#: Longest string, field name and training text that are kept.
-MAX_STRING, MAX_NAME, MAX_TRAINING_TEXT = 100_000, 200, 200_000
+SPACE = f"[{SPACE_CHARACTERS}]"
+
+#: Longest field name. Values are cut only where a length is asked for; these are the lengths of the rules' origin.
+MAX_NAME, MAX_STRING, MAX_TRAINING_TEXT = 200, 100_000, 200_000
 
 #: A word boundary between ASCII word characters and all else, whichever side the word is on.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -25,16 +27,21 @@ EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))
 
 def trimmed(c: Column) -> Column:
     """Without white space at either end, Unicode spaces included."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
+
+
+def cut(c: Column, most: int | None) -> Column:
+    """The first ``most`` characters; all of them if ``most`` is None."""
+    return c if most is None else F.substring(c, 1, most)
 
 
-def clean_string(c: Column, most: int = MAX_STRING) -> Column:
-    """Null as empty, NULs removed, trimmed, then cut."""
-    return F.substring(trimmed(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\x00", "")), 1, most)
+def clean_string(c: Column, most: int | None = None) -> Column:
+    """Null as empty, NULs removed, trimmed, then cut if a length is given."""
+    return cut(trimmed(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\0"), F.lit(""))), most)
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return trimmed(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -120,5 +127,11 @@ def csv_line(columns: list[str], delimiter: str = ",") -> Column:
     return F.concat_ws(delimiter, *[csv_cell(F.col(c), delimiter) for c in columns])
 
 
+def over_length(df: DataFrame, columns: list[str], most: int = MAX_STRING) -> DataFrame:
+    """(field, records): how many values of each column a cut at ``most`` characters would shorten."""
+    one = df.agg(*[F.count_if(F.length(trimmed(F.col(c).cast("string"))) > most).alias(c) for c in columns])
+    return one.unpivot([], columns, "field", "records")
+
+
 def strings(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.names import normalized, normalized_all
-from quarrymill.functions.text import MAX_STRING, as_boolean, as_number, every, is_blank, is_empty_token, nfkc, normalize_whitespace, percent, some, trimmed
+from quarrymill.functions.text import as_boolean, as_number, cut, every, is_blank, is_empty_token, nfkc, normalize_whitespace, percent, some, trimmed
 from quarrymill.operators.dedup import deduplicate
 
 
@@ -23,17 +23,22 @@ class CleanOptions:
     empty_to_null: bool = False
     normalize_numbers: bool = True
     normalize_booleans: bool = False
+    most: int | None = None  # characters that strings are cut to
 
 
-def clean_value(c: Column, kind: T.DataType, o: CleanOptions) -> Column:
-    """A string normalised (compatibility form, white space, empties, length); containers value by value."""
+def clean_value(c: Column, kind: T.DataType, o: CleanOptions, inner: bool = False) -> Column:
+    """A string normalised (compatibility form, white space, empties, length); containers value by value at every depth."""
     if isinstance(kind, T.StringType):
-        text = nfkc(c)
+        text = nfkc(c) if not inner else c  # Arrow functions can't run inside of containers
         text = normalize_whitespace(text) if o.normalize_whitespace else trimmed(text) if o.trim else text
-        text = F.substring(text, 1, MAX_STRING)
+        text = cut(text, o.most)
         return F.when(is_empty_token(text), F.lit(None) if o.empty_to_null else F.lit("")).otherwise(text)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        return F.transform(c, lambda x: trimmed(x))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: clean_value(x, kind.elementType, o, True))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: clean_value(v, kind.valueType, o, True))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[clean_value(c[f.name], f.dataType, o, True).alias(f.name) for f in kind]))
     return c
 
 
@@ -67,8 +72,11 @@ def numeric_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(own) if row[f"f{i}"] and row[f"f{i}"] == row[f"g{i}"]]
 
 
-def clean_records(df: DataFrame, columns: list[str], order: str, o: CleanOptions = CleanOptions()) -> DataFrame:
-    """Every record with clean names and values, plus ``_changed``, ``_reasons`` and ``_empty``; no row goes yet."""
+def clean_records(df: DataFrame, columns: list[str], order: str, o: CleanOptions = CleanOptions(), carried: list[str] | None = None) -> DataFrame:
+    """Every record with clean names and values, plus ``_changed``, ``_reasons`` and ``_empty``; no row goes yet.
+
+    ``carried`` columns are passed on as they are.
+    """
     names = normalized_all(columns) if o.normalize_names else list(columns)
     numbers = set(numeric_columns(df, columns)) if o.normalize_numbers else set()
     values, reasons = [], []
@@ -98,7 +106,7 @@ def clean_records(df: DataFrame, columns: list[str], order: str, o: CleanOptions
         lambda x: x.isNotNull(),
     )
     key = F.col(order).alias("_row")
-    return df.select(key, *values, (F.size(reasons) > 0).alias("_changed"), reasons.alias("_reasons"), empty.alias("_empty"))
+    return df.select(key, *(carried or []), *values, (F.size(reasons) > 0).alias("_changed"), reasons.alias("_reasons"), empty.alias("_empty"))
 
 
 def clean_dataset(df: DataFrame, columns: list[str], order: str, o: CleanOptions = CleanOptions()) -> tuple[DataFrame, DataFrame]:

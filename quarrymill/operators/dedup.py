@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrymill.functions.ordering import by_range, dense_number
 from quarrymill.functions.text import fingerprint
 
 
-def first_rows(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(fp, first, copies): the first row of every distinct record; only digests and row numbers are shuffled."""
-    return df.select(fingerprint(columns).alias("fp"), F.col(order).alias("_row")).groupBy("fp").agg(
-        F.min("_row").alias("first"), F.count(F.lit(1)).alias("copies")
-    )
+def _settled(df: DataFrame, order: str) -> list[Column]:
+    """An order of all rows: ``order``, rows without it last, then all else that can be hashed."""
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.col(order).asc_nulls_last(), F.xxhash64(*[F.col(c) for c in plain])]
+
 
+def deduplicate(df: DataFrame, columns: list[str], order: str, within: list[str] | None = None) -> DataFrame:
+    """The first row, by ``order``, of each group of rows with equal ``columns`` (and ``within``).
 
-def deduplicate(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """The first row, by ``order``, of each group of rows with equal ``columns``."""
-    keep = first_rows(df, columns, order).select(F.col("first").alias("_first"))
-    return df.join(keep, F.col(order) == F.col("_first"), "left_semi")
+    One row of each group stays, also where ``order`` repeats or is null. Every task passes on one row a group, so a
+    record that is there very often makes no large group.
+    """
+    first = Window.partitionBy(*(within or []), "_fp").orderBy(*_settled(df, order))
+    rows = df.withColumn("_fp", fingerprint(columns)).withColumn("_n", F.row_number().over(first))
+    return rows.where("_n = 1").drop("_fp", "_n")
 
 
 def duplicates(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(index, duplicate_of, fingerprint): every row that an earlier one equals."""
-    w = Window.partitionBy("fp").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.select(F.col(order).alias("index"), fingerprint(columns).alias("fp"))
-    rows = rows.withColumn("duplicate_of", F.min("index").over(w)).where("duplicate_of < index")
-    return rows.select("index", "duplicate_of", F.col("fp").alias("fingerprint"))
+    """(index, duplicate_of, fingerprint): every row that an earlier one equals. Firsts are summed before they are joined."""
+    rows = df.select(F.col(order).alias("index"), fingerprint(columns).alias("fingerprint"))
+    first = rows.groupBy("fingerprint").agg(F.min("index").alias("duplicate_of"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return rows.join(first, "fingerprint").where("duplicate_of < index").select("index", "duplicate_of", "fingerprint")
 
 
 def merge(sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -65,6 +69,6 @@ def compare(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
 
 def batches(df: DataFrame, order: str, size: int = 1000) -> DataFrame:
     """Add ``batch``: rows in order, ``size`` at a time, from 0."""
-    bucket, key = by_range(order)
+    bucket, key = by_range(df, order)
     numbered = dense_number(df, bucket, [key], "_n")
     return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / max(1, size)).cast("long")).drop("_n")

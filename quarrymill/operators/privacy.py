@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.names import sensitive
-from quarrymill.functions.text import EDGE, record_json
+from quarrymill.functions.text import EDGE, record_json, some
 
 # Patterns of sensitive values, with ASCII word edges, and a literal without which a pattern can't match.
 EMAIL = rf"(?i){EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{EDGE}"
@@ -30,8 +30,11 @@ PATTERNS = {
         "token": rf"(?i){EDGE}(?:token|secret)\s*[:=]\s*[^\s]+",
     },
 }
-NEEDED = {"email": "@", "private_key": "PRIVATE KEY", "bearer_token": "bearer", "secret": "secret"}
 URL = rf"(?i){EDGE}https?://[^\s<>\"']+"
+NEEDED = {
+    "email": ("@",), "private_key": ("private key",), "bearer_token": ("bearer",), "secret": ("secret",), "token": ("token", "secret"),
+    "password": ("passw", "pwd"),
+}
 MESSAGES = {
     "email": "an e-mail address",
     "phone": "a phone number",
@@ -45,26 +48,49 @@ MESSAGES = {
 }
 
 
-def hits(json: Column, profile: str = "library") -> Column:
-    """The types of sensitive values in a serialised record, in rule order; cheap literals are looked for first."""
-    low, tests = F.lower(json), []
-    for kind, pattern in PATTERNS[profile].items():
-        test = json.rlike(pattern)
-        if kind in NEEDED:
-            test = low.contains(NEEDED[kind].lower()) & test
-        tests.append(F.when(test, F.lit(kind)))
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+def message(kind: Column) -> Column:
+    """What a type of finding is called."""
+    out = F.lit(None).cast("string")
+    for k, text in MESSAGES.items():
+        out = F.when(kind == k, text).otherwise(out)
+    return out
+
+
+def with_hits(df: DataFrame, columns: list[str], profile: str = "library", name: str = "_hits", json: Column | None = None) -> DataFrame:
+    """Adds ``name``: a bit for each type of the profile, in rule order, that the serialised record holds.
+
+    The record is serialised once (or is ``json`` already), and a pattern is tried only where one of its literals is; all of it is built in.
+    """
+    rows = df.withColumn("_json", record_json(columns) if json is None else json).withColumn("_low", F.lower("_json"))
+    bits = F.lit(0)
+    for i, (kind, pattern) in enumerate(PATTERNS[profile].items()):
+        test = F.col("_json").rlike(pattern)
+        if profile == "library" and kind == "api_key":
+            test = F.contains("_low", F.lit("api")) & test
+        elif kind in NEEDED:
+            literals = [F.contains("_low", F.lit(x)) for x in NEEDED[kind]]
+            test = some(literals) & test
+        bits = bits + F.when(test, 1 << i).otherwise(0)
+    return rows.withColumn(name, bits).drop("_json", "_low")
+
+
+def with_types(df: DataFrame, columns: list[str], profile: str = "library", name: str = "findings") -> DataFrame:
+    """Adds ``name``: the types of sensitive values that the record holds, in rule order."""
+    rows = with_hits(df, columns, profile)
+    kinds = [F.when(F.col("_hits").bitwiseAND(1 << i) > 0, k).otherwise("") for i, k in enumerate(PATTERNS[profile])]
+    return rows.withColumn(name, F.array_remove(F.array(*kinds), "")).drop("_hits")
 
 
 def sensitive_values(df: DataFrame, columns: list[str], order: str, profile: str = "library") -> DataFrame:
     """(index, type): one finding for each record and type."""
-    return df.select(F.col(order).alias("index"), F.explode(hits(record_json(columns), profile)).alias("type"))
+    rows = with_types(df.select(F.col(order).alias("_index"), *columns), columns, profile, "_types")
+    return rows.select(F.col("_index").alias("index"), F.explode("_types").alias("type"))
 
 
 def sensitive_counts(df: DataFrame, columns: list[str], profile: str = "library") -> DataFrame:
     """(type, findings) for every type of the profile, 0 included, in one pass."""
     kinds = list(PATTERNS[profile])
-    one = df.select(hits(record_json(columns), profile).alias("h")).agg(*[F.count_if(F.array_contains("h", k)).alias(k) for k in kinds])
+    one = with_hits(df.select(*columns), columns, profile).agg(*[F.count_if(F.col("_hits").bitwiseAND(1 << i) > 0).alias(k) for i, k in enumerate(kinds)])
     return one.unpivot([], kinds, "type", "findings")
 
 
@@ -83,3 +109,7 @@ def text_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
     json = record_json(columns)
     n = lambda p: F.coalesce(F.sum(F.regexp_count(json, F.lit(p))), F.lit(0)).cast("long")
     return df.agg(n(URL).alias("urls"), n(EMAIL).alias("emails"))
+
+
+def privacy_status(findings: Column) -> Column:
+    return F.when(findings == 0, "no-obvious-findings").otherwise("review-required")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.names import sensitive
-from quarrymill.functions.text import every, fingerprint, is_blank, percent, record_json, round_half_up
-from quarrymill.operators.privacy import hits
+from quarrymill.functions.names import SENSITIVE_NAMES, sensitive
+from quarrymill.functions.text import every, fingerprint, is_blank, percent, round_half_up, trimmed
+from quarrymill.operators.privacy import privacy_status, with_hits
 
 #: Overall quality from which a data set is ready, and the lower limits of the grades.
 READY, GRADES = 70, ((90, "excellent"), (80, "good"), (70, "review"))
@@ -32,10 +32,10 @@ def validate(df: DataFrame, columns: list[str], group: list[str] | None = None,
     filled = sum((F.when(~b, 1).otherwise(0) for b in blank), F.lit(0))
     nulls = [F.max(F.col(c).isNull().cast("int")).alias(f"_null{i}") for i, c in enumerate(columns)]
     some = [F.max(F.col(c).isNotNull().cast("int")).alias(f"_some{i}") for i, c in enumerate(columns)]
-    rows = df.select(
+    rows = with_hits(df.select(*keys, *[c for c in columns if c not in keys]), columns, profile)
+    rows = rows.select(
         *keys, *[c for c in columns if c not in keys],
-        fingerprint(columns).alias("_fp"), filled.alias("_filled"), every(blank).alias("_blank"),
-        F.size(hits(record_json(columns), profile)).alias("_hits"),
+        fingerprint(columns).alias("_fp"), filled.alias("_filled"), every(blank).alias("_blank"), F.bit_count("_hits").alias("_hits"),
     )
     each = rows.groupBy(*keys, "_fp").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_filled").alias("filled"), F.sum("_hits").alias("hits"),
@@ -70,6 +70,89 @@ def validate(df: DataFrame, columns: list[str], group: list[str] | None = None,
     )
 
 
+def _json_kind(of: Column) -> Column:
+    """The JSON type of a variant; null if it is none."""
+    kind = F.schema_of_variant(of)
+    return (
+        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
+        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "number")
+    )
+
+
+def validity(df: DataFrame, json: str, order: str) -> DataFrame:
+    """(index, reason) of JSON records that are nothing: null or no JSON, blank strings, objects without fields."""
+    rows = df.select(F.col(order).alias("index"), F.try_parse_json(json).alias("_v"))
+    return rows.select("index", _invalid(F.col("_v")).alias("reason")).where("reason is not null")
+
+
+def _invalid(v: Column) -> Column:
+    kind = _json_kind(v)
+    empty = trimmed(F.try_variant_get(v, "$", "string")) == ""
+    return F.when(v.isNull() | (kind == "null"), "null_or_undefined").when((kind == "string") & empty, "empty_string").when((kind == "object") & (F.to_json(v) == "{}"), "empty_object")
+
+
+def validate_json(df: DataFrame, json: str, group: list[str] | None = None) -> DataFrame:
+    """Scores of JSON records of any structure, one row (or one for each ``group``).
+
+    As ``validate``, with what only untyped records have: fields are all that any record has; those with values of several
+    types, several structures, and plain values among objects lower the format; records that are nothing the validity.
+    Texts that aren't JSON count as null.
+    """
+    keys = list(group or [])
+    rows = df.select(*keys, F.col(json).alias("_text"), F.try_parse_json(json).alias("_v"))
+    kind = _json_kind(F.col("_v"))
+    names = F.array_join(F.array_sort(F.json_object_keys(F.to_json("_v"))), "|")
+    rows = rows.withColumn("_kind", F.coalesce(kind, F.lit("null"))).withColumn("_fp", F.sha2(F.coalesce(F.to_json("_v"), F.lit("null")), 256))
+    rows = rows.withColumn("_form", F.when(F.col("_kind") == "object", F.concat(F.lit("object:"), names)).otherwise(F.col("_kind"))).withColumn("_bad", _invalid(F.col("_v")).isNotNull())
+    rows = with_hits(rows, [], "library", json=F.coalesce("_text", F.lit("")))
+    each = rows.groupBy(*keys, "_fp", "_form", "_kind", "_bad").agg(F.count(F.lit(1)).alias("n"), F.sum(F.bit_count("_hits")).alias("hits"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    total = each.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("records"), F.count(F.lit(1)).alias("distinct_records"), count(F.col("_bad")).alias("invalid"),
+        count(F.col("_kind") == "object").alias("objects"), count(F.col("_kind").isin("string", "number", "boolean")).alias("primitives"),
+        F.count_distinct("_form").alias("structures"), F.coalesce(F.sum("hits"), F.lit(0)).cast("long").alias("value_findings"),
+    )
+    inner = rows.where("_kind = 'object'").select(*keys, "_v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    of = _json_kind(F.col("value"))
+    blank = (of == "null") | ((of == "string") & (trimmed(F.try_variant_get("value", "$", "string")) == "")) | ((of == "array") & (F.to_json("value") == "[]"))
+    fields = inner.groupBy(*keys, "key", of.alias("_of")).agg(F.count_if(~blank).alias("filled"), F.count(F.lit(1)).alias("present"))
+    fields = fields.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("types"), F.sum("filled").alias("filled"), F.sum("present").alias("present"))
+    fields = fields.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("fields"), F.count_if(F.col("types") > 1).alias("mixed_fields"), F.sum("filled").alias("filled"), F.sum("present").alias("present"),
+        F.count_if(F.regexp_replace(F.lower(F.trim("key")), r"\s+", "_").isin(*SENSITIVE_NAMES)).alias("name_findings"),
+    )
+    if keys:
+        fields = fields.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in fields.columns if c not in keys])
+        out = total.join(fields, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    else:
+        out = total.crossJoin(F.broadcast(fields))  # one row each
+    n, zero = F.col("records"), lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    score = lambda c: F.when(n > 0, c).otherwise(F.lit(0)).cast("long")
+    form = 100 - F.when(F.col("structures") > 1, 15).otherwise(0) - F.least(F.lit(30), 3 * zero("mixed_fields")) - F.when((F.col("primitives") > 0) & (F.col("objects") > 0), 10).otherwise(0)
+    out = (
+        out.withColumn("completeness", percent(zero("filled"), n * zero("fields"))).withColumn("presence", percent(zero("present"), n * zero("fields")))
+        .withColumn("uniqueness", percent(F.col("distinct_records"), n)).withColumn("validity", percent(n - F.col("invalid"), n))
+        .withColumn("format", score(F.greatest(F.lit(0), form))).withColumn("findings", F.col("value_findings") + zero("name_findings"))
+        .withColumn("privacy", F.greatest(F.lit(0), 100 - F.least(F.lit(100), 10 * F.col("findings"))).cast("long"))
+    )
+    overall = F.col("completeness") * 0.25 + F.col("uniqueness") * 0.2 + F.col("validity") * 0.2 + F.col("format") * 0.2 + F.col("privacy") * 0.15
+    out = out.withColumn("overall", round_half_up(overall)).withColumn("status", status(F.col("overall")))
+    return out.select(
+        *keys, "records", (n - F.col("distinct_records")).alias("duplicates"), "invalid", zero("fields").alias("fields"), "structures", zero("mixed_fields").alias("mixed_fields"),
+        "findings", "completeness", "presence", "uniqueness", "validity", "format", "privacy", "overall", "status",
+    )
+
+
+def strict_validate(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+    """The report with its mode; scores don't depend on it."""
+    return validate(df, columns, group).withColumn("mode", F.lit("strict"))
+
+
+def preview(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: scores, privacy status and recommendations of a data set before it is processed."""
+    return recommendations(validate(df, columns)).withColumn("privacy_status", privacy_status(F.col("findings")))
+
+
 def readiness(report: DataFrame) -> DataFrame:
     """Adds ``ready`` and the codes of what keeps each report's data set from training, joined by commas."""
     reasons = F.concat_ws(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import TrainingError
 from quarrymill.functions.ordering import by_digest, by_range, dense_number
-from quarrymill.functions.text import MAX_TRAINING_TEXT, clean_string, trimmed, utf16_length
+from quarrymill.functions.text import clean_string, trimmed, utf16_length
 from quarrymill.operators.clean import is_empty_record
 from quarrymill.operators.dedup import deduplicate
 
@@ -39,12 +39,12 @@ def normalize_role(c: Column) -> Column:
 def _first(df: DataFrame, names: tuple[str, ...], field: str | None = None) -> Column:
     """The first of the columns that isn't null; a field that was asked for comes first."""
     have = [F.col(n).cast("string") for n in ([field] if field else []) + list(names) if n in df.columns]
-    return clean_string(F.coalesce(*have, F.lit("")) if have else F.lit(""), MAX_TRAINING_TEXT)
+    return clean_string(F.coalesce(*have, F.lit("")) if have else F.lit(""))
 
 
 def extract_text(df: DataFrame, columns: list[str], fields: list[str] | None = None) -> Column:
     """The named fields joined, else the first filled text field, else all values joined."""
-    full = lambda c: F.nullif(clean_string(F.col(c), MAX_TRAINING_TEXT), F.lit(""))
+    full = lambda c: F.nullif(clean_string(F.col(c)), F.lit(""))
     if fields:
         return F.concat_ws(" ", *[full(f) for f in fields if f in columns])
     known = [full(f) for f in TEXT_FIELDS if f in columns]
@@ -56,7 +56,7 @@ def to_chat(df: DataFrame, conversation: str, turn: str, role: str, content: str
 
     A conversation is one training record, so its turns meet in one row; repeats of a turn stay.
     """
-    text = clean_string(F.col(content), MAX_TRAINING_TEXT)
+    text = clean_string(F.col(content))
     rows = df.select(conversation, F.struct(F.col(turn).alias("turn"), normalize_role(F.col(role)).alias("role"), text.alias("content")).alias("m"))
     rows = rows.where(F.col("m.content") != "")
     chats = rows.groupBy(conversation).agg(F.array_sort(F.collect_list("m")).alias("m"))
@@ -72,7 +72,7 @@ def transform(df: DataFrame, columns: list[str], order: str, mode: str, fields:
     fields, row = fields or {}, F.col(order).alias("_row")
     filled = lambda c: trimmed(F.col(c)) != ""
     if mode == "generic":
-        bucket, key = by_range(order)
+        bucket, key = by_range(df, order)
         out = dense_number(df, bucket, [key], "_row_index").select(row, *columns, "_row_index")
         return out.withColumn("_usable", ~is_empty_record(df, columns, "training"))
     if mode == "text":
@@ -114,6 +114,12 @@ def split_counts(total: int, ratios: tuple[float, float, float]) -> tuple[int, i
     return train, validation, total - train - validation
 
 
+def split_count_columns(total: Column, ratios: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """``split_counts`` of a column."""
+    train, validation = (F.floor(total * r).cast("long") for r in ratios[:2])
+    return train, validation, (total - train - validation).cast("long")
+
+
 def hash_split(df: DataFrame, key: str, seed: int = 42, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), within: list[str] | None = None) -> DataFrame:
     """Add ``split``: exact shares of a seeded digest order of ``key``, of all rows or of each group of ``within``.
 
@@ -130,12 +136,16 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, ratios: tuple[float, flo
     return rows.select(*df.columns, split.alias("split"))
 
 
+# Multiplier and increment of the shuffle's generator.
+MULTIPLIER, INCREMENT = 1664525, 1013904223
+
+
 def lcg(seed: float = 42):
     """Numbers in [0, 1) of a 32-bit linear congruential generator; not a usable seed counts as 1."""
     state = int(abs(seed)) & 0xFFFFFFFF if seed == seed and abs(seed) != float("inf") else 1
     state = state or 1
     while True:
-        state = (state * 1664525 + 1013904223) % 2**32
+        state = (state * MULTIPLIER + INCREMENT) % 2**32
         yield state / 2**32
 
 
@@ -158,7 +168,7 @@ def lcg_split(df: DataFrame, order: str, seed: float = 42, ratios: tuple[float,
     place = np.empty(n, np.int64)
     place[to] = np.arange(n)
     deal = df.sparkSession.createDataFrame([(i + 1, int(p)) for i, p in enumerate(place)], "_at long, place long")
-    bucket, key = by_range(order)
+    bucket, key = by_range(df, order)
     rows = dense_number(df, bucket, [key], "_n").join(deal, F.col("_n") == F.col("_at"))
     split = F.when(F.col("place") < train, "train").when(F.col("place") < train + validation, "validation").otherwise("test")
     return rows.select(*df.columns, split.alias("split"), "place")
@@ -186,13 +196,23 @@ def chat_statistics(chats: DataFrame, conversation: str) -> DataFrame:
 
 
 def text_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: records, characters (UTF-16 units, capped per record) and tokens at four characters each."""
-    parts = [clean_string(F.col(c), MAX_TRAINING_TEXT) for c in columns]
-    length = F.least(utf16_length(trimmed(F.concat_ws(" ", *parts))), F.lit(MAX_TRAINING_TEXT))
+    """One row: records, characters (UTF-16 units) and tokens at four characters each."""
+    parts = [clean_string(F.col(c)) for c in columns]
+    length = utf16_length(trimmed(F.concat_ws(" ", *parts)))
     one = df.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("characters"))
     return one.withColumn("tokens", F.ceil(F.col("characters") / 4).cast("long"))
 
 
+def statistics(df: DataFrame, columns: list[str], mode: str, order: str, label: str = "label") -> DataFrame:
+    """One row: the text figures of a mode's records; of classification with the balance of labels, of chat with messages."""
+    one = text_statistics(df, [c for c in columns if c != "messages"]) if mode != "chat" else text_statistics(df.withColumn("_said", chat_text(F.col("messages"))), ["_said"])
+    if mode == "classification":
+        one = one.crossJoin(F.broadcast(class_balance(df, label, order)))  # one row each
+    if mode == "chat":
+        one = one.crossJoin(F.broadcast(df.agg(F.coalesce(F.sum(F.size("messages")), F.lit(0)).cast("long").alias("messages"))))
+    return one
+
+
 def prepare(df: DataFrame, columns: list[str], order: str, mode: str, seed: int = 42, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> tuple[DataFrame, DataFrame]:
     """(records with ``_row`` and ``split``, rejected rows): drop empties and repeats, convert, drop repeats, split."""
     full = df.where(~is_empty_record(df, columns, "training"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import RecordError
 from quarrymill.functions.text import fingerprint
-from quarrymill.operators.clean import CleanOptions, clean_dataset, keep_fields, remove_empty_fields, reorder_fields
+from quarrymill.operators.clean import CleanOptions, clean_dataset, clean_records, keep_fields, remove_empty_fields, reorder_fields
 from quarrymill.operators.dedup import batches, compare, deduplicate
 from quarrymill.operators.quality import readiness, recommendations, validate
 from quarrymill.sources.readers import Source, read
 
-STEPS = ("collect", "merge", "clean", "validate", "privacy", "readiness", "dataset")
+STEPS = ("collect", "clean", "figures", "validate")
 
 
 @dataclass
@@ -59,27 +60,59 @@ def process(df: DataFrame, columns: list[str], order: str, name: str = "dataset"
 
 
 def process_sources(spark: SparkSession, sources: list[Source], columns: list[str], name: str = "dataset", options: CleanOptions = CleanOptions(), fetcher=None) -> tuple[Dataset, list[dict]]:
-    """Read all sources, leave failed ones out, merge, and process. Returns the data set and the steps' log."""
+    """Read all sources, leave failed ones out, merge, clean and score. Returns the data set and the measured steps."""
     steps, parts = [], []
-    for i, source in enumerate(sources):
+
+    def timed(name: str, run):
+        """Runs a step and logs what became of it and how long it took."""
+        began = time.perf_counter()
         try:
-            rows = read(spark, source, fetcher)
-            parts.append(rows.select(F.struct(F.lit(i).alias("s"), "_path", "id").alias("_at"), "record"))
-            steps.append({"name": f"collect:{source.name or i}", "status": "completed"})
+            out, error = run(), None
         except RecordError as e:
-            steps.append({"name": f"collect:{source.name or i}", "status": "failed", "error": e.as_dict()})
+            out, error = None, e.as_dict()
+        log = {"name": name, "status": "failed" if error else "completed", "durationMs": round((time.perf_counter() - began) * 1000)}
+        steps.append(log | ({"error": error} if error else {}))
+        return out
+
+    for i, source in enumerate(sources):
+        rows = timed(f"collect:{source.name or i}", lambda s=source: read(spark, s, fetcher))
+        if rows is not None:
+            parts.append(rows.select(F.struct(F.lit(i).alias("s"), "_path", "id").alias("_at"), "record"))
     if not parts:
         raise RecordError("NO_SOURCES", "no source could be read")
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
     typed = merged.select("_at", *[F.get_json_object("record", f"$['{c}']").alias(c) for c in columns])
-    done = process(typed, columns, "_at", name, options, before=False)
-    done.sources = [s.name for s in sources]
-    steps += [{"name": s, "status": "completed"} for s in STEPS[1:]]
+    out, figures = timed("clean", lambda: cleaning_pipeline(typed, columns, "_at", options))
+    names = [c for c in out.columns if c != "_row"]
+    found = timed("figures", lambda: figures.first().asDict())
+    report = timed("validate", lambda: recommendations(readiness(validate(out, names))).first().asDict())
+    done = Dataset(out, name, report, found, "ready_for_review" if report["ready"] else "needs_review", [s.name for s in sources])
     return done, steps
 
 
+def final_report(data: Dataset, steps: list[dict]) -> dict:
+    """The manifest with the definition of the run, its steps and their time."""
+    return data.manifest() | {"steps": steps, "definition": list(STEPS), "failed": [s["name"] for s in steps if s["status"] == "failed"], "durationMs": sum(s["durationMs"] for s in steps)}
+
+
+def process_batches(df: DataFrame, columns: list[str], order: str, size: int = 1000, options: CleanOptions = CleanOptions()) -> tuple[DataFrame, DataFrame]:
+    """(records with ``_row`` and ``batch``, report): every batch of ``size`` rows is cleaned and deduplicated on its own.
+
+    All batches are one job. The report has batch (from 1), records_before, records_after and quality.
+    """
+    rows = clean_records(batches(df, order, size), columns, order, options, ["batch"])
+    names = [c for c in rows.columns if not c.startswith("_") and c != "batch"]
+    kept = (rows.where(~F.col("_empty")) if options.remove_empty else rows).select("_row", "batch", *names)
+    out = deduplicate(kept, names, "_row", ["batch"]) if options.remove_duplicates else kept
+    before = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("records_before"))
+    after = validate(out, names, ["batch"]).select("batch", F.col("records").alias("records_after"), F.col("overall").alias("quality"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    report = before.join(after, "batch", "left").select((F.col("batch") + 1).alias("batch"), "records_before", none("records_after"), none("quality"))
+    return out, report
+
+
 def batch_quality(df: DataFrame, columns: list[str], order: str, size: int = 1000) -> DataFrame:
     """Scores of each batch of ``size`` rows: duplicates are those within a batch."""
     return validate(batches(df, order, size), columns, ["batch"])

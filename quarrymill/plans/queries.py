@@ -30,22 +30,8 @@ def query(sql: str | None = None):
 
 RECORD = ["text", "lang"]
 # Patterns with the other engine's word edges, for its SQL only.
-_EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
-_PHONE = r"(?:\+?\d[\d\s().-]{7,}\d)"
-_PASSWORD = r"(?i)\b(?:password|passwd|pwd)\s*[:=]\s*[^\s]+"
-_RULES = {
-    "library": {
-        "email": _EMAIL, "phone": _PHONE, "password": _PASSWORD,
-        "api_key": r"(?i)\b(?:api[_ -]?key|apikey)\s*[:=]\s*[A-Za-z0-9_\-]{8,}",
-        "bearer_token": r"(?i)\bBearer\s+[A-Za-z0-9\-._~+/]+=*",
-        "secret": r"(?i)\b(?:secret|client_secret)\s*[:=]\s*[^\s]+",
-        "private_key": r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----",
-    },
-    "service": {
-        "email": _EMAIL, "phone": _PHONE, "api_key": r"(?i)\b(?:sk|pk|api|key)[-_]?[A-Za-z0-9_-]{12,}\b",
-        "password": _PASSWORD, "token": r"(?i)\b(?:token|secret)\s*[:=]\s*[^\s]+",
-    },
-}
+_RULES = {p: {k: r.replace(text.EDGE, r"\b") for k, r in rules.items()} for p, rules in privacy.PATTERNS.items()}
+_EMAIL = _RULES["library"]["email"]
 _JSON = "('{\"text\":' || CAST(to_json(text) AS VARCHAR) || ',\"lang\":' || CAST(to_json(lang) AS VARCHAR) || '}')"
 _SORTED = "('{\"lang\":' || CAST(to_json(lang) AS VARCHAR) || ',\"text\":' || CAST(to_json(text) AS VARCHAR) || '}')"
 
@@ -123,12 +109,12 @@ def fingerprint_sha256(t):
     return t("documents").select("doc_id", text.fingerprint(RECORD).alias("fingerprint"))
 
 
-@query("""WITH b AS (SELECT text, lang FROM documents WHERE lang <> 'de'), a AS (SELECT text, lang FROM documents WHERE lang <> 'fr')
+@query(r"""WITH b AS (SELECT text, lang FROM documents), a AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, lang FROM documents)
 SELECT (SELECT count(*) FROM b) AS before_records, (SELECT count(*) FROM a) AS after_records,
  (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS removed, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS added""")
 def compare_datasets(t):
     d = t("documents")
-    return dedup.compare(d.where("lang <> 'de'"), d.where("lang <> 'fr'"), RECORD)
+    return dedup.compare(d, d.withColumn("text", text.normalize_whitespace(F.col("text"))), RECORD)
 
 
 @query("""SELECT 'documents' AS source, doc_id AS id, text FROM documents
@@ -151,7 +137,7 @@ def normalize_whitespace(t):
     return t("documents").select("doc_id", text.normalize_whitespace(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, left(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), 100000) AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM documents")
 def clean_string(t):
     return t("documents").select("doc_id", text.clean_string(F.col("text")).alias("text"))
 
@@ -328,9 +314,9 @@ def csv_lines(t):
     return t("documents").select("doc_id", text.csv_line(["doc_id", "lang", "text"]).alias("value"))
 
 
-@query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
+@query("SELECT '{\"doc_id\":' || doc_id || ',\"lang\":' || CAST(to_json(lang) AS VARCHAR) || ',\"text\":' || CAST(to_json(text) AS VARCHAR) || '}' AS value FROM documents")
 def jsonl_lines(t):
-    return sinks.lines(t("nation").select("n_nationkey", "n_name", "n_regionkey"), "jsonl")
+    return sinks.lines(t("documents"), "jsonl", ["doc_id", "lang", "text"])
 
 
 @query(r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS id, line AS text FROM (
@@ -421,7 +407,7 @@ def stratified_split(t):
     return training.hash_split(t("labels").select("doc_id", "quality"), "doc_id", within=["quality"])
 
 
-@query("SELECT count(*) AS records, CAST(sum(least(length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), 200000)) AS BIGINT) AS characters, CAST(ceil(sum(least(length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), 200000)) / 4.0) AS BIGINT) AS tokens FROM documents")
+@query("SELECT count(*) AS records, CAST(sum(length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''))) AS BIGINT) AS characters, CAST(ceil(sum(length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''))) / 4.0) AS BIGINT) AS tokens FROM documents")
 def text_statistics(t):
     return training.text_statistics(t("documents"), ["text"])
 
@@ -477,12 +463,6 @@ def quality_summary(t):
     return quality.summary(quality.validate(t("documents"), RECORD, ["source"]))
 
 
-@query()
-def dataset_checksum(t):
-    d = t("documents")
-    return d.sparkSession.createDataFrame([(sinks.checksum(d, RECORD),)], "checksum string")
-
-
 @query()
 def lcg_split(t):
     return training.lcg_split(t("labels").select("doc_id"), "doc_id")
@@ -491,9 +471,3 @@ def lcg_split(t):
 @query()
 def nfkc_normalize(t):
     return t("documents").select("doc_id", text.nfkc(F.col("text")).alias("text"))
-
-
-@query()
-def training_prepare(t):
-    records, _ = training.prepare(t("documents").select("doc_id", "text", "lang"), ["text", "lang"], "doc_id", "text")
-    return records

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.errors import SourceError
+from quarrymill.functions.guards import detect_format
 from quarrymill.functions.names import plain
 from quarrymill.functions.text import trimmed
 
@@ -31,15 +33,26 @@ def file_type(path: str, hint: str = "") -> str:
     return found
 
 
+def type_of(path: Column) -> Column:
+    """The type that a path's extension stands for, or null."""
+    extension, kind = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), F.lit(None).cast("string")
+    for e, t in TYPES.items():
+        kind = F.when(extension == e, t).otherwise(kind)
+    return kind
+
+
+def file_problem(path: Column, size: Column, most: int = MAX_FILE_BYTES) -> Column:
+    """A code for what keeps a file from being read, or null."""
+    extension = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    problem = F.when(extension.isin(*BLOCKED), "BLOCKED_EXTENSION").when(type_of(path).isNull(), "UNSUPPORTED_EXTENSION")
+    return problem.when(size > most, "FILE_TOO_LARGE").when(size == 0, "EMPTY_FILE")
+
+
 def files(spark: SparkSession, paths: list[str], most: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, bytes, modified, type, problem) of files, from metadata only."""
     rows = spark.read.format("binaryFile").load(paths).drop("content")
-    extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    kind = F.lit(None).cast("string")
-    for e, t in TYPES.items():
-        kind = F.when(extension == e, t).otherwise(kind)
-    problem = F.when(extension.isin(*BLOCKED), "BLOCKED_EXTENSION").when(kind.isNull(), "UNSUPPORTED_EXTENSION").when(F.col("length") > most, "FILE_TOO_LARGE").when(F.col("length") == 0, "EMPTY_FILE")
-    return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), kind.alias("type"), problem.alias("problem"))
+    problem = file_problem(F.col("path"), F.col("length"), most)
+    return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), type_of(F.col("path")).alias("type"), problem.alias("problem"))
 
 
 def decoded(content: Column) -> Column:
@@ -155,7 +168,11 @@ def read(spark: SparkSession, source: Source, fetcher=None) -> DataFrame:
     kind = source.kind.lower()
     if kind == "file":
         paths = [source.value] if isinstance(source.value, str) else list(source.value)
-        sort = file_type(paths[0])
+        sorts = {p: file_type(p) for p in paths}
+        if len(set(sorts.values())) > 1:  # each type by its own rules
+            parts = [read(spark, Source("file", [p for p in paths if sorts[p] == t], source.name, source.options)) for t in dict.fromkeys(sorts.values())]
+            return reduce(DataFrame.unionByName, parts)
+        sort = sorts[paths[0]]
         whole = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_path"), decoded(F.col("content")).alias("text"))
     elif kind in ("text", "json", "csv"):
         sort, whole = kind, spark.createDataFrame([(source.name, str(source.value))], "_path string, text string")
@@ -173,7 +190,9 @@ def read(spark: SparkSession, source: Source, fetcher=None) -> DataFrame:
         rows = json_lines(whole, "text", keys).where("problem is null").select(*keys, F.col("line").alias("id"), "record")
     elif sort == "csv":
         rows = parse_csv(whole, "text", keys).select(*keys, "id", F.to_json("record").alias("record"))
-    elif sort in ("html", "xml"):
+    elif sort == "xml":
+        rows = whole.select(*keys, F.lit(1).alias("id"), F.to_json(F.struct(strip_html(F.col("text")).alias("text"))).alias("record"))
+    elif sort == "html":
         rows = whole.select(*keys, F.lit(1).alias("id"), F.to_json(F.struct(html_title(F.col("text")).alias("title"), strip_html(F.col("text")).alias("text"))).alias("record"))
     elif sort == "text":
         rows = text_lines(whole, "text", keys, numbered=True).select(*keys, "id", F.to_json(F.struct("id", "text")).alias("record"))
@@ -182,6 +201,65 @@ def read(spark: SparkSession, source: Source, fetcher=None) -> DataFrame:
     return rows
 
 
+def parse_collected(df: DataFrame, text: str, content_type: Column, path: Column, keys: list[str]) -> DataFrame:
+    """(keys, format, id, record): texts of a column parsed by the format that each is found to have; unknown ones have none."""
+    rows = df.select(*keys, F.coalesce(text, F.lit("")).alias("_text"), detect_format(content_type, F.col(text), path).alias("_format"))
+    of = lambda f: rows.where(F.col("_format") == f)
+    page = strip_html(F.col("_text"))
+    plain = lambda r: r.where(F.get_json_object("record", "$.text") != "")
+    parts = {
+        "json": json_records(of("json"), "_text", keys).where("problem is null").select(*keys, (F.col("index") + 1).alias("id"), "record"),
+        "csv": parse_csv(of("csv"), "_text", keys).select(*keys, "id", F.to_json("record").alias("record")),
+        "html": of("html").select(*keys, F.lit(1).alias("id"), F.to_json(F.struct(html_title(F.col("_text")).alias("title"), page.alias("text"))).alias("record")),
+        "xml": plain(of("xml").select(*keys, F.lit(1).alias("id"), F.to_json(F.struct(page.alias("text"))).alias("record"))),
+        "text": text_lines(of("text"), "_text", keys).select(*keys, "id", F.to_json(F.struct("text")).alias("record")),
+    }
+    return reduce(DataFrame.union, [r.select(*keys, F.lit(f).alias("format"), "id", "record") for f, r in parts.items()])
+
+
+def record_fields(df: DataFrame, json: str) -> DataFrame:
+    """(field, present): how many JSON records have each top-level field."""
+    keys = df.select(F.explode(F.json_object_keys(json)).alias("field"))
+    return keys.groupBy("field").agg(F.count(F.lit(1)).alias("present"))
+
+
+def read_many(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[dict]]:
+    """All files that can be read, each by its own type, and a line for each path with its error if it can't be."""
+    good, report = [], []
+    for path in paths:
+        try:
+            file_type(path)
+            good.append(path)
+            report.append({"file": path, "success": True})
+        except SourceError as e:
+            report.append({"file": path, "success": False, "error": e.as_dict()})
+    return (read(spark, Source("file", good)) if good else None), report
+
+
+def service_text(df: DataFrame, text: str, kind: str, keys: list[str]) -> DataFrame:
+    """(keys, id, record, problem): texts under the service's rules.
+
+    Texts that are declared or look like JSON give their records; if they were only taken for JSON and aren't, or are
+    plain text, their lines; CSV is only what is declared so.
+    """
+    whole = df.select(*keys, trimmed(F.coalesce(text, F.lit(""))).alias("_text")).where("_text <> ''")
+    declared = kind.lower() in ("json", "application/json")
+    looks = F.lit(True) if declared else F.col("_text").startswith("{") | F.col("_text").startswith("[")
+    good = looks & F.try_parse_json("_text").isNotNull()
+    v = F.try_parse_json("_text")
+    many = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    as_json = whole.where(good).select(*keys, F.posexplode(many).alias("_at", "_v"))
+    as_json = as_json.select(*keys, (F.col("_at") + 1).alias("id"), F.to_json("_v").alias("record"), F.lit(None).cast("string").alias("problem"))
+    rest = whole.where(~good)
+    if declared:
+        return as_json.union(rest.select(*keys, F.lit(1), F.lit(None).cast("string"), F.lit("INVALID_JSON")))
+    if kind.lower() in ("csv", "text/csv"):
+        other = parse_csv(rest, "_text", keys).select(*keys, "id", F.to_json("record").alias("record"), F.lit(None).cast("string").alias("problem"))
+    else:
+        other = text_lines(rest, "_text", keys).select(*keys, "id", F.to_json(F.struct("text")).alias("record"), F.lit(None).cast("string").alias("problem"))
+    return as_json.union(other)
+
+
 def looks_like_csv(text: str) -> bool:
     """Whether the first five filled lines, two at least, have the same number of commas, and some."""
     lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()][:5]
@@ -189,11 +267,27 @@ def looks_like_csv(text: str) -> bool:
     return len(lines) > 1 and len(counts) == 1 and counts != {0}
 
 
+def sniffed_csv(text: Column) -> Column:
+    """``looks_like_csv`` of a column."""
+    lines = F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: F.trim(x) != "")
+    counts = F.transform(F.slice(lines, 1, 5), lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
+    return (F.size(counts) > 1) & (F.size(F.array_distinct(counts)) == 1) & (F.get(counts, F.lit(0)) > 0)
+
+
 def supported_formats() -> dict[str, str]:
     return dict(TYPES)
 
 
+# Parts of the names of a source's secrets.
+SECRETS = ("password", "secret", "token", "apikey", "api_key")
+
+
 def sanitized(options: dict) -> dict:
     """A source's description without secrets, long values cut."""
-    secret = ("password", "secret", "token", "apikey", "api_key")
-    return {k: v[:4000] if isinstance(v, str) else v for k, v in options.items() if not any(s in k.lower() for s in secret)}
+    return {k: v[:4000] if isinstance(v, str) else v for k, v in options.items() if not any(s in k.lower() for s in SECRETS)}
+
+
+def sanitized_map(c: Column) -> Column:
+    """``sanitized`` of a column of maps of strings."""
+    kept = F.map_filter(c, lambda k, _: ~reduce(lambda a, b: a | b, [F.contains(F.lower(k), F.lit(s)) for s in SECRETS]))
+    return F.transform_values(kept, lambda _, v: F.substring(v, 1, 4000))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import ExportError
@@ -21,19 +21,23 @@ def columns_for(df: DataFrame, preferred: list[str] | None = None) -> list[str]:
     return first + [c for c in df.columns if c not in first and not c.startswith("_")]
 
 
-def lines(df: DataFrame, form: str, columns: list[str] | None = None) -> DataFrame:
-    """``value``: each record as one line of the format."""
+def line(df: DataFrame, form: str, columns: list[str] | None = None) -> Column:
+    """Each record as one line of the format."""
     columns = columns or columns_for(df)
     if form in ("json", "jsonl"):
-        return df.select(record_json(columns).alias("value"))
+        return record_json(columns)
     if form == "csv":
-        return df.select(csv_line(columns).alias("value"))
+        return csv_line(columns)
     if form == "txt":
-        text = F.coalesce(F.col(columns[0]).cast("string"), F.lit("")) if len(columns) == 1 else record_json(columns)
-        return df.select(text.alias("value"))
+        return F.coalesce(F.col(columns[0]).cast("string"), F.lit("")) if len(columns) == 1 else record_json(columns)
     raise ExportError("UNSUPPORTED_FORMAT", f"format is one of {sorted(FORMATS)}")
 
 
+def lines(df: DataFrame, form: str, columns: list[str] | None = None) -> DataFrame:
+    """``value``: each record as one line of the format."""
+    return df.select(line(df, form, columns).alias("value"))
+
+
 def to_string(df: DataFrame, form: str, order: str, columns: list[str] | None = None, wrap: bool = True) -> str:
     """The whole export as one string, for small data sets; rows pass through the driver one partition at a time."""
     columns = columns or [c for c in columns_for(df) if c != order]
@@ -57,6 +61,26 @@ def write(df: DataFrame, path: str, form: str, columns: list[str] | None = None)
     return manifest(df, columns, form, path)
 
 
+def write_all(df: DataFrame, path: str, forms: list[str] | None = None, columns: list[str] | None = None) -> list[dict]:
+    """The data set in several formats below ``path``: for each whether it succeeded, with its report or its error."""
+    out = []
+    for form in forms or list(FORMATS):
+        began = datetime.now(UTC)
+        try:
+            done = write(df, f"{path}/{form}", form, columns)
+            out.append({"success": True, "format": form, "report": export_report(done, began)})
+        except ExportError as e:
+            out.append({"success": False, "format": form, "error": e.as_dict()})
+    return out
+
+
+def export_report(done: dict, began: datetime) -> dict:
+    """The manifest of an export with its file, times and duration."""
+    ended = datetime.now(UTC)
+    file = {"path": done["path"], "name": done["fileName"], "bytes": done["bytes"], "checksum": done["checksum"]}
+    return {"success": True, "format": done["format"], "file": file, "manifest": done, "startedAt": began.isoformat(), "finishedAt": ended.isoformat(), "durationMs": round((ended - began).total_seconds() * 1000)}
+
+
 def manifest(df: DataFrame, columns: list[str], form: str, path: str) -> dict:
     """Counts, sizes and a checksum that doesn't depend on partitions."""
     value = lines(df, form, columns)
@@ -89,14 +113,18 @@ def write_training(records: DataFrame, path: str, name: str = "training", split:
     base = file_name(name)
     records.select(record_json(columns).alias("value"), split).write.mode("overwrite").partitionBy(split).text(f"{path}/{base}")
     rows = {r[split]: r["n"] for r in records.groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {"name": base, "path": f"{path}/{base}", "columns": columns, "splits": rows, "records": sum(rows.values()), "createdAt": datetime.now(UTC).isoformat()}
+    out = {"name": base, "path": f"{path}/{base}", "columns": columns, "splits": rows, "records": sum(rows.values()), "checksum": checksum(records, columns), "createdAt": datetime.now(UTC).isoformat()}
     records.sparkSession.createDataFrame([(json.dumps(out),)], "value string").write.mode("overwrite").text(f"{path}/{base}_manifest")
     return out
 
 
 def card(manifest: dict, statistics: dict | None = None) -> dict:
-    """What a reader of the training data needs first."""
-    return {"name": manifest["name"], "records": manifest["records"], "splits": manifest["splits"], "fields": manifest["columns"], "statistics": statistics or {}}
+    """What a reader of the training data needs first: rows by split, fields, checksum, statistics."""
+    splits = manifest["splits"]
+    return {
+        "name": manifest["name"], "records": manifest["records"], **{s: splits.get(s, 0) for s in ("train", "validation", "test")},
+        "fields": manifest["columns"], "checksum": manifest.get("checksum"), "statistics": statistics or {}, "generatedAt": manifest.get("createdAt"),
+    }
 
 
 def _folder(spark, path: str):

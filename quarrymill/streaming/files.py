@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarrymill.functions.text import fingerprint, normalize_whitespace, record_json
+from quarrymill.functions.text import fingerprint, normalize_whitespace
 from quarrymill.operators.clean import CleanOptions, clean_value, is_empty_record
-from quarrymill.operators.privacy import hits
+from quarrymill.operators.privacy import with_types
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
@@ -21,7 +21,7 @@ def cleaned(df: DataFrame, columns: list[str], options: CleanOptions = CleanOpti
     """Stateless cleaning: values, empty records, and the types of sensitive values found."""
     values = [clean_value(F.col(c), df.schema[c].dataType, options).alias(c) if c in columns else F.col(c) for c in df.columns]
     out = df.where(~is_empty_record(df, columns)).select(*values)
-    return out.withColumn("findings", hits(record_json(columns)))
+    return with_types(out, columns)
 
 
 def first_within(df: DataFrame, columns: list[str], at: str, delay: str = "10 minutes") -> DataFrame:
