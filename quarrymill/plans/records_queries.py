@@ -207,11 +207,12 @@ def dataset_preview(t):
     return _report(quality.preview(t("documents"), RECORD))
 
 
-@query(f"""SELECT event_id AS index, type, CAST(NULL AS VARCHAR) AS field FROM (SELECT index AS event_id, type FROM ({_found('library', 'events', 'event_id', "'{\"api_key\":' || CAST(to_json(props) AS VARCHAR) || ',\"token\":' || CAST(to_json(event_type) AS VARCHAR) || '}'")}))
-UNION ALL SELECT NULL, 'sensitive_field', 'api_key' UNION ALL SELECT NULL, 'sensitive_field', 'token'""")
+@query(f"""SELECT event_id AS index, type, '' AS field FROM (SELECT index AS event_id, type FROM ({_found('library', 'events', 'event_id', "'{\"api_key\":' || CAST(to_json(props) AS VARCHAR) || ',\"token\":' || CAST(to_json(event_type) AS VARCHAR) || '}'")}))
+UNION ALL SELECT -1, 'sensitive_field', 'api_key' UNION ALL SELECT -1, 'sensitive_field', 'token'""")
 def privacy_check(t):
     rows = t("events").select("event_id", F.col("props").alias("api_key"), F.col("event_type").alias("token"))
-    return privacy.privacy_check(rows, ["api_key", "token"], "event_id")
+    found = privacy.privacy_check(rows, ["api_key", "token"], "event_id")
+    return found.select(F.coalesce("index", F.lit(-1)).alias("index"), "type", F.coalesce("field", F.lit("")).alias("field"))
 
 
 @query("SELECT count(*) AS records, CAST(sum(length(t)) AS BIGINT) AS characters, CAST(ceil(sum(length(t)) / 4.0) AS BIGINT) AS tokens, count(DISTINCT l) AS classes, min(n) AS least, max(n) AS most FROM (SELECT trim(d.text || ' ' || CAST(l.quality AS VARCHAR)) AS t, l.quality AS l, count(*) OVER (PARTITION BY l.quality) AS n FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents) d JOIN labels l USING (doc_id))")

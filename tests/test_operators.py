@@ -1,8 +1,11 @@
 """Operators on golden inputs, edge cases, and independence from partitions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from quarrymill.functions import ordering
 from quarrymill.functions.errors import RecordError, TrainingError
 from quarrymill.functions.ordering import by_range, dense_number
 from quarrymill.operators import clean, dedup, privacy, profile, quality, training
@@ -56,7 +59,7 @@ def test_duplicates_and_compare(spark):
 
 def test_dense_numbers_and_batches(spark):
     df = spark.range(0, 250, 1, 5).select((F.col("id") * 3).alias("k"))
-    bucket, key = by_range("k", 100)
+    bucket, key = by_range(df, "k")
     got = {r["k"]: r["n"] for r in dense_number(df, bucket, [key], "n").collect()}
     assert got == {3 * i: i + 1 for i in range(250)}
     assert {r["batch"]: r["count"] for r in dedup.batches(df, "k", 100).groupBy("batch").count().collect()} == {0: 100, 1: 100, 2: 50}
@@ -136,3 +139,65 @@ def test_catalog(spark, tmp_path):
         c.set("validationLevel", "none")
     with pytest.raises(RecordError):
         c.load("missing")
+
+
+def test_ranges_of_sparse_and_other_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 4)
+    rng = random.Random(0)
+    keys = sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)} | {*range(200), *(10**9 + i for i in range(100))})
+    shuffled = rng.sample(keys, len(keys))
+    df = spark.createDataFrame([(k, f"{k:020d}") for k in shuffled] + [(None, None)], "k long, s string")
+    for column, want in (("k", keys), ("s", sorted(f"{k:020d}" for k in keys))):
+        bucket, key = by_range(df, column)
+        rows = dense_number(df, bucket, [key], "n").orderBy("n").collect()
+        assert [r["n"] for r in rows] == list(range(1, len(keys) + 2)) and [r[column] for r in rows] == [None, *want]
+    bucket, _ = by_range(df, "k")
+    assert df.select(bucket.alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 150
+    nested = df.where("k is not null").select(F.struct("k", "s").alias("at"))
+    rows = dedup.batches(nested, "at", 100).collect()
+    assert all(r["batch"] == keys.index(r["at"]["k"]) // 100 for r in rows)
+
+
+def test_keep_first_of_repeated_and_null_keys(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (None, "b", 1), (None, "b", 2), (2, "b", 3), (None, "c", 4), (1, "d", 6), (1, "e", 7), (3, None, 8), (4, None, 9)]
+    df = spark.createDataFrame(rows, "r long, v string, other long")
+    got = sorted(((r["v"], r["r"], r["other"]) for r in dedup.deduplicate(df, ["v"], "r").collect()), key=str)
+    assert got == sorted([("a", 1, 5), ("b", 2, 3), ("c", None, 4), ("d", 1, 6), ("e", 1, 7), (None, 3, 8)], key=str)
+    within = dedup.deduplicate(df.where("r is not null"), ["v"], "r", ["r"]).collect()
+    assert len(within) == 6 and dedup.deduplicate(df.limit(0), ["v"], "r").count() == 0
+    again = sorted(((r["v"], r["r"], r["other"]) for r in dedup.deduplicate(df.repartition(3), ["v"], "r").collect()), key=str)
+    assert again == got
+
+
+def test_values_inside_of_containers(spark):
+    df = spark.createDataFrame([(1, [" a  b ", "n/a"], {"k": " x "}, (" y ", [" z "])), (2, None, None, None)], "r long, v array<string>, m map<string,string>, s struct<a:string,b:array<string>>")
+    out, _ = clean.clean_dataset(df, ["v", "m", "s"], "r")
+    row = out.where("_row = 1").first()
+    assert row["v"] == ["a b", ""] and row["m"] == {"k": "x"} and row["s"].asDict(True) == {"a": "y", "b": ["z"]}
+    cut = clean.clean_value(F.lit("abcdef"), df.schema["v"].dataType.elementType, clean.CleanOptions(most=3))
+    assert spark.range(1).select(cut).first()[0] == "abc"
+
+
+def test_scores_of_json_records(spark):
+    rows = [("a", '{"x":1}'), ("a", '{"x":1}'), ("a", '{"x":"1","password":"p"}'), ("a", "3"), ("a", "null"), ("b", '{"x":" "}'), ("b", "no json"), ("b", "{}"), ("b", '""')]
+    df = spark.createDataFrame(rows, "g string, j string")
+    got = {r["g"]: r for r in quality.validate_json(df, "j", ["g"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["records"], a["duplicates"], a["invalid"], a["fields"], a["structures"], a["mixed_fields"]) == (5, 1, 1, 2, 4, 1)
+    assert (a["format"], a["validity"], a["completeness"], a["presence"]) == (100 - 15 - 3 - 10, 80, 40, 40)
+    assert a["findings"] == 1 and b["invalid"] == 3 and (b["completeness"], b["presence"]) == (0, 25)
+    whole = quality.validate_json(df, "j").first()
+    assert whole["records"] == 9 and quality.validate_json(df.limit(0), "j").first()["records"] == 0
+    found = {r["index"]: r["reason"] for r in quality.validity(df.withColumn("i", F.monotonically_increasing_id()), "j", "i").collect()}
+    assert sorted(found.values()) == ["empty_object", "empty_string", "null_or_undefined", "null_or_undefined"]
+
+
+def test_reports_before_and_by_mode(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, None, "y")], "r long, text string, label string")
+    seen = quality.preview(df, ["text"]).first()
+    assert (seen["privacy_status"], seen["duplicates"]) == ("no-obvious-findings", 1)
+    assert quality.strict_validate(df, ["text"]).first()["mode"] == "strict"
+    report = training.statistics(df, ["text"], "classification", "r").first()
+    assert (report["records"], report["characters"], report["classes"], report["most"]) == (3, 2, 2, 2)
+    chats = df.select(F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("messages"))
+    assert training.statistics(chats, ["messages"], "chat", "r").first()["messages"] == 3

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarrymill.functions import names
 from quarrymill.functions.errors import ExportError, SourceError
 from quarrymill.plans import pipeline
 from quarrymill.sources import fetch, readers, sinks
@@ -110,3 +111,42 @@ def test_training_files_and_export_upkeep(spark, tmp_path):
 def test_sniffing():
     assert readers.looks_like_csv("a,b\n1,2\n") and not readers.looks_like_csv("a,b\n1\n") and not readers.looks_like_csv("a\nb")
     assert readers.sanitized({"url": "x", "apiKey": "y", "Token": "z"}) == {"url": "x"}
+
+
+def test_files_of_several_types(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x":1},{"x":2}]')
+    (tmp_path / "b.csv").write_text("x\n3\n")
+    (tmp_path / "c.txt").write_text("one\n\ntwo\n")
+    paths = [f"file://{tmp_path}/{n}" for n in ("a.json", "b.csv", "c.txt", "d.exe")]
+    with pytest.raises(SourceError):
+        readers.read(spark, Source("file", paths))
+    rows, report = readers.read_many(spark, paths)
+    assert sorted(r["record"] for r in rows.collect()) == ['{"id":1,"text":"one"}', '{"id":2,"text":"two"}', '{"x":"3"}', '{"x":1}', '{"x":2}']
+    assert [r["success"] for r in report] == [True, True, True, False] and report[3]["error"]["code"] == "BLOCKED_EXTENSION"
+    assert readers.read_many(spark, paths[3:])[0] is None
+
+
+def test_service_texts(spark):
+    rows = [(1, ' [{"a":1},{"a":2}] '), (2, "{bad\nline"), (3, None), (4, "a,b\n1,2")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = lambda kind: sorted((r["k"], r["id"], r["record"], r["problem"]) for r in readers.service_text(df, "t", kind, ["k"]).collect())
+    json_rows = [(1, 1, '{"a":1}', None), (1, 2, '{"a":2}', None)]
+    assert got("auto") == json_rows + [(2, 1, '{"text":"{bad"}', None), (2, 2, '{"text":"line"}', None), (4, 1, '{"text":"a,b"}', None), (4, 2, '{"text":"1,2"}', None)]
+    assert got("csv")[-1] == (4, 1, '{"a":"1","b":"2"}', None)
+    assert [x[0] for x in got("json") if x[3] == "INVALID_JSON"] == [2, 4]
+
+
+def test_several_formats_and_measured_steps(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "_row int, text string")
+    done = sinks.write_all(df, f"file://{tmp_path}/all", ["json", "csv", "xlsx"])
+    assert [(d["format"], d["success"]) for d in done] == [("json", True), ("csv", True), ("xlsx", False)] and done[0]["report"]["manifest"]["records"] == 2
+    data, steps = pipeline.process_sources(spark, [Source("json", '[{"a":"1"}]', "one"), Source("odd", "", "two")], ["a"])
+    report = pipeline.final_report(data, steps)
+    assert report["failed"] == ["collect:two"] and all(s["durationMs"] >= 0 for s in steps) and report["quality"]["records"] == 1
+
+
+def test_columns_of_rules(spark):
+    df = spark.createDataFrame([("a,b\n1,2\n", "/x/a:b  c?.CSV", 5), ("a\nb", "x.exe", 0), (None, None, None)], "t string, p string, n long")
+    rows = df.select(readers.sniffed_csv(F.col("t")), names.file_name_of(F.col("p")), readers.type_of(F.col("p")), readers.file_problem(F.col("p"), F.col("n"))).collect()
+    assert [tuple(r) for r in rows[:2]] == [(True, "_x_a_b_c_.CSV", "csv", None), (False, "x.exe", None, "BLOCKED_EXTENSION")]
+    assert rows[2][1] == "dataset" and names.file_name("a//b") == "a__b"
