@@ -33,6 +33,8 @@ FREQUENT = 1 << 18
 END_HASH, END_HEAD = np.uint64(0xE4D0FD0C5A17B3F1), 0
 #: Tokens of a product.
 TOKENS = 1024
+#: Parts of one that vectors are rounded to in these products.
+FINE = 2.0**16
 
 
 class Tokens(NamedTuple):
@@ -267,13 +269,15 @@ def trained(texts: DataFrame, counts: Counts) -> Model:
 def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) -> np.ndarray:
     """Natural log of each token's normalised probability, by products of token batches with all target vectors.
 
-    Batches have one size, the last one is filled up, so a token's product doesn't depend on how many others there are.
+    The products are of whole numbers (parts of ``FINE``) in doubles, which hold them exactly, so that a token's
+    probability depends on its own context only, not on the place that it has in a batch.
     """
     out = np.zeros(len(symbol))
-    one = np.zeros((CONTEXT, SYMBOLS + 1, 1), np.float32)
+    one = np.zeros((CONTEXT, SYMBOLS + 1, 1))
     one[0] = 1  # so that the bias is part of the product
-    tables, targets = np.concatenate([model.tables, one], 2), np.concatenate([model.targets, model.bias[:, None]], 1).T.copy()
-    rows, logits = np.arange(TOKENS), np.empty((TOKENS, SYMBOLS), np.float32)
+    tables = np.round(np.concatenate([model.tables, one], 2) * FINE)
+    targets = np.round(np.concatenate([model.targets, model.bias[:, None]], 1).T * FINE).copy()
+    rows, whole, logits = np.arange(TOKENS), np.empty((TOKENS, SYMBOLS)), np.empty((TOKENS, SYMBOLS), np.float32)
     for a in range(0, len(symbol), TOKENS):
         c, own = context[:, a : a + TOKENS], symbol[a : a + TOKENS]
         missing = TOKENS - len(own)
@@ -282,11 +286,12 @@ def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) ->
         q = tables[0][c[0]]
         for j in range(1, CONTEXT):
             q += tables[j][c[j]]
-        np.matmul(q, targets, out=logits)
-        picked, top = logits[rows, own].astype(np.float64), logits.max(1)
-        logits -= top[:, None]
+        np.matmul(q, targets, out=whole)
+        whole -= whole.max(1, keepdims=True)
+        picked = whole[rows, own] * FINE**-2
+        np.multiply(whole, FINE**-2, out=logits, casting="same_kind")
         np.exp(logits, out=logits)
-        out[a : a + TOKENS] = (picked - top - np.log(logits.sum(1)))[: TOKENS - missing]
+        out[a : a + TOKENS] = (picked - np.log(logits.sum(1, dtype=np.float64)))[: TOKENS - missing]
     return out
 
 

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.scratch import dropped, written
 
-#: Scores a query gets, centres of a tree at most, and bytes of a block of vectors or queries, about.
-BEST, CENTRES, BLOCK_BYTES = 5, 256, 1 << 19
+#: Scores a query gets, points of a leaf on average, and bytes of a block of vectors or queries, about.
+BEST, LEAF, BLOCK_BYTES = 5, 128, 1 << 19
 #: Vectors of the bounded sample, of which some are the middles of cells and all give queries their first worst scores.
 SAMPLE = 8192
-#: Vectors a cell, about; cells at most; and lengths of vectors that are dealt to cells (others are searched whole).
-CELL, CELLS, LENGTHS = 1024, 1024, 4
+#: Vectors and queries a cell, about; cells at most; and lengths of vectors that are dealt to cells (others are searched whole).
+CELL, QUERY_CELL, CELLS, LENGTHS = 4096, 256, 1024, 4
 
 
 class Node(NamedTuple):
@@ -62,9 +62,9 @@ def farthest_first(x: np.ndarray, most: int) -> tuple[list[int], list[float], np
     return centres, gaps, nearest
 
 
-def cover_tree(x: np.ndarray, most: int = CENTRES) -> Tree:
+def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Tree:
     """The tree of the nets that farthest-first centres make: those that were 2**l or more away are the net of level l."""
-    centres, gaps, nearest = farthest_first(x, most)
+    centres, gaps, nearest = farthest_first(x, -(-len(x) // leaf))
     level = np.array([10_000, *[int(np.floor(np.log2(g))) for g in gaps[1:]]])
     children: dict[int, list[tuple[int, list[int]]]] = {c: [] for c in range(len(centres))}  # by centre: (level, new ones)
     for own in sorted(set(level[1:].tolist()), reverse=True):
@@ -121,7 +121,7 @@ class Search:
         exact = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * queries.shape[1] < 2**53
         kind = np.float64 if exact else np.int64
         self.q, self.x, self.ids, self.k = queries.astype(kind), vectors.astype(kind), ids, k
-        self.floor, self.met = floor, 0
+        self.floor = floor
         self.scores = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
 
@@ -130,7 +130,6 @@ class Search:
 
     def meet(self, a: Node, b: Node) -> None:
         scores = (self.q[a.low : a.high] @ self.x[b.low : b.high].T).astype(np.int64)
-        self.met += scores.size
         rows = np.flatnonzero(scores.max(1) >= np.maximum(self.scores[a.low : a.high, -1], self.floor[a.low : a.high]))
         if len(rows):
             at = a.low + rows
@@ -163,11 +162,11 @@ def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
 TREES = "size int, cell int, sub int, ids array<long>, floor array<long>, kind string, data binary, centre array<int>, low array<int>, high array<int>, radius array<double>, parent array<int>"
 
 
-def plant(block: pa.Table) -> pa.Table:
+def plant(block: pa.Table, leaf: int = LEAF) -> pa.Table:
     """For applyInArrow: a block of (id, size, whole, cell, sub, floor) to one row with its tree, points in tree order."""
     size = block.column("size")[0].as_py()
     x = matrix(block.column("whole"), size)
-    tree = cover_tree(x.astype(np.float64))
+    tree = cover_tree(x.astype(np.float64), leaf)
     reach = int(np.abs(x).max(initial=0))
     kind = "<i2" if reach < 1 << 15 else "<i4" if reach < 1 << 31 else "<i8"
     list_of = lambda v, t: pa.array([v.tolist()], pa.list_(t))
@@ -179,41 +178,51 @@ def plant(block: pa.Table) -> pa.Table:
     return pa.table(columns, names=[f.split()[0] for f in TREES.split(", ")])
 
 
+def planted_rows(table: pa.Table) -> Iterator[dict]:
+    """Rows of planted trees, their lists as arrays."""
+    for i in range(len(table)):
+        cells = {c: table.column(c)[i] for c in table.column_names}
+        yield {c: x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) else x.as_py() for c, x in cells.items()}
+
+
+def points(row: dict) -> np.ndarray:
+    return np.frombuffer(row["data"], row["kind"]).astype(np.int64).reshape(len(row["ids"]), row["size"])
+
+
 def grown(row: dict) -> tuple[np.ndarray, Node]:
     """Points and root of a planted tree."""
-    x = np.frombuffer(row["data"], row["kind"]).astype(np.int64).reshape(len(row["ids"]), row["size"])
-    children: list[list[Node]] = [[] for _ in row["centre"]]
+    x = points(row)
+    centres = x[row["centre"]].astype(np.float64)
+    norms = np.sqrt((centres**2).sum(1)).tolist()
+    radius, low, high, parent = (row[c].tolist() for c in ("radius", "low", "high", "parent"))
+    children: list[list[Node]] = [[] for _ in parent]
     root = None
-    for i in range(len(row["centre"]) - 1, -1, -1):  # children come after their parents
-        centre = x[row["centre"][i]].astype(np.float64)
-        root = Node(centre, float(np.sqrt(centre @ centre)), row["radius"][i], row["low"][i], row["high"][i], tuple(children[i][::-1]))
-        if row["parent"][i] >= 0:
-            children[row["parent"][i]].append(root)
+    for i in range(len(parent) - 1, -1, -1):  # children come after their parents
+        root = Node(centres[i], norms[i], radius[i], low[i], high[i], tuple(children[i][::-1]))
+        if parent[i] >= 0:
+            children[parent[i]].append(root)
     return x, root
 
 
-FOUND = "query long, vec_id long, score long, compared long"
+FOUND = "query long, vec_id long, score long"
 
 
 def searcher(k: int):
     """A function for cogrouped applyInArrow: a block of queries and one of vectors to the best of each query."""
 
     def search(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        query, vec_id, score, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        for q_row in queries.to_pylist():
+        query, vec_id, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q_row in planted_rows(queries):
             q, q_root = grown(q_row)
-            for x_row in vectors.to_pylist():
+            for x_row in planted_rows(vectors):
                 x, x_root = grown(x_row)
-                run = Search(q, np.array(q_row["floor"], np.int64), x, np.array(x_row["ids"], np.int64), k)
+                run = Search(q, q_row["floor"], x, x_row["ids"], k)
                 run.descend(q_root, x_root)
                 good = run.found.ravel() != np.iinfo(np.int64).max
-                query.append(np.repeat(np.array(q_row["ids"], np.int64), k)[good])
+                query.append(np.repeat(q_row["ids"], k)[good])
                 vec_id.append(run.found.ravel()[good])
                 score.append(run.scores.ravel()[good])
-                met += run.met
-        query, vec_id, score = (pa.array(np.concatenate(v)) for v in (query, vec_id, score))
-        compared = pa.array([met if i == 0 else 0 for i in range(len(query))], pa.int64())
-        return pa.table([query, vec_id, score, compared], names=[f.split()[0] for f in FOUND.split(", ")])
+        return pa.table([pa.array(np.concatenate(v)) for v in (query, vec_id, score)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     return search
 
@@ -257,8 +266,8 @@ def nearby(k: int):
 
     def near(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out, size = np.full(len(queries), np.iinfo(np.int64).min, np.int64), queries.column("size")[0].as_py() if len(queries) else 0
-        for row in vectors.to_pylist():
-            x, _ = grown(row)
+        for row in planted_rows(vectors):
+            x = points(row)
             for at in range(0, len(queries) if len(x) >= k else 0, 1024):
                 q = matrix(queries.column("whole").slice(at, 1024), size)
                 out[at : at + 1024] = np.maximum(out[at : at + 1024], np.partition(q @ x.T, -k, axis=1)[:, -k])
@@ -275,7 +284,12 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def planted(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "size", "whole", "cell", "sub", "floor").groupBy("size", "cell", "sub").applyInArrow(plant, TREES)
+    leaf = LEAF
+
+    def grow(block: pa.Table) -> pa.Table:
+        return plant(block, leaf)
+
+    return rows.select("id", "size", "whole", "cell", "sub", "floor").groupBy("size", "cell", "sub").applyInArrow(grow, TREES)
 
 
 def cell_pairs(middles: dict[int, np.ndarray], queries: list, vectors: list) -> tuple[pa.Table, int]:
@@ -300,7 +314,7 @@ def cell_pairs(middles: dict[int, np.ndarray], queries: list, vectors: list) ->
     return pa.table([pa.array(c.astype(np.int32)) for c in columns], names=["size", "q_cell", "v_cell"]), every
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int = SAMPLE, cell: int = CELL, report: dict | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int = SAMPLE, cell: int = CELL, query_cell: int = QUERY_CELL, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` greatest inner products of each of ``queries`` with ``vectors``.
 
     Both have (vec_id, embedding). A component x counts as floor(256 * x), so scores are whole numbers and exact; ties
@@ -340,6 +354,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
         samples[n] = matrix(first.filter(pa.array(first.column("size").to_numpy() == n)).column("whole"), n)
     cells = min(CELLS, max(1, kept.count() // cell))
     middles = {n: x[:cells].astype(np.float64) for n, x in samples.items()}
+    q_cells = min(cells, max(1, asked.count() // query_cell))
+    q_middles = {n: x[:q_cells] for n, x in middles.items()}  # the first of them, so that fewer queries make as large cells
 
     shape = "id long, size int, whole array<long>, cell int, reach double"
     dealt = written(kept.mapInArrow(placer(middles), shape), "vectors-dealt")
@@ -350,12 +366,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
     dropped(dealt)
 
     distinct = asked.groupBy("whole").agg(F.min("vec_id").alias("id")).select("id", F.size("whole").alias("size"), "whole")
-    distinct = distinct.mapInArrow(placer(middles), shape).mapInArrow(floored(samples, k + 1), f"{shape}, floor long")
+    distinct = distinct.mapInArrow(placer(q_middles), shape).mapInArrow(floored(samples, k + 1), f"{shape}, floor long")
     distinct = written(blocks(distinct.where("true")), "queries-floored")
     near = []  # the cell with the greatest product of middles for each cell of queries
     for n, own in middles.items():
         have = np.array(sorted(r["cell"] for r in v_rows if r["size"] == n), np.int64)
-        near += [(n, int(c), int(have[b])) for c, b in enumerate((own @ own[have].T).argmax(1))] if len(have) else []
+        near += [(n, int(c), int(have[b])) for c, b in enumerate((q_middles[n] @ own[have].T).argmax(1))] if len(have) else []
     spark = vectors.sparkSession
     best_cell = spark.createDataFrame(near, "size int, cell int, v_cell int")
     left = distinct.join(F.broadcast(best_cell), ["size", "cell"])  # at most CELLS * LENGTHS rows

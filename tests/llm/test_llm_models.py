@@ -152,6 +152,7 @@ def best_by_brute_force(x, ids, k=5):
 @pytest.mark.parametrize("copies,cell,clusters", [(1, 1024, 0), (40, 16, 0), (1, 24, 6)])
 def test_topk(spark, monkeypatch, copies, cell, clusters):
     monkeypatch.setattr(topk, "BLOCK_BYTES", 1)  # blocks of 64 vectors
+    monkeypatch.setattr(topk, "LEAF", 8)
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.3, (300, 8)).astype(np.float32)
     if clusters:
@@ -161,7 +162,7 @@ def test_topk(spark, monkeypatch, copies, cell, clusters):
     rows += [(700, []), (701, []), (750, [1.0, 2.0]), (751, [2.0, 1.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, id int")
     got, report = {}, {}
-    for r in topk.nearest(df, df.where("vec_id % 50 = 0"), cell=cell, sample=300, report=report).orderBy("query_id", "rank").collect():
+    for r in topk.nearest(df, df.where("vec_id % 50 = 0"), cell=cell, query_cell=1, sample=300, report=report).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = best_by_brute_force(x, np.arange(300))
     assert got == {i: want[i] for i in range(0, 300, 50)} | {700: [(701, 0)], 750: [(751, 4 * 65536)]}
@@ -173,7 +174,7 @@ def test_topk(spark, monkeypatch, copies, cell, clusters):
 def test_cover_tree_invariants():
     x = np.random.default_rng(0).normal(size=(600, 5))
     x[5] = x[6]
-    tree = topk.cover_tree(x, 64)
+    tree = topk.cover_tree(x, 8)
     assert sorted(tree.order.tolist()) == list(range(600)) and tree.parent[0] == -1
     own = x[tree.order]
     for i in range(len(tree.low)):
@@ -189,7 +190,7 @@ def test_cover_tree_invariants():
         if level > tree.level[1:].min():
             assert np.sqrt(((own[:, None] - own[net][None]) ** 2).sum(2)).min(1).max() <= 2.0**level  # covering
     block = pa.table({"id": np.arange(600), "size": pa.array([5] * 600, pa.int32()), "whole": (x * 100).astype(int).tolist(), "cell": pa.array([0] * 600, pa.int32()), "sub": pa.array([0] * 600, pa.int32()), "floor": np.zeros(600, np.int64)})
-    row = topk.plant(block).to_pylist()[0]
+    row = next(topk.planted_rows(topk.plant(block, 8)))
     points, root = topk.grown(row)
     assert (points == (x * 100).astype(int)[row["ids"]]).all()
     a, b = root.children[0], root.children[-1]
