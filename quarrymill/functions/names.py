@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +67,15 @@ def file_name(name: str | None, default: str = "dataset", most: int = 120) -> st
     return text or default
 
 
+def dataset_name(name: str | None, most: int = 150, today: date | None = None) -> str:
+    """A data set's name, cut; a dated one where there is none."""
+    return (name or "").replace("\0", "").strip()[:most] or f"Dataset {(today or date.today()).isoformat()}"
+
+
+def output_name(name: str | None, form: str) -> str:
+    return f"{file_name(name)}.{form.lower()}"
+
+
 def file_name_of(c: Column, default: str = "dataset", most: int = 120) -> Column:
     """``file_name`` of a column."""
     safe = F.regexp_replace(F.regexp_replace(trimmed(F.coalesce(c, F.lit(""))), UNSAFE, "_"), r"\s+", "_")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import RecordError
+from quarrymill.plans.pipeline import draft
+from quarrymill.sources.readers import record_fields, service_text
 
 LEVELS = ("basic", "standard", "strict")
 SCHEMAS = {
@@ -50,6 +52,19 @@ class Catalog:
         self.add("operations", type="dataset_created", dataset_id=key, records=report.get("records", 0))
         return key
 
+    def collect(self, name: str, text: str, kind: str = "auto", source: str = "manual") -> str:
+        """A data set of a text, parsed by the service's rules; its columns are those of the records."""
+        whole = self.spark.createDataFrame([(text,)], "text string")
+        rows = service_text(whole, "text", kind, []).where("problem is null").select("id", "record")
+        fields = [r["field"] for r in record_fields(rows, "record").orderBy("field").collect()]
+        if not fields:
+            raise RecordError("EMPTY_DATA")
+        new = draft(rows.select(*[F.get_json_object("record", f"$['{f}']").alias(f) for f in fields]), fields, name, source=source)
+        report = {"records": new["recordCount"], "quality": new["quality"]["quality"], "ready": False}
+        key = self.save(new["name"], new["type"], new["df"], report, source)
+        self.add("collections", type=source, dataset_id=key)
+        return key
+
     def load(self, key: str) -> DataFrame:
         if not self.table("datasets").where(F.col("id") == key).limit(1).count():
             raise RecordError("DATASET_NOT_FOUND", id=key)

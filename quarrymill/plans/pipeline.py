@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import RecordError
+from quarrymill.functions.names import dataset_name, plain
 from quarrymill.functions.text import fingerprint
-from quarrymill.operators.clean import CleanOptions, clean_dataset, clean_records, keep_fields, remove_empty_fields, reorder_fields
+from quarrymill.operators.clean import CleanOptions, clean_dataset, clean_records, is_empty_record, keep_fields, remove_empty_fields, reorder_fields
 from quarrymill.operators.dedup import batches, compare, deduplicate
+from quarrymill.operators.privacy import sensitive_counts
 from quarrymill.operators.quality import readiness, recommendations, validate
-from quarrymill.sources.readers import Source, read
+from quarrymill.sources.readers import Source, normalize_names, read
 
 STEPS = ("collect", "clean", "figures", "validate")
 
@@ -124,23 +126,31 @@ def compare_process(before: DataFrame, after: DataFrame, columns: list[str]) ->
 
 def service_clean(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """The service's clean: empty records go, then equal ones, then values are trimmed, so new equals can remain."""
-    from quarrymill.operators.clean import is_empty_record
-    from quarrymill.sources.readers import normalize_names
-
     full = df.where(~is_empty_record(df, columns, "service"))
     return normalize_names(deduplicate(full, columns, order), "service")
 
 
 def service_prepare(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """The service's preparation: values are trimmed first, then empty and equal records go."""
-    from quarrymill.functions.names import plain
-    from quarrymill.operators.clean import is_empty_record
-    from quarrymill.sources.readers import normalize_names
-
     rows = normalize_names(df, "service")
     names, key = list(dict.fromkeys(plain(c, True) for c in columns)), plain(order, True)
     return deduplicate(rows.where(~is_empty_record(rows, names, "service")), names, key)
 
 
+def draft(df: DataFrame, columns: list[str], name: str | None = None, kind: str = "general", source: str = "manual") -> dict:
+    """A new data set under the service's rules: its records with their figures and the types of sensitive values."""
+    rows = normalize_names(df.select(*columns), "service")
+    report = validate(rows, rows.columns, None, "service").first().asDict()
+    found = {r["type"]: r["findings"] for r in sensitive_counts(rows, rows.columns, "service").where("findings > 0").collect()}
+    return {"id": uuid.uuid4().hex, "name": dataset_name(name), "type": kind[:50] or "general", "source": source, "df": rows, "recordCount": report["records"], "quality": report, "sensitive": found, "status": "draft", "createdAt": datetime.now(UTC).isoformat()}
+
+
+def collection_report(steps: list[dict]) -> dict:
+    """How many sources were asked for and read, and what failed."""
+    asked = [s for s in steps if s["name"].startswith("collect:")]
+    bad = [s for s in asked if s["status"] == "failed"]
+    return {"success": len(bad) < len(asked), "sources": len(asked), "read": len(asked) - len(bad), "failed": [{"name": s["name"][8:], "error": s["error"]} for s in bad]}
+
+
 def record_ids(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("fingerprint", fingerprint(columns))

@@ -8,7 +8,7 @@ from quarrymill.functions import guards, names, text
 from quarrymill.operators import clean, privacy, quality, training
 from quarrymill.plans import pipeline
 from quarrymill.plans.queries import _CLEANED, _JSON, _RAW_SQL, _RULES, _TOKENS, RECORD, _cell, _found, _raw, _report, _scores, _strip, query
-from quarrymill.sources import readers, sinks
+from quarrymill.sources import fetch, readers, sinks
 
 _SPACES = r"'^\s+|\s+$', '', 'g'"
 
@@ -334,3 +334,25 @@ def file_fields(t):
     return readers.record_fields(rows, "record").select("field", "present")
 
 
+
+
+@query(f"WITH r AS ({_scores(profile='service')}) SELECT 'my data' AS name, 'general' AS type, records, quality, findings FROM r")
+def service_draft(t):
+    new = pipeline.draft(t("documents"), RECORD, " my data ")
+    row = (new["name"], new["type"], new["recordCount"], new["quality"]["quality"], sum(new["sensitive"].values()))
+    return t("documents").sparkSession.createDataFrame([row], "name string, type string, records long, quality long, findings long")
+
+
+@query("SELECT c_custkey, c_custkey % 6 IN (0, 1, 3, 4) AS library, c_custkey % 6 IN (0, 1, 2, 3, 4) AS service FROM customer")
+def fetched_types(t):
+    kinds = ("text/html", "application/json", "application/x-csv", "text/x-own", "application/xml", "image/png")
+    rows = [(i, fetch.allowed(k), fetch.allowed(k, "service")) for i, k in enumerate(kinds)]
+    known = t("customer").sparkSession.createDataFrame(rows, "kind int, library boolean, service boolean")
+    return t("customer").join(F.broadcast(known), F.col("c_custkey") % 6 == F.col("kind")).select("c_custkey", "library", "service")
+
+
+@query("SELECT n_nationkey, left(trim(n_name), 5) AS name, replace(trim(n_name), ' ', '_') || '.jsonl' AS file FROM nation")
+def data_set_names(t):
+    rows = t("nation").collect()  # 25 names: these are rules for a few names, not for columns
+    named = [(r["n_nationkey"], names.dataset_name(r["n_name"], 5), names.output_name(r["n_name"], "JSONL")) for r in rows]
+    return t("nation").sparkSession.createDataFrame(named, "n_nationkey int, name string, file string")

@@ -37,7 +37,16 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         raise SourceError("REDIRECT_NOT_ALLOWED")
 
 
-def fetch(url: str, most: int = MAX_BYTES, timeout: float = TIMEOUT_S, resolve=socket.getaddrinfo) -> Page:
+# Parts of the content types that the service takes.
+SERVICE_TYPES = ("text/", "json", "csv", "javascript", "xml")
+
+
+def allowed(kind: str, profile: str = "library") -> bool:
+    """Whether a content type is read: of a list or text for the library, anything that sounds like data for the service."""
+    return any(x in kind for x in SERVICE_TYPES) if profile == "service" else kind in ALLOWED_TYPES or kind.startswith("text/")
+
+
+def fetch(url: str, most: int = MAX_BYTES, timeout: float = TIMEOUT_S, resolve=socket.getaddrinfo, profile: str = "library") -> Page:
     parts = urlsplit(url)
     if parts.scheme not in ("http", "https"):
         raise SourceError("UNSUPPORTED_PROTOCOL")
@@ -47,7 +56,7 @@ def fetch(url: str, most: int = MAX_BYTES, timeout: float = TIMEOUT_S, resolve=s
     most = min(max(most, 1024), MAX_BYTES)
     with urllib.request.build_opener(_NoRedirect).open(url, timeout=max(timeout, 1.0)) as answer:
         kind = answer.headers.get_content_type()
-        if kind not in ALLOWED_TYPES and not kind.startswith("text/"):
+        if not allowed(kind, profile):
             raise SourceError("UNSUPPORTED_CONTENT_TYPE", content_type=kind)
         body = answer.read(most + 1)
         if len(body) > most:

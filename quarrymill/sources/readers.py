@@ -163,6 +163,27 @@ class Source:
     options: dict = field(default_factory=dict)
 
 
+def source_of(value: object) -> Source:
+    """A source from a URL or from a description with ``type``, ``url`` or ``value``, and other options."""
+    if isinstance(value, Source):
+        return value
+    if isinstance(value, str):
+        return Source("url", value)
+    if not isinstance(value, dict):
+        raise SourceError("INVALID_SOURCE")
+    kind = str(value.get("type") or ("url" if value.get("url") else "unknown")).lower()
+    given = next((value[k] for k in ("url", "value", "text", "data", "path") if value.get(k) is not None), None)
+    return Source(kind, given, str(value.get("name", "")), sanitized({k: v for k, v in value.items() if k not in ("type", "name")}))
+
+
+def records_of(result: object) -> object:
+    """The records in an answer: of its collection, its own, or itself if it is a list; else none."""
+    if isinstance(result, dict):
+        inner = result.get("collection")
+        return inner["records"] if isinstance(inner, dict) and "records" in inner else result.get("records", [])
+    return result if isinstance(result, (list, DataFrame)) else []
+
+
 def read(spark: SparkSession, source: Source, fetcher=None) -> DataFrame:
     """(index, record): JSON texts of the records of one source."""
     kind = source.kind.lower()

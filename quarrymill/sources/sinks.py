@@ -50,9 +50,14 @@ def to_string(df: DataFrame, form: str, order: str, columns: list[str] | None =
     return "".join(f"{r}\n" for r in [*head, *rows])
 
 
-def write(df: DataFrame, path: str, form: str, columns: list[str] | None = None) -> dict:
-    """A directory of part files in the format, and the manifest of it; CSV parts have a header each."""
+def write(df: DataFrame, path: str, form: str, columns: list[str] | None = None, most: int | None = None) -> dict:
+    """A directory of part files in the format, and the manifest of it; CSV parts have a header each.
+
+    If ``most`` is given, nothing of more bytes is written.
+    """
     columns = columns or columns_for(df)
+    if most is not None and (size := manifest(df, columns, form, path)["bytes"]) > most:
+        raise ExportError("OUTPUT_TOO_LARGE", bytes=size, most=most)
     if form == "csv":
         cells = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
         cells.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
@@ -61,6 +66,13 @@ def write(df: DataFrame, path: str, form: str, columns: list[str] | None = None)
     return manifest(df, columns, form, path)
 
 
+def to_service_json(df: DataFrame, order: str, name: str, kind: str, quality: int) -> str:
+    """The service's export of a small data set: its name, type, records, quality and time in one JSON object."""
+    columns = [c for c in columns_for(df) if c != order]
+    records = [json.loads(r["value"]) for r in lines(df.orderBy(order), "json", columns).toLocalIterator()]
+    return json.dumps({"name": name, "type": kind, "records": records, "quality": quality, "exportedAt": datetime.now(UTC).isoformat()}, ensure_ascii=False, indent=2)
+
+
 def write_all(df: DataFrame, path: str, forms: list[str] | None = None, columns: list[str] | None = None) -> list[dict]:
     """The data set in several formats below ``path``: for each whether it succeeded, with its report or its error."""
     out = []

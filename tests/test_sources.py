@@ -1,13 +1,16 @@
 """Readers, sinks and the file stream."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import names
-from quarrymill.functions.errors import ExportError, SourceError
-from quarrymill.plans import pipeline
+from quarrymill.functions.errors import ExportError, RecordError, SourceError
+from quarrymill.functions.text import nfkc
+from quarrymill.operators import training
+from quarrymill.plans import catalog, pipeline
 from quarrymill.sources import fetch, readers, sinks
 from quarrymill.sources.readers import Source
 from quarrymill.streaming import files as stream
@@ -150,3 +153,48 @@ def test_columns_of_rules(spark):
     rows = df.select(readers.sniffed_csv(F.col("t")), names.file_name_of(F.col("p")), readers.type_of(F.col("p")), readers.file_problem(F.col("p"), F.col("n"))).collect()
     assert [tuple(r) for r in rows[:2]] == [(True, "_x_a_b_c_.CSV", "csv", None), (False, "x.exe", None, "BLOCKED_EXTENSION")]
     assert rows[2][1] == "dataset" and names.file_name("a//b") == "a__b"
+
+
+def test_descriptions_of_sources():
+    assert readers.source_of("http://a.test").kind == "url"
+    made = readers.source_of({"type": "JSON", "text": "[]", "name": "n", "token": "t"})
+    assert (made.kind, made.value, made.name, made.options) == ("json", "[]", "n", {"text": "[]"})
+    assert readers.source_of({"url": "http://a.test"}).kind == "url" and readers.source_of({}).kind == "unknown"
+    with pytest.raises(SourceError):
+        readers.source_of(3)
+    assert readers.records_of({"collection": {"records": [1]}}) == [1] and readers.records_of({"records": [2]}) == [2]
+    assert readers.records_of([3]) == [3] and readers.records_of("x") == []
+    assert fetch.allowed("application/vnd.api+json", "service") and not fetch.allowed("application/vnd.api+json")
+
+
+def test_drafts_collections_and_sizes(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a@b.test "), (2, None)], "_row int, Text string")
+    new = pipeline.draft(df, ["Text"], "")
+    assert new["name"].startswith("Dataset ") and new["recordCount"] == 2 and new["sensitive"] == {"email": 1} and new["df"].columns == ["text"]
+    store = catalog.Catalog(spark, f"file://{tmp_path}/catalog")
+    key = store.collect("mine", '[{"a":"1","b":"2"},{"a":"3"}]')
+    assert sorted((r["a"], r["b"]) for r in store.load(key).collect()) == [("1", "2"), ("3", None)] and store.table("collections").count() == 1
+    with pytest.raises(RecordError):
+        store.collect("none", "  ")
+    with pytest.raises(ExportError):
+        sinks.write(df, f"file://{tmp_path}/big", "jsonl", most=3)
+    assert json.loads(sinks.to_service_json(df, "_row", "n", "general", 7))["records"][1] == {"Text": None}
+    steps = [{"name": "collect:a", "status": "completed"}, {"name": "collect:b", "status": "failed", "error": {}}, {"name": "clean", "status": "completed"}]
+    assert pipeline.collection_report(steps) == {"success": True, "sources": 2, "read": 1, "failed": [{"name": "b", "error": {}}]}
+
+
+def test_compatibility_form_and_shuffle(spark):
+    texts = ["ﬁne ① Ａ", "e\u0301", "plain", None, "№ ½ ㎏"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[1] for r in df.select("i", nfkc(F.col("t"))).orderBy("i").collect()]
+    assert got == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    state, numbers = 42, []
+    for _ in range(30):
+        state = (state * 1664525 + 1013904223) % 2**32
+        numbers.append(state / 2**32)
+    order = list(range(20))
+    for i, x in zip(range(19, 0, -1), numbers, strict=False):
+        j = int(x * (i + 1))
+        order[i], order[j] = order[j], order[i]
+    split = training.lcg_split(spark.range(20).withColumnRenamed("id", "k"), "k").orderBy("place").collect()
+    assert [r["k"] for r in split] == order and [r["split"] for r in split] == ["train"] * 16 + ["validation"] * 2 + ["test"] * 2
