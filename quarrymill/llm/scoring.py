@@ -162,9 +162,13 @@ def started(unigram: np.ndarray, seed: int = 5) -> list[np.ndarray]:
 
 def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``rows`` by ``at``."""
-    out, width = np.zeros(n * rows.shape[1], np.float32), rows.shape[1]
-    np.add.at(out, np.arange(n * width).reshape(n, width)[at].ravel(), rows.ravel())
-    return out.reshape(n, width)
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    order = np.argsort(at, kind="stable")
+    sizes = np.bincount(at, minlength=n)
+    kinds = np.flatnonzero(sizes)
+    if len(kinds):
+        out[kinds] = np.add.reduceat(rows[order], (np.cumsum(sizes) - sizes)[kinds])
+    return out
 
 
 def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, unigram: np.ndarray, passes: int, rng: np.random.Generator) -> None:
