@@ -186,6 +186,12 @@ def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similar
     return found
 
 
+def placed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(place, node, component) of the postings; a node without links is its own component."""
+    own = lists.select("place", "node").join(labels, "node", "left")
+    return own.select("place", "node", F.coalesce("component", "node").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, key_a and key_b for every row of ``docs`` (doc_id, text).
 
@@ -195,9 +201,10 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
        ``COORDINATES`` - m + 1 of each it shares one: only that prefix is kept, which leaves the long posting lists
        (common passages) out. The other coordinates aren't merged but skipped to: a candidate's collisions are
        counted on the two signatures.
-    3. The first round pairs every posting with one node of its list, that whose postings are the most common: of
-       altered copies, the least altered. Confirmed links make components, and lists with one component are done:
-       pairs inside a component can't change the result.
+    3. Every list has a pivot, the node whose postings are the most common: of altered copies, the least altered. The
+       first round pairs every node with the most common of its lists' pivots, then, where that left a list's node and
+       pivot in two components, with its other pivots. Lists with one component are done: pairs inside a component can't
+       change the result.
     4. The second round takes the nodes of lists that still hold several components. Two sets of the wanted similarity
        have a shingle in common among the rarest of each, so only that prefix of every full set is posted, and pairs
        across components are taken from its lists, only if the two have enough shared shingles left from there on.
@@ -225,19 +232,29 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILAR
     places = F.transform("signature", lambda x, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     posted = nodes.select("node", F.explode(places).alias("place"))
     lists = written(rarest(posted, F.lit(matches(similarity) - 1)).drop("at", "left"), "near-lists")
-    pivots = lists.groupBy("place").agg(F.min(F.struct("far", "node"))["node"].alias("a"), F.count(F.lit(1)).alias("rows"))
-    pivots = written(pivots.where("rows > 1").select("place", "a"), "near-pivots")
-    stars = lists.select("place", "node").join(pivots, "place").where("a <> node")
-    stars = written(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near-stars")
+    pivots = lists.groupBy("place").agg(F.min(F.struct("far", "node")).alias("pivot"), F.count(F.lit(1)).alias("rows"))
+    pivots = written(pivots.where("rows > 1").select("place", "pivot"), "near-pivots")
+    ordered = F.least("pivot.node", "node").alias("a"), F.greatest("pivot.node", "node").alias("b")
+    first = lists.select("place", "node").join(pivots, "place").where("pivot.node <> node").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    first = written(first.select(*ordered).distinct(), "near-first")
     wanted = lists.select("node").distinct().join(named, "node").select("node", "home.key_a", "home.key_b")
     texts = docs.join(wanted, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"]).select("node", "text")
     texts = written(texts, "near-candidates")
-    links = linked(stars, nodes, texts, n, similarity)
+    links = linked(first, nodes, texts, n, similarity)
+    own = written(placed(lists, components(links)), "near-own")
+
+    # All pivots, of the lists and pairs that the first ones left apart.
+    placed_pivots = pivots.select("place", "pivot", F.col("pivot.node").alias("node")).join(own, ["place", "node"])
+    placed_pivots = written(placed_pivots.select("place", "pivot", F.col("component").alias("_component")), "near-pivots-placed")
+    apart = own.join(placed_pivots, "place").where("_component <> component")
+    stars = written(apart.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"), "near-stars")
+    links = written(links.union(linked(stars, nodes, texts, n, similarity)), "near-links")
+    dropped(own)
     labels = components(links)
+    stars = stars.union(first)
 
     # The second round: nodes of lists with several components.
-    own = lists.select("place", "node").join(labels, "node", "left").select("place", "node", F.coalesce("component", "node").alias("component"))
-    own = written(own, "near-own")
+    own = written(placed(lists, labels), "near-own")
     several = own.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     still = own.join(written(several.select("place"), "near-open"), "place").select("node", "component").distinct()
     sets = texts.join(still, "node").select("node", "component", "text")
