@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrymill.functions.scratch import written
+
 
 def dense_number(df: DataFrame, bucket: Column, order: list[Column], name: str, within: list[str] | None = None) -> DataFrame:
     """Number rows from 1 by ``order`` (within the groups of ``within``), as ``name``.
@@ -31,37 +33,24 @@ def by_digest(seed: int | str, key: str) -> tuple[Column, Column]:
     return F.substring(digest, 1, 3), digest
 
 
-#: Quantiles that ranges of keys are laid between, and rows that a range has, about.
-QUANTILES, RANGE_ROWS = 64, 100_000
-
-
-def by_range(df: DataFrame, key: str) -> tuple[Column, Column]:
-    """The order of ``key`` in ``df``: (bucket, key).
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number rows from 1 by ``order``, as ``name``: any type of key, repeated or null, and no task with more than its share.
 
-    Buckets of numbers lie between quantiles of the column (one row on the driver) and are halved evenly within them, so
-    that sparse and clustered keys spread alike; those of strings go by their first two bytes, of structs by their first
-    field. Nulls are one bucket, the first.
+    Ranges are laid by the engine's sample of the whole order: all its columns, then a digest of the row, then where the
+    row stood. So a value that is there very often is cut between several ranges, as are strings with one beginning and
+    structs whose first fields are equal. Ranges are sorted where they are and written to the shared folder (their
+    bounds are drawn once, a lost executor costs a read); each is then shifted by the sizes of those before, which are
+    one row a range. Rows that tie in ``order`` are numbered by their digest, equal rows in any order.
     """
-    kind, of = df.schema[key].dataType, F.col(key)
-    while isinstance(kind, T.StructType):
-        name, kind = kind[0].name, kind[0].dataType
-        of = of[name]
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.substring(of.cast("binary"), 1, 2), F.col(key)
-    at = of.cast("double")
-    shares = [i / QUANTILES for i in range(QUANTILES + 1)]
-    row = df.agg(F.count(of).alias("n"), F.percentile_approx(at, shares, 1000).alias("q")).first()
-    bounds = sorted(set(row["q"] or []))
-    if row["n"] <= RANGE_ROWS or len(bounds) < 2:
-        return F.when(of.isNotNull(), F.lit(0.0)), F.col(key)
-    parts = max(1, -(-row["n"] // (RANGE_ROWS * (len(bounds) - 1))))
-
-    def within(low: int, high: int) -> Column:
-        """The number of the bucket, where the key lies between bounds ``low`` and ``high``."""
-        if high - low == 1:
-            width = (bounds[high] - bounds[low]) / parts
-            return low * parts + F.least(F.greatest(F.floor((at - bounds[low]) / width), F.lit(0)), F.lit(parts - 1))
-        middle = (low + high) // 2
-        return F.when(at < bounds[middle], within(low, middle)).otherwise(within(middle, high))
-
-    return F.when(of.isNotNull(), within(0, len(bounds) - 1).cast("double")), F.col(key)
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = df.withColumn("_digest", F.xxhash64(*plain) if plain else F.lit(0).cast("long")).withColumn("_stood", F.monotonically_increasing_id())
+    keys = [*order, F.col("_digest"), F.col("_stood")]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    rows = written(rows.drop("_digest", "_stood"), "placed")
+    part = F.shiftrightunsigned("_place", 33)  # the number of the range; the lower bits count its rows
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sizes.select("_part", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"))
+    out = rows.join(F.broadcast(before), part == F.col("_part"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + within + 1).alias(name))

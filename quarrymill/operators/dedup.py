@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.functions.ordering import by_range, dense_number
+from quarrymill.functions.ordering import placed
+from quarrymill.functions.scratch import written
 from quarrymill.functions.text import fingerprint
 
 
@@ -28,10 +29,22 @@ def deduplicate(df: DataFrame, columns: list[str], order: str, within: list[str]
 
 
 def duplicates(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(index, duplicate_of, fingerprint): every row that an earlier one equals. Firsts are summed before they are joined."""
-    rows = df.select(F.col(order).alias("index"), fingerprint(columns).alias("fingerprint"))
-    first = rows.groupBy("fingerprint").agg(F.min("index").alias("duplicate_of"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return rows.join(first, "fingerprint").where("duplicate_of < index").select("index", "duplicate_of", "fingerprint")
+    """(index, duplicate_of, fingerprint): every row that an earlier one equals, the same rows that ``deduplicate`` drops.
+
+    Rows without ``order`` come last, rows that share it are told apart by a digest of the whole row, and of rows equal
+    in all one is the first. Equal rows are one row with a count until the end, and firsts are written before the join, so
+    that a record that is there very often neither makes a large group nor a join that can't be split.
+    """
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = df.select(F.col(order).alias("index"), fingerprint(columns).alias("fingerprint"), F.xxhash64(*plain).alias("_digest"))
+    rows = rows.groupBy("index", "fingerprint", "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    least = F.min(F.struct(F.col("index").isNull().alias("none"), F.col("index").alias("index"), F.col("_digest").alias("digest")))
+    first = rows.groupBy("fingerprint").agg(least.alias("_first"), F.sum("_n").alias("_all")).where("_all > 1")
+    found = rows.join(written(first, "firsts"), "fingerprint")
+    own = F.col("index").eqNullSafe(F.col("_first.index")) & (F.col("_digest") == F.col("_first.digest"))
+    found = found.withColumn("_more", F.col("_n") - own.cast("long")).where("_more > 0")
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_more"))))
+    return found.select("index", F.col("_first.index").alias("duplicate_of"), "fingerprint")
 
 
 def merge(sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -69,6 +82,5 @@ def compare(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
 
 def batches(df: DataFrame, order: str, size: int = 1000) -> DataFrame:
     """Add ``batch``: rows in order, ``size`` at a time, from 0."""
-    bucket, key = by_range(df, order)
-    numbered = dense_number(df, bucket, [key], "_n")
+    numbered = placed(df, [F.col(order)], "_n")
     return numbered.withColumn("batch", F.floor((F.col("_n") - 1) / max(1, size)).cast("long")).drop("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import TrainingError
-from quarrymill.functions.ordering import by_digest, by_range, dense_number
+from quarrymill.functions.ordering import by_digest, dense_number, placed
 from quarrymill.functions.text import clean_string, trimmed, utf16_length
 from quarrymill.operators.clean import is_empty_record
 from quarrymill.operators.dedup import deduplicate
@@ -72,8 +72,7 @@ def transform(df: DataFrame, columns: list[str], order: str, mode: str, fields:
     fields, row = fields or {}, F.col(order).alias("_row")
     filled = lambda c: trimmed(F.col(c)) != ""
     if mode == "generic":
-        bucket, key = by_range(df, order)
-        out = dense_number(df, bucket, [key], "_row_index").select(row, *columns, "_row_index")
+        out = placed(df, [F.col(order)], "_row_index").select(row, *columns, "_row_index")
         return out.withColumn("_usable", ~is_empty_record(df, columns, "training"))
     if mode == "text":
         return df.select(row, extract_text(df, columns).alias("text")).withColumn("_usable", filled("text"))
@@ -168,8 +167,7 @@ def lcg_split(df: DataFrame, order: str, seed: float = 42, ratios: tuple[float,
     place = np.empty(n, np.int64)
     place[to] = np.arange(n)
     deal = df.sparkSession.createDataFrame([(i + 1, int(p)) for i, p in enumerate(place)], "_at long, place long")
-    bucket, key = by_range(df, order)
-    rows = dense_number(df, bucket, [key], "_n").join(deal, F.col("_n") == F.col("_at"))
+    rows = placed(df, [F.col(order)], "_n").join(deal, F.col("_n") == F.col("_at"))
     split = F.when(F.col("place") < train, "train").when(F.col("place") < train + validation, "validation").otherwise("test")
     return rows.select(*df.columns, split.alias("split"), "place")
 

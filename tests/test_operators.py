@@ -1,5 +1,6 @@
 """Operators on golden inputs, edge cases, and independence from partitions."""
 
+import itertools
 import random
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import ordering
 from quarrymill.functions.errors import RecordError, TrainingError
-from quarrymill.functions.ordering import by_range, dense_number
+from quarrymill.functions.ordering import placed
+from quarrymill.functions.scratch import written
 from quarrymill.operators import clean, dedup, privacy, profile, quality, training
 from quarrymill.plans import catalog, pipeline
 
@@ -59,8 +61,7 @@ def test_duplicates_and_compare(spark):
 
 def test_dense_numbers_and_batches(spark):
     df = spark.range(0, 250, 1, 5).select((F.col("id") * 3).alias("k"))
-    bucket, key = by_range(df, "k")
-    got = {r["k"]: r["n"] for r in dense_number(df, bucket, [key], "n").collect()}
+    got = {r["k"]: r["n"] for r in placed(df, [F.col("k")], "n").collect()}
     assert got == {3 * i: i + 1 for i in range(250)}
     assert {r["batch"]: r["count"] for r in dedup.batches(df, "k", 100).groupBy("batch").count().collect()} == {0: 100, 1: 100, 2: 50}
 
@@ -141,21 +142,50 @@ def test_catalog(spark, tmp_path):
         c.load("missing")
 
 
-def test_ranges_of_sparse_and_other_keys(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "RANGE_ROWS", 4)
+def test_duplicates_are_what_keep_first_drops(spark):
+    rows = [(1, "a", 0), (1, "a", 0), (1, "a", 0), (2, "b", 0), (None, "b", 0), (None, "b", 1), (3, "c", 0), (1, "d", 1), (1, "d", 2), (None, None, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "r long, v string, other long").repartition(3)
+    found = dedup.duplicates(df, ["v"], "r").collect()
+    assert sorted(((x["index"], x["duplicate_of"]) for x in found), key=str) == sorted([(1, 1), (1, 1), (None, 2), (None, 2), (1, 1), (None, None)], key=str)
+    assert len(found) == df.count() - dedup.deduplicate(df, ["v"], "r").count()
+    assert dedup.duplicates(df.where("false"), ["v"], "r").count() == 0
+
+
+def test_places_of_sparse_and_other_keys(spark):
     rng = random.Random(0)
     keys = sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)} | {*range(200), *(10**9 + i for i in range(100))})
     shuffled = rng.sample(keys, len(keys))
     df = spark.createDataFrame([(k, f"{k:020d}") for k in shuffled] + [(None, None)], "k long, s string")
     for column, want in (("k", keys), ("s", sorted(f"{k:020d}" for k in keys))):
-        bucket, key = by_range(df, column)
-        rows = dense_number(df, bucket, [key], "n").orderBy("n").collect()
+        rows = placed(df, [F.col(column)], "n").orderBy("n").collect()
         assert [r["n"] for r in rows] == list(range(1, len(keys) + 2)) and [r[column] for r in rows] == [None, *want]
-    bucket, _ = by_range(df, "k")
-    assert df.select(bucket.alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 150
     nested = df.where("k is not null").select(F.struct("k", "s").alias("at"))
     rows = dedup.batches(nested, "at", 100).collect()
     assert all(r["batch"] == keys.index(r["at"]["k"]) // 100 for r in rows)
+    assert placed(df.where("false"), [F.col("k")], "n").count() == 0
+
+
+def test_places_share_the_work_whatever_the_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordering, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    n = 40_000
+    df = spark.range(0, n, 1, 8).select(
+        F.concat(F.lit("https://example.org/pages/"), F.xxhash64("id").cast("string")).alias("url"),
+        F.struct(F.lit(0).alias("s"), F.lit("a file").alias("_path"), "id").alias("at"),
+        F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("hot"),
+        F.lit("x").alias("same"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for column in df.columns:
+            rows = placed(df.select(column), [F.col(column)], "n")
+            got = rows.orderBy("n").collect()
+            assert [r["n"] for r in got] == list(range(1, n + 1))
+            assert all(a[column] <= b[column] for a, b in itertools.pairwise(got))
+            sizes = [r["count"] for r in seen[-1].groupBy(F.shiftrightunsigned("_place", 33)).count().collect()]
+            assert len(sizes) > 1 and max(sizes) <= 2 * n / len(sizes), column
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_keep_first_of_repeated_and_null_keys(spark):
