@@ -1,57 +1,7 @@
-"""Intermediate tables in the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Intermediate tables in the shared folder, as the rest of the library writes them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
+from quarrymill.functions.scratch import cleared, dropped, own_dir, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set and all runs in one process, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """The folder in ``shared_dir`` of this application's tables."""
-    return f"{shared_dir(spark)}/quarrymill/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    The lineage ends here: what a lost executor had is read again from the files, not computed again. It also lets
-    adaptive execution split skewed joins, as both sides of a later join then start at an exchange.
-    """
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table from ``written`` that nothing reads any more."""
-    if path := _PATHS.pop(df, None):
-        _delete(df.sparkSession, path)
-
-
-def cleared(spark: SparkSession) -> None:
-    """Delete all of this application's tables, once the results that read them are written or shown."""
-    _delete(spark, own_dir(spark))
+__all__ = ["cleared", "dropped", "own_dir", "shared_dir", "written"]
