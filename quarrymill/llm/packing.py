@@ -24,7 +24,7 @@ BLOCK, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 2048, 2, 2, 4, 12
 #: The share of a parent's sequences that a crossover injects into the other.
 INJECTED = 0.1
 #: The share of a block's pieces, in its worst-filled sequences, that is packed anew with those of other blocks.
-ONWARD = 1 / 16
+ONWARD = 1 / 8
 
 #: Bytes of text that are encoded at a time; the more, the more words repeat.
 AT_ONCE = 8_000_000
@@ -242,7 +242,7 @@ def packed(docs: DataFrame, model: bytes, capacity: int = CAPACITY, end: int = E
     ids are cut into pieces of ``capacity``, the first one being what is left over; full pieces are sequences of their
     own. The others are dealt to blocks of about ``block`` pieces at random, so that every block has the sizes of the
     whole table, and each block is packed by a grouping genetic algorithm on islands (``islands``). Then the pieces in a
-    block's worst-filled sequences, a sixteenth of all, form blocks with those of other blocks and are packed again, and
+    block's worst-filled sequences, an eighth of all, form blocks with those of other blocks and are packed again, and
     so on until one block is left: what is lost at the seams of blocks shrinks with every round. A block is the most
     that a task holds, whatever the sizes. Only sizes and numbers are shuffled.
 

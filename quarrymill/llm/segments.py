@@ -84,6 +84,8 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _MARK[0x7C] = False  # in the strings of special tokens
 _BREAK, _QUOTE = 0x0A, 0x27
+#: The sign that piece vocabularies write for a space; a text that has it is spelled otherwise by them.
+_SIGN = "▁".encode()
 
 
 def fine_cuts(data: np.ndarray) -> np.ndarray:
@@ -132,7 +134,7 @@ def together(new: list[bytes], encode: Callable[[list[str]], list], sizes: np.nd
     out: list = [None] * len(new)
     beside, alone = [], []
     for i, k in enumerate(new):
-        (beside if len(k) < JOINED and _beside(k) else alone).append(i)
+        (beside if len(k) < JOINED and _SIGN not in k and _beside(k) else alone).append(i)
     for i, ids in zip(alone, encode([new[i].decode() for i in alone]), strict=True):
         out[i] = ids
     run, held = [], 0
