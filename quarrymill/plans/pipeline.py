@@ -17,9 +17,10 @@ from quarrymill.operators.clean import CleanOptions, clean_dataset, clean_record
 from quarrymill.operators.dedup import batches, compare, deduplicate
 from quarrymill.operators.privacy import sensitive_counts
 from quarrymill.operators.quality import readiness, recommendations, validate
-from quarrymill.sources.readers import Source, normalize_names, read
+from quarrymill.sources.collect import collected
+from quarrymill.sources.readers import Source, normalize_names
 
-STEPS = ("collect", "clean", "figures", "validate")
+STEPS = ("read", "collect", "clean", "validate")
 
 
 @dataclass
@@ -62,36 +63,38 @@ def process(df: DataFrame, columns: list[str], order: str, name: str = "dataset"
 
 
 def process_sources(spark: SparkSession, sources: list[Source], columns: list[str], name: str = "dataset", options: CleanOptions = CleanOptions(), fetcher=None) -> tuple[Dataset, list[dict]]:
-    """Read all sources, leave failed ones out, merge, clean and score. Returns the data set and the measured steps."""
-    steps, parts = [], []
+    """Read all sources, leave failed ones out, merge, clean and score. Returns the data set and the steps as they went.
+
+    Sources are read in one job (``collected``); a step of each says what became of it after reading, with its records or
+    its error. Files of a source that can't be read are steps of their own, with their address.
+    """
+    steps: list[dict] = []
 
     def timed(name: str, run):
-        """Runs a step and logs what became of it and how long it took."""
-        began = time.perf_counter()
-        try:
-            out, error = run(), None
-        except RecordError as e:
-            out, error = None, e.as_dict()
-        log = {"name": name, "status": "failed" if error else "completed", "durationMs": round((time.perf_counter() - began) * 1000)}
-        steps.append(log | ({"error": error} if error else {}))
+        """Runs a step and logs when it ran and how long it took."""
+        started, began = datetime.now(UTC), time.perf_counter()
+        out = run()
+        steps.append({"name": name, "status": "completed", "startedAt": started.isoformat(), "finishedAt": datetime.now(UTC).isoformat(), "durationMs": round((time.perf_counter() - began) * 1000)})
         return out
 
-    for i, source in enumerate(sources):
-        rows = timed(f"collect:{source.name or i}", lambda s=source: read(spark, s, fetcher))
-        if rows is not None:
-            parts.append(rows.select(F.struct(F.lit(i).alias("s"), "_path", "id").alias("_at"), "record"))
-    if not parts:
-        raise RecordError("NO_SOURCES", "no source could be read")
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    typed = merged.select("_at", *[F.get_json_object("record", f"$['{c}']").alias(c) for c in columns])
-    out, figures = timed("clean", lambda: cleaning_pipeline(typed, columns, "_at", options))
+    merged, outcomes = timed("read", lambda: collected(spark, sources, fetcher))
+    whole = steps.pop()
+    of_source = {o.source: [x for x in outcomes if x.source == o.source] for o in outcomes}
+    for i, own in of_source.items():
+        for o in own:
+            step = whole | {"name": f"collect:{sources[i].name or i}", "status": "completed" if o.success else "failed", "records": o.records}
+            step |= {"file": o.path} if len(own) > 1 else {}
+            steps.append(step | ({} if o.success else {"error": o.error}))
+    if merged is None or not any(o.success for o in outcomes):
+        raise RecordError("NO_SOURCES", "no source could be read", steps=steps)
+    at = F.struct(F.col("_source").alias("s"), "_path", "id").alias("_at")
+    typed = merged.select(at, *[F.get_json_object("record", f"$['{c}']").alias(c) for c in columns])
+    out, figures = cleaning_pipeline(typed, columns, "_at", options)
+    found = timed("clean", lambda: figures.first().asDict())
     names = [c for c in out.columns if c != "_row"]
-    found = timed("figures", lambda: figures.first().asDict())
     report = timed("validate", lambda: recommendations(readiness(validate(out, names))).first().asDict())
     done = Dataset(out, name, report, found, "ready_for_review" if report["ready"] else "needs_review", [s.name for s in sources])
-    return done, steps
+    return done, [{"name": "read", **{k: v for k, v in whole.items() if k != "name"}}, *steps]
 
 
 def final_report(data: Dataset, steps: list[dict]) -> dict:

@@ -187,15 +187,15 @@ def records_of(result: object) -> object:
 def read(spark: SparkSession, source: Source, fetcher=None) -> DataFrame:
     """(index, record): JSON texts of the records of one source."""
     kind = source.kind.lower()
-    if kind == "file":
+    if kind == "file":  # of any size and of several types, each by its own rules
+        from quarrymill.sources import collect
+
         paths = [source.value] if isinstance(source.value, str) else list(source.value)
-        sorts = {p: file_type(p) for p in paths}
-        if len(set(sorts.values())) > 1:  # each type by its own rules
-            parts = [read(spark, Source("file", [p for p in paths if sorts[p] == t], source.name, source.options)) for t in dict.fromkeys(sorts.values())]
-            return reduce(DataFrame.unionByName, parts)
-        sort = sorts[paths[0]]
-        whole = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_path"), decoded(F.col("content")).alias("text"))
-    elif kind in ("text", "json", "csv"):
+        by_type, problems = collect.files_of(spark, paths)
+        if problems:
+            raise problems[0][1]
+        return collect.file_records(spark, by_type).where("problem is null").drop("problem")
+    if kind in ("text", "json", "csv"):
         sort, whole = kind, spark.createDataFrame([(source.name, str(source.value))], "_path string, text string")
     elif kind in ("url", "web", "http", "https"):
         if fetcher is None:
@@ -246,15 +246,11 @@ def record_fields(df: DataFrame, json: str) -> DataFrame:
 
 def read_many(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[dict]]:
     """All files that can be read, each by its own type, and a line for each path with its error if it can't be."""
-    good, report = [], []
-    for path in paths:
-        try:
-            file_type(path)
-            good.append(path)
-            report.append({"file": path, "success": True})
-        except SourceError as e:
-            report.append({"file": path, "success": False, "error": e.as_dict()})
-    return (read(spark, Source("file", good)) if good else None), report
+    from quarrymill.sources import collect
+
+    rows, outcomes = collect.collected(spark, [Source("file", paths)])
+    report = [{"file": o.path, "success": o.success} | ({"records": o.records} if o.success else {"error": o.error}) for o in outcomes]
+    return (rows.drop("_source") if rows is not None and any(o.success for o in outcomes) else None), report
 
 
 def service_text(df: DataFrame, text: str, kind: str, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from quarrymill.functions.errors import ExportError, RecordError, SourceError
 from quarrymill.functions.text import nfkc
 from quarrymill.operators import training
 from quarrymill.plans import catalog, pipeline
-from quarrymill.sources import fetch, readers, sinks
+from quarrymill.sources import fetch, lines, readers, sinks
 from quarrymill.sources.readers import Source
 from quarrymill.streaming import files as stream
 
@@ -66,7 +66,7 @@ def test_sources_to_data_set(spark):
     sources = [Source("json", '[{"a":"1","b":"x"},{"a":"1","b":"x"}]', "one"), Source("csv", "a,b\n2,y\n", "two"), Source("url", "http://x.test", "three")]
     done, steps = pipeline.process_sources(spark, sources, ["a", "b"])
     assert sorted((r["a"], r["b"]) for r in done.df.collect()) == [(1.0, "x"), (2.0, "y")]
-    assert [s["status"] for s in steps[:3]] == ["completed", "completed", "failed"]
+    assert [s["status"] for s in steps if s["name"].startswith("collect:")] == ["completed", "completed", "failed"]
 
 
 def test_fetch_guards():
@@ -125,7 +125,8 @@ def test_files_of_several_types(spark, tmp_path):
         readers.read(spark, Source("file", paths))
     rows, report = readers.read_many(spark, paths)
     assert sorted(r["record"] for r in rows.collect()) == ['{"id":1,"text":"one"}', '{"id":2,"text":"two"}', '{"x":"3"}', '{"x":1}', '{"x":2}']
-    assert [r["success"] for r in report] == [True, True, True, False] and report[3]["error"]["code"] == "BLOCKED_EXTENSION"
+    assert sorted(r["success"] for r in report) == [False, True, True, True]
+    assert [r["error"]["code"] for r in report if not r["success"]] == ["BLOCKED_EXTENSION"]
     assert readers.read_many(spark, paths[3:])[0] is None
 
 
@@ -198,3 +199,62 @@ def test_compatibility_form_and_shuffle(spark):
         order[i], order[j] = order[j], order[i]
     split = training.lcg_split(spark.range(20).withColumnRenamed("id", "k"), "k").orderBy("place").collect()
     assert [r["k"] for r in split] == order and [r["split"] for r in split] == ["train"] * 16 + ["validation"] * 2 + ["test"] * 2
+
+
+def test_lines_of_large_files_are_read_by_many_tasks(spark, tmp_path):
+    n = 40_000
+    with open(tmp_path / "large file.jsonl", "w", newline="") as f:
+        f.write("\ufeff")
+        for i in range(n):
+            f.write(f'{{"i": {i}}}' + ("\r\n" if i % 3 else "\n") + ("  \n\n" if i % 5 == 0 else ""))
+    (tmp_path / "small.jsonl").write_bytes(b'\xff\xfe' + '\n{"i": 1}\n\n{"i": 2}'.encode("utf-16-le"))
+    (tmp_path / "odd.jsonl").write_bytes(b'{"i": "\xff"}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        paths = [f"file://{tmp_path}/{x}" for x in ("large file.jsonl", "small.jsonl", "odd.jsonl")]
+        assert spark.read.text(paths[0]).rdd.getNumPartitions() > 8
+        rows = lines.json_rows(lines.file_lines(spark, paths))
+        got = rows.withColumn("i", F.get_json_object("record", "$.i")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    large = sorted((r["id"], int(r["i"])) for r in got if r["_path"].endswith("large file.jsonl"))
+    assert large == [(i + 1, i) for i in range(n)]
+    assert sorted((r["id"], r["i"]) for r in got if r["_path"].endswith("small.jsonl")) == [(1, "1"), (2, "2")]
+    assert [r["i"] for r in got if r["_path"].endswith("odd.jsonl")] == ["\ufffd"] and all(r["problem"] is None for r in got)
+
+
+def test_csv_lines_are_as_texts_are(spark, tmp_path):
+    text = 'a, b ,,a\r\n"x, ""y""", 2 ,3,last\nshort\n\nl,o,n,g,er\n"open,1\n'
+    (tmp_path / "a.csv").write_text(text, newline="")
+    (tmp_path / "b.csv").write_text("a\n1\n")
+    got = lines.csv_rows(lines.file_lines(spark, [f"file://{tmp_path}/{x}.csv" for x in "ab"])).collect()
+    want = readers.parse_csv(one(spark, text), "text", ["k"]).select("id", F.to_json("record").alias("r")).collect()
+    assert sorted((r["id"], r["record"]) for r in got if r["_path"].endswith("a.csv")) == sorted(map(tuple, want))
+    assert [(r["id"], r["record"]) for r in got if r["_path"].endswith("b.csv")] == [(1, '{"a":"1"}')]
+
+
+def test_failed_sources_are_steps(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('{"a":"1"}\n{"a":"2"}\n')
+    (tmp_path / "bad.jsonl").write_text('{"a":"3"}\n\n{"a":\n')
+    (tmp_path / "empty.csv").write_text("")
+    at = lambda x: f"file://{tmp_path}/{x}"
+
+    def fetcher(url):
+        raise TimeoutError("slow")
+
+    sources = [
+        Source("file", at("missing.json"), "missing"), Source("json", "{bad", "invalid"), Source("file", at("good.jsonl"), "good"), Source("file", at("bad.jsonl"), "lines"),
+        Source("file", [at("good.jsonl"), at("empty.csv")], "two"), Source("url", "http://x.test", "page"), Source("odd", "", "odd"),
+    ]
+    data, steps = pipeline.process_sources(spark, sources, ["a"], fetcher=fetcher)
+    assert sorted(r["a"] for r in data.df.collect()) == [1.0, 2.0]
+    failed = {s["name"]: s["error"]["code"] for s in steps if s["status"] == "failed"}
+    assert failed == {"collect:missing": "FILE_NOT_FOUND", "collect:invalid": "INVALID_JSON", "collect:lines": "INVALID_JSONL", "collect:two": "EMPTY_FILE", "collect:page": "FETCH_FAILED", "collect:odd": "UNSUPPORTED_SOURCE_TYPE"}
+    assert [s["error"]["details"]["at"] for s in steps if s["name"] == "collect:lines"] == [2]
+    assert [s["records"] for s in steps if s["name"] in ("collect:good", "collect:two")] == [2, 0, 2] or [s["records"] for s in steps if s["name"] in ("collect:good", "collect:two")] == [2, 2, 0]
+    assert all(s["finishedAt"] >= s["startedAt"] for s in steps)
+    with pytest.raises(RecordError) as e:
+        pipeline.process_sources(spark, sources[:2], ["a"])
+    assert e.value.code == "NO_SOURCES" and len(e.value.details["steps"]) == 2
