@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrymill.plans import records_queries  # noqa: F401  registers its queries
+from quarrymill.plans import mixed_queries, records_queries  # noqa: F401  they register their queries
 from quarrymill.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.errors import RecordError, SourceError
 from quarrymill.functions.scratch import written
 from quarrymill.sources.lines import ROWS, file_lines, plain_path
-from quarrymill.sources.readers import Source, decoded, file_type, html_title, json_records, parse_csv, strip_html, text_lines
+from quarrymill.sources.readers import BLOCKED, Source, decoded, file_type, html_title, json_records, parse_csv, strip_html, text_lines
 
 COLUMNS = ("_path", "id", "record", "problem")
 
@@ -31,7 +31,7 @@ class Outcome:
         return self.error is None
 
 
-def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(address, bytes) of the files that a path, folder or pattern stands for; from metadata."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,18 +42,19 @@ def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return out
 
 
-def files_of(spark: SparkSession, paths: list[str]) -> tuple[dict[str, list[str]], list[tuple[str, SourceError]]]:
-    """(files by type, paths with the error that keeps them from being read)."""
+def files_of(spark: SparkSession, paths: list[str], hint: str = "", as_type: str = "") -> tuple[dict[str, list[str]], list[tuple[str, SourceError]]]:
+    """(files by type, paths with the error that keeps them from being read); ``hint`` is the type of files
+    without a known extension, ``as_type`` that of all, whatever they are called."""
     by_type: dict[str, list[str]] = {}
     problems = []
     for path in paths:
         try:
-            found = _listed(spark, path)
+            found = listed(spark, path)
             if not found:
-                file_type(path)
+                file_type(path, hint)
                 raise SourceError("FILE_NOT_FOUND", path=path)
             for own, size in found:
-                kind = file_type(own)
+                kind = as_type if as_type and not own.lower().endswith(BLOCKED) else file_type(own, hint)
                 if not size:
                     raise SourceError("EMPTY_FILE", path=own)
                 by_type.setdefault(kind, []).append(own)
@@ -94,7 +95,7 @@ def collected(spark: SparkSession, sources: list[Source], fetcher: Callable | No
 
     What can't be read (an unknown kind, a missing or empty file, a page that isn't fetched) is an outcome with its error.
     What turns out not to be what it should be (a text that isn't JSON, a line of a JSON-lines file) is found while
-    reading: it travels as a row with a problem, one aggregation over what was written gives each source and file its first
+    reading (a source's option ``as`` names the type of its files, whatever they are called): it travels as a row with a problem, one aggregation over what was written gives each source and file its first
     one, and the records of that file are left out. Outcomes are one a source, of several files one a file.
     """
     parts, outcomes, known = [], [], {}
@@ -103,7 +104,7 @@ def collected(spark: SparkSession, sources: list[Source], fetcher: Callable | No
         try:
             if kind == "file":
                 paths = [source.value] if isinstance(source.value, str) else [str(p) for p in source.value]
-                by_type, problems = files_of(spark, paths)
+                by_type, problems = files_of(spark, paths, str(source.options.get("type", "")), str(source.options.get("as", "")))
                 outcomes += [Outcome(i, p, 0, e.as_dict()) for p, e in problems]
                 known |= {(i, p): True for own in by_type.values() for p in own}
                 if by_type:

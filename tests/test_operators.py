@@ -10,7 +10,7 @@ from quarrymill.functions import ordering
 from quarrymill.functions.errors import RecordError, TrainingError
 from quarrymill.functions.ordering import placed
 from quarrymill.functions.scratch import written
-from quarrymill.operators import clean, dedup, privacy, profile, quality, training
+from quarrymill.operators import clean, dedup, mixed, privacy, profile, quality, training
 from quarrymill.plans import catalog, pipeline
 
 PEOPLE = [(1, "  ACME AI  ", "14", "test@example.com"), (2, "ACME AI", "14", "test@example.com"), (3, "   ", None, None)]
@@ -231,3 +231,30 @@ def test_reports_before_and_by_mode(spark):
     assert (report["records"], report["characters"], report["classes"], report["most"]) == (3, 2, 2, 2)
     chats = df.select(F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("messages"))
     assert training.statistics(chats, ["messages"], "chat", "r").first()["messages"] == 3
+
+
+def test_mixed_values_are_converted_one_by_one(spark):
+    texts = ['{"Age": "14", "age": "unknown", "Deep": {"a": [" 1,5 ", {"b": "Ａ  x"}]}}', '"  hi  "', "[1, \"2\"]", "3.50", '{"x": "n/a", "y": []}', "{bad", None, "{}", "null"]
+    df = spark.createDataFrame(list(enumerate(texts)), "r long, json string")
+    got = {x["r"]: (x["_record"], x["_problem"]) for x in mixed.clean_json(df, "json", clean.CleanOptions(remove_empty=False)).collect()}
+    assert got == {
+        0: ('{"age":14,"age_2":"unknown","deep":{"a":[15,{"b":"A x"}]}}', None), 1: ('{"text":"hi"}', None), 2: ('{"value":[1,2]}', None), 3: ('{"value":3.5}', None), 4: ('{"x":"","y":[]}', None),
+        5: (None, "INVALID_JSON"), 6: (None, "INVALID_JSON"), 7: ("{}", None), 8: ('{"value":""}', None),
+    }
+    assert sorted(x["r"] for x in mixed.clean_json(df, "json").collect()) == [0, 1, 2, 3, 5, 6]
+    flags = mixed.clean_json(df.limit(1).select(F.lit('{"a":"YES","b":"0"}').alias("json")), "json", clean.CleanOptions(normalize_booleans=True, normalize_numbers=False)).first()
+    assert flags["_record"] == '{"a":true,"b":false}' and flags["_changed"]
+
+
+def test_profile_of_any_structure(spark):
+    texts = ['{"b": 1, "a": "x"}', '{"a": " ", "c": null}', "[1]", None, "{bad", '{"a": [], "b": {"d": 1}}', '{"a": "%s"}' % ("y" * 200), '{"a": true}']
+    df = spark.createDataFrame(list(enumerate(texts)), "r long, json string").repartition(3)
+    rows = {x["field"]: x for x in mixed.json_profile(df, "json", "r").collect()}
+    a = rows["a"]
+    assert (a["present"], a["missing"], a["empty"], a["non_empty"], a["completeness"], a["first_row"], a["first_pos"]) == (5, 3, 2, 3, 63, 0, 1)
+    assert (a["n_string"], a["n_array"], a["n_boolean"], a["examples"]) == (3, 1, 1, ["x", "y" * 100, "true"])
+    assert rows["b"]["examples"] == ["1", '{"d":1}'] and rows["b"]["first_pos"] == 0 and rows["c"]["n_null"] == 1 and rows["c"]["examples"] == []
+    assert mixed.json_profile(df.where("false"), "json", "r").count() == 0
+    shuffled = spark.range(50_000).select("id", F.lit('{"a": "x"}').alias("json"))
+    plan = mixed.json_profile(shuffled, "json", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
