@@ -20,7 +20,9 @@ from quarrymill.llm.words import pieces
 CAPACITY, END = 1024, 2
 #: Pieces of a block, about; islands of a block; rounds between which their elites move; individuals of an island; and
 #: crossovers of a round.
-BLOCK, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 2048, 2, 2, 4, 12
+BLOCK, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 2048, 2, 2, 4, 8
+#: Tasks that islands are dealt to, at most.
+TASKS = 20_000
 #: The share of a parent's sequences that a crossover injects into the other.
 INJECTED = 0.1
 #: The share of a block's pieces, in its worst-filled sequences, that is packed anew with those of other blocks.
@@ -204,18 +206,18 @@ def island(capacity: int, epoch: int):
     return run
 
 
-def islands(blocks: DataFrame, capacity: int) -> DataFrame:
+def islands(blocks: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """(block, bins): the best bins of every block of ``blocks`` (block, sizes), as the bin of each size.
 
     Each block has ``ISLANDS`` populations. Between rounds an island's elite moves on to the next island of its block.
-    A block that an island has packed as tightly as can be is done and doesn't move again.
+    Rows are small and their work isn't, so they are dealt to ``tasks`` tasks whatever their bytes. A block that an island has packed as tightly as can be is done and doesn't move again.
     """
     rows = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(None).cast("int").alias("least"), "sizes")
     state, done = rows.withColumns({"bins": F.lit(None).cast("array<int>"), "others": F.lit(None).cast("array<array<int>>")}), None
     # The first round needs one island: what best fit alone packs tightly is done then.
     state = state.where("island = 0")
     for epoch in range(EPOCHS + 1):
-        ran = written(state.repartition("block", "island").mapInArrow(island(capacity, epoch), EVOLVED), "pack-islands")
+        ran = written(state.repartition(tasks, "block", "island").mapInArrow(island(capacity, epoch), EVOLVED), "pack-islands")
         used = F.array_max("bins") + 1
         best = ran.groupBy("block").agg(F.min(F.struct(used.alias("used"), "island")).alias("best"), F.first("least").alias("least"))
         best = best.select(F.col("block").alias("_block"), F.col("best.used").alias("_used"), F.col("best.island").alias("_island"), F.col("least").alias("_least"))
@@ -262,7 +264,7 @@ def packed(docs: DataFrame, model: bytes, capacity: int = CAPACITY, end: int = E
         dealt = open_items.withColumn("block", F.pmod(F.xxhash64("_item", F.lit(level)), F.lit(blocks)))
         held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("size", "_item")), asc=False).alias("items"))
         held = written(held, "pack-blocks")
-        found = islands(held.select("block", F.transform("items", lambda x: x["size"]).alias("sizes")), capacity)
+        found = islands(held.select("block", F.transform("items", lambda x: x["size"]).alias("sizes")), capacity, min(blocks * ISLANDS, TASKS))
         spelled = held.join(found, "block").select("block", F.explode(F.arrays_zip("items", "bins")).alias("x"))
         spelled = spelled.select("block", F.col("x.bins").alias("bin"), F.col("x.items.size").alias("size"), F.col("x.items._item").alias("_item"))
         filled = spelled.groupBy("block", "bin").agg(F.sum("size").alias("fill"), F.collect_list(F.struct("_item", "size")).alias("own"))

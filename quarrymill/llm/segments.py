@@ -115,14 +115,22 @@ def segments(texts: pa.Array, fine: bool = False) -> Segments:
     return Segments(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist(), np.searchsorted(start, bounds))
 
 
-def _beside(k: bytes) -> bool:
-    """Whether a segment can stand after another one or a line break, and before either, and be cut from them again."""
-    first = k[1:3] if k[0] == _SPACE else k[:2]
-    if not first or first[0] <= _SPACE or k[-1] <= _SPACE or 0x7F in (first[0], k[-1]):
-        return False
-    if first[0] < 0x80 and k[-1] < 0x80:
-        return True
-    return not any(_WIDE[a << 8 | b] for a, b in (first.ljust(2, b"a"), k[-2:].rjust(2, b"a"), k[-3:-1].rjust(2, b"a")))
+def _beside(new: list[bytes]) -> np.ndarray:
+    """Which segments can stand after another one or a line break, and before either, and be cut from them again."""
+    size = np.fromiter(map(len, new), np.int64, len(new))
+    data = np.frombuffer(b"".join(new) + b"aaa", np.uint8).astype(np.uint16)
+    end = np.cumsum(size)
+    start = end - size
+    first = start + (data[start] == _SPACE)
+    a, z = data[first], data[end - 1]
+    ok = (first < end) & (size < JOINED) & (a > _SPACE) & (z > _SPACE) & (a != 0x7F) & (z != 0x7F)
+    pair = _WIDE[data[:-1] << 8 | data[1:]]
+    wide = (a >= 0x80) & (end - first > 1) & pair[first]
+    wide |= (z >= 0x80) & ((size > 1) & pair[np.maximum(end - 2, 0)] | (size > 2) & pair[np.maximum(end - 3, 0)])
+    signs = np.flatnonzero((data[:-2] == _SIGN[0]) & (data[1:-1] == _SIGN[1]) & (data[2:] == _SIGN[2]))
+    ok &= ~wide
+    ok[np.searchsorted(end, signs, side="right")] = False
+    return ok
 
 
 def together(new: list[bytes], encode: Callable[[list[str]], list], sizes: np.ndarray) -> list[np.ndarray]:
@@ -132,26 +140,22 @@ def together(new: list[bytes], encode: Callable[[list[str]], list], sizes: np.nd
     don't begin with a space stand after a line break, which is a token of its own there.
     """
     out: list = [None] * len(new)
-    beside, alone = [], []
-    for i, k in enumerate(new):
-        (beside if len(k) < JOINED and _SIGN not in k and _beside(k) else alone).append(i)
+    ok = _beside(new)
+    alone = np.flatnonzero(~ok).tolist()
     for i, ids in zip(alone, encode([new[i].decode() for i in alone]), strict=True):
         out[i] = ids
-    run, held = [], 0
-    for at, i in enumerate(beside):
-        run.append(i)
-        held += len(new[i])
-        if held >= JOINED or at == len(beside) - 1:
-            spelt = [new[j] if new[j][0] == _SPACE else b"\n" + new[j] for j in run]
-            ids = encode([b"".join(spelt).decode()])[0]
-            ends, wanted = np.concatenate([[0], np.cumsum(sizes[ids])]), np.cumsum([len(k) for k in spelt])
-            start = np.searchsorted(ends, wanted - np.array([len(new[j]) for j in run]))
-            end = np.searchsorted(ends, wanted)
-            if not np.array_equal(ends[end], wanted) or not np.array_equal(ends[start], wanted - [len(new[j]) for j in run]):
-                raise ValueError("the tokenizer joins segments")
-            for j, a, b in zip(run, start.tolist(), end.tolist(), strict=True):
-                out[j] = ids[a:b]
-            run, held = [], 0
+    beside = np.flatnonzero(ok)
+    held = np.cumsum([len(new[i]) for i in beside.tolist()]) // JOINED
+    for run in np.split(beside, np.flatnonzero(np.diff(held)) + 1) if len(beside) else []:
+        own = run.tolist()
+        spelt = [new[j] if new[j][0] == _SPACE else b"\n" + new[j] for j in own]
+        ids = encode([b"".join(spelt).decode()])[0]
+        ends, wanted = np.concatenate([[0], np.cumsum(sizes[ids])]), np.cumsum([len(k) for k in spelt])
+        from_, to = np.searchsorted(ends, begun := wanted - np.array([len(new[j]) for j in own])), np.searchsorted(ends, wanted)
+        if ends[-1] != wanted[-1] or not np.array_equal(ends[to], wanted) or not np.array_equal(ends[from_], begun):
+            raise ValueError("the tokenizer joins segments")
+        for j, a, b in zip(own, from_.tolist(), to.tolist(), strict=True):
+            out[j] = ids[a:b]
     return out
 
 
