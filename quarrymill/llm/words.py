@@ -130,8 +130,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of all texts of an array; ``lower`` folds A to Z first."""
+def keyed(w: Words, key: bytes) -> Words:
+    """The words with hashes that only those who know ``key`` can foresee, so that no words can be made to share one."""
+    code, kinds = codes(w)
+    new = hashlib.blake2b
+    digest = b"".join(new(x, digest_size=8, key=key).digest() for x in kinds.to_pylist())
+    return w._replace(hash=np.frombuffer(digest, "<u8")[code])
+
+
+def words(texts: pa.Array, lower: bool = False, key: bytes | None = None) -> Words:
+    """Words of all texts of an array; ``lower`` folds A to Z first. With ``key`` their hashes are ``keyed``."""
     data, bounds = buffers(texts)
     if lower:
         data = _LOWER[data]
@@ -146,6 +154,8 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+    if key is not None:
+        return keyed(Words(data, start, end, doc, np.zeros(0, np.uint64), first), key)
     return Words(data, start, end, doc, span_hashes(data, start, end), first)
 
 

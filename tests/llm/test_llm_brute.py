@@ -54,6 +54,36 @@ def test_words_that_hashes_of_the_simple_kind_confuse(spark):
     assert len(set(w.hash.tolist())) == 4 and len(words.codes(w)[1]) == 4
 
 
+def test_words_made_to_share_a_hash_are_not_near_duplicates(spark):
+    a, b = "abcdefghijklmnop", "eaiytgfe(bd^.`yu"
+    w = words.words(pa.array([a, b]))
+    assert w.hash[0] == w.hash[1]  # in the hash without a key
+    assert len(set(words.words(pa.array([a, b, a]), key=b"k").hash.tolist())) == 2
+    rows = [(1, a), (2, b), (3, f"a b {a} a b {b}")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {1: (1, 1), 2: (2, 1), 3: (3, 4)}
+
+
+def test_sketches_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for i in range(60):
+        common = rng.integers(0, 2**63, 40 + i * 5).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([common[rng.random(len(common)) < 0.93], sets[-1][::7] if i % 3 else common[:9]])))
+        sets.append(np.unique(common))
+    rows = [(i, len(x), near_dedup.sketched(x).tolist()) for i, x in enumerate(sets)]
+    a = spark.createDataFrame(rows, "i_a long, n_shingles_a long, sketch_a array<long>")
+    b = spark.createDataFrame(rows, "i_b long, n_shingles_b long, sketch_b array<long>")
+    kept = {(r["i_a"], r["i_b"]) for r in a.join(b, F.col("i_a") < F.col("i_b")).where(near_dedup.alike("a", "b", 80)).collect()}
+    links = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[j]))
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                links.add((i, j))
+    assert links and links <= kept and len(kept) < len(sets) ** 2 / 4
+
+
 def test_codes_and_digests_are_of_the_words():
     w = words.words(pa.array(["a  b\tc", "b c", None, "c", "a b c d"]))
     spelt = [bytes(w.data[a:b]) for a, b in zip(w.start, w.end, strict=True)]
