@@ -320,11 +320,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
     Both have (vec_id, embedding). A component x counts as floor(256 * x), so scores are whole numbers and exact; ties
     go to the smaller vec_id; a query's own vec_id takes no part. Null vectors, rows without a vec_id and vectors with
     null or non-finite components take no part; vectors of another length than the query's have no score with it; those
-    without components score 0 with each other. Rows that repeat a vec_id are one, with the least of its vectors. Fewer
-    than k candidates give all. Other columns, whatever their names, aren't looked at. Empty tables give an empty result.
+    without components score 0 with each other. Of rows that repeat a vec_id each counts: as a candidate with its own
+    score, as a query with its own products, of which the k greatest of all its rows are returned. Fewer than k
+    candidates give all. Other columns, whatever their names, aren't looked at. Empty tables give an empty result.
 
-    Of equal vectors only the k + 1 smallest ids can be in a result, and equal queries have the same k + 1 best, so each
-    distinct vector is kept with k + 1 ids and searched for once, which is exact. Then:
+    Of equal vectors only the smallest ids can be in a result, as many as k and the rows of one query's vec_id, ``most``;
+    equal queries have the same ``most`` best. So each distinct vector is kept with ``most`` ids and searched for once,
+    which is exact. Then:
 
     1. A bounded sample (``sample`` vectors) gives middles. Every vector and query is dealt to the cell of its nearest
        middle, cells are split into blocks of bounded size, and each block's cover tree is planted once.
@@ -341,12 +343,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
     def good(df: DataFrame) -> DataFrame:
         rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         rows = rows.where(F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull())
-        return rows.groupBy("vec_id").agg(F.min(whole).alias("whole"))
+        return rows.select("vec_id", whole.alias("whole"))
 
+    asked = written(good(queries), "queries")
+    own = good(vectors).select("vec_id").join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").count()
+    most = k + max(own.agg(F.max("count")).first()[0] or 0, 1)
     rank = Window.partitionBy("whole").orderBy("vec_id")
-    kept = good(vectors).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k + 1)
+    kept = good(vectors).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= most)
     kept = written(kept.select(F.col("vec_id").alias("id"), F.size("whole").alias("size"), "whole"), "vectors")
-    asked = written(good(queries), "queries")
     first = kept.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     found_sizes, counts = np.unique(first.column("size").to_numpy(), return_counts=True)
     samples = {}
@@ -365,8 +369,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
     v_rows = v_cells.where("cell >= 0").collect()
     dropped(dealt)
 
-    distinct = asked.groupBy("whole").agg(F.min("vec_id").alias("id")).select("id", F.size("whole").alias("size"), "whole")
-    distinct = distinct.mapInArrow(placer(q_middles), shape).mapInArrow(floored(samples, k + 1), f"{shape}, floor long")
+    distinct = asked.select("whole").distinct().select(F.monotonically_increasing_id().alias("id"), F.size("whole").alias("size"), "whole")
+    distinct = written(distinct, "queries-distinct")  # ids are kept, as they are written
+    distinct = distinct.mapInArrow(placer(q_middles), shape).mapInArrow(floored(samples, most), f"{shape}, floor long")
     distinct = written(blocks(distinct.where("true")), "queries-floored")
     near = []  # the cell with the greatest product of middles for each cell of queries
     for n, own in middles.items():
@@ -379,7 +384,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
     right = right.join(distinct.select("size", F.col("cell"), F.col("sub").alias("q_sub")).distinct(), ["size", "cell"])
     left = left.withColumnRenamed("sub", "q_sub")
     keys = ["size", "cell", "q_sub"]
-    closer = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearby(k + 1), "id long, near long")
+    closer = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearby(most), "id long, near long")
     floors = distinct.join(closer, "id", "left").withColumn("floor", F.greatest("floor", F.coalesce("near", "floor"))).drop("near")
     floors = written(floors, "queries-near")
     q_trees = written(planted(floors), "query-trees")
@@ -397,10 +402,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = BEST, sample: int =
     q_side = q_trees.withColumnsRenamed({"cell": "q_cell", "sub": "q_sub"}).join(pairs, ["size", "q_cell", "q_sub"])
     v_side = trees.withColumnsRenamed({"cell": "v_cell", "sub": "v_sub"}).join(pairs, ["size", "v_cell", "v_sub"])
     named = lambda side: side.select(*keys, *[f.split()[0] for f in TREES.split(", ") if f.split()[0] not in ("size", "cell", "sub")])
-    met = named(q_side).groupBy(*keys).cogroup(named(v_side).groupBy(*keys)).applyInArrow(searcher(k + 1), FOUND)
+    met = named(q_side).groupBy(*keys).cogroup(named(v_side).groupBy(*keys)).applyInArrow(searcher(most), FOUND)
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select("query", "vec_id", "score")
+    met = met.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).select("query", "vec_id", "score")
     ids = distinct.select(F.col("id").alias("query"), "whole").join(asked, "whole").select("query", F.col("vec_id").alias("query_id"))
     found = ids.join(met, "query").where(F.col("query_id") != F.col("vec_id"))
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
