@@ -92,6 +92,46 @@ def test_exports(spark, tmp_path):
         sinks.lines(df, "xlsx")
 
 
+def test_exports_read_their_rows_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500).selectExpr("id", "concat('t', id) AS text", "if(id % 5 = 0, 'test', 'train') AS split")
+    once = df.mapInArrow(counted, df.schema)
+    path = f"file://{tmp_path}/out"
+    done = sinks.write(once, path, "jsonl", ["id", "text"], most=10**6)
+    assert read.value == 500 and done["bytes"] == sum(len(r.value) + 1 for r in spark.read.text(path).collect())
+    plain = sinks.manifest(df, ["id", "text"], "jsonl", path)
+    assert {k: v for k, v in done.items() if k != "exportedAt"} == {k: v for k, v in plain.items() if k != "exportedAt"}
+    assert done["checksum"] == sinks.checksum(df, ["id", "text"]) and json.loads((tmp_path / "out" / "_manifest.json").read_text()) == done
+    with pytest.raises(ExportError):
+        sinks.write(df.limit(9), path, "jsonl", ["id", "text"], most=3)
+    assert spark.read.text(path).count() == 500 and [p.name for p in tmp_path.iterdir()] == ["out"]  # what was there stays
+    with pytest.raises(Exception):
+        sinks.write(df.withColumn("text", F.expr("if(id = 77, raise_error('x'), text)")), f"file://{tmp_path}/bad", "jsonl")
+    assert not (tmp_path / "bad" / "_manifest.json").exists()
+    read.value = 0
+    done = sinks.write_training(once, f"file://{tmp_path}", "set")
+    assert read.value == 500 and done["splits"] == {"train": 400, "test": 100} and done["checksum"] == sinks.checksum(df, ["id", "text"])
+    assert sinks.write_training(df.replace("test", "odd", "split"), f"file://{tmp_path}", "set")["splits"] == {"train": 400, "odd": 100}
+    empty = sinks.write(df.limit(0), path, "csv", ["id"])
+    assert (empty["records"], empty["bytes"], empty["checksum"]) == (0, 0, sinks.checksum(df.limit(0), ["id"]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000])
+def test_one_document_of_any_size(spark, tmp_path, n):
+    df = spark.range(n).selectExpr("id * 37 % 3001 AS _row", "id", "concat('\u00e9', id, '\n,') AS text").repartition(7)
+    size = sinks.write_document(df, f"file://{tmp_path}/all.json", "_row", head={"version": "1.0"})
+    whole = json.loads((tmp_path / "all.json").read_text())
+    want = [{"id": r["id"], "text": r["text"]} for r in df.orderBy("_row").collect()]
+    assert whole == {"version": "1.0", "records": want} and size == (tmp_path / "all.json").stat().st_size
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["all.json"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"at":"2024-01-01T00:00:00","text":" a  b "}\n{"at":"2024-01-01T00:00:01","text":" a  b "}\n{"at":"2024-01-01T00:00:02","text":"n/a"}\n')
