@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.rows import row_keys
@@ -118,6 +118,7 @@ def itemiser(size: int, literals: int):
             for batch in pieces(whole):
                 t = template(batch.column("text"))
                 slots = np.concatenate([[0], np.cumsum(t.slot)])
+                running = prefix(t.token)
                 for i, item in enumerate(batch.column("item_id").to_pylist()):
                     a, b = int(t.first[i]), int(t.first[i + 1])
                     if a == b:
@@ -132,7 +133,7 @@ def itemiser(size: int, literals: int):
                     kind = hashlib.blake2b(t.token[a:b].tobytes() + b"|" + first[pattern].astype(np.int64).tobytes(), digest_size=16).digest()
                     n, of = len(low), t.slot[a:b]
                     columns = [
-                        pa.array([item] * n, pa.int64()), pa.array([kind] * n, pa.binary()), signed(between(prefix(t.token), low, low + own, 13)), pa.array([own] * n, pa.int32()),
+                        pa.array([item] * n, pa.int64()), pa.array([kind] * n, pa.binary()), signed(between(running, low, low + own, 13)), pa.array([own] * n, pa.int32()),
                         pa.array((low - a).astype(np.int32)), pa.array([n] * n, pa.int32()), pa.array([int((~of).sum())] * n, pa.int32()), pa.array([weak] * n), slot_lists(t, low, low + own),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in ITEMS.split(", ")])
@@ -215,6 +216,20 @@ def members(benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS)
     return each.join(each.groupBy("class").agg(F.min("item_id").alias("representative")), "class").select("item_id", "representative")
 
 
+def candidates(found: DataFrame, own: DataFrame, share: float = SHARE) -> DataFrame:
+    """(key_a, key_b, class): documents that may hold ``share`` of an item's windows, by its rarest ones.
+
+    Whoever holds ``need`` of an item's n windows holds one of any n - need + 1 of them. Those that the documents hold least
+    often are taken, so what many items begin with brings documents and items together only where it is most of the item.
+    Windows are counted before anything is joined; each item's are ranked apart.
+    """
+    often = found.groupBy("window").agg(F.count(F.lit(1)).alias("often"))
+    need = F.greatest(F.ceil(F.lit(share) * F.col("item_windows") - 1e-6), F.lit(1))
+    ranked = own.join(often, "window", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("often", F.lit(0)), "item_place")))
+    rare = ranked.where(F.col("often").isNotNull() & (F.col("rarity") <= F.col("item_windows") - need + 1)).select("class", "window").distinct()
+    return found.select("key_a", "key_b", "window").distinct().join(rare, "window").select("key_a", "key_b", "class").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, share: float = SHARE, sent: int = SENT) -> DataFrame:
     """(key_a, key_b, doc_id, item_id, items, n_windows, share, reparameterised): the benchmark items in each document.
 
@@ -230,7 +245,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: i
     ``items`` members (listed by ``members``); so a template with many variants isn't joined with each. An item_id with
     several texts is several items. If the
     benchmark has at most ``sent`` different windows (which is counted), tasks get their hashes and only windows with
-    those are shuffled; else all are. An item in very many documents makes a skewed join, which adaptive execution splits.
+    those are shuffled; else all are. Documents and items meet by an item's rarest windows (``candidates``) and only then
+    by all of them. An item in very many documents makes a skewed join, which adaptive execution splits.
 
     ``key_a`` and ``key_b`` are the keys by which rows are told apart (``row_keys``); documents that repeat are reported
     once. Null and empty texts have no windows, items without an item_id aren't looked for, other columns of either
@@ -250,7 +266,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: i
     a, b = row_keys(docs)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), a.alias("key_a"), b.alias("key_b"), docs["text"].alias("text"))
     found = written(texts.mapInArrow(windower(known, sizes), WINDOWS), "document-windows")
-    met = found.join(own.drop("size"), "window").withColumn("shift", F.col("place") - F.col("item_place"))
+    pairs = written(candidates(found, own, share), "document-items")
+    met = found.join(pairs.join(own.drop("size"), "class"), ["key_a", "key_b", "window"]).withColumn("shift", F.col("place") - F.col("item_place"))
     alignment = ["key_a", "key_b", "id", "class", "shift"]
     same = [F.max(c).alias(c) for c in ("item_windows", "item_literals", "weak")]
     lines = met.groupBy(*alignment).agg(*same, F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("met"))

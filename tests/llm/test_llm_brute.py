@@ -335,6 +335,26 @@ def test_leaks_against_all_pairs(spark):
     assert {i for _, i in want} >= {20, 21}
 
 
+def test_openings_that_many_items_share_bring_nothing_together(spark):
+    opening = "which of the following statements about the old harbour towns is true in every"
+    items = [(i, f"{opening} " + " ".join(f"own{i}x{j}" for j in range(16))) for i in range(100)]
+    docs = [(i, f"{opening} " + " ".join(f"doc{i}x{j}" for j in range(30))) for i in range(200)] + [(1000, f"so then {items[7][1]} indeed"), (None, items[8][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    own = bench.mapInArrow(decontamination.itemiser(8, 5), decontamination.ITEMS)
+    texts = df.selectExpr("doc_id AS id", "coalesce(doc_id, -1) AS key_a", "0L AS key_b", "text")
+    found = texts.mapInArrow(decontamination.windower(None, [8]), decontamination.WINDOWS)
+    assert found.join(own, "window").count() >= 200 * 100 * 6
+    assert sorted(r["key_a"] for r in decontamination.candidates(found, own).collect()) == [-1, 1000]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()}
+    assert got == {(1000, 7), (None, 8)}
+    for share in (0.3, 0.31):  # the opening has 7 of an item's 23 windows
+        few = spark.createDataFrame(items[6:9], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, few, share=share).collect()}
+        every = {i for i, _ in docs} if share <= 0.3 else set()
+        assert got == {(1000, 7), (None, 8)} | {(i, j) for i in every for j in (6, 7, 8)}
+
+
 def test_items_of_one_template_are_one_class(spark):
     text = "The shop sold {} apples in the morning before noon and then packed {} more boxes for the road"
     items = [(i, text.format(10 + i, 50 + i)) for i in range(1, 20)] + [(40, text.format(7, 7)), (50, "an item of its own with many words that nothing else has at all")]
