@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.names import SENSITIVE_NAMES, sensitive
+from quarrymill.functions.ordering import placed
 from quarrymill.functions.text import every, fingerprint, is_blank, percent, round_half_up, trimmed
 from quarrymill.operators.privacy import privacy_status, with_hits
 
@@ -197,8 +198,13 @@ def recommendations(report: DataFrame) -> DataFrame:
     return report.withColumn("recommendations", F.when(found == "", "NONE").otherwise(found))
 
 
-def value_findings(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """(index, type, field): empty records, empty values and numbers that aren't finite."""
+def value_findings(df: DataFrame, columns: list[str], order: str, most: int | None = None) -> DataFrame:
+    """(index, type, field): empty records, empty values and numbers that aren't finite.
+
+    With ``most``, findings stop after the record that reaches so many, in the order of ``order``. Records with findings
+    are placed in ranges of the order (ties by their findings), and as each has one finding at least, only the
+    first ``most`` of them, a number that doesn't grow with the data, are counted up in one place.
+    """
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
     types = {f.name: f.dataType for f in df.schema}
     blank = {c: is_blank(F.col(c), types[c]) for c in columns}
@@ -208,8 +214,12 @@ def value_findings(df: DataFrame, columns: list[str], order: str) -> DataFrame:
         found.append(F.when(blank[c], entry("empty_value", c)))
         if kinds[c] in ("float", "double"):
             found.append(F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), entry("invalid_number", c)))
-    rows = df.select(F.col(order).alias("index"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
-    return rows.select("index", "f.type", "f.field")
+    rows = df.select(F.col(order).alias("index"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"))
+    if most is not None:
+        first = placed(rows.where(F.size("found") > 0), [F.col("index")], "_n").where(F.col("_n") <= most)
+        before = Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+        rows = first.withColumn("_before", F.coalesce(F.sum(F.size("found")).over(before), F.lit(0))).where(F.col("_before") < most)
+    return rows.select("index", F.explode("found").alias("f")).select("index", "f.type", "f.field")
 
 
 def compare_quality(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

@@ -215,6 +215,13 @@ def value_findings(t):
     return quality.value_findings(_raw(t), ["v"], "c_custkey")
 
 
+@query(f"""WITH f AS (SELECT c_custkey, v, row_number() OVER (ORDER BY c_custkey DESC) AS n FROM {_RAW_SQL} WHERE v IS NULL OR trim(v) = '')
+SELECT -c_custkey AS index, 'empty_record' AS type, CAST(NULL AS VARCHAR) AS field FROM f WHERE 2 * (n - 1) < 25 UNION ALL SELECT -c_custkey, 'empty_value', 'v' FROM f WHERE 2 * (n - 1) < 25""")
+def first_findings(t):
+    back = _raw(t).withColumn("back", -F.col("c_custkey"))
+    return quality.value_findings(back, ["v"], "back", most=25)
+
+
 @query("""SELECT k AS field, CASE json_type(json_extract(props, '$.' || k)) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type, count(*) AS records
 FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL""")
 def json_fields(t):

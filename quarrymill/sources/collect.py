@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.errors import RecordError, SourceError
 from quarrymill.functions.scratch import written
 from quarrymill.sources.lines import ROWS, file_lines, plain_path
+from quarrymill.sources.pages import fetch_pages, page_records
 from quarrymill.sources.readers import BLOCKED, Source, decoded, file_type, html_title, json_records, parse_csv, strip_html, text_lines
 
 COLUMNS = ("_path", "id", "record", "problem")
@@ -93,12 +94,13 @@ def value_records(spark: SparkSession, kind: str, name: str, text: str) -> DataF
 def collected(spark: SparkSession, sources: list[Source], fetcher: Callable | None = None) -> tuple[DataFrame | None, list[Outcome]]:
     """(records, outcomes): all sources read in one job. Records have _source, _path, id and record (a JSON text).
 
-    What can't be read (an unknown kind, a missing or empty file, a page that isn't fetched) is an outcome with its error.
+    What can't be read (an unknown kind, a missing or empty file) is an outcome with its error. URLs are fetched by tasks
+    with ``fetcher`` (``fetch``, or a function like it).
     What turns out not to be what it should be (a text that isn't JSON, a line of a JSON-lines file) is found while
     reading (a source's option ``as`` names the type of its files, whatever they are called): it travels as a row with a problem, one aggregation over what was written gives each source and file its first
     one, and the records of that file are left out. Outcomes are one a source, of several files one a file.
     """
-    parts, outcomes, known = [], [], {}
+    parts, outcomes, known, urls = [], [], {}, []
     for i, source in enumerate(sources):
         kind = str(source.kind).lower()
         try:
@@ -115,18 +117,19 @@ def collected(spark: SparkSession, sources: list[Source], fetcher: Callable | No
             elif kind in ("url", "web", "http", "https"):
                 if fetcher is None:
                     raise SourceError("NO_FETCHER", "a URL source needs a fetcher")
-                page = fetcher(str(source.value))
-                sort, text, path = page.format, page.text, str(source.value)
-                if sort == "unknown":
-                    raise SourceError("UNKNOWN_FORMAT", url=path)
+                urls.append((i, str(source.value)))
+                known[(i, str(source.value))] = True
+                continue
             else:
                 raise SourceError("UNSUPPORTED_SOURCE_TYPE", kind)
             known[(i, path)] = True
             parts.append(value_records(spark, sort, path, text).withColumn("_source", F.lit(i)))
         except RecordError as e:
             outcomes.append(Outcome(i, source.name, 0, e.as_dict()))
-        except OSError as e:
-            outcomes.append(Outcome(i, source.name, 0, SourceError("FETCH_FAILED", str(e)).as_dict()))
+    if urls:
+        asked = spark.createDataFrame(urls, "_source int, url string")
+        pages = asked.join(fetch_pages(asked, "url", fetcher), "url").withColumnRenamed("url", "_path")
+        parts.append(page_records(pages, ["_source", "_path"]).select("_path", "id", "record", "problem", "_source"))
     if not parts:
         return None, outcomes
     rows = written(reduce(DataFrame.unionByName, parts), "collected")

@@ -258,3 +258,21 @@ def test_profile_of_any_structure(spark):
     shuffled = spark.range(50_000).select("id", F.lit('{"a": "x"}').alias("json"))
     plan = mixed.json_profile(shuffled, "json", "id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_findings_stop_after_the_record_that_reaches_the_limit(spark):
+    rows = [(i, None if i % 3 == 0 else "x", float("nan") if i % 2 == 0 else 1.0) for i in range(300)] + [(7, "", None), (None, "", 1.0)]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "i int, s string, d double").repartition(7)
+    every = quality.value_findings(df, ["s", "d"], "i").collect()
+    for most in (1, 5, 40, 10_000):
+        got, total, want = quality.value_findings(df, ["s", "d"], "i", most).collect(), 0, []
+        groups = {}
+        for f in every:
+            groups.setdefault(f["index"], []).append(f)
+        for key in sorted(groups, key=lambda k: (k is not None, k or 0)):  # nulls first, as the engine sorts
+            if total >= most:
+                break
+            want += groups[key]
+            total += len(groups[key])
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert quality.value_findings(df.where("false"), ["s"], "i", 5).count() == 0

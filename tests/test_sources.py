@@ -1,6 +1,9 @@
 """Readers, sinks and the file stream."""
 
+import http.server
 import json
+import socket
+import threading
 import unicodedata
 
 import pytest
@@ -11,7 +14,7 @@ from quarrymill.functions.errors import ExportError, RecordError, SourceError
 from quarrymill.functions.text import nfkc
 from quarrymill.operators import training
 from quarrymill.plans import catalog, pipeline
-from quarrymill.sources import fetch, lines, readers, sinks
+from quarrymill.sources import fetch, lines, pages, readers, sinks
 from quarrymill.sources.readers import Source
 from quarrymill.streaming import files as stream
 
@@ -298,3 +301,126 @@ def test_failed_sources_are_steps(spark, tmp_path):
     with pytest.raises(RecordError) as e:
         pipeline.process_sources(spark, sources[:2], ["a"])
     assert e.value.code == "NO_SOURCES" and len(e.value.details["steps"]) == 2
+
+
+def test_pages_are_fetched_by_tasks_from_the_address_that_was_checked(spark):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            kinds = {"/a.json": "application/json", "/b.csv": "text/csv", "/p": "text/html; charset=latin-1", "/bin": "image/png", "/large": "text/plain"}
+            bodies = {"/a.json": b'[{"a":1},{"a":2}]', "/b.csv": b"x,y\n1,2\n", "/p": "<title>T</title><p>caf\u00e9</p>".encode("latin-1"), "/bin": b"x", "/large": b"x" * 3000}
+            path = self.path.split("?")[0]
+            self.send_response(302 if path == "/away" else 200 if path in kinds else 404)
+            if path == "/away":
+                self.send_header("Location", "http://127.0.0.1/")
+            self.send_header("Content-Type", kinds.get(path, "text/plain"))
+            self.end_headers()
+            self.wfile.write(bodies.get(path, b""))
+
+        def log_message(self, *args): ...
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    port = server.server_address[1]
+    seen = []
+
+    def resolve(host, _):  # a public address first, the machine's own afterwards
+        seen.append(host)
+        return [(0, 0, 0, "", ("93.184.216.34" if len(seen) == 1 else "127.0.0.1", 0))]
+
+    def dial(place, timeout):
+        assert place == ("93.184.216.34", 80)
+        return socket.create_connection(("127.0.0.1", port), timeout)
+
+    assert fetch.fetch("http://rebinding.test/b.csv", resolve=resolve, dial=dial).text == "x,y\n1,2\n" and seen == ["rebinding.test"]
+    with pytest.raises(SourceError) as e:
+        fetch.fetch("http://rebinding.test/b.csv", resolve=resolve, dial=dial)
+    assert e.value.code == "PRIVATE_ADDRESS"
+
+    def get(url):
+        def away(host, _):
+            if host == "gone.test":
+                raise socket.gaierror("no such host")
+            return [(0, 0, 0, "", ("10.0.0.7" if host == "inside.test" else "93.184.216.34", 0))]
+
+        def to_server(place, timeout):
+            assert place[0] == "93.184.216.34"
+            return socket.create_connection(("127.0.0.1", port), timeout)
+
+        return fetch.fetch(url, most=2000, resolve=away, dial=to_server)
+
+    want = {
+        "http://one.test/a.json": None, "http://one.test/b.csv?q=a%20b": None, "http://two.test/p": None, "http://two.test/bin": "UNSUPPORTED_CONTENT_TYPE", "http://two.test/away": "REDIRECT_NOT_ALLOWED",
+        "http://two.test/large": "RESPONSE_TOO_LARGE", "http://two.test/none": "HTTP_ERROR", "http://inside.test/p": "PRIVATE_ADDRESS", "http://gone.test/p": "DNS_FAILED", "ftp://one.test/": "UNSUPPORTED_PROTOCOL",
+        "http://localhost/p": "BLOCKED_HOST", None: "EMPTY_URL", "http://u:p@one.test/": "URL_CREDENTIALS_NOT_ALLOWED",
+    }
+    urls = spark.createDataFrame([(u,) for u in want] * 2, "url string")
+    found = pages.fetch_pages(urls, get=get, tasks=4)
+    assert {r["url"]: r["problem"] for r in found.collect()} == want and found.count() == len(want)
+    records = {(r["url"], r["id"]): r["record"] for r in pages.page_records(found.where("problem is null"), ["url"]).collect()}
+    assert [json.loads(r) for _, r in sorted(records.items())] == [{"a": 1}, {"a": 2}, {"x": "1", "y": "2"}, {"title": "T", "text": "T caf\u00e9"}]
+    data, steps = pipeline.process_sources(spark, [Source("url", "http://one.test/a.json", "good"), Source("url", "http://two.test/none", "bad")], ["a"], fetcher=get)
+    assert sorted(r["a"] for r in data.df.collect()) == [1.0, 2.0]
+    assert [(s["name"], s["status"], s.get("error", {}).get("code")) for s in steps[1:3]] == [("collect:good", "completed", None), ("collect:bad", "failed", "HTTP_ERROR")]
+    server.shutdown()
+
+
+def test_catalog_entries_change_in_versions(spark, tmp_path):
+    store = catalog.Catalog(spark, f"file://{tmp_path}/catalog")
+    key = store.collect("mine", '[{"a":"1","b":" 2 "},{"a":"1","b":" 2 "},{"a":"","b":null},{"a":"1","b":"2"},{"a":"x@y.test","b":"3"}]')
+    assert store.entry("datasets", key)["status"] == "collected"
+    new = store.clean(key)
+    step = new["history"][-1]
+    assert (new["status"], new["version"], new["records"]) == ("cleaned", 2, store.load(key).count()) and step["before"] == 5 and step["removed_empty"] == 1
+    assert step["before"] - step["removed_empty"] - step["removed_duplicates"] == step["after"] == new["records"]
+    assert store.analyze(key)["findings"] == 1 and store.privacy_scan(key)["privacy"] == "review-required"
+    last = store.prepare(key)
+    assert last["status"] == "privacy_review_required" and [h["action"] for h in last["history"]] == ["created", "cleaned", "analyzed", "privacy_scan", "prepared_for_training"]
+    assert sorted((r["a"], r["b"]) for r in store.load(key).collect()) == [("1", "2"), ("x@y.test", "3")]
+    assert store.forget(key) == 2 and store.load(key).count() == 2
+    assert [r["type"] for r in store.operations().orderBy("at").collect()] == ["dataset_created", "manual_collection", "dataset_cleaned", "dataset_analyzed", "privacy_scan", "dataset_prepared"]
+    before = store.table("datasets").collect()
+    assert store.compact("datasets") == 1 and store.table("datasets").collect() == before
+    store.change("datasets", key, lambda old: {"name": "other"})
+    assert store.compact("datasets") == 2 and store.table("datasets").first()["name"] == "other" and store.table("datasets").count() == 1
+    assert len(store._names("changes/datasets")) == 1  # the first snapshot's five are gone
+    with pytest.raises(RecordError):
+        store.change("datasets", "none", lambda old: {})
+
+    def get(url):
+        return fetch.Page("a,b\n1,2\n", "text/csv", 8, "csv")
+
+    other = store.collect_url("http://x.test/c", "web", get)
+    assert [(r["a"], r["b"]) for r in store.load(other).collect()] == [("1", "2")] and store.table("collections").where("url is not null").count() == 1
+    with pytest.raises(SourceError) as e:
+        store.collect_url("http://localhost/c", "web", get)
+    assert e.value.code == "BLOCKED_HOST"
+
+
+def test_two_writers_at_once_lose_nothing(spark, tmp_path):
+    store = catalog.Catalog(spark, f"file://{tmp_path}/catalog")
+    key = store.add("projects", name="p", description="")
+    calls, both = [], threading.Barrier(2)
+
+    def write(mark):
+        def edit(old):
+            calls.append(mark)
+            if calls.count(mark) == 1:
+                both.wait(60)  # both have read the same version
+            return {"description": old["description"] + mark}
+
+        store.change("projects", key, edit)
+
+    writers = [threading.Thread(target=write, args=(m,)) for m in "ab"]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    now = store.entry("projects", key)
+    assert sorted(now["description"]) == ["a", "b"] and now["version"] == 3 and len(calls) == 3
+    first, again = f"file://{tmp_path}/once", spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    assert catalog.put_once(spark, first, "1") and not catalog.put_once(spark, first, "2") and (tmp_path / "once").read_text() == "1"
+    (tmp_path / "aside").write_text("3")
+    with pytest.raises(FileExistsError):
+        catalog._rename(spark, again(f"file://{tmp_path}/aside"), again(first))
+    catalog._rename(spark, again(f"file://{tmp_path}/aside"), again(f"file://{tmp_path}/fresh"))
+    assert (tmp_path / "fresh").read_text() == "3" and (tmp_path / "once").read_text() == "1"
