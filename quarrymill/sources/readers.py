@@ -6,13 +6,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.errors import SourceError
 from quarrymill.functions.guards import detect_format
 from quarrymill.functions.names import plain
+from quarrymill.functions.scratch import written
 from quarrymill.functions.text import trimmed
 
 # File extensions by type, and those that are never read.
@@ -108,20 +109,62 @@ def csv_cells(line: Column, delimiter: str = ",") -> Column:
     return F.transform(F.split(joined, "\u0001"), lambda c: trimmed(F.replace(F.regexp_replace(F.replace(c, F.lit('""'), F.lit("\u0002")), '"', ""), F.lit("\u0002"), F.lit('"'))))
 
 
+def csv_text_lines(text: Column) -> Column:
+    """The lines of a CSV text that aren't blank."""
+    return F.filter(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: trimmed(x) != "")
+
+
+def csv_names(line: Column) -> Column:
+    """The names of a header line: a blank one is ``column_N``."""
+    return F.transform(csv_cells(line), lambda h, i: F.when(h == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(h))
+
+
+def csv_places(names: str) -> Column:
+    """Where the cells of a column of header names are taken from: of equal names the last place stays."""
+    places = F.transform(names, lambda h, i: F.struct(h.alias("name"), i.alias("place")))
+    return F.filter(places, lambda x: ~F.array_contains(F.slice(names, x["place"] + 2, F.size(names)), x["name"]))
+
+
+def csv_record(line: Column, places: str) -> Column:
+    """A map of a line's cells by the names of ``csv_places``; cells that are missing are empty."""
+    # The one-element array keeps the cells a variable, so that they are cut once a line and not once a name.
+    made = F.transform(F.array(csv_cells(line)), lambda own: F.map_from_entries(F.transform(places, lambda x: F.struct(x["name"], F.coalesce(F.get(own, x["place"]), F.lit(""))))))
+    return made[0]
+
+
 def parse_csv(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """(keys, id, record): a map of each line's cells by the header's names. Lines end before quotes are looked at.
 
     Blank lines go; a blank header is ``column_N``; short rows are filled with empty cells, long ones cut; of equal
-    headers the last cell stays.
+    headers the last cell stays. A text is cut into lines once, its header read once. For texts too large for one row
+    there is ``csv_blocks``.
+    """
+    # Made before lines are exploded: what stands beside the explosion is made again for every line.
+    own = df.select(*keys, csv_text_lines(F.col(text)).alias("_lines"))
+    own = own.select(*keys, "_lines", csv_names(F.get("_lines", F.lit(0))).alias("_names"))
+    own = own.select(*keys, "_lines", csv_places("_names").alias("_places"))
+    rows = own.select(*keys, "_places", F.posexplode("_lines").alias("_at", "_line")).where("_at > 0")
+    return rows.select(*keys, F.col("_at").alias("id"), csv_record(F.col("_line"), "_places").alias("record"))
+
+
+def csv_blocks(df: DataFrame, text: str, keys: list[str], block: str) -> DataFrame:
+    """(keys, id, record) of CSV texts that come in blocks, as ``parse_csv`` has them of the whole text.
+
+    The blocks of a text, in the order of ``block``, are cut at line ends. Each is read where it is; its numbers start
+    after the lines of the blocks before, and its names are those of the text's first line. One row a block meets in
+    one place. The blocks are written to the shared folder once, so that both see the same lines.
     """
-    whole = F.regexp_replace(text, "\r\n?", "\n")
-    lines = F.filter(F.split(whole, "\n"), lambda x: trimmed(x) != "")
-    head = F.transform(csv_cells(F.get(lines, F.lit(0))), lambda h, i: F.when(h == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(h))
-    rows = df.select(*keys, head.alias("_head"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("_at", "_line"))
-    rows = rows.withColumn("_cells", csv_cells(F.col("_line")))
-    entries = F.transform("_head", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("_cells", i), F.lit("")).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda l: l["key"] == e["key"]))
-    return rows.select(*keys, (F.col("_at") + 1).alias("id"), F.map_from_entries(last).alias("record"))
+    own = written(df.select(*keys, F.col(block).alias("_block"), csv_text_lines(F.col(text)).alias("_lines")).where(F.size("_lines") > 0), "csv-blocks")
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines, first = F.size("_lines").cast("long"), F.get("_lines", F.lit(0))
+    heads = own.select(*keys, "_block", lines.alias("_n"), first.alias("_first"))
+    heads = heads.select(*keys, "_block", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.first("_first").over(before).alias("_head"))
+    heads = heads.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_before", csv_names(F.col("_head")).alias("_names"))
+    heads = heads.select("*", csv_places("_names").alias("_places"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    rows = own.join(heads, [F.col("_block").eqNullSafe(F.col("_b")), *same]).select(*keys, "_before", "_places", F.posexplode("_lines").alias("_at", "_line"))
+    rows = rows.select(*keys, (F.col("_before") + F.col("_at")).alias("id"), "_places", "_line").where("id > 0")
+    return rows.select(*keys, "id", csv_record(F.col("_line"), "_places").alias("record"))
 
 
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:

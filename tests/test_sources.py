@@ -4,6 +4,7 @@ import http.server
 import json
 import socket
 import threading
+import time
 import unicodedata
 
 import pytest
@@ -34,6 +35,23 @@ def test_csv(spark):
     ]
 
 
+def test_csv_in_blocks_is_as_in_one_text(spark):
+    blocks = ["", "\n \n", 'a, b ,,a\r\n"x, ""y""", 2 ,3,last\n', "short\r\r\n", "", "l,o,n,g,er\n\n", '"open,1\n']
+    parts = [(k, i, b) for k in (1, None) for i, b in enumerate(blocks)] + [(2, 0, "x\n"), (2, 5, "1\n2"), (3, 0, "\n")]
+    got = readers.csv_blocks(spark.createDataFrame(parts, "k int, i int, text string"), "text", ["k"], "i")
+    whole = spark.createDataFrame([(1, "".join(blocks)), (None, "".join(blocks)), (2, "x\n1\n2"), (3, "\n")], "k int, text string")
+    rows = lambda df: sorted((str(r["k"]), r["id"], sorted(r["record"].items())) for r in df.collect())
+    assert rows(got) == rows(readers.parse_csv(whole, "text", ["k"])) and got.count() == 10
+
+
+def test_csv_text_of_many_lines_takes_time_by_its_lines(spark):
+    text = "k,name\n" + "".join(f'{i},"n, {i}"\n' for i in range(40_000))
+    began = time.monotonic()
+    rows = readers.parse_csv(one(spark, text), "text", ["k"])
+    assert tuple(rows.agg(F.count("*"), F.max("id"), F.countDistinct(F.col("record")["name"])).first()) == (40_000, 40_000, 40_000)
+    assert time.monotonic() - began < 60  # cutting the text anew for each line took far longer
+
+
 def test_json(spark):
     got = [r["record"] for r in readers.json_records(one(spark, '[{"a":1},2,"x"]'), "text", ["k"]).orderBy("index").collect()]
     assert got == ['{"a":1}', '{"value":2}', '{"value":"x"}']
