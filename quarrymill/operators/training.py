@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.errors import TrainingError
 from quarrymill.functions.ordering import by_digest, dense_number, placed
+from quarrymill.functions.scratch import dropped, written
 from quarrymill.functions.text import clean_string, trimmed, utf16_length
 from quarrymill.operators.clean import is_empty_record
 from quarrymill.operators.dedup import deduplicate
@@ -149,9 +152,9 @@ def lcg(seed: float = 42):
 
 
 def permutation(n: int, seed: float = 42) -> np.ndarray:
-    """A seeded shuffle of 0 to n - 1 from the end, for parity on data sets of up to 250,000 rows; then use hash_split."""
+    """A seeded shuffle of 0 to n - 1 from the end, for parity on lists of up to 250,000; ``shuffled`` is the same for tables."""
     if n > 250_000:
-        raise TrainingError("TOO_MANY_RECORDS", "use hash_split")
+        raise TrainingError("TOO_MANY_RECORDS", "use shuffled")
     order, numbers = np.arange(n), lcg(seed)
     for i in range(n - 1, 0, -1):
         j = int(next(numbers) * (i + 1))
@@ -159,17 +162,69 @@ def permutation(n: int, seed: float = 42) -> np.ndarray:
     return order
 
 
+def lcg_states(k: np.ndarray, seed: float = 42) -> np.ndarray:
+    """States of ``lcg`` after ``k`` steps each: jumps by powers of two, as a step done twice is a step of the same form."""
+    state = int(abs(seed)) & 0xFFFFFFFF if seed == seed and abs(seed) != float("inf") else 1
+    out, left = np.full(len(k), state or 1, np.uint64), k.astype(np.uint64)
+    by, plus, mask = MULTIPLIER, INCREMENT, np.uint64(0xFFFFFFFF)
+    while left.any():
+        jump = (left & np.uint64(1)).astype(bool)
+        out[jump] = (out[jump] * np.uint64(by) + np.uint64(plus)) & mask
+        by, plus = by * by % 2**32, (by * plus + plus) % 2**32
+        left >>= np.uint64(1)
+    return out
+
+
+def drawn(n: int, seed: float):
+    """A function for mapInArrow: i to (i, j), the places that the shuffle of ``n`` rows exchanges at its step i."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column(0).to_numpy()
+            numbers = lcg_states(n - i, seed) / 2.0**32
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array((numbers * (i + 1)).astype(np.int64))], ["i", "j"])
+
+    return draw
+
+
+def shuffled(spark: SparkSession, n: int, seed: float = 42) -> DataFrame:
+    """(at, place): the row at ``at`` of 0 to n - 1 is put at ``place`` by the seeded shuffle from the end (``permutation``).
+
+    Step i exchanges places i and j, from the last i down to 1; what is then at i stays. So what step i takes from j is
+    what the next larger step with the same j left there: the row that it found at its own place. That row, in turn, is
+    what the smallest step k > i that draws i found at k, and so on up, to a step whose place nobody has drawn before;
+    there the row is the one that started at that place. Such ways are short (their mean grows with the logarithm of n)
+    and doubled by a join, each way's end being its own next, until all are at their ends. A place is drawn some
+    log(n / place) times, so groups are small.
+    """
+    draws = spark.range(n).mapInArrow(drawn(n, seed), "i long, j long")
+    by_place = draws.groupBy("j").agg(F.sort_array(F.collect_list("i")).alias("steps"))
+    by_place = written(by_place, "shuffle-draws")
+    after = F.filter("steps", lambda k: k > F.col("j"))
+    ways = by_place.select(F.col("j").alias("at"), F.get(after, F.lit(0)).alias("found")).where("found is not null")
+    ways, going = written(ways, "shuffle-ways"), True
+    while going:
+        ends = ways.select(F.col("at").alias("_at"), F.col("found").alias("_end"))
+        further = ways.join(ends, F.col("found") == F.col("_at"), "left").select("at", F.coalesce("_end", "found").alias("found"), F.col("_end").isNotNull().alias("moved"))
+        further = written(further, "shuffle-ways")
+        dropped(ways)
+        ways, going = further, not further.where("moved").isEmpty()
+    steps = by_place.select("j", "steps", F.posexplode("steps").alias("k", "place"))
+    steps = steps.select("j", "place", F.get("steps", F.col("k") + 1).alias("later"))
+    taken = steps.join(ways, F.col("later") == F.col("at"), "left")
+    return taken.select(F.coalesce("found", "later", "j").alias("at"), "place")
+
+
 def lcg_split(df: DataFrame, order: str, seed: float = 42, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """Add ``split`` and ``place`` as the seeded shuffle deals rows, up to its 250,000 rows."""
-    n = df.count()
-    to = permutation(n, seed)
-    train, validation, _ = split_counts(n, normalize_splits(*ratios))
-    place = np.empty(n, np.int64)
-    place[to] = np.arange(n)
-    deal = df.sparkSession.createDataFrame([(i + 1, int(p)) for i, p in enumerate(place)], "_at long, place long")
-    rows = placed(df, [F.col(order)], "_n").join(deal, F.col("_n") == F.col("_at"))
+    """Add ``split`` and ``place`` as the seeded shuffle deals rows in the order of ``order``, however many there are."""
+    shares = normalize_splits(*ratios)
+    rows = placed(df, [F.col(order)], "_n")
+    n = rows.count()
+    train, validation, _ = split_counts(n, shares)
+    deal = shuffled(df.sparkSession, n, seed).select(F.col("at").alias("_at"), "place")
+    rows = rows.join(deal, F.col("_n") - 1 == F.col("_at"))
     split = F.when(F.col("place") < train, "train").when(F.col("place") < train + validation, "validation").otherwise("test")
-    return rows.select(*df.columns, split.alias("split"), "place")
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"), "place")
 
 
 def label_histogram(df: DataFrame, label: str, order: str) -> DataFrame:

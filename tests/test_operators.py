@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,29 @@ def test_split_errors_and_lcg():
     assert training.permutation(2).tolist() == [1, 0]
 
 
+@pytest.mark.parametrize("seed", [42, 0, float("nan"), 2**32 + 5])
+def test_lcg_states_are_jumped_to(seed):
+    numbers = training.lcg(seed)
+    assert [next(numbers) for _ in range(300)] == (training.lcg_states(np.arange(1, 301), seed) / 2.0**32).tolist()
+
+
+def test_lcg_split_of_more_rows_than_the_driver_shuffles(spark):
+    n, numbers = 260_000, training.lcg(7)
+    order = list(range(n))
+    for i in range(n - 1, 0, -1):
+        j = int(next(numbers) * (i + 1))
+        order[i], order[j] = order[j], order[i]
+    got = training.lcg_split(spark.range(n).withColumnRenamed("id", "at"), "at", 7).orderBy("place").toArrow()
+    assert got["place"].to_pylist() == list(range(n)) and got["at"].to_pylist() == order
+    assert got["split"].to_pylist() == ["train"] * 208_000 + ["validation"] * 26_000 + ["test"] * 26_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000])
+def test_small_shuffles(spark, n):
+    got = {r["place"]: r["at"] for r in training.shuffled(spark, n).collect()}
+    assert [got[k] for k in range(n)] == training.permutation(n).tolist()
+
+
 def test_training_golden(spark):
     df = spark.createDataFrame([(1, "Q1", "", "A1"), (2, "Q2", "c", "A2"), (3, "", "", "")], "r long, instruction string, input string, output string")
     records, rejected = training.prepare(df, ["instruction", "input", "output"], "r", "instruction")
