@@ -31,8 +31,8 @@ GRAIN = 2.0**-40
 FREQUENT = 1 << 18
 #: The end of a text, as a word's hash and beginning.
 END_HASH, END_HEAD = np.uint64(0xE4D0FD0C5A17B3F1), 0
-#: Tokens of a product.
-TOKENS = 1024
+#: Tokens of a batch, and contexts, that are worked on at a time, so that their arrays stay in a core's cache.
+ROWS, AT_ONCE = 512, 64
 #: Parts of one that vectors are rounded to in these products.
 FINE = 2.0**16
 
@@ -167,7 +167,7 @@ def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     sizes = np.bincount(at, minlength=n)
     kinds = np.flatnonzero(sizes)
     if len(kinds):
-        out[kinds] = np.add.reduceat(rows[order], (np.cumsum(sizes) - sizes)[kinds])
+        out[kinds] = np.add.reduceat(rows.take(order, axis=0, mode="clip"), (np.cumsum(sizes) - sizes)[kinds])
     return out
 
 
@@ -176,34 +176,40 @@ def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, un
     params, held = state[:4], state[4:]
     vectors, mats, targets, bias = params
     shift = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
-    ends, tokens = np.cumsum(unigram), np.concatenate([context, symbol[None]]).T.astype(np.int16)
-    one = np.float32(1)
+    ends, tokens = np.cumsum(unigram), np.concatenate([context, symbol[None]]).T.astype(np.int16, order="C")
+    one, d = np.float32(1), DIMENSIONS
+    first = np.zeros((CONTEXT, SYMBOLS + 1, 1), np.float32)
+    first[0] = 1  # a last dimension that is one, so that biases and their gradients are part of the products
     for _ in range(passes):
         order = rng.permutation(len(tokens))
         for start in range(0, len(order), BATCH):
-            own = tokens[order[start : start + BATCH]].T
-            c, w, many = own[:CONTEXT], own[CONTEXT], np.float32(own.shape[1])
+            own = tokens.take(order[start : start + BATCH], axis=0, mode="clip").T.copy()
+            at, many = own.astype(np.intp), np.float32(own.shape[1])  # takes with mode="clip" need no buffer
             noise = np.minimum(np.searchsorted(ends, rng.random(NOISE), side="right"), SYMBOLS - 1)
-            q = (vectors @ mats[0])[c[0]]
-            for j in range(1, CONTEXT):
-                q += (vectors @ mats[j])[c[j]]
-            own_targets = targets[w]
-            good = one / (one + np.exp((shift - bias)[w] - np.einsum("nd,nd->n", q, own_targets)))
-            down = q @ -targets[noise].T  # becomes the negated probabilities of noise, in place
-            down += shift[noise] - bias[noise]
-            np.exp(down, out=down)
-            down += one
-            np.divide(-one / many, down, out=down)
-            up = (one - good) / many
-            own_targets *= up[:, None]
-            own_targets += down @ targets[noise]  # the gradient of q
-            by_context = [added(c[j], own_targets, SYMBOLS + 1) for j in range(CONTEXT)]
-            by_noise, by_bias = down.T @ q, np.bincount(w, up, SYMBOLS).astype(np.float32)
-            q *= up[:, None]
-            by_word = added(w, q, SYMBOLS)
-            np.add.at(by_word, noise, by_noise)
-            np.add.at(by_bias, noise, down.sum(0))
-            grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word, by_bias]
+            tables, outputs = np.concatenate([vectors @ mats, first], 2), np.concatenate([targets, (bias - shift)[:, None]], 1)
+            drawn, by_noise = outputs[noise], np.zeros((d + 1, NOISE), np.float32)
+            against = np.ascontiguousarray(-drawn.T)
+            q, back = np.empty((own.shape[1], d + 1), np.float32), np.empty((own.shape[1], d + 1), np.float32)
+            for part in range(0, own.shape[1], ROWS):
+                c, x, g = at[:, part : part + ROWS], q[part : part + ROWS], back[part : part + ROWS]
+                tables[0].take(c[0], axis=0, out=x, mode="clip")
+                for j in range(1, CONTEXT):
+                    x += tables[j].take(c[j], axis=0, mode="clip")
+                outputs.take(c[CONTEXT], axis=0, out=g, mode="clip")  # becomes the gradient of q
+                good = one / (one + np.exp(-np.einsum("nd,nd->n", x, g)))
+                up = ((one - good) / many)[:, None]
+                g *= up
+                down = x @ against  # becomes the negated probabilities of noise, in place
+                np.exp(down, out=down)
+                down += one
+                np.divide(-one / many, down, out=down)
+                g += down @ drawn
+                by_noise += x.T @ down
+                x *= up
+            by_word = added(own[CONTEXT], q, SYMBOLS)
+            np.add.at(by_word, noise, by_noise.T)
+            by_context = [added(own[j], back, SYMBOLS + 1)[:, :d] for j in range(CONTEXT)]
+            grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word[:, :d], by_word[:, d]]
             for x, g, h in zip(params, grads, held, strict=True):
                 h += g * g
                 x += RATE * g / np.sqrt(h)
@@ -271,32 +277,39 @@ def trained(texts: DataFrame, counts: Counts) -> Model:
 
 
 def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log of each token's normalised probability, by products of token batches with all target vectors.
+    """Natural log of each token's normalised probability.
 
-    The products are of whole numbers (parts of ``FINE``) in doubles, which hold them exactly, so that a token's
+    A logit is a sum over the context's words, so its power of e is a product: of a row of each word's table of all
+    symbols. Each context that occurs is normalised once, by the sum over such products. The tables are products of whole
+    numbers (parts of ``FINE``) in doubles, which hold them exactly, and rows are summed one by one, so that a token's
     probability depends on its own context only, not on the place that it has in a batch.
     """
-    out = np.zeros(len(symbol))
     one = np.zeros((CONTEXT, SYMBOLS + 1, 1))
     one[0] = 1  # so that the bias is part of the product
     tables = np.round(np.concatenate([model.tables, one], 2) * FINE)
-    targets = np.round(np.concatenate([model.targets, model.bias[:, None]], 1).T * FINE).copy()
-    rows, whole, logits = np.arange(TOKENS), np.empty((TOKENS, SYMBOLS)), np.empty((TOKENS, SYMBOLS), np.float32)
-    for a in range(0, len(symbol), TOKENS):
-        c, own = context[:, a : a + TOKENS], symbol[a : a + TOKENS]
-        missing = TOKENS - len(own)
-        if missing:
-            c, own = np.pad(c, ((0, 0), (0, missing))), np.pad(own, (0, missing))
-        q = tables[0][c[0]]
+    targets = np.round(np.concatenate([model.targets, model.bias[:, None]], 1).T * FINE)
+    logits = tables @ targets * FINE**-2
+    top = logits.max(2)
+    shares = np.exp(logits - top[:, :, None])
+    key = context[CONTEXT - 1].astype(np.int64)
+    for j in reversed(range(CONTEXT - 1)):
+        key = key * (SYMBOLS + 1) + context[j]
+    kinds, of = np.unique(key, return_inverse=True)  # in order, so that the last tables' rows are near
+    norm = np.empty(len(kinds))
+    for a in range(0, len(kinds), AT_ONCE):
+        c = [kinds[a : a + AT_ONCE] // (SYMBOLS + 1) ** j % (SYMBOLS + 1) for j in range(CONTEXT)]
+        product = shares[0].take(c[0], axis=0, mode="clip")
         for j in range(1, CONTEXT):
-            q += tables[j][c[j]]
-        np.matmul(q, targets, out=whole)
-        whole -= whole.max(1, keepdims=True)
-        picked = whole[rows, own] * FINE**-2
-        np.multiply(whole, FINE**-2, out=logits, casting="same_kind")
-        np.exp(logits, out=logits)
-        out[a : a + TOKENS] = (picked - np.log(logits.sum(1, dtype=np.float64)))[: TOKENS - missing]
-    return out
+            product *= shares[j].take(c[j], axis=0, mode="clip")
+        total = product.sum(1)
+        more = sum(top[j][c[j]] for j in range(CONTEXT))
+        low = np.flatnonzero(total < 1e-200)  # words that disagree this much: products may be too small for doubles
+        if len(low):
+            whole = sum(logits[j][c[j][low]] for j in range(CONTEXT))
+            more[low] = whole.max(1)
+            total[low] = np.exp(whole - more[low, None]).sum(1)
+        norm[a : a + AT_ONCE] = more + np.log(total)
+    return sum(logits[j][context[j], symbol] for j in range(CONTEXT)) - norm[of]
 
 
 SCORES = "row long, word long, times int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"

@@ -345,3 +345,48 @@ def test_pipeline(spark, tmp_path):
             assert 201 not in ids and before.count() == held.count() + 1
     assert names == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
     assert corpus_pipeline.run(spark, path).count() == held.count()
+
+
+def test_a_context_is_normalised_once(monkeypatch):
+    """20,000 tokens of 60 contexts: powers of e are taken of the model's tables, not of all symbols for each token."""
+    rng = np.random.default_rng(4)
+    d, n = scoring.DIMENSIONS, scoring.SYMBOLS
+    kinds = rng.integers(0, n + 1, (scoring.CONTEXT, 60))
+    context, symbol = kinds[:, rng.integers(0, 60, 20_000)], rng.integers(0, n, 20_000)
+    for scale in (0.1, 12.0):  # large ones: words of a context that rule out each other's symbols
+        model = scoring.Model(*[(rng.normal(0, scale, x)).astype(np.float32) for x in ((scoring.CONTEXT, n + 1, d), (n, d), (n,))])
+        taken, real = [], np.exp
+        with monkeypatch.context() as m:
+            m.setattr(np, "exp", lambda x, *a, **k: (taken.append(np.size(x)), real(x, *a, **k))[1])
+            found = scoring.log_probabilities(symbol, context, model)
+        assert sum(taken) <= scoring.CONTEXT * (n + 1) * n + 60 * n
+        logits = sum(model.tables[j].astype(float)[context[j]] for j in range(scoring.CONTEXT)) @ model.targets.T.astype(float) + model.bias
+        top = logits.max(1)
+        want = logits[np.arange(20_000), symbol] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        assert np.abs(found - want).max() < 1e-3 * max(1.0, scale**2)
+
+
+def test_a_step_follows_the_gradient_of_noise_contrastive_estimation():
+    rng, n, k = np.random.default_rng(9), scoring.SYMBOLS, scoring.NOISE
+    context, symbol = rng.integers(0, n + 1, (scoring.CONTEXT, 1500)), rng.integers(0, n, 1500)
+    unigram = scoring.smoothed(np.bincount(symbol, minlength=n))
+    state = scoring.started(unigram)
+    vectors, mats, targets, bias, *held = [x.astype(float) for x in state]
+    scoring.learned(state, symbol, context, unigram, 1, np.random.default_rng(2))
+    draws = np.random.default_rng(2)
+    draws.permutation(1500)
+    noise = np.minimum(np.searchsorted(np.cumsum(unigram), draws.random(k), side="right"), n - 1)
+    q = sum(vectors[context[j]] @ mats[j] for j in range(scoring.CONTEXT))
+    odds = q @ targets.T + bias - np.log(unigram) - np.log(k)
+    chance = 1 / (1 + np.exp(-odds))
+    pull = np.zeros((1500, n))  # the gradient of each logit: up for the token's own, down for every draw
+    pull[np.arange(1500), symbol] += 1 - chance[np.arange(1500), symbol]
+    np.add.at(pull.T, noise, -chance.T[noise])
+    pull /= 1500
+    by_q = pull @ targets
+    by_vectors, by_mats = np.zeros_like(vectors), np.zeros_like(mats)
+    for j in range(scoring.CONTEXT):
+        np.add.at(by_vectors, context[j], by_q @ mats[j].T)
+        by_mats[j] = vectors[context[j]].T @ by_q
+    for new, old, h, g in zip(state[:4], (vectors, mats, targets, bias), held, (by_vectors, by_mats, pull.T @ q, pull.sum(0)), strict=True):
+        assert np.allclose(new, old + scoring.RATE * g / np.sqrt(h + g * g), atol=2e-6)
