@@ -21,13 +21,15 @@ CAPACITY, END = 1024, 2
 #: Pieces of a block, about; islands of a block; rounds between which their elites move; individuals of an island; and
 #: crossovers of a round.
 BLOCK, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 2048, 2, 2, 4, 8
-#: Tasks that islands are dealt to, at most.
-TASKS = 20_000
+#: Islands of a task, about: to start a task takes as long as to pack one or two. Tasks that they are dealt to, at most.
+TOGETHER, TASKS = 8, 20_000
 #: The share of a parent's sequences that a crossover injects into the other.
 INJECTED = 0.1
 #: The share of a block's pieces, in its worst-filled sequences, that is packed anew with those of other blocks.
 ONWARD = 1 / 8
 
+#: Bits of a bin's number within a block.
+BITS = 40
 #: Bytes of text that are encoded at a time; the more, the more words repeat.
 AT_ONCE = 8_000_000
 
@@ -83,22 +85,29 @@ def cutter(model: bytes, capacity: int, end: int, with_ids: bool):
 Bins = list[list[int]]
 
 
+def fills(bins: Bins, sizes: list[int]) -> list[int]:
+    """What is in each bin."""
+    own = sizes.__getitem__
+    return [sum(map(own, b)) for b in bins]
+
+
 def best_fit(bins: Bins, sizes: list[int], items: list[int], capacity: int) -> Bins:
     """``bins`` with ``items`` put, in the given order, each where the least room is left over; new bins where none has room."""
-    room = [capacity - sum(sizes[i] for i in b) for b in bins]
-    free = sorted((r, k) for k, r in enumerate(room) if r)
+    # Bins with room in order of it, then of their number: both in one whole number, which is compared faster than a pair.
+    free = sorted((capacity - x) << BITS | k for k, x in enumerate(fills(bins, sizes)) if x < capacity)
+    low = (1 << BITS) - 1
     for i in items:
         size = sizes[i]
-        at = bisect_left(free, (size, -1))
+        at = bisect_left(free, size << BITS)
         if at == len(free):
             bins.append([i])
             left, k = capacity - size, len(bins) - 1
         else:
-            left, k = free.pop(at)
+            found = free.pop(at)
+            left, k = (found >> BITS) - size, found & low
             bins[k].append(i)
-            left -= size
         if left:
-            insort(free, (left, k))
+            insort(free, left << BITS | k)
     return bins
 
 
@@ -122,7 +131,7 @@ def bound(sizes: np.ndarray, capacity: int) -> int:
 
 def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
     """The more the better: fewer bins, then bins filled unevenly, which leaves room where it can be used."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum([(x / capacity) ** 2 for x in fills(bins, sizes)])
 
 
 def crossed(one: Bins, other: Bins, sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
@@ -131,8 +140,7 @@ def crossed(one: Bins, other: Bins, sizes: list[int], capacity: int, rng: np.ran
     Bins of ``other`` that hold an injected piece go, and their other pieces are displaced; they come back by best fit,
     the largest first.
     """
-    fill = [sum(sizes[i] for i in b) for b in one]
-    ranked = sorted(range(len(one)), key=lambda k: -fill[k])
+    ranked = sorted(range(len(one)), key=fills(one, sizes).__getitem__, reverse=True)
     good = ranked[: max(1, len(ranked) // 2)]
     chosen = [one[k] for k in rng.permutation(good)[: max(1, int(len(one) * INJECTED))].tolist()]
     taken = {i for b in chosen for i in b}
@@ -142,13 +150,13 @@ def crossed(one: Bins, other: Bins, sizes: list[int], capacity: int, rng: np.ran
             child.append(list(b))
         else:
             loose += [i for i in b if i not in taken]
-    return best_fit(child, sizes, sorted(loose, key=lambda i: -sizes[i]), capacity)
+    return best_fit(child, sizes, sorted(loose, key=sizes.__getitem__, reverse=True), capacity)
 
 
 def mutated(bins: Bins, sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
     """The worst-filled bin and a few others are emptied and their pieces put back by best fit, in a shaken order."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    gone = {int(np.argmin(fill)), *rng.integers(0, len(bins), min(3, len(bins))).tolist()}
+    fill = fills(bins, sizes)
+    gone = {fill.index(min(fill)), *rng.integers(0, len(bins), min(3, len(bins))).tolist()}
     loose = [i for k in gone for i in bins[k]]
     keys = {i: sizes[i] * (0.8 + 0.4 * r) for i, r in zip(loose, rng.random(len(loose)).tolist(), strict=True)}
     return best_fit([list(b) for k, b in enumerate(bins) if k not in gone], sizes, sorted(loose, key=lambda i: -keys[i]), capacity)
@@ -156,7 +164,7 @@ def mutated(bins: Bins, sizes: list[int], capacity: int, rng: np.random.Generato
 
 def evolved(sizes: list[int], start: list[Bins], capacity: int, least: int, seed: int) -> Bins:
     """An island's best bins after a round of crossovers, starting with ``start`` (what moved in, or nothing)."""
-    rng, order = np.random.default_rng(seed), sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    rng, order = np.random.default_rng(seed), sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
     population = [[list(b) for b in bins] for bins in start] or [best_fit([], sizes, order, capacity)]
     best = max(population, key=lambda b: fitness(b, sizes, capacity))
     if len(best) <= least:
@@ -206,6 +214,11 @@ def island(capacity: int, epoch: int):
     return run
 
 
+def tasks_of(blocks: int) -> int:
+    """Tasks for the islands of ``blocks`` blocks."""
+    return max(1, min(-(-blocks * ISLANDS // TOGETHER), TASKS))
+
+
 def islands(blocks: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """(block, bins): the best bins of every block of ``blocks`` (block, sizes), as the bin of each size.
 
@@ -264,7 +277,7 @@ def packed(docs: DataFrame, model: bytes, capacity: int = CAPACITY, end: int = E
         dealt = open_items.withColumn("block", F.pmod(F.xxhash64("_item", F.lit(level)), F.lit(blocks)))
         held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("size", "_item")), asc=False).alias("items"))
         held = written(held, "pack-blocks")
-        found = islands(held.select("block", F.transform("items", lambda x: x["size"]).alias("sizes")), capacity, min(blocks * ISLANDS, TASKS))
+        found = islands(held.select("block", F.transform("items", lambda x: x["size"]).alias("sizes")), capacity, tasks_of(blocks))
         spelled = held.join(found, "block").select("block", F.explode(F.arrays_zip("items", "bins")).alias("x"))
         spelled = spelled.select("block", F.col("x.bins").alias("bin"), F.col("x.items.size").alias("size"), F.col("x.items._item").alias("_item"))
         filled = spelled.groupBy("block", "bin").agg(F.sum("size").alias("fill"), F.collect_list(F.struct("_item", "size")).alias("own"))

@@ -224,3 +224,24 @@ def test_labels_of_other_documents_take_no_place(spark):
     own = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
     rows = labelled.training_rows(docs, labels, "toxic", 5, 0, {0: 100, 1: 100}, 1000).collect()
     assert sorted(r["doc_id"] for r in rows) == own
+
+
+def test_islands_are_dealt_to_fewer_tasks_than_there_are():
+    assert [packing.tasks_of(n) for n in (1, 4, 5, 125, 6250, 10**6)] == [1, 1, 2, 32, 1563, packing.TASKS]
+
+
+def test_best_fit_takes_the_least_room_and_of_equal_rooms_the_first():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        sizes, capacity = rng.integers(1, 30, 60).tolist(), 30
+        start = [[0, 1]] if sizes[0] + sizes[1] <= capacity else [[0], [1]]
+        items = rng.permutation(np.arange(2, 60)).tolist()
+        want = [list(b) for b in start]
+        for i in items:
+            rooms = [(capacity - sum(sizes[x] for x in b), k) for k, b in enumerate(want)]
+            fits = [x for x in rooms if x[0] >= sizes[i]]
+            if fits:
+                want[min(fits)[1]].append(i)
+            else:
+                want.append([i])
+        assert packing.best_fit([list(b) for b in start], sizes, items, capacity) == want
