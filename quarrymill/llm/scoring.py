@@ -35,6 +35,8 @@ END_HASH, END_HEAD = np.uint64(0xE4D0FD0C5A17B3F1), 0
 ROWS, AT_ONCE = 512, 64
 #: Parts of one that vectors are rounded to in these products.
 FINE = 2.0**16
+#: Logits up to which powers of e are taken of each context word's part, so that their product is a float's.
+SAFE = 25.0
 
 
 class Tokens(NamedTuple):
@@ -56,13 +58,21 @@ def tokens(texts: pa.Array) -> Tokens:
     return Tokens(np.insert(w.hash, ends, END_HASH), np.insert(head, ends, END_HEAD), text, w.first + np.arange(n + 1))
 
 
+def coded(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and the place among them of each."""
+    found = pa.array(hashes).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy().astype(np.int64)
+
+
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: text to (word, head, n), counts of each piece's distinct tokens."""
     for whole in batches:
         for batch in pieces(whole):
             t = tokens(batch.column("text"))
-            word, at, n = np.unique(t.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t.head[at].astype(np.int32)), pa.array(n)], ["word", "head", "n"])
+            word, code = coded(t.hash)
+            head = np.zeros(len(word), np.int32)
+            head[code] = t.head  # equal words, equal heads
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(head), pa.array(np.bincount(code, minlength=len(word)))], ["word", "head", "n"])
 
 
 class Counts(NamedTuple):
@@ -161,55 +171,72 @@ def started(unigram: np.ndarray, seed: int = 5) -> list[np.ndarray]:
 
 
 def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by ``at``."""
+    """Sums of ``rows`` by ``at``; two columns are added at a time, as parts of complex numbers."""
     out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(at, kind="stable")
-    sizes = np.bincount(at, minlength=n)
+    order, sizes = np.argsort(at, kind="stable"), np.bincount(at, minlength=n)
     kinds = np.flatnonzero(sizes)
     if len(kinds):
-        out[kinds] = np.add.reduceat(rows.take(order, axis=0, mode="clip"), (np.cumsum(sizes) - sizes)[kinds])
+        out.view(np.complex64)[kinds] = np.add.reduceat(rows.view(np.complex64).take(order, axis=0, mode="clip"), (np.cumsum(sizes) - sizes)[kinds])
     return out
 
 
 def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, unigram: np.ndarray, passes: int, rng: np.random.Generator) -> None:
-    """Noise-contrastive estimation: tells each token from ``NOISE`` draws of the unigram, by gradient steps of Adagrad."""
+    """Noise-contrastive estimation: tells each token from ``NOISE`` draws of the unigram, by gradient steps of Adagrad.
+
+    A symbol that is drawn several times for a batch is gone through once, with that weight. The odds against a draw are
+    products of a power of e for each word of the context, which are taken of the position tables once a batch.
+    """
     params, held = state[:4], state[4:]
     vectors, mats, targets, bias = params
     shift = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
     ends, tokens = np.cumsum(unigram), np.concatenate([context, symbol[None]]).T.astype(np.int16, order="C")
-    one, d = np.float32(1), DIMENSIONS
-    first = np.zeros((CONTEXT, SYMBOLS + 1, 1), np.float32)
-    first[0] = 1  # a last dimension that is one, so that biases and their gradients are part of the products
+    one, ones, d = np.float32(1), np.ones(ROWS, np.float32), DIMENSIONS
     for _ in range(passes):
         order = rng.permutation(len(tokens))
         for start in range(0, len(order), BATCH):
             own = tokens.take(order[start : start + BATCH], axis=0, mode="clip").T.copy()
             at, many = own.astype(np.intp), np.float32(own.shape[1])  # takes with mode="clip" need no buffer
-            noise = np.minimum(np.searchsorted(ends, rng.random(NOISE), side="right"), SYMBOLS - 1)
-            tables, outputs = np.concatenate([vectors @ mats, first], 2), np.concatenate([targets, (bias - shift)[:, None]], 1)
-            drawn, by_noise = outputs[noise], np.zeros((d + 1, NOISE), np.float32)
-            against = np.ascontiguousarray(-drawn.T)
-            q, back = np.empty((own.shape[1], d + 1), np.float32), np.empty((own.shape[1], d + 1), np.float32)
+            times = np.bincount(np.minimum(np.searchsorted(ends, rng.random(NOISE), side="right"), SYMBOLS - 1), minlength=SYMBOLS)
+            noise = np.flatnonzero(times)
+            tables, level = vectors @ mats, bias - shift
+            drawn, weight = targets[noise], -times[noise].astype(np.float32) / many
+            against = tables @ -drawn.T
+            against[0] -= level[noise]
+            factors = np.exp(against) if np.abs(against).max() <= SAFE else None
+            by_noise, by_draw = np.zeros((len(noise), d), np.float32), np.zeros(len(noise), np.float32)
+            q, back = np.empty((own.shape[1], d), np.float32), np.empty((own.shape[1], d), np.float32)
+            up, base = np.empty(own.shape[1], np.float32), level.take(at[CONTEXT], mode="clip")
             for part in range(0, own.shape[1], ROWS):
-                c, x, g = at[:, part : part + ROWS], q[part : part + ROWS], back[part : part + ROWS]
+                here = slice(part, part + ROWS)
+                c, x, g, u = at[:, here], q[here], back[here], up[here]
                 tables[0].take(c[0], axis=0, out=x, mode="clip")
                 for j in range(1, CONTEXT):
                     x += tables[j].take(c[j], axis=0, mode="clip")
-                outputs.take(c[CONTEXT], axis=0, out=g, mode="clip")  # becomes the gradient of q
-                good = one / (one + np.exp(-np.einsum("nd,nd->n", x, g)))
-                up = ((one - good) / many)[:, None]
-                g *= up
-                down = x @ against  # becomes the negated probabilities of noise, in place
-                np.exp(down, out=down)
+                targets.take(c[CONTEXT], axis=0, out=g, mode="clip")  # becomes the gradient of q
+                np.vecdot(x, g, out=u)
+                u += base[here]
+                np.exp(u, out=u)
+                u += one
+                np.divide(one / many, u, out=u)  # how far the token's own probability is from one
+                g *= u[:, None]
+                if factors is None:  # a product may be too large or too small for floats
+                    down = sum(against[j].take(c[j], axis=0, mode="clip") for j in range(CONTEXT))
+                    np.exp(down, out=down)
+                else:
+                    down = factors[0].take(c[0], axis=0, mode="clip")
+                    for j in range(1, CONTEXT):
+                        down *= factors[j].take(c[j], axis=0, mode="clip")
                 down += one
-                np.divide(-one / many, down, out=down)
+                np.divide(weight, down, out=down)  # the negated probabilities of noise
                 g += down @ drawn
-                by_noise += x.T @ down
-                x *= up
-            by_word = added(own[CONTEXT], q, SYMBOLS)
-            np.add.at(by_word, noise, by_noise.T)
-            by_context = [added(own[j], back, SYMBOLS + 1)[:, :d] for j in range(CONTEXT)]
-            grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word[:, :d], by_word[:, d]]
+                by_noise += down.T @ x
+                by_draw += ones[: len(down)] @ down
+                x *= u[:, None]
+            by_word, by_bias = added(own[CONTEXT], q, SYMBOLS), np.bincount(own[CONTEXT], up, SYMBOLS).astype(np.float32)
+            by_word[noise] += by_noise
+            by_bias[noise] += by_draw
+            by_context = [added(own[j], back, SYMBOLS + 1) for j in range(CONTEXT)]
+            grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word, by_bias]
             for x, g, h in zip(params, grads, held, strict=True):
                 h += g * g
                 x += RATE * g / np.sqrt(h)
@@ -332,19 +359,20 @@ def scorer(model: Model, counts: Counts):
                 found = log_probabilities(symbol, contexts(symbol, t), model) / np.log(10)
                 in_class = symbol > OWN
                 found[in_class] -= class_log[symbol[in_class] - OWN - 1]
-                at = np.minimum(np.searchsorted(counts.words, t.hash), max(len(counts.words) - 1, 0))
-                known = counts.words[at] == t.hash if len(counts.words) else np.zeros(len(t.hash), bool)
-                plus = np.where(known, np.log10(counts.numbers[at] + 1.0), 0.0) if len(counts.words) else np.zeros(len(t.hash))
+                word, code = coded(t.hash)
+                at = np.minimum(np.searchsorted(counts.words, word), max(len(counts.words) - 1, 0))
+                frequent = counts.words[at] == word if len(counts.words) else np.zeros(len(word), bool)
+                plus = (np.where(frequent, np.log10(counts.numbers[at] + 1.0), 0.0) if len(counts.words) else np.zeros(len(word)))[code]
+                known = frequent[code]
                 base = np.bincount(t.text, plus, n) - np.diff(t.first) * np.log10(counts.total + counts.distinct + 1.0)
                 found += np.where(in_class, plus, 0.0)
                 rare = np.flatnonzero(~known)
-                pair = np.empty(len(rare), [("text", np.int64), ("word", np.uint64)])
-                pair["text"], pair["word"] = t.text[rare], t.hash[rare]
-                pair, times = np.unique(pair, return_counts=True)
+                pair, times = np.unique(t.text[rare] * len(word) + code[rare], return_counts=True)
+                of, rarer = np.divmod(pair, max(len(word), 1))
                 nothing = lambda kind: pa.nulls(len(pair), kind)
                 columns = [
-                    (pa.array(row), pa.array(row[pair["text"]])),
-                    (pa.array(mixed(row.view(np.uint64), 41).view(np.int64)), pa.array(pair["word"].view(np.int64))),
+                    (pa.array(row), pa.array(row[of])),
+                    (pa.array(mixed(row.view(np.uint64), 41).view(np.int64)), pa.array(word[rarer].view(np.int64))),
                     (pa.array(np.zeros(n, np.int32)), pa.array(times.astype(np.int32))),
                     (batch.column("doc_id").cast(pa.int64()), nothing(pa.int64())),
                     (batch.column("held_out"), nothing(pa.bool_())),

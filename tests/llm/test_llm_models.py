@@ -390,3 +390,40 @@ def test_a_step_follows_the_gradient_of_noise_contrastive_estimation():
         by_mats[j] = vectors[context[j]].T @ by_q
     for new, old, h, g in zip(state[:4], (vectors, mats, targets, bias), held, (by_vectors, by_mats, pull.T @ q, pull.sum(0)), strict=True):
         assert np.allclose(new, old + scoring.RATE * g / np.sqrt(h + g * g), atol=2e-6)
+
+
+def test_training_takes_powers_of_tables_once_a_batch(monkeypatch):
+    """Two batches of 3,000 to 4,096 tokens: powers of e aren't taken for each token and draw; logits of any size are learned from."""
+    rng, n = np.random.default_rng(11), scoring.SYMBOLS
+    context, symbol = rng.integers(0, n + 1, (scoring.CONTEXT, 7096)), rng.zipf(1.3, 7096) % n
+    unigram = scoring.smoothed(np.bincount(symbol, minlength=n))
+    for scale in (1, 15):
+        found = []
+        for safe in (scoring.SAFE, -1.0):  # powers of parts, of sums
+            state, taken, real = scoring.started(unigram), [], np.exp
+            for x in (state[0], state[2]):
+                x *= scale
+            with monkeypatch.context() as m:
+                m.setattr(scoring, "SAFE", safe, raising=False)
+                m.setattr(np, "exp", lambda x, *a, **k: (taken.append(np.size(x)), real(x, *a, **k))[1])
+                scoring.learned(state, symbol, context, unigram, 1, np.random.default_rng(2))
+            found.append((state, sum(taken)))
+        if scale == 1:
+            assert found[0][1] <= 7096 + 2 * scoring.CONTEXT * (n + 1) * scoring.NOISE < 7096 * scoring.NOISE / 2
+        for x, y in zip(found[0][0], found[1][0], strict=True):
+            assert np.isfinite(x).all() and np.allclose(x, y, rtol=1e-4, atol=1e-5)
+    # Parts of opposite signs whose powers no float holds: the first word of a context says 400, the second -400.
+    state = scoring.started(unigram)
+    state[0][:], state[1][:] = 0, np.eye(scoring.DIMENSIONS)
+    state[0][0], state[0][1], state[2][:] = 20, -20, 20 / scoring.DIMENSIONS
+    context = np.tile(np.array([[0], [1], [2]]), 3000)
+    scoring.learned(state, symbol[:3000], context, unigram, 1, np.random.default_rng(2))
+    assert all(np.isfinite(x).all() for x in state)
+
+
+def test_distinct_hashes_are_counted_once():
+    hashes = np.array([7, 2**64 - 1, 7, 0, 7], np.uint64)
+    word, code = scoring.coded(hashes)
+    assert len(word) == 3 and (word[code] == hashes).all()
+    word, code = scoring.coded(hashes[:0])
+    assert not len(word) and not len(code)
