@@ -36,9 +36,10 @@ AT_ONCE = 8_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 @lru_cache(maxsize=2)
 def _encoder(model: bytes) -> Known:
-    """Ids of segments by the tokenizer of ``model``, kept for the worker."""
-    encode, sizes = byte_level(model)
-    return Known(lambda new: together(new, encode, np.array([len(x) for x in sizes])))
+    """Ids of segments by the tokenizer of ``model`` as bytes of unsigned 32-bit numbers, kept for the worker."""
+    encode, spelt = byte_level(model)
+    sizes = np.array([len(x) for x in spelt])
+    return Known(lambda new: [x.tobytes() for x in together(new, encode, sizes)])
 
 
 def token_ids(texts: pa.Array, model: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +48,8 @@ def token_ids(texts: pa.Array, model: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(s.code):
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
     own = _encoder(model)(s.kinds)
-    sizes = np.array([len(x) for x in own], np.int64)
-    ids = gathered(np.concatenate(own), np.cumsum(sizes) - sizes, sizes, s.code)
+    sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    ids = gathered(np.frombuffer(b"".join(own), np.uint32), np.cumsum(sizes) - sizes, sizes, s.code)
     upto = np.concatenate([[0], np.cumsum(sizes[s.code])])
     return ids, upto[s.first]
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -245,3 +246,47 @@ def test_best_fit_takes_the_least_room_and_of_equal_rooms_the_first():
             else:
                 want.append([i])
         assert packing.best_fit([list(b) for b in start], sizes, items, capacity) == want
+
+
+def test_segments_are_looked_up_once_and_listed_whole():
+    looked = []
+
+    class Counted(dict):
+        def __contains__(self, k):
+            looked.append(k)
+            return super().__contains__(k)
+
+        def __getitem__(self, k):
+            looked.append(k)
+            return super().__getitem__(k)
+
+        def get(self, k, other=None):
+            looked.append(k)
+            return super().get(k, other)
+
+    known, asked = segments.Known(lambda new: asked.append(list(new)) or [len(k) for k in new]), []
+    known.held = Counted()
+    long = b"x" * (segments.KEPT_BYTES + 1)
+    for kinds, new in (([b"a", b"bb", long], [b"a", b"bb", long]), ([b"bb", b"c", long], [b"c", long]), ([], [])):
+        before = len(looked)
+        assert known(kinds) == [len(k) for k in kinds] and len(looked) - before <= len(kinds)
+        assert sum(asked[-1:], []) == new or not kinds
+    values = pa.array([b"", b"ab", b"\x00", b"", "é".encode(), b"xyz"], pa.large_binary())
+    for some in (values, values[:0], values[1:], values[2:5]):
+        assert segments._listed(some) == some.to_pylist()
+
+
+def test_cuts_of_bytes_against_plain_loops():
+    rng, letters = random.Random(8), "aZ09   '|.-\n\t\x7f\u00e9\x85\xa0\u1680\u2003\u2028\u205f\u3000\u0142\u2603\U0001d11e"
+    for n in [1, 2, 3, *range(4, 90)]:
+        data = "".join(rng.choice(letters) for _ in range(n)).encode()
+        plain = lambda i, d=data: 0x20 < d[i] != 0x7F
+        odd = lambda i, d=data: 0 <= i < len(d) - 1 and bool(segments._WIDE[d[i] << 8 | d[i + 1]])
+        want = [i for i in range(1, len(data) - 1) if data[i] == 0x20 and plain(i - 1) and plain(i + 1) and not (odd(i - 2) or odd(i - 3) or odd(i + 1))]
+        array = np.frombuffer(data, np.uint8)
+        assert segments.cuts(array).tolist() == want
+        letter = lambda i, d=data: chr(d[i]).isalpha() and d[i] < 0x80
+        mark = lambda i, d=data: chr(d[i]) in "'.-"
+        fine = {i for i in range(1, len(data)) if letter(i - 1) and mark(i) or mark(i - 1) and data[i - 1] != 0x27 and letter(i)}
+        lone = {i for i in range(1, len(data) - 1) if data[i] == 0x0A and plain(i - 1) and plain(i + 1) and max(data[i - 1], data[i + 1]) < 0x7F}
+        assert set(segments.fine_cuts(array).tolist()) == fine | lone | {i + 1 for i in lone}
