@@ -31,8 +31,10 @@ GRAIN = 2.0**-40
 FREQUENT = 1 << 18
 #: The end of a text, as a word's hash and beginning.
 END_HASH, END_HEAD = np.uint64(0xE4D0FD0C5A17B3F1), 0
-#: Tokens of a batch, and contexts, that are worked on at a time, so that their arrays stay in a core's cache.
-ROWS, AT_ONCE = 512, 64
+#: Contexts of a batch that are worked on at a time, so that their arrays stay in a core's cache.
+ROWS = 512
+#: Tokens after one context that are learned from as one row, at most; tokens that a task gathers before it learns.
+TOGETHER, GATHERED = 16, 1 << 21
 #: Parts of one that vectors are rounded to in these products.
 FINE = 2.0**16
 #: Logits up to which powers of e are taken of each context word's part, so that their product is a float's.
@@ -135,11 +137,11 @@ def symbols(t: Tokens, counts: Counts) -> np.ndarray:
 
 def contexts(symbol: np.ndarray, t: Tokens) -> np.ndarray:
     """The ``CONTEXT`` symbols before each token; ``SYMBOLS`` stands before a text's start."""
-    place = np.arange(len(symbol)) - t.first[t.text]
-    out = np.full((CONTEXT, len(symbol)), SYMBOLS)
+    out = np.full((CONTEXT, len(symbol)), SYMBOLS, symbol.dtype)
     for j in range(CONTEXT):
-        here = place > j
-        out[j, here] = symbol[np.flatnonzero(here) - j - 1]
+        out[j, j + 1 :] = symbol[: max(len(symbol) - j - 1, 0)]
+        for i in range(j + 1):  # of texts that have an i-th token
+            out[j, (t.first[:-1] + i)[np.diff(t.first) > i]] = SYMBOLS
     return out
 
 
@@ -171,31 +173,74 @@ def started(unigram: np.ndarray, seed: int = 5) -> list[np.ndarray]:
 
 
 def added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by ``at``; two columns are added at a time, as parts of complex numbers."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    order, sizes = np.argsort(at, kind="stable"), np.bincount(at, minlength=n)
+    """Sums of ``rows`` by each of several ``at``; two columns are added at a time, as parts of complex numbers."""
+    out = np.zeros((len(at) * n, rows.shape[1]), np.float32)
+    order = np.argsort(at, axis=1, kind="stable")
+    sizes = np.bincount((at + n * np.arange(len(at))[:, None]).ravel(), minlength=len(out))
     kinds = np.flatnonzero(sizes)
     if len(kinds):
-        out.view(np.complex64)[kinds] = np.add.reduceat(rows.view(np.complex64).take(order, axis=0, mode="clip"), (np.cumsum(sizes) - sizes)[kinds])
-    return out
+        out.view(np.complex64)[kinds] = np.add.reduceat(rows.view(np.complex64).take(order.ravel(), axis=0, mode="clip"), (np.cumsum(sizes) - sizes)[kinds])
+    return out.reshape(len(at), n, -1)
+
+
+class Followed(NamedTuple):
+    """Contexts in rows, each with the run of at most ``TOGETHER`` tokens that follow it in some texts."""
+
+    context: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    symbol: np.ndarray  # of the tokens, by context
+
+
+def numbered(context: np.ndarray) -> np.ndarray:
+    """One number for each context."""
+    key = context[CONTEXT - 1].astype(np.int64)
+    for j in reversed(range(CONTEXT - 1)):
+        key = key * (SYMBOLS + 1) + context[j]
+    return key
+
+
+def followed(symbol: np.ndarray, context: np.ndarray) -> Followed:
+    """All tokens by their contexts; one that many tokens follow has several rows."""
+    found = np.sort(numbered(context) << 32 | np.arange(len(symbol)))  # of one context in the order of the texts
+    key, order = found >> 32, found & 0xFFFFFFFF
+    starts = np.flatnonzero(np.concatenate([key[:1] >= 0, key[1:] != key[:-1]]))
+    sizes = np.diff(starts, append=len(key))
+    rows = -(-sizes // TOGETHER)
+    of = np.repeat(np.arange(len(starts)), rows)
+    before = (np.arange(len(of)) - (np.cumsum(rows) - rows)[of]) * TOGETHER
+    start = starts[of] + before
+    return Followed(context.T[order[start]].astype(np.int16, order="C"), start, np.minimum(sizes[of] - before, TOGETHER).astype(np.int16), symbol[order].astype(np.int16))
 
 
 def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, unigram: np.ndarray, passes: int, rng: np.random.Generator) -> None:
     """Noise-contrastive estimation: tells each token from ``NOISE`` draws of the unigram, by gradient steps of Adagrad.
 
-    A symbol that is drawn several times for a batch is gone through once, with that weight. The odds against a draw are
-    products of a power of e for each word of the context, which are taken of the position tables once a batch.
+    A batch is some ``BATCH`` tokens: random rows of ``followed``, so that what depends on the context alone, the odds
+    against the draws, is found once for the tokens of a row and counts with their number. A symbol that is drawn several
+    times for a batch is gone through once, with that weight. The odds are products of a power of e for each word of the
+    context, which are taken of the position tables once a batch.
     """
+    if not len(symbol):
+        return
     params, held = state[:4], state[4:]
     vectors, mats, targets, bias = params
     shift = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
-    ends, tokens = np.cumsum(unigram), np.concatenate([context, symbol[None]]).T.astype(np.int16, order="C")
-    one, ones, d = np.float32(1), np.ones(ROWS, np.float32), DIMENSIONS
+    ends, rows = np.cumsum(unigram), followed(symbol, context)
+    one, ones, d = np.float32(1), np.ones(max(ROWS, DIMENSIONS), np.float32), DIMENSIONS
     for _ in range(passes):
-        order = rng.permutation(len(tokens))
-        for start in range(0, len(order), BATCH):
-            own = tokens.take(order[start : start + BATCH], axis=0, mode="clip").T.copy()
-            at, many = own.astype(np.intp), np.float32(own.shape[1])  # takes with mode="clip" need no buffer
+        order = rng.permutation(len(rows.size))
+        cuts = np.searchsorted(np.cumsum(rows.size[order], dtype=np.int64), np.arange(BATCH, len(symbol), BATCH), side="right")
+        for chosen in np.split(order, cuts):
+            size = rows.size.take(chosen, mode="clip")
+            by_size = np.argsort(-size, kind="stable")
+            chosen, size = chosen.take(by_size, mode="clip"), size.take(by_size, mode="clip")
+            # The rows' first tokens, then the second ones of those that have two, and so on.
+            deep = (len(size) - np.cumsum(np.bincount(size))[:-1]).tolist()
+            start = rows.start.take(chosen, mode="clip")
+            own = rows.symbol.take(np.concatenate([start[:n] + k for k, n in enumerate(deep)]), mode="clip")
+            by_row = rows.context.take(chosen, axis=0, mode="clip").T.copy()
+            at, mine, many = by_row.astype(np.intp), own.astype(np.intp), np.float32(len(own))  # takes with mode="clip" need no buffer
             times = np.bincount(np.minimum(np.searchsorted(ends, rng.random(NOISE), side="right"), SYMBOLS - 1), minlength=SYMBOLS)
             noise = np.flatnonzero(times)
             tables, level = vectors @ mats, bias - shift
@@ -204,21 +249,13 @@ def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, un
             against[0] -= level[noise]
             factors = np.exp(against) if np.abs(against).max() <= SAFE else None
             by_noise, by_draw = np.zeros((len(noise), d), np.float32), np.zeros(len(noise), np.float32)
-            q, back = np.empty((own.shape[1], d), np.float32), np.empty((own.shape[1], d), np.float32)
-            up, base = np.empty(own.shape[1], np.float32), level.take(at[CONTEXT], mode="clip")
-            for part in range(0, own.shape[1], ROWS):
+            q, back, times_row = np.empty((len(chosen), d), np.float32), np.empty((len(chosen), d), np.float32), size.astype(np.float32)[:, None]
+            for part in range(0, len(chosen), ROWS):
                 here = slice(part, part + ROWS)
-                c, x, g, u = at[:, here], q[here], back[here], up[here]
+                c, x = at[:, here], q[here]
                 tables[0].take(c[0], axis=0, out=x, mode="clip")
                 for j in range(1, CONTEXT):
                     x += tables[j].take(c[j], axis=0, mode="clip")
-                targets.take(c[CONTEXT], axis=0, out=g, mode="clip")  # becomes the gradient of q
-                np.vecdot(x, g, out=u)
-                u += base[here]
-                np.exp(u, out=u)
-                u += one
-                np.divide(one / many, u, out=u)  # how far the token's own probability is from one
-                g *= u[:, None]
                 if factors is None:  # a product may be too large or too small for floats
                     down = sum(against[j].take(c[j], axis=0, mode="clip") for j in range(CONTEXT))
                     np.exp(down, out=down)
@@ -228,15 +265,26 @@ def learned(state: list[np.ndarray], symbol: np.ndarray, context: np.ndarray, un
                         down *= factors[j].take(c[j], axis=0, mode="clip")
                 down += one
                 np.divide(weight, down, out=down)  # the negated probabilities of noise
-                g += down @ drawn
+                down *= times_row[here]
+                np.matmul(down, drawn, out=back[here])  # becomes the gradient of q
                 by_noise += down.T @ x
                 by_draw += ones[: len(down)] @ down
-                x *= u[:, None]
-            by_word, by_bias = added(own[CONTEXT], q, SYMBOLS), np.bincount(own[CONTEXT], up, SYMBOLS).astype(np.float32)
+            x, g = np.concatenate([q[:n] for n in deep]), targets.take(mine, axis=0, mode="clip")
+            up = (x * g) @ ones[:d]
+            up += level.take(mine, mode="clip")
+            np.exp(up, out=up)
+            up += one
+            np.divide(one / many, up, out=up)  # how far the token's own probability is from one
+            wide = np.repeat(up, d).reshape(-1, d)
+            g *= wide
+            x *= wide
+            for n, end in zip(deep, np.cumsum(deep).tolist(), strict=True):
+                back[:n] += g[end - n : end]
+            by_word, by_bias = added(own[None], x, SYMBOLS)[0], np.bincount(mine, up, SYMBOLS).astype(np.float32)
             by_word[noise] += by_noise
             by_bias[noise] += by_draw
-            by_context = [added(own[j], back, SYMBOLS + 1) for j in range(CONTEXT)]
-            grads = [sum(x @ mats[j].T for j, x in enumerate(by_context)), np.stack([vectors.T @ x for x in by_context]), by_word, by_bias]
+            by_context = added(by_row, back, SYMBOLS + 1)
+            grads = [(by_context @ mats.transpose(0, 2, 1)).sum(0), vectors.T @ by_context, by_word, by_bias]
             for x, g, h in zip(params, grads, held, strict=True):
                 h += g * g
                 x += RATE * g / np.sqrt(h)
@@ -262,20 +310,33 @@ def train(symbol: np.ndarray, context: np.ndarray, seed: int = 5) -> Model:
 def learner(state: list[np.ndarray], counts: Counts, passes: int, number: int):
     """A function for mapInArrow: text to (place, value), the task's parameters in proportion to its tokens.
 
-    A task goes through its texts piece by piece, from the parameters that all tasks start the round with.
+    A task goes through its texts, ``GATHERED`` tokens or a piece more at a time, from the parameters that all tasks start
+    the round with.
     """
     unigram = smoothed(counts.symbol_total)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = [x.copy() for x in state], 0
-        context = TaskContext.get()
-        rng = np.random.default_rng([number, context.partitionId() if context else 0])
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, n = [], 0
         for whole in batches:
             for batch in pieces(whole):
                 t = tokens(batch.column("text"))
-                symbol = symbols(t, counts)
-                learned(own, symbol, contexts(symbol, t), unigram, passes, rng)
+                symbol = symbols(t, counts).astype(np.int16)
+                held.append(np.concatenate([symbol[None], contexts(symbol, t)]))
                 n += len(symbol)
+                if n >= GATHERED:
+                    found, held, n = np.concatenate(held, axis=1), [], 0
+                    yield found[0], found[1:]
+        if n:
+            found, held = np.concatenate(held, axis=1), []
+            yield found[0], found[1:]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = [x.copy() for x in state], 0
+        context = TaskContext.get()
+        rng = np.random.default_rng([number, context.partitionId() if context else 0])
+        for symbol, before in gathered(batches):
+            learned(own, symbol, before, unigram, passes, rng)
+            n += len(symbol)
         if n:
             value = np.concatenate([x.ravel() for x in own]).astype(np.float64) * (n / counts.total)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(np.round(value / GRAIN).astype(np.int64))], ["place", "value"])
@@ -303,40 +364,50 @@ def trained(texts: DataFrame, counts: Counts) -> Model:
     return made(state)
 
 
-def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log of each token's normalised probability.
+class Norms:
+    """Logits of a model by word of the context, and the logs of contexts' sums of powers of e.
 
-    A logit is a sum over the context's words, so its power of e is a product: of a row of each word's table of all
-    symbols. Each context that occurs is normalised once, by the sum over such products. The tables are products of whole
-    numbers (parts of ``FINE``) in doubles, which hold them exactly, and rows are summed one by one, so that a token's
-    probability depends on its own context only, not on the place that it has in a batch.
+    A logit is a sum over the context's words, so its power of e is a product, and the sums of all contexts with one
+    farthest word are one matrix product: of the products of the farthest and each middle word's powers, and of the
+    nearest word's. These are taken when such a context first occurs, always as a whole. The tables are products of
+    whole numbers (parts of ``FINE``) in doubles, which hold them exactly. So a token's probability depends on its own
+    context only, not on the place that it has in a batch. The logs are kept as floats, which a task has 68 MB of at most.
     """
-    one = np.zeros((CONTEXT, SYMBOLS + 1, 1))
-    one[0] = 1  # so that the bias is part of the product
-    tables = np.round(np.concatenate([model.tables, one], 2) * FINE)
-    targets = np.round(np.concatenate([model.targets, model.bias[:, None]], 1).T * FINE)
-    logits = tables @ targets * FINE**-2
-    top = logits.max(2)
-    shares = np.exp(logits - top[:, :, None])
-    key = context[CONTEXT - 1].astype(np.int64)
-    for j in reversed(range(CONTEXT - 1)):
-        key = key * (SYMBOLS + 1) + context[j]
-    kinds, of = np.unique(key, return_inverse=True)  # in order, so that the last tables' rows are near
-    norm = np.empty(len(kinds))
-    for a in range(0, len(kinds), AT_ONCE):
-        c = [kinds[a : a + AT_ONCE] // (SYMBOLS + 1) ** j % (SYMBOLS + 1) for j in range(CONTEXT)]
-        product = shares[0].take(c[0], axis=0, mode="clip")
-        for j in range(1, CONTEXT):
-            product *= shares[j].take(c[j], axis=0, mode="clip")
-        total = product.sum(1)
-        more = sum(top[j][c[j]] for j in range(CONTEXT))
-        low = np.flatnonzero(total < 1e-200)  # words that disagree this much: products may be too small for doubles
+
+    def __init__(self, model: Model):
+        one = np.zeros((CONTEXT, SYMBOLS + 1, 1))
+        one[0] = 1  # so that the bias is part of the product
+        tables = np.round(np.concatenate([model.tables, one], 2) * FINE)
+        targets = np.round(np.concatenate([model.targets, model.bias[:, None]], 1).T * FINE)
+        self.logits = tables @ targets * FINE**-2
+        self.top = self.logits.max(2)
+        self.shares = np.exp(self.logits - self.top[:, :, None])
+        self.known, self.has = np.empty((SYMBOLS + 1, SYMBOLS + 1, SYMBOLS + 1), np.float32), np.zeros(SYMBOLS + 1, bool)
+
+    def of(self, context: np.ndarray) -> np.ndarray:
+        near, middle, far = range(CONTEXT)
+        for c in np.flatnonzero(np.bincount(context[far], minlength=SYMBOLS + 1) * ~self.has):
+            total = (self.shares[middle] * self.shares[far][c]) @ self.shares[near].T
+            total[total < 1e-200] = np.nan  # words that disagree this much: products may be too small for doubles
+            self.known[c] = np.log(total)
+            self.has[c] = True
+        out = sum(self.top[j].take(context[j]) for j in range(CONTEXT)) + self.known.ravel().take(numbered(context))
+        low = np.flatnonzero(np.isnan(out))
         if len(low):
-            whole = sum(logits[j][c[j][low]] for j in range(CONTEXT))
-            more[low] = whole.max(1)
-            total[low] = np.exp(whole - more[low, None]).sum(1)
-        norm[a : a + AT_ONCE] = more + np.log(total)
-    return sum(logits[j][context[j], symbol] for j in range(CONTEXT)) - norm[of]
+            _, first, of = np.unique(numbered(context[:, low]), return_index=True, return_inverse=True)
+            for start in range(0, len(first), ROWS):
+                whole = sum(self.logits[j][context[j, low[first[start : start + ROWS]]]] for j in range(CONTEXT))
+                most = whole.max(1)
+                here = (of >= start) & (of < start + ROWS)
+                out[low[here]] = (most + np.log(np.exp(whole - most[:, None]).sum(1)))[of[here] - start]
+        return out
+
+
+def log_probabilities(symbol: np.ndarray, context: np.ndarray, model: Model, norms: Norms | None = None) -> np.ndarray:
+    """Natural log of each token's normalised probability; ``norms`` are the model's, if there already."""
+    norms = norms or Norms(model)
+    at = context.astype(np.int64) * SYMBOLS + symbol
+    return sum(norms.logits[j].ravel().take(at[j]) for j in range(CONTEXT)) - norms.of(context)
 
 
 SCORES = "row long, word long, times int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -351,12 +422,13 @@ def scorer(model: Model, counts: Counts):
     class_log = np.log10(counts.class_total)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = Norms(model)
         for whole in batches:
             for batch in pieces(whole):
                 n, t = len(batch), tokens(batch.column("text"))
                 row = batch.column("row").to_numpy(zero_copy_only=False)
                 symbol = symbols(t, counts)
-                found = log_probabilities(symbol, contexts(symbol, t), model) / np.log(10)
+                found = log_probabilities(symbol, contexts(symbol, t), model, norms) / np.log(10)
                 in_class = symbol > OWN
                 found[in_class] -= class_log[symbol[in_class] - OWN - 1]
                 word, code = coded(t.hash)

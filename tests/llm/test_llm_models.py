@@ -427,3 +427,67 @@ def test_distinct_hashes_are_counted_once():
     assert len(word) == 3 and (word[code] == hashes).all()
     word, code = scoring.coded(hashes[:0])
     assert not len(word) and not len(code)
+
+
+class InOrder:
+    """Numbers that aren't drawn: nothing is permuted, and the draws lie evenly."""
+
+    def permutation(self, n):
+        return np.arange(n)
+
+    def random(self, n):
+        return (np.arange(n) + 0.5) / n
+
+
+def test_tokens_after_one_context_are_learned_from_together(monkeypatch):
+    """4,000 tokens after 50 contexts: one step follows the gradient over all of them, and odds are found by context."""
+    rng, n, k = np.random.default_rng(12), scoring.SYMBOLS, scoring.NOISE
+    of = np.minimum(rng.zipf(1.4, 4000) - 1, 49)  # the first context stands before half of the tokens
+    context, symbol = rng.integers(0, n + 1, (scoring.CONTEXT, 50))[:, of], rng.integers(0, n, 4000)
+    unigram = scoring.smoothed(np.bincount(symbol, minlength=n))
+    state, taken, real = scoring.started(unigram), [], np.exp
+    vectors, mats, targets, bias, *held = [x.astype(float) for x in state]
+    noise = np.minimum(np.searchsorted(np.cumsum(unigram), InOrder().random(k), side="right"), n - 1)
+    with monkeypatch.context() as m:
+        m.setattr(scoring, "SAFE", -1.0)  # powers of sums, one for each row and draw
+        m.setattr(np, "exp", lambda x, *a, **kw: (taken.append(np.size(x)), real(x, *a, **kw))[1])
+        scoring.learned(state, symbol, context, unigram, 1, InOrder())
+    assert sum(taken) < 4000 + 4000 * len(np.unique(noise)) / 8
+    q = sum(vectors[context[j]] @ mats[j] for j in range(scoring.CONTEXT))
+    chance = 1 / (1 + np.exp(-(q @ targets.T + bias - np.log(unigram) - np.log(k))))
+    pull = np.zeros((4000, n))
+    pull[np.arange(4000), symbol] += 1 - chance[np.arange(4000), symbol]
+    np.add.at(pull.T, noise, -chance.T[noise])
+    pull /= 4000
+    by_q, by_vectors, by_mats = pull @ targets, np.zeros_like(vectors), np.zeros_like(mats)
+    for j in range(scoring.CONTEXT):
+        np.add.at(by_vectors, context[j], by_q @ mats[j].T)
+        by_mats[j] = vectors[context[j]].T @ by_q
+    for new, old, h, g in zip(state[:4], (vectors, mats, targets, bias), held, (by_vectors, by_mats, pull.T @ q, pull.sum(0)), strict=True):
+        assert np.allclose(new, old + scoring.RATE * g / np.sqrt(h + g * g), atol=2e-6)
+    before = [x.copy() for x in state]
+    scoring.learned(state, symbol[:0], context[:, :0], unigram, 3, InOrder())
+    assert all((x == y).all() for x, y in zip(state, before, strict=True))
+
+
+def test_a_task_normalises_a_context_once(monkeypatch):
+    """Four batches of one task: the model's tables are made once, and a text has one score wherever it stands."""
+    lines = [" ".join(f"w{(i * i + j) % 23}" for j in range(1 + i % 40)) for i in range(300)] + ["", None]
+    t = scoring.tokens(pa.array(lines))
+    word, number = np.unique(t.hash, return_counts=True)
+    own = word[word != scoring.END_HASH][:5]
+    counts = scoring.Counts(len(t.hash), len(word), 1, word, number, own, np.zeros(65536, np.int64), np.full(scoring.CLASSES, 99.0))
+    symbol = scoring.symbols(t, counts)
+    model = scoring.train(symbol, scoring.contexts(symbol, t))
+    made, real = [], np.round
+
+    def batch(texts):
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array([False] * n), pa.array(texts, pa.string())], ["row", "doc_id", "held_out", "text"])
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "round", lambda x, *a: (made.append(np.shape(x)), real(x, *a))[1])
+        found = list(scoring.scorer(model, counts)(iter([batch(lines), batch(lines[::-1]), batch(lines[:7]), batch([])])))
+    assert len(made) == 2
+    scores = [x.column("score").to_numpy(zero_copy_only=False) for x in found]
+    assert (scores[0][: len(lines)] == scores[1][: len(lines)][::-1]).all() and (scores[0][:7] == scores[2][:7]).all()
